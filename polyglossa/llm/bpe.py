@@ -11,10 +11,12 @@ Text of any length is encoded whole.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
 import re
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -28,8 +30,10 @@ from tokenizers import Tokenizer
 #: Distinct chunks that a task remembers; the store starts anew beyond it.
 REMEMBERED = 400_000
 
-#: Fixed value: the pre-token pattern of the word-end vocabularies, for ASCII text without white space.
-PRETOKEN = rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^0-9a-z]+"
+#: Letters of U+00C0..U+017F but U+0130: NFC keeps them, and lower case is one letter.
+LATIN = "À-ÖØ-öø-įı-ſ"
+#: Fixed value: the pre-token pattern of the word-end vocabularies, for ASCII and LATIN in lower case without white space.
+PRETOKEN = f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^0-9a-z{LATIN}]+"
 
 
 def byte_letters() -> list[str]:
@@ -54,63 +58,102 @@ class Vocabulary:
         self.names |= {i: s for s, i in self.special.items()}
         self.cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         self.letters = byte_letters()
+        self.table = dict(enumerate(self.letters))
+        self.simple = re.compile(f"[\\x00-\\x7f{LATIN}]*").fullmatch
+        self.tables()
         self.pattern, self.rules = re.compile(PRETOKEN), Tokenizer.from_file(path)
 
-    def symbols(self, word: str) -> list[int]:
-        """word: in byte letters."""
-        letters = list(word)
-        letters[-1] += self.end
-        return [self.ids[x] for x in letters if x in self.ids]
-
     def pretokens(self, chunk: bytes) -> list[str]:
         """In byte letters. The library normalizes and cuts text beyond ASCII, whose rules change with Unicode's versions."""
-        if chunk.isascii():
-            return ["".join([self.letters[b] for b in w]) for w in self.pattern.findall(chunk.lower())]
-        return [w for w, _ in self.rules.pre_tokenizer.pre_tokenize_str(self.rules.normalizer.normalize_str(chunk.decode()))]
-
-
-def merge_batch(words: list[list[int]], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[list[int]]:
+        if chunk.isalpha():
+            return [chunk.lower().decode()]
+        text = chunk.decode()
+        if self.simple(text):
+            return [w.encode().decode("latin-1").translate(self.table) for w in self.pattern.findall(text.lower())]
+        return [w for w, _ in self.rules.pre_tokenizer.pre_tokenize_str(self.rules.normalizer.normalize_str(text))]
+
+    def tables(self) -> None:
+        """Arrays for merge_batch: ids of letters inside and at the end of a word; pairs by key and by rank."""
+        self.plain, self.final = np.full(512, -1, np.int64), np.full(512, -1, np.int64)
+        for x in self.letters:
+            self.plain[ord(x)], self.final[ord(x)] = self.ids[x], self.ids[x + self.end]
+        self.left, self.right, self.new = (np.array(c, np.int64) for c in zip(*((a, b, n) for (a, b), (_, n) in self.ranks.items())))
+        keys = self.left << 32 | self.right
+        self.by_key = np.argsort(keys)
+        self.keys = keys[self.by_key]
+
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, -1 where there is no merge."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.by_key[at], -1)
+
+
+def merge_batch(words: list[str], v: Vocabulary) -> list[list[int]]:
     """Apply the merges to all words at once.
 
-    Symbols of all words lie in one array with links to their neighbours; where[pair] lists the left positions of a pair.
+    Symbols of all words lie in one array with links to their neighbours; where[rank] lists the left positions of a pair.
     Positions that a merge has changed since are recognised when their list is read.
     """
-    symbol = [s for w in words for s in w]
-    after, before, at = [-1] * len(symbol), [-1] * len(symbol), 0
-    where: dict[tuple[int, int], list[int]] = {}
-    for w in words:
-        for i in range(at, at + len(w) - 1):
-            after[i], before[i + 1] = i + 1, i
-            if (p := (symbol[i], symbol[i + 1])) in ranks:
-                where.setdefault(p, []).append(i)
-        at += len(w)
-    active = [(ranks[p][0], p) for p in where]
-    heapq.heapify(active)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths)
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    symbol = v.plain[codes]
+    symbol[ends - 1] = v.final[codes[ends - 1]]
+    n = len(symbol)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    after[ends - 1], before[ends - lengths] = -1, -1
+    where: dict[int, list[np.ndarray]] = {}
+    active: list[int] = []
+
+    def note(left: np.ndarray) -> None:
+        """Add the pairs that start at these positions to the index."""
+        ranks = v.ranks_of(symbol[left], symbol[after[left]])
+        hit = ranks >= 0
+        if not hit.any():
+            return
+        ranks, left = ranks[hit], left[hit]
+        order = np.argsort(ranks, kind="stable")
+        ranks, left = ranks[order], left[order]
+        cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+        for rank, part in zip(ranks[np.r_[0, cuts]].tolist(), np.split(left, cuts) if len(cuts) else [left]):
+            if rank not in where:
+                where[rank] = []
+                heapq.heappush(active, rank)
+            where[rank].append(part)
+
+    if n:
+        note(np.flatnonzero(after >= 0))
     while active:
-        _, pair = heapq.heappop(active)
-        positions = where.pop(pair, None)
-        if positions is None:
+        rank = heapq.heappop(active)
+        lists = where.pop(rank)
+        i = lists[0] if len(lists) == 1 else np.concatenate(lists)
+        a, b = v.left[rank], v.right[rank]
+        j = after[i]
+        i = i[(symbol[i] == a) & (j >= 0) & (symbol[j] == b)]
+        if a == b and len(i):  # runs of one symbol: leftmost first, no overlap
+            taken, i = -1, np.unique(i)
+            chosen = []
+            for x in i.tolist():
+                if x != taken:
+                    chosen.append(x)
+                    taken = after[x]
+            i = np.array(chosen, np.int64)
+        elif len(lists) > 1:
+            i = np.unique(i)
+        if not len(i):
             continue
-        left, right = pair
-        new = ranks[pair][1]
-        for i in sorted(positions):
-            j = after[i]
-            if symbol[i] != left or j < 0 or symbol[j] != right:
-                continue
-            k = after[i] = after[j]
-            symbol[i], symbol[j] = new, -1
-            if k >= 0:
-                before[k] = i
-            for a, b in ((before[i], i), (i, k)):
-                if a >= 0 and b >= 0 and (p := (symbol[a], symbol[b])) in ranks:
-                    if p not in where:
-                        heapq.heappush(active, (ranks[p][0], p))
-                    where.setdefault(p, []).append(a)
-    out, at = [], 0
-    for w in words:
-        out.append([s for s in symbol[at : at + len(w)] if s >= 0])
-        at += len(w)
-    return out
+        j = after[i]
+        k = after[j]
+        symbol[i], symbol[j], after[i] = v.new[rank], -1, k
+        inner = k >= 0
+        before[k[inner]] = i[inner]
+        h = before[i]
+        note(np.unique(np.concatenate((h[h >= 0], i[inner]))))
+    live = symbol >= 0
+    counts = np.add.reduceat(live, ends - lengths) if n else np.zeros(0, np.int64)
+    ids, to = symbol[live].tolist(), np.cumsum(counts).tolist()
+    return [ids[x:y] for x, y in zip([0, *to], to)]
 
 
 class Encoder:
@@ -121,16 +164,13 @@ class Encoder:
 
     def learn(self, chunks: set[bytes]) -> None:
         fresh = [c for c in chunks if c not in self.known]
-        if not fresh:
-            return
         if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
-            fresh = list(chunks)
+            self.known = {c: self.known[c] for c in chunks if c in self.known}
         parts = [self.v.pretokens(c) for c in fresh]
         words = {w: k for k, w in enumerate(dict.fromkeys(w for p in parts for w in p))}
-        ids = merge_batch([self.v.symbols(w) for w in words], self.v.ranks)
+        ids = merge_batch(list(words), self.v)
         for c, p in zip(fresh, parts):
-            self.known[c] = self.form([i for w in p for i in ids[words[w]]])
+            self.known[c] = self.form(ids[words[p[0]]] if len(p) == 1 else [i for w in p for i in ids[words[w]]])
 
     def texts(self, texts: list[bytes]) -> Iterator[list]:
         """The formed chunks of each text, in order."""
@@ -152,7 +192,7 @@ class Encoder:
 
 
 #: Bytes of text that are split at a time.
-TEXT_STEP = 4 << 20
+TEXT_STEP = 12 << 20
 
 
 def raw_texts(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
@@ -188,14 +228,26 @@ def vocabulary(name: str) -> Vocabulary:
     return _OPEN[name]
 
 
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def encoder_for(name: str, use: str, form) -> Encoder:
+    """Kept from task to task in a Python worker, with the chunks it knows."""
+    if (name, use) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[name, use] = Encoder(vocabulary(name), form)
+    return _ENCODERS[name, use]
+
+
 def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids and decoded text of each row: (id, ids array<int>, decoded string)."""
     name = ship(df, path)
     kind = dict(df.dtypes)[id_col]
 
     def run(batches):
+        gc.disable()  # tuples of ids form no cycles
         v = vocabulary(name)
-        encoder = Encoder(v, tuple)
+        encoder = encoder_for(name, "ids", tuple)
         for b in batches:
             for at, texts in raw_texts(b.column(1)):
                 ids = [[i for c in t for i in c] for t in encoder.texts(texts)]
@@ -213,8 +265,9 @@ def encode_digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     kind = dict(df.dtypes)[id_col]
 
     def run(batches):
+        gc.disable()  # tuples of ids form no cycles
         v = vocabulary(name)
-        encoder = Encoder(v, lambda ids: (len(ids), " ".join(map(str, ids)), " ".join(v.names[i] for i in ids)))
+        encoder = encoder_for(name, "digest", lambda ids: (len(ids), " ".join(map(str, ids)), " ".join([v.names[i] for i in ids])))
         for b in batches:
             for at, texts in raw_texts(b.column(1)):
                 n, x, y = [], [], []
@@ -238,7 +291,8 @@ def encode_pieces(df: DataFrame, path: str, most: int, end_id: int, id_col: str
     last = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encoder = Encoder(vocabulary(name), lambda ids: np.array(ids, "<u4").tobytes())
+        gc.disable()
+        encoder = encoder_for(name, "bytes", lambda ids: struct.pack(f"<{len(ids)}I", *ids))
         part, met = TaskContext.get().partitionId(), Counter()
         for b in batches:
             for at, texts in raw_texts(b.column(1)):
