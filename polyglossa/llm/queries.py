@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licences, neighbours, packing, quality, secrets, sharding, toxicity
+from . import bpe, jaccard, licences, neighbours, packing, quality, secrets, sharding, toxicity
 from .common import read_table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -15,6 +15,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(read_table(spark, sf_dir, "embeddings"))
 
@@ -43,5 +47,5 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op3_neighbours, op4_bpe, op5_sharding, op6_packing, op7_toxicity, op8_quality, op9_licences)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_jaccard, op3_neighbours, op4_bpe, op5_sharding, op6_packing, op7_toxicity, op8_quality, op9_licences)}
 ORACLE_SQL: dict[str, str] = {}
