@@ -25,6 +25,8 @@ from .graph import components
 
 #: The sketch has 2**SKETCH counters, dealt in blocks of BLOCK; the filter of wanted nodes has 2**FILTER bits.
 SKETCH, BLOCK, FILTER = 20, 4096, 25
+#: Most rounds of neighbours before all open pairs are compared.
+TURNS = 4
 
 
 def shingle_sets(column: pa.Array, n: int):
@@ -221,6 +223,26 @@ def _shared(postings: DataFrame) -> DataFrame:
     return postings.repartition("token").sortWithinPartitions("token").mapInArrow(run, "kind int, token long, place long, node long")
 
 
+def _beside(lists: DataFrame, turn: int) -> DataFrame:
+    """(a, b) to compare: nodes with different labels that stand side by side in a list, by hashes and, in the first turn, by place; at most four for each posting."""
+
+    def run(batches):
+        for now in _lists(batches, 4):
+            token, place, node, label = now
+            a, b = [], []
+            with np.errstate(over="ignore"):
+                keys = [signed(mix(node.view(U64) ^ mix(token.view(U64) + U64(3 * turn + k)))) for k in range(3)]
+            for key in (*keys, *([place] if turn == 0 else [])):
+                order = np.lexsort((key, token))
+                t, p, n, l = token[order], place[order], node[order], label[order]
+                ok = (t[1:] == t[:-1]) & (l[1:] != l[:-1]) & _may_link(p[1:] >> 32, p[1:] & 0xFFFFFFFF, p[:-1] >> 32, p[:-1] & 0xFFFFFFFF)
+                a.append(n[1:][ok])
+                b.append(n[:-1][ok])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _unique_pairs(a, b)], ["a", "b"])
+
+    return lists.repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long").distinct()
+
+
 def _across(lists: DataFrame) -> DataFrame:
     """(a, b) to compare: nodes of one list with different labels. lists: token, place, node, label."""
 
@@ -295,13 +317,21 @@ def join_documents(df: DataFrame, words: int = 5, id_col: str = "doc_id", text_c
     near = keep(spark, shared.filter("kind = 1").select(F.col("place").alias("a"), F.col("node").alias("b")).distinct(), "near")
     links = keep(spark, _links(docs, words, near), "links")
     found = components(links)
-    label = F.coalesce("component", "node").alias("label")
-    lists = shared.filter("kind = 0").join(found, "node", "left").select("token", "place", "node", label)
-    rest = keep(spark, _across(lists).join(near, ["a", "b"], "left_anti"), "rest")
-    more = keep(spark, _links(docs, words, rest), "links")
-    discard(spark, shared, near, rest)
-    if more.limit(1).count():
-        found = components(links.union(more))
+    # components that are left apart: first neighbours in a list, a linear number of pairs, for as long as they link many nodes;
+    # then every pair still open
+    turn = 0
+    while turn >= 0:
+        label = F.coalesce("component", "node").alias("label")
+        lists = shared.filter("kind = 0").join(found, "node", "left").select("token", "place", "node", label)
+        open_ = keep(spark, (_beside(lists, turn) if turn < TURNS else _across(lists)).join(near, ["a", "b"], "left_anti"), "open")
+        more = keep(spark, _links(docs, words, open_), "links")
+        links, near = links.union(more), keep(spark, near.union(open_), "near")
+        gained, turn = more.count(), -1 if turn == TURNS else turn + 1
+        if gained:
+            found = components(links)
+        if 0 < turn < TURNS and gained * 50 < links.count():
+            turn = TURNS
+    discard(spark, shared, near, open_)
     own = profile.filter("block is null").select("doc_id", "n", "node")
     nodes = own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("c"))
     ids = nodes.groupBy("c").agg(F.min("least").alias("component_id"))
