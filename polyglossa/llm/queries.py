@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, licences, neighbours, packing, quality, secrets, sharding, toxicity
+from . import bpe, jaccard, licences, neighbours, packing, quality, repeats, secrets, sharding, toxicity
 from .common import read_table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -47,5 +47,9 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_jaccard, op3_neighbours, op4_bpe, op5_sharding, op6_packing, op7_toxicity, op8_quality, op9_licences)}
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.strip_documents(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_jaccard, op3_neighbours, op4_bpe, op5_sharding, op6_packing, op7_toxicity, op8_quality, op9_licences, op10_repeats)}
 ORACLE_SQL: dict[str, str] = {}
