@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import STEP_BYTES, U64, bitmap, in_bitmap, keep, mix, prefix_sums, signed, span_hashes, text_buffers, text_steps
 
 #: Bytes of a gram; bits of the filters of fixed size; contexts that one step of a task extends; contexts from which an anchor counts as hot.
-GRAM, FILTER, STEP_CONTEXTS, HOT = 32, 26, 40_000, 40_000
+GRAM, FILTER, STEP_CONTEXTS, HOT = 32, 26, 20_000, 40_000
 
 
 def _sliding(op, x: np.ndarray, width: int) -> np.ndarray:
