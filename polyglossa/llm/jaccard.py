@@ -26,7 +26,9 @@ from .graph import components
 #: The sketch has 2**SKETCH counters, dealt in blocks of BLOCK; the filter of wanted nodes has 2**FILTER bits.
 SKETCH, BLOCK, FILTER = 20, 4096, 25
 #: Most rounds of neighbours before all open pairs are compared.
-TURNS = 4
+TURNS = 3
+#: Orders of a list in which neighbours are compared, from the second turn on.
+ORDERS = 16
 
 
 def shingle_sets(column: pa.Array, n: int):
@@ -224,14 +226,14 @@ def _shared(postings: DataFrame) -> DataFrame:
 
 
 def _beside(lists: DataFrame, turn: int) -> DataFrame:
-    """(a, b) to compare: nodes with different labels that stand side by side in a list, by hashes and, in the first turn, by place; at most four for each posting."""
+    """(a, b) to compare: nodes with different labels that stand side by side in a list, by hashes and, in the first turn, by place; at most ORDERS for each posting."""
 
     def run(batches):
         for now in _lists(batches, 4):
             token, place, node, label = now
             a, b = [], []
             with np.errstate(over="ignore"):
-                keys = [signed(mix(node.view(U64) ^ mix(token.view(U64) + U64(3 * turn + k)))) for k in range(3)]
+                keys = [signed(mix(node.view(U64) ^ mix(token.view(U64) + U64(ORDERS * turn + k)))) for k in range(3 if turn == 0 else ORDERS)]
             for key in (*keys, *([place] if turn == 0 else [])):
                 order = np.lexsort((key, token))
                 t, p, n, l = token[order], place[order], node[order], label[order]
