@@ -73,7 +73,8 @@ def splitters(rows: DataFrame, shards: int, tolerance: float) -> list[tuple[int,
                 else:
                     open_[k] = (bits, full, below, size)
     mask = (1 << 63) - 1
-    return sorted((done[k] >> 63, done[k] & mask) for k in done)
+    # a splitter past the last key has no rows above it
+    return sorted((key >> 63, key & mask) for key in done.values() if key >> 126 == 0)
 
 
 def shard_documents(df: DataFrame, shards: int = 16, tolerance: float = 0.002, id_col: str = "doc_id", text_col: str = "text", slot_rows: int = 100_000) -> DataFrame:
