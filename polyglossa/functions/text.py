@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import unicodedata
+from itertools import chain
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters that are not shown, and Latin letters with marks beside their plain forms.
-INVISIBLE = "​‌‍﻿⁠"
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Characters that are not shown.
+INVISIBLE = "\u200b\u200c\u200d\ufeff\u2060"
+
+
+def _marked_letters() -> tuple[str, str]:
+    """Latin, Greek and Cyrillic letters that decompose to one plain character, and those characters."""
+    blocks = chain(range(0xC0, 0x250), range(0x370, 0x530), range(0x1E00, 0x2000))
+    plain = {chr(k): "".join(c for c in unicodedata.normalize("NFKD", chr(k)) if not unicodedata.combining(c)) for k in blocks}
+    found = {k: v for k, v in plain.items() if len(v) == 1 and v != k}
+    return "".join(found), "".join(found.values())
+
+
+MARKED, PLAIN = _marked_letters()
 
 
 def clean_invisible(c: Column) -> Column:
@@ -26,7 +38,8 @@ def lookup_text(c: Column) -> Column:
 
 
 def strip_diacritics(c: Column) -> Column:
-    return F.translate(c, MARKED, PLAIN)
+    """Letters without their marks, composed or combining."""
+    return F.regexp_replace(F.translate(c, MARKED, PLAIN), r"\p{Mn}", "")
 
 
 def lookup_variants(c: Column) -> Column:
@@ -49,4 +62,53 @@ def record_class(c: Column) -> Column:
 
 def preserve_case(source: Column, target: Column) -> Column:
     head = F.substring(source, 1, 1)
-    return F.when((head == F.upper(head)) & (head != F.lower(head)), F.concat(F.upper(F.substring(target, 1, 1)), F.expr("substring(target, 2)"))).otherwise(target)
+    return F.when((head == F.upper(head)) & (head != F.lower(head)), F.concat(F.upper(F.substring(target, 1, 1)), F.substr(target, F.lit(2)))).otherwise(target)
+
+
+#: Spellings of language names and the codes of the languages.
+ALIASES = {"bgs": "tagabawa", "bagobo": "tagabawa", "bagobo tagabawa": "tagabawa", "eng": "english", "en": "english", "fil": "filipino", "tagalog": "filipino", "tl": "filipino", "ceb": "cebuano", "bisaya": "cebuano"}
+CODES = {"tagabawa": "bgs", "english": "eng", "filipino": "fil", "cebuano": "ceb"}
+#: Texts that stand for a missing translation, and methods that show the source instead.
+REVIEW_MARKERS = ("[UNKNOWN_FOR_REVIEW]", "[UNTRANSLATED]", "[REVIEW]", "[NEEDS REVIEW]")
+SOURCE_METHODS = ("unknown_for_review", "source_fallback", "identity_fallback", "unknown")
+
+
+def alias_key(c: Column) -> Column:
+    return F.regexp_replace(F.trim(F.lower(F.translate(clean_invisible(c), "_-", "  "))), r"[ \t\r\n]+", " ")
+
+
+def normalize_lang(c: Column, aliases: dict[str, str] = ALIASES) -> Column:
+    """The language's name for any of its spellings; an unknown one passes through as its key."""
+    names = F.create_map(*(F.lit(x) for kv in aliases.items() for x in kv))
+    return F.coalesce(F.element_at(names, alias_key(c)), alias_key(c))
+
+
+def pair_text(c: Column) -> Column:
+    """One side of a pair key: lower case, white space collapsed."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[ \t\r\n]+", " "))
+
+
+def notes_flags(notes: Column) -> Column:
+    """Struct of flags (joined by |), review_import and review_export: two rules, both in use."""
+    low = F.lower(F.coalesce(notes, F.lit("")))
+    names = ("auto-split", "manual check", "double check", "plural", "singular")
+    flags = F.concat_ws("|", *(F.when(low.contains(n), n) for n in names))
+    loose = low.contains("manual check") | low.contains("double check") | low.contains("review")
+    strict = low.contains("need to double check") | low.contains("manual check")
+    return F.struct(flags.alias("flags"), loose.alias("review_import"), strict.alias("review_export"))
+
+
+def is_fallback(target: Column, method: Column) -> Column:
+    marked = F.lit(False)
+    for m in REVIEW_MARKERS:
+        marked = marked | F.upper(target).contains(m)
+    return F.coalesce(F.trim(target), F.lit("")).eqNullSafe("") | F.coalesce(marked, F.lit(False)) | F.coalesce(method.isin(*SOURCE_METHODS), F.lit(False))
+
+
+def display_text(source: Column, target: Column, method: Column) -> Column:
+    return F.when(is_fallback(target, method), source).otherwise(target)
+
+
+def color_rgb(packed: Column) -> Column:
+    """Red, green and blue in 0..1 of a packed colour."""
+    return F.transform(F.array(F.shiftright(packed, 16), F.shiftright(packed, 8), packed), lambda v: F.round(v.bitwiseAND(255) / 255.0, 4))

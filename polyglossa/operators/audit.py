@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from polyglossa.functions.text import record_class
+from polyglossa.functions.text import notes_flags, record_class, strip_diacritics, words
 
 LANGS = ("english", "tagabawa", "filipino", "cebuano")
 
@@ -38,3 +38,70 @@ def audit_polysemy(df: DataFrame, key: str = "tagabawa", ref: str = "english") -
 
 def line_classes(lines: DataFrame) -> DataFrame:
     return lines.groupBy("lang", record_class(F.col("text")).alias("record_class")).agg(F.count("*").alias("n"))
+
+
+def audit_coverage(df: DataFrame, langs=LANGS) -> DataFrame:
+    """Cells with and without text of each language, in one pass."""
+    cells = df.unpivot([], list(langs), "lang", "text")
+    return cells.groupBy("lang").agg(F.count_if(~_blank("text")).alias("present"), F.count_if(_blank("text")).alias("missing"))
+
+
+def audit_field_dups(df: DataFrame, langs=LANGS) -> DataFrame:
+    """Rows beyond the first of each text, by language; case and outer blanks do not matter."""
+    cells = df.unpivot([], list(langs), "lang", "text").filter(~_blank("text"))
+    return cells.groupBy("lang", F.lower(F.trim("text")).alias("key")).agg(F.count("*").alias("n")).groupBy("lang").agg(F.sum(F.col("n") - 1).alias("extra_rows"))
+
+
+def audit_unicode(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Cells with a replacement character, a control character, a piece of HTML, a double space."""
+    c = F.col(text_col)
+    return df.agg(
+        F.count_if(c.contains("\ufffd")).alias("replacement"), F.count_if(c.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")).alias("control"),
+        F.count_if(F.lower(c).rlike("<[a-z]|&[a-z]+;")).alias("html"), F.count_if(c.contains("  ")).alias("double_space"),
+    )
+
+
+def audit_diacritics(df: DataFrame, key: str = "lang", text_col: str = "text") -> DataFrame:
+    return df.groupBy(key).agg(F.count_if(strip_diacritics(F.col(text_col)) != F.col(text_col)).alias("marked"), F.count("*").alias("n"))
+
+
+def audit_alignment(df: DataFrame, left: str, right: str, most: float = 5.0) -> DataFrame:
+    """Rows whose sides differ in words by more than the given ratio; both sides hold text."""
+    a, b = F.size(words(F.col(left))), F.size(words(F.col(right)))
+    sized = df.select("*", a.alias("n_left"), b.alias("n_right")).filter("n_left > 0 AND n_right > 0")
+    ratio = F.try_divide("n_left", "n_right")
+    return sized.withColumn("ratio", F.round(ratio, 2)).filter((ratio > most) | (ratio < 1 / most))
+
+
+def audit_sources(df: DataFrame, columns=("source", "topic", "notes")) -> DataFrame:
+    """kind, value, n: how often each value of the columns occurs."""
+    return df.unpivot([], list(columns), "kind", "value").groupBy("kind", "value").agg(F.count("*").alias("n"))
+
+
+def audit_cross_leak(left: DataFrame, right: DataFrame, field: str) -> DataFrame:
+    """Distinct values of left's field, how many of them right has too, and whether it has all."""
+    a, b = left.select(field).distinct(), right.select(field).distinct().withColumn("there", F.lit(1))
+    both = a.join(b, field, "left").agg(F.count("*").alias("n_left"), F.count("there").alias("n_shared"))
+    return both.select("n_left", "n_shared", (F.col("n_left") == F.col("n_shared")).alias("subset"))
+
+
+def audit_rows(df: DataFrame, langs=LANGS, key: str = "tagabawa") -> DataFrame:
+    """id, record_class, flags, is_exact_dup, complete of every row."""
+    same = Window.partitionBy(*(F.lower(F.trim(c)) for c in langs))
+    complete = F.lit(True)
+    for c in langs:
+        complete = complete & ~_blank(c)
+    return df.select(
+        "id", record_class(F.col(key)).alias("record_class"), notes_flags(F.col("notes"))["flags"].alias("flags"),
+        (F.count("*").over(same) > 1).alias("is_exact_dup"), complete.alias("complete"),
+    )
+
+
+def audit_quality(df: DataFrame) -> DataFrame:
+    """Rows, rows cut automatically and their share in per cent, rows to review by either rule."""
+    flags = df.select(notes_flags(F.col("notes")).alias("f")).select("f.*")
+    auto = F.count_if(F.col("flags").contains("auto-split"))
+    return flags.agg(
+        F.count("*").alias("total"), auto.alias("auto_split"), F.round(100 * auto / F.count("*"), 2).alias("auto_split_pct"),
+        F.count_if("review_import").alias("review_import"), F.count_if("review_export").alias("review_export"),
+    )

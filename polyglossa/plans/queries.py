@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from polyglossa.functions.text import INVISIBLE, MARKED, PLAIN
 from polyglossa.operators import audit, jobs, tm
+from polyglossa.plans import pairs
+from polyglossa.plans.sql import BOOK, CLASS, LINES, SIZES, SPACE
 from polyglossa.sources import views
 
 
@@ -61,16 +63,12 @@ def event_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (tm_lookup, tm_coverage, record_class, audit_counts, audit_types, audit_dups, audit_polysemy, quality_summary, recent_jobs, active_limit, event_summary)}
 
-_SPACE = r"[ \t\r\n]+"
-_LINES = f"""lines AS (SELECT doc_id, i - 1 AS line_no, l AS text, lang FROM (
-  SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
-  WHERE regexp_replace(l, '{_SPACE}', '', 'g') <> '')"""
-_RAW = f"lower(regexp_replace(translate(text, '{INVISIBLE}', ''), '^{_SPACE}|{_SPACE}$', '', 'g'))"
-_NORM = rf"trim(regexp_replace(regexp_replace({_RAW}, '[^\p{{L}}\p{{N}}_ \t\r\n-]', '', 'g'), '{_SPACE}', ' ', 'g'), ' ')"
-_VARIANTS = f"(0, {_RAW}), (1, {_NORM}), (2, translate({_NORM}, '{MARKED}', '{PLAIN}'))"
-_LOOKUP = f"""WITH {_LINES}, memory AS (SELECT DISTINCT text FROM (
+_RAW = f"lower(regexp_replace(translate(text, '{INVISIBLE}', ''), '^{SPACE}|{SPACE}$', '', 'g'))"
+_NORM = rf"trim(regexp_replace(regexp_replace({_RAW}, '[^\p{{L}}\p{{N}}_ \t\r\n-]', '', 'g'), '{SPACE}', ' ', 'g'), ' ')"
+_VARIANTS = rf"(0, {_RAW}), (1, {_NORM}), (2, regexp_replace(translate({_NORM}, '{MARKED}', '{PLAIN}'), '\p{{Mn}}', '', 'g'))"
+_LOOKUP = f"""WITH {LINES}, memory AS (SELECT DISTINCT text FROM (
     SELECT unnest(string_split(text, chr(10))) AS text FROM benchmark UNION ALL SELECT text FROM lines WHERE doc_id % 10 = 0)
-    WHERE regexp_replace(text, '{_SPACE}', '', 'g') <> ''),
+    WHERE regexp_replace(text, '{SPACE}', '', 'g') <> ''),
   tmv AS (SELECT variant, min_by(text, md5(text)) AS mtext, min(md5(text)) AS row_pos FROM memory, LATERAL (VALUES {_VARIANTS}) AS v(nth, variant) WHERE variant <> '' GROUP BY variant),
   texts AS (SELECT DISTINCT text FROM lines),
   probes AS (SELECT text, nth, variant FROM texts, LATERAL (VALUES {_VARIANTS}) AS v(nth, variant) WHERE variant <> ''),
@@ -79,23 +77,20 @@ _LOOKUP = f"""WITH {_LINES}, memory AS (SELECT DISTINCT text FROM (
     CASE WHEN target IS NULL THEN 'unknown_for_review' WHEN nth = 0 THEN 'exact_phrase' ELSE 'normalized_phrase' END AS method,
     CASE WHEN target IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS confidence, target IS NULL AS needs_review
     FROM lines LEFT JOIN (SELECT * FROM ranked WHERE r = 1) b ON lines.text = b.text)"""
-_CLASS = rf"""CASE WHEN n = 0 THEN 'empty' WHEN n = 1 THEN 'single_word' WHEN n <= 6 THEN 'short_phrase' WHEN n > 50 THEN 'paragraph'
-  WHEN s > 1 THEN 'multi_sentence' WHEN n <= 15 THEN 'short_sentence' ELSE 'long_sentence' END"""
-_SIZES = rf"""len(list_filter(regexp_split_to_array(text, '{_SPACE}'), lambda w: w <> '')) AS n,
-  len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda x: regexp_replace(x, '{_SPACE}', '', 'g') <> '')) AS s"""
-_BOOK = """book AS (SELECT p_partkey AS id, CASE WHEN p_size % 13 = 0 THEN '' ELSE p_type END AS topic, p_name || ' ' || (p_size % 10) AS english, p_brand || ' ' || (p_size % 10) AS tagabawa,
-  p_type || ' ' || p_name || ' ' || (p_size % 10) AS filipino, CASE WHEN p_size = 7 THEN '' ELSE p_brand || ' ' || p_name || ' ' || (p_size % 10) END AS cebuano FROM part)"""
-
 ORACLE_SQL = {
     "tm_lookup": f"{_LOOKUP} SELECT * FROM found",
     "tm_coverage": f"{_LOOKUP} SELECT method, count(*) AS n FROM found GROUP BY method",
-    "record_class": f"WITH {_LINES} SELECT lang, {_CLASS} AS record_class, count(*) AS n FROM (SELECT lang, {_SIZES} FROM lines) GROUP BY 1, 2",
-    "audit_counts": f"WITH {_BOOK} SELECT count(*) AS total, count(*) FILTER (WHERE cebuano <> '') AS complete, count(*) FILTER (WHERE cebuano = '') AS missing_any FROM book",
-    "audit_types": f"WITH {_BOOK}, long AS (SELECT lang, text FROM book, LATERAL (VALUES ('english', english), ('tagabawa', tagabawa), ('filipino', filipino), ('cebuano', cebuano)) AS v(lang, text)) SELECT lang, {_CLASS} AS record_class, count(*) AS n FROM (SELECT lang, {_SIZES} FROM long) GROUP BY 1, 2",
-    "audit_dups": f"WITH {_BOOK}, g AS (SELECT count(*) AS n FROM book GROUP BY lower(trim(english)), lower(trim(tagabawa)), lower(trim(filipino)), lower(trim(cebuano)) HAVING count(*) > 1) SELECT count(*) AS groups, coalesce(sum(n - 1), 0)::BIGINT AS extra_rows FROM g",
-    "audit_polysemy": f"WITH {_BOOK} SELECT tagabawa AS source, count(DISTINCT english) AS n_variants FROM book GROUP BY 1 HAVING count(DISTINCT english) > 1",
+    "record_class": f"WITH {LINES} SELECT lang, {CLASS} AS record_class, count(*) AS n FROM (SELECT lang, {SIZES} FROM lines) GROUP BY 1, 2",
+    "audit_counts": f"WITH {BOOK} SELECT count(*) AS total, count(*) FILTER (WHERE cebuano <> '') AS complete, count(*) FILTER (WHERE cebuano = '') AS missing_any FROM book",
+    "audit_types": f"WITH {BOOK}, long AS (SELECT lang, text FROM book, LATERAL (VALUES ('english', english), ('tagabawa', tagabawa), ('filipino', filipino), ('cebuano', cebuano)) AS v(lang, text)) SELECT lang, {CLASS} AS record_class, count(*) AS n FROM (SELECT lang, {SIZES} FROM long) GROUP BY 1, 2",
+    "audit_dups": f"WITH {BOOK}, g AS (SELECT count(*) AS n FROM book GROUP BY lower(trim(english)), lower(trim(tagabawa)), lower(trim(filipino)), lower(trim(cebuano)) HAVING count(*) > 1) SELECT count(*) AS groups, coalesce(sum(n - 1), 0)::BIGINT AS extra_rows FROM g",
+    "audit_polysemy": f"WITH {BOOK} SELECT tagabawa AS source, count(DISTINCT english) AS n_variants FROM book GROUP BY 1 HAVING count(DISTINCT english) > 1",
     "quality_summary": "SELECT l_orderkey AS job, count(*) AS n_segments, count(*) FILTER (WHERE l_returnflag = 'R') AS n_review FROM lineitem GROUP BY 1",
     "recent_jobs": "SELECT owner, job, nth FROM (SELECT o_custkey AS owner, o_orderkey AS job, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC))::INT AS nth FROM orders) WHERE nth <= 5",
     "active_limit": "SELECT o_custkey AS owner, count(*) AS active FROM orders WHERE o_orderstatus IN ('O', 'P') GROUP BY 1 HAVING count(*) >= 2",
     "event_summary": "SELECT CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS level, event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1, 2, 3",
 }
+
+for _part in (pairs,):
+    QUERIES |= _part.QUERIES
+    ORACLE_SQL |= _part.ORACLE_SQL

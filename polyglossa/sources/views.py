@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Notes of phrasebook rows.
+NOTES = ("", "auto-split from slash values", "manual check", "need to double check", "plural")
+#: Unwanted pieces of text.
+DIRT = ("", "\u200b", "\ufffd", "\u0007", "<b>", "&amp;", "  x", " Zo\u00eb", ".")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,4 +35,29 @@ def phrasebook(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws(" ", "p_name", k).alias("english"), F.concat_ws(" ", "p_brand", k).alias("tagabawa"),
         F.concat_ws(" ", "p_type", "p_name", k).alias("filipino"),
         F.when(F.col("p_size") == 7, "").otherwise(F.concat_ws(" ", "p_brand", "p_name", k)).alias("cebuano"),
+        F.when(F.col("p_size") % 10 == 0, "phrase_sample").otherwise("phrasebook").alias("source"),
+        F.element_at(F.array(*map(F.lit, NOTES)), (F.col("p_size") % 5 + 1).cast("int")).alias("notes"),
+    )
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user turn with the assistant's next: record_id, conv_id, source_text, target_text.
+
+    Some conversations add a flawed copy: a repeated pair, a blank target, a copied source or a replacement character.
+    """
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("source_text"))
+    given = turns.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    kind = F.col("conv_id") % 7
+    both = asked.join(given, ["conv_id", "turn"]).withColumn("nth", F.explode(F.when(kind < 4, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    flawed = F.when(kind == 0, F.col("answer")).when(kind == 1, "").when(kind == 2, F.col("source_text")).otherwise(F.concat("answer", F.lit("\ufffd")))
+    return both.select(
+        F.concat_ws("-", F.lit("c"), "conv_id", "turn", "nth").alias("record_id"), "conv_id", "source_text",
+        F.when(F.col("nth") == 0, F.col("answer")).otherwise(flawed).alias("target_text"),
     )
+
+
+def dirty_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of documents with an unwanted piece added by doc_id: doc_id, text."""
+    pieces = F.array(*map(F.lit, DIRT))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.element_at(pieces, (F.col("doc_id") % len(DIRT) + 1).cast("int"))).alias("text"))
