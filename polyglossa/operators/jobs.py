@@ -26,3 +26,52 @@ def event_summary(events: DataFrame) -> DataFrame:
     """Events by level, type and day."""
     level = F.when(F.col("event_type") == "error", "error").otherwise("info").alias("level")
     return events.groupBy(level, "event_type", F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("n"))
+
+
+ACTIVE = ("queued", "processing", "retrying")
+
+
+def _before(as_of: str, minutes: int):
+    return F.timestamp_add("MINUTE", F.lit(-minutes), F.lit(as_of).cast("timestamp_ntz"))
+
+
+def job_health(jobs: DataFrame, as_of: str, minutes: int = 15) -> DataFrame:
+    """Active jobs by status and those without an update for the given minutes. jobs: status, updated."""
+    return jobs.agg(*(F.count_if(F.col("status") == s).alias(s) for s in ACTIVE), F.count_if(F.col("status").isin(*ACTIVE) & (F.col("updated") <= _before(as_of, minutes))).alias("stale"))
+
+
+def stale_jobs(jobs: DataFrame, as_of: str, minutes: int = 15, retry_queued: bool = False) -> DataFrame:
+    """job, status, action for active jobs, not deleted, without an update for the given minutes."""
+    old = jobs.filter(F.col("status").isin(*ACTIVE) & ~F.col("is_deleted") & (F.col("updated") <= _before(as_of, minutes)))
+    retry = F.lit(retry_queued) & F.col("status").isin("queued", "retrying")
+    return old.select("job", "status", F.when(retry, "retry").otherwise("fail").alias("action"))
+
+
+def taking_longer(jobs: DataFrame, as_of: str, minutes: int = 10) -> DataFrame:
+    """Active jobs made at least the given minutes ago."""
+    return jobs.filter(F.col("status").isin(*ACTIVE) & (F.col("created") <= _before(as_of, minutes))).select("job", "owner")
+
+
+def job_dashboard(jobs: DataFrame, segments: DataFrame) -> DataFrame:
+    """job, status, n_segments, n_review, min_confidence; segments are summed before the join."""
+    sums = segments.groupBy("job").agg(F.count("*").alias("n_segments"), F.count_if("needs_review").alias("n_review"), F.min("confidence").alias("min_confidence"))
+    none = F.lit(0).cast("long")
+    return jobs.select("job", "status").join(sums, "job", "left").select("job", "status", F.coalesce("n_segments", none).alias("n_segments"), F.coalesce("n_review", none).alias("n_review"), "min_confidence")
+
+
+def repeated_keys(df: DataFrame, *keys: str) -> DataFrame:
+    """Keys that occur more than once, with n: the violations of a uniqueness rule."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def event_windows(events: DataFrame) -> DataFrame:
+    """Events of each type by hour."""
+    return events.groupBy(F.date_format("ts", "yyyy-MM-dd HH:00").alias("hour"), "event_type").agg(F.count("*").alias("n"))
+
+
+def event_sessions(events: DataFrame, gap_s: int = 3600) -> DataFrame:
+    """user_id, session, n: a user's events with no longer gap between them."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    apart = F.coalesce(F.timestamp_diff("SECOND", F.lag("ts").over(order), F.col("ts")) > gap_s, F.lit(True))
+    numbered = events.withColumn("apart", apart.cast("int")).withColumn("session", F.sum("apart").over(order))
+    return numbered.groupBy("user_id", "session").agg(F.count("*").alias("n"))

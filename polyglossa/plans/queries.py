@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from polyglossa.functions.text import INVISIBLE, MARKED, PLAIN
 from polyglossa.operators import audit, jobs, tm
-from polyglossa.plans import pairs
+from polyglossa.plans import pairs, reports
 from polyglossa.plans.sql import BOOK, CLASS, LINES, SIZES, SPACE
 from polyglossa.sources import views
 
@@ -91,6 +91,6 @@ ORACLE_SQL = {
     "event_summary": "SELECT CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS level, event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1, 2, 3",
 }
 
-for _part in (pairs,):
+for _part in (pairs, reports):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL

@@ -61,3 +61,27 @@ def dirty_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of documents with an unwanted piece added by doc_id: doc_id, text."""
     pieces = F.array(*map(F.lit, DIRT))
     return table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.element_at(pieces, (F.col("doc_id") % len(DIRT) + 1).cast("int"))).alias("text"))
+
+
+def ocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of lines as an OCR engine gives them: doc_id, line, i, word, left, width, conf."""
+    split = lines(spark, sf_dir).select("doc_id", F.col("line_no").alias("line"), F.posexplode(F.split("text", " ")).alias("i", "word"))
+    return split.select("*", (F.col("i") * 30).alias("left"), (F.length("word") * 5).alias("width"), ((F.length("word") * 37 + F.col("i") * 11) % 112 - 10).alias("conf"))
+
+
+def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines placed on pages of 20: doc_id, page, block_no, x0, x1, y0, width, text."""
+    n, d = F.col("line_no"), F.col("doc_id")
+    x0 = F.when((d + n) % 7 < 4, 72).otherwise(350)
+    y0 = 100 + 30 * (n % 20) - F.when((d * 7 + n) % 23 == 0, 40).otherwise(0)
+    return lines(spark, sf_dir).select("doc_id", F.floor(n / 20).alias("page"), n.alias("block_no"), x0.alias("x0"), (x0 + 190).alias("x1"), y0.alias("y0"), F.lit(612).alias("width"), "text")
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """job, owner, status, created, updated, is_deleted."""
+    k, s = F.col("o_orderkey"), F.col("o_orderstatus")
+    status = F.when(k % 17 == 0, "retrying").when((s == "F") & (k % 3 == 0), "failed").when(s == "F", "completed").when(s == "O", "queued").otherwise("processing")
+    return table(spark, sf_dir, "orders").select(
+        k.alias("job"), F.col("o_custkey").alias("owner"), status.alias("status"), F.col("o_orderdate").alias("created"),
+        F.timestamp_add("MINUTE", (k % 60).cast("int"), F.col("o_orderdate")).alias("updated"), (k % 11 == 0).alias("is_deleted"),
+    )
