@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyglossa.functions.text import INVISIBLE, MARKED, PLAIN
 from polyglossa.operators import audit, jobs, tm
-from polyglossa.plans import pairs, reports
-from polyglossa.plans.sql import BOOK, CLASS, LINES, SIZES, SPACE
+from polyglossa.plans import pairs, reports, review
+from polyglossa.plans.sql import BOOK, CLASS, LINES, LOOKUP, SIZES
 from polyglossa.sources import views
 
 
@@ -63,23 +62,9 @@ def event_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (tm_lookup, tm_coverage, record_class, audit_counts, audit_types, audit_dups, audit_polysemy, quality_summary, recent_jobs, active_limit, event_summary)}
 
-_RAW = f"lower(regexp_replace(translate(text, '{INVISIBLE}', ''), '^{SPACE}|{SPACE}$', '', 'g'))"
-_NORM = rf"trim(regexp_replace(regexp_replace({_RAW}, '[^\p{{L}}\p{{N}}_ \t\r\n-]', '', 'g'), '{SPACE}', ' ', 'g'), ' ')"
-_VARIANTS = rf"(0, {_RAW}), (1, {_NORM}), (2, regexp_replace(translate({_NORM}, '{MARKED}', '{PLAIN}'), '\p{{Mn}}', '', 'g'))"
-_LOOKUP = f"""WITH {LINES}, memory AS (SELECT DISTINCT text FROM (
-    SELECT unnest(string_split(text, chr(10))) AS text FROM benchmark UNION ALL SELECT text FROM lines WHERE doc_id % 10 = 0)
-    WHERE regexp_replace(text, '{SPACE}', '', 'g') <> ''),
-  tmv AS (SELECT variant, min_by(text, md5(text)) AS mtext, min(md5(text)) AS row_pos FROM memory, LATERAL (VALUES {_VARIANTS}) AS v(nth, variant) WHERE variant <> '' GROUP BY variant),
-  texts AS (SELECT DISTINCT text FROM lines),
-  probes AS (SELECT text, nth, variant FROM texts, LATERAL (VALUES {_VARIANTS}) AS v(nth, variant) WHERE variant <> ''),
-  ranked AS (SELECT p.text, nth, 'T:' || mtext AS target, row_number() OVER (PARTITION BY p.text ORDER BY nth, row_pos) AS r FROM probes p JOIN tmv USING (variant)),
-  found AS (SELECT doc_id, line_no, CASE WHEN target IS NOT NULL THEN target ELSE lines.text END AS translated,
-    CASE WHEN target IS NULL THEN 'unknown_for_review' WHEN nth = 0 THEN 'exact_phrase' ELSE 'normalized_phrase' END AS method,
-    CASE WHEN target IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS confidence, target IS NULL AS needs_review
-    FROM lines LEFT JOIN (SELECT * FROM ranked WHERE r = 1) b ON lines.text = b.text)"""
 ORACLE_SQL = {
-    "tm_lookup": f"{_LOOKUP} SELECT * FROM found",
-    "tm_coverage": f"{_LOOKUP} SELECT method, count(*) AS n FROM found GROUP BY method",
+    "tm_lookup": f"{LOOKUP} SELECT * FROM found",
+    "tm_coverage": f"{LOOKUP} SELECT method, count(*) AS n FROM found GROUP BY method",
     "record_class": f"WITH {LINES} SELECT lang, {CLASS} AS record_class, count(*) AS n FROM (SELECT lang, {SIZES} FROM lines) GROUP BY 1, 2",
     "audit_counts": f"WITH {BOOK} SELECT count(*) AS total, count(*) FILTER (WHERE cebuano <> '') AS complete, count(*) FILTER (WHERE cebuano = '') AS missing_any FROM book",
     "audit_types": f"WITH {BOOK}, long AS (SELECT lang, text FROM book, LATERAL (VALUES ('english', english), ('tagabawa', tagabawa), ('filipino', filipino), ('cebuano', cebuano)) AS v(lang, text)) SELECT lang, {CLASS} AS record_class, count(*) AS n FROM (SELECT lang, {SIZES} FROM long) GROUP BY 1, 2",
@@ -91,6 +76,6 @@ ORACLE_SQL = {
     "event_summary": "SELECT CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS level, event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1, 2, 3",
 }
 
-for _part in (pairs, reports):
+for _part in (pairs, reports, review):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL

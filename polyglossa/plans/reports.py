@@ -87,33 +87,33 @@ QUERIES = {
     )
 }
 
-_TOKENS = r"list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))"
-_VOCAB = f"vocab AS (SELECT DISTINCT lang, unnest({_TOKENS}) AS token FROM documents)"
-_OCR = f"""{LINES}, words AS (SELECT doc_id, line_no AS line, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS i FROM lines),
+TOKENS = r"list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))"
+VOCAB = f"vocab AS (SELECT DISTINCT lang, unnest({TOKENS}) AS token FROM documents)"
+OCR = f"""{LINES}, words AS (SELECT doc_id, line_no AS line, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS i FROM lines),
   rated AS (SELECT *, (length(word) * 37 + i * 11) % 112 - 10 AS conf FROM words WHERE trim(word) <> ''),
   ocr AS (SELECT doc_id, line, string_agg(word, ' ' ORDER BY i) AS text, min(i * 30) AS x0, max(i * 30 + length(word) * 5) AS x1, count(*) AS n_words, sum(conf)::DOUBLE / count(*) / 100.0::DOUBLE AS confidence FROM rated WHERE conf >= 0 GROUP BY 1, 2)"""
 _BLOCKS = f"""{LINES}, blocks AS (SELECT doc_id, line_no // 20 AS page, line_no AS block_no, text, CASE WHEN (doc_id + line_no) % 7 < 4 THEN 72 ELSE 350 END AS x0,
   100 + 30 * (line_no % 20) - CASE WHEN (doc_id * 7 + line_no) % 23 = 0 THEN 40 ELSE 0 END AS y0 FROM lines)"""
-_JOBS = """jobs AS (SELECT o_orderkey AS job, o_custkey AS owner, o_orderdate AS created, o_orderdate + to_minutes(o_orderkey % 60) AS updated, o_orderkey % 11 = 0 AS is_deleted,
+JOBS = """jobs AS (SELECT o_orderkey AS job, o_custkey AS owner, o_orderdate AS created, o_orderdate + to_minutes(o_orderkey % 60) AS updated, o_orderkey % 11 = 0 AS is_deleted,
   CASE WHEN o_orderkey % 17 = 0 THEN 'retrying' WHEN o_orderstatus = 'F' AND o_orderkey % 3 = 0 THEN 'failed' WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderstatus = 'O' THEN 'queued' ELSE 'processing' END AS status FROM orders)"""
 _ACTIVE = "status IN ('queued', 'processing', 'retrying')"
 
 ORACLE_SQL = {
-    "lang_vocab": f"WITH {_VOCAB} SELECT * FROM vocab",
-    "dict_langid": f"""WITH {_VOCAB}, own AS (SELECT DISTINCT doc_id, unnest({_TOKENS}) AS token FROM documents), s AS (SELECT d.doc_id, count(own.token) AS n_tokens, count(v.token) AS n_known
+    "lang_vocab": f"WITH {VOCAB} SELECT * FROM vocab",
+    "dict_langid": f"""WITH {VOCAB}, own AS (SELECT DISTINCT doc_id, unnest({TOKENS}) AS token FROM documents), s AS (SELECT d.doc_id, count(own.token) AS n_tokens, count(v.token) AS n_known
       FROM documents d LEFT JOIN own ON d.doc_id = own.doc_id LEFT JOIN (SELECT token FROM vocab WHERE lang = 'fr') v ON own.token = v.token GROUP BY 1), r AS (SELECT *, coalesce(n_known / nullif(n_tokens, 0), 0.0) AS ratio FROM s)
       SELECT doc_id, n_tokens, n_known, ratio > 0.3 AS matched, least(ratio * 1.5, 1.0)::DOUBLE AS confidence FROM r""",
     "txt_layout": f"WITH {LINES}, h AS (SELECT doc_id, line_no, least(greatest(16 + length(trim(text)) // 4, 24), 120) AS height FROM lines), y AS (SELECT *, (72 + coalesce(sum(height + 12) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS y0 FROM h) SELECT doc_id, line_no, y0, y0 + height AS y1 FROM y",
-    "ocr_lines": f"WITH {_OCR} SELECT * FROM ocr",
-    "ocr_summary": f"WITH {_OCR} SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE confidence < 0.6) AS n_low, min(confidence) AS min_confidence, count(*) FILTER (WHERE confidence < 0.6) > 0 AS warning FROM ocr GROUP BY 1",
+    "ocr_lines": f"WITH {OCR} SELECT * FROM ocr",
+    "ocr_summary": f"WITH {OCR} SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE confidence < 0.6) AS n_low, min(confidence) AS min_confidence, count(*) FILTER (WHERE confidence < 0.6) > 0 AS warning FROM ocr GROUP BY 1",
     "reading_order": f"WITH {_BLOCKS}, u AS (SELECT doc_id, page, y0 < lag(y0) OVER (PARTITION BY doc_id, page ORDER BY block_no) - 5 AS up FROM blocks) SELECT doc_id, page, count(*) FILTER (WHERE up) AS inversions FROM u GROUP BY 1, 2",
     "two_column": f"WITH {_BLOCKS}, c AS (SELECT doc_id, page, count(*) FILTER (WHERE x0 + 190 <= 0.45 * 612) AS n_left, count(*) FILTER (WHERE x0 >= 0.55 * 612) AS n_right FROM blocks GROUP BY 1, 2) SELECT *, n_left > 0 AND n_right > 0 AS two_column FROM c",
     "page_routing": f"WITH {_BLOCKS}, c AS (SELECT doc_id, page, sum(length(translate(text, ' ' || chr(10) || chr(9), '')))::BIGINT AS n_chars FROM blocks GROUP BY 1, 2) SELECT *, CASE WHEN n_chars >= 50 THEN 'digital' ELSE 'ocr' END AS route FROM c",
     "cer": f"WITH {BOOK}, t AS (SELECT id, replace(english, ' ', '') AS r, replace(filipino, ' ', '') AS h FROM book), c AS (SELECT id, least(1.0::DOUBLE, levenshtein(r, h) / length(r)) AS cer FROM t) SELECT id, cer, CASE WHEN cer < 0.1 THEN 'pass' ELSE 'fail' END AS verdict FROM c",
-    "job_health": f"WITH {_JOBS} SELECT count(*) FILTER (WHERE status = 'queued') AS queued, count(*) FILTER (WHERE status = 'processing') AS processing, count(*) FILTER (WHERE status = 'retrying') AS retrying, count(*) FILTER (WHERE {_ACTIVE} AND updated <= TIMESTAMP '{AS_OF}' - INTERVAL 15 MINUTE) AS stale FROM jobs",
-    "stale_jobs": f"WITH {_JOBS} SELECT job, status, CASE WHEN status = 'processing' THEN 'fail' ELSE 'retry' END AS action FROM jobs WHERE {_ACTIVE} AND NOT is_deleted AND updated <= TIMESTAMP '{AS_OF}' - INTERVAL 15 MINUTE",
-    "taking_longer": f"WITH {_JOBS} SELECT job, owner FROM jobs WHERE {_ACTIVE} AND created <= TIMESTAMP '{AS_OF}' - INTERVAL 10 MINUTE",
-    "job_dashboard": f"WITH {_JOBS}, s AS (SELECT l_orderkey AS job, count(*) AS n_segments, count(*) FILTER (WHERE l_returnflag = 'R') AS n_review, min(CASE WHEN l_returnflag <> 'N' THEN 1 - l_discount END) AS min_confidence FROM lineitem GROUP BY 1) SELECT job, status, coalesce(n_segments, 0) AS n_segments, coalesce(n_review, 0) AS n_review, min_confidence FROM jobs LEFT JOIN s USING (job)",
+    "job_health": f"WITH {JOBS} SELECT count(*) FILTER (WHERE status = 'queued') AS queued, count(*) FILTER (WHERE status = 'processing') AS processing, count(*) FILTER (WHERE status = 'retrying') AS retrying, count(*) FILTER (WHERE {_ACTIVE} AND updated <= TIMESTAMP '{AS_OF}' - INTERVAL 15 MINUTE) AS stale FROM jobs",
+    "stale_jobs": f"WITH {JOBS} SELECT job, status, CASE WHEN status = 'processing' THEN 'fail' ELSE 'retry' END AS action FROM jobs WHERE {_ACTIVE} AND NOT is_deleted AND updated <= TIMESTAMP '{AS_OF}' - INTERVAL 15 MINUTE",
+    "taking_longer": f"WITH {JOBS} SELECT job, owner FROM jobs WHERE {_ACTIVE} AND created <= TIMESTAMP '{AS_OF}' - INTERVAL 10 MINUTE",
+    "job_dashboard": f"WITH {JOBS}, s AS (SELECT l_orderkey AS job, count(*) AS n_segments, count(*) FILTER (WHERE l_returnflag = 'R') AS n_review, min(CASE WHEN l_returnflag <> 'N' THEN 1 - l_discount END) AS min_confidence FROM lineitem GROUP BY 1) SELECT job, status, coalesce(n_segments, 0) AS n_segments, coalesce(n_review, 0) AS n_review, min_confidence FROM jobs LEFT JOIN s USING (job)",
     "constraint_checks": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
     "event_windows": "SELECT strftime(ts, '%Y-%m-%d %H:00') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "event_sessions": "WITH a AS (SELECT user_id, ts, event_id, coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER w)) // 1000000 > 3600, true) AS apart FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT user_id, sum(apart::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS session FROM a) SELECT user_id, session, count(*) AS n FROM s GROUP BY 1, 2",
