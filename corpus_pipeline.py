@@ -29,10 +29,8 @@ def _with_text(found: DataFrame, text: str, docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line-first rules keep."""
-    ship_package(spark)
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
-    return quality.judge_documents(whole, id_col="row").filter("kept").select("doc_id.*")
+    """Documents that the line-first rules keep, without the lines that fail."""
+    return _with_text(quality.judge_documents(_carried(docs), id_col="row", with_text=True).filter("kept"), "cleaned", docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

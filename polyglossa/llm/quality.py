@@ -6,7 +6,8 @@ keeps less than `least_kept` of its word characters is rejected, as is one that
 half of its words inside repeated three-word windows).
 
 Null and empty texts have no words and are rejected. Rows are judged one by one; repeated rows get equal results, a null doc_id stays.
-Other columns are not read. Texts of any length are judged whole.
+Other columns are not read. Texts of any length are judged whole. All counts and flags are those of the input text; `with_text` adds the
+text of the lines that stay, in their order and unchanged (null for a null text).
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ def line_fails(line: bytes, n_words: int) -> bool:
     return n_words <= 30 and _BOILER.search(line.lower()) is not None
 
 
-def judge_lines(text: bytes) -> tuple[int, int, int]:
-    """(lines equal to an earlier one, code points in words, of them in lines that stay)."""
+def judge_lines(text: bytes, stay: list[bytes] | None = None) -> tuple[int, int, int]:
+    """(lines equal to an earlier one, code points in words, of them in lines that stay); `stay` collects these lines."""
     seen, dup, total, left = set(), 0, 0, 0
     for line in text.split(b"\n"):
         words = line.split()
@@ -54,6 +55,8 @@ def judge_lines(text: bytes) -> tuple[int, int, int]:
             seen.add(line)
             if not line_fails(line.strip(), len(words)):
                 left += chars
+                if stay is not None:
+                    stay.append(line)
     return dup, total, left
 
 
@@ -79,17 +82,26 @@ def repeated_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return n, repeated
 
 
-def judge_documents(df: DataFrame, least_kept: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, kept_chars."""
+def judge_documents(df: DataFrame, least_kept: float = 0.5, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, kept_chars; with_text adds `cleaned`, the lines that stay."""
     kind = dict(df.dtypes)[id_col]
 
     def run(batches):
         for b in batches:
             n, repeated = repeated_words(b.column(1))
-            rows = [(len(t.translate(None, _NO_SYMBOL)), *judge_lines(t)) for _, texts in raw_texts(b.column(1)) for t in texts]
+            rows, cleaned = [], []
+            for _, texts in raw_texts(b.column(1)):
+                for t in texts:
+                    stay = [] if with_text else None
+                    rows.append((len(t.translate(None, _NO_SYMBOL)), *judge_lines(t, stay)))
+                    if with_text:
+                        cleaned.append(b"\n".join(stay).decode())
             symbols, dup, chars, left = np.array(rows, np.int64).reshape(-1, 4).T
             failed = (n < 50) | (100 * repeated > 50 * n)
             kept = ~failed & (left >= least_kept * chars)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x) for x in (n, chars, symbols, dup, repeated, failed, kept, left))], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_chars"])
+            columns = dict(zip(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_chars"), map(pa.array, (n, chars, symbols, dup, repeated, failed, kept, left))))
+            if with_text:
+                columns["cleaned"] = pa.array(cleaned, pa.string(), mask=b.column(1).is_null().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns.values()], ["doc_id", *columns])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, kept_chars long")
+    return df.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, kept_chars long" + ", cleaned string" * with_text)

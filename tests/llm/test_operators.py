@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import corpus_pipeline
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -174,3 +175,23 @@ def test_toxicity(spark):
     held = [x for x in found if x.held_out and x.doc_id is not None and x.doc_id < 600]
     assert sum(x.predicted == (x.doc_id % 4 == 0) for x in held) / len(held) > 0.95
     assert all(0 <= x.score <= 1 for x in found) and len(found) == 603
+
+
+def test_quality_text(spark):
+    good = ["\tFirst plain line, with  words and a mark. ", "Second — line é tells of other things entirely, without any haste.\r", "Third line."]
+    bad = ["| Home | News | About", "Home » News", "#### $$$$ x", "Click here to read more", "", "  \t", good[0]]
+    long = " ".join(f"word{i}" for i in range(60)) + "."
+    rows = [(0, "\n".join([bad[0], good[0], bad[1], "", good[1], bad[2], bad[3], good[2], *bad, long])), (1, None), (2, ""), (3, long), (None, long)]
+    found = quality.judge_documents(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()
+    assert [r.cleaned for r in sorted(found, key=lambda r: (r.doc_id is None, r.doc_id))] == ["\n".join([*good, long]), None, "", long, long]
+    assert [r.kept for r in found if r.doc_id == 0] == [True] and all(r.kept_chars == len("".join((r.cleaned or "").split())) for r in found)
+
+
+def test_quality_stage(spark):
+    text = " ".join(f"word{i}" for i in range(60)) + "."
+    rows = [("a", "| Home | News | About\n" + text + "\nClick here to read more", 200, 1), (None, text, 7, 2), (None, text, 7, 2), ("c", None, 0, 3), ("d", "| a | b | c\n" * 30, 5, 4)]
+    docs = spark.createDataFrame(rows, "row string, text string, n_chars int, cleaned long").withColumnRenamed("row", "doc_id")
+    found = corpus_pipeline.quality_rules(spark, docs, "")
+    assert found.dtypes == docs.dtypes
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([("a", text, len(text), 1), (None, text, len(text), 2), (None, text, len(text), 2)], key=str)
+    assert not corpus_pipeline.quality_rules(spark, docs.limit(0), "").count()
