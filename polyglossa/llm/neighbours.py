@@ -2,7 +2,9 @@
 
 Every tree gives each vector a long hash string (signs of random projections); a tree's strings are kept as sorted arrays, cut
 by their first bits into parts that executors hold. A query descends in each tree to its longest matching prefixes; the level is
-then lowered in all trees together until they hold `least` candidates (or `share` of all rows, a row counted in each tree that holds it), which are compared exactly.
+then lowered in all trees together until they hold `least` candidates (or `share` of all rows, a row counted in each tree that holds it; k + 1
+for each tree at least), which are compared exactly. Where a query's own parts hold too few, it goes to the parts beside them as well, level
+by level; at level 0 it meets all rows, in the first tree.
 
 Largest inner product becomes smallest angle by one more coordinate, sqrt(M^2 - |x|^2), with M the largest norm. Rows with equal
 vectors are one point that keeps its k + 1 smallest ids, all that an answer can use, so a hot vector costs one comparison.
@@ -24,6 +26,8 @@ from .common import keep
 
 #: Bits of a hash string.
 BITS = 32
+#: Most bits that cut a tree into parts; bounds the table of their sizes on the driver.
+MOST_CUTS = 8
 
 
 def _planes(trees: int, dim: int) -> np.ndarray:
@@ -81,10 +85,11 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, trees: int = 26, share:
     points = points.join(asked.select("point", "check").distinct().withColumn("asked", F.lit(True)), ["point", "check"], "left")
     points = keep(spark, points.select(F.col("ids")[0].alias("p"), "ids", "v", F.coalesce("asked", F.lit(False)).alias("asked")), "points")
     n, top = points.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
-    wanted = max(least, int(share * n))
+    # k + 1 in each tree: then one tree holds as many points, all different
+    wanted = max(least, int(share * n), trees * (k + 1))
     whole = n <= least
-    # levels never go below the bits that cut the parts, so these are few enough that all trees together hold enough there
-    first = max(0, min(int(np.log2(max(1, trees * n / wanted))) - 1, int(np.log2(max(1, n / least)))))
+    # the bits that cut the parts: so few that all trees together hold enough there on average
+    first = max(0, min(int(np.log2(max(1, trees * n / wanted))) - 1, int(np.log2(max(1, n / max(1, least)))), MOST_CUTS))
 
     def post(batches, with_vectors: bool):
         planes = _planes(trees, dim)
@@ -104,7 +109,24 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, trees: int = 26, share:
 
     plain = "tree long, part long, role long, code long, p long"
     sizes = points.select("p", "v", "asked").mapInArrow(lambda b: post(b, False), plain).filter("role = 0").groupBy("tree", "part").agg(F.count("*").alias("n"))
-    lots = {(r["tree"], r["part"]): -(-r["n"] // part_rows) for r in sizes.collect() if r["n"] > part_rows}
+    sizes = sizes.collect()
+    lots = {(r["tree"], r["part"]): -(-r["n"] // part_rows) for r in sizes if r["n"] > part_rows}
+    held = np.zeros((trees, 1 << first), np.int64)
+    for r in sizes:
+        held[r["tree"], r["part"]] = r["n"]
+
+    def shallow(batches):
+        """The deepest level, up to the parts, at which a query's trees hold enough."""
+        planes, each = _planes(trees, dim), np.arange(trees)
+        for b in batches:
+            for at in range(0, len(b), 1024):
+                c = b.slice(at, 1024)
+                x = _matrix(c.column("v"), dim)
+                codes, level = _codes(x, np.zeros(len(x)), planes), np.zeros(len(x), np.int64)
+                for depth in range(1, first + 1):
+                    under = held.reshape(trees, 1 << depth, -1).sum(2)
+                    level[under[each, codes >> (BITS - depth)].sum(1) >= wanted] = depth
+                yield pa.RecordBatch.from_arrays([c.column("p"), pa.array(level)], ["p", "shallow"])
 
     def dealt(posted: DataFrame, extra: list[str]) -> DataFrame:
         """Postings by (tree, part, lot), each together and sorted."""
@@ -131,7 +153,8 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, trees: int = 26, share:
     names = [f"n{level}" for level in range(first, BITS + 1)]
     counted = dealt(points.select("p", "v", "asked").mapInArrow(lambda b: post(b, False), plain), []).mapInArrow(descend, "p long, " + ", ".join(f"{c} long" for c in names))
     totals = counted.groupBy("p").agg(*(F.sum(c).alias(c) for c in names))
-    level = F.lit(0 if whole else first)
+    totals = totals.join(points.filter("asked").select("p", "v").mapInArrow(shallow, "p long, shallow long"), "p")
+    level = F.lit(0) if whole else F.col("shallow")
     for depth in () if whole else range(first + 1, BITS + 1):
         level = F.when(F.col(f"n{depth}") >= wanted, depth).otherwise(level)
     levels = keep(spark, totals.select("p", level.cast("long").alias("level")), "levels")
@@ -162,6 +185,9 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, trees: int = 26, share:
 
     posted = points.select("p", "v", "asked").mapInArrow(lambda b: post(b, True), plain + ", v array<double>")
     posted = posted.join(levels, "p", "left").select("tree", "part", "role", "code", "p", "v", F.coalesce("level", F.lit(0)).alias("level"))
+    # above the parts' level a query goes to all parts of its branch; all trees hold the same rows at level 0, so one is enough there
+    posted = posted.filter("role = 0 or level > 0 or tree = 0").withColumn("width", F.expr(f"if(role = 0 or level >= {first}, 1L, shiftleft(1L, cast({first} - level as int)))"))
+    posted = posted.withColumn("start", F.expr("part - part % width")).withColumn("part", F.explode(F.expr("sequence(start, start + width - 1)"))).drop("start", "width")
     pairs = dealt(posted, ["v", "level"]).mapInArrow(compare, "q long, c long, score double").groupBy("q", "c").agg(F.max("score").alias("score"))
     by_score = Window.partitionBy("q").orderBy(F.desc("score"), "c")
     best = pairs.withColumn("nth", F.row_number().over(by_score)).filter(F.col("nth") <= k + 1)

@@ -195,3 +195,21 @@ def test_quality_stage(spark):
     assert found.dtypes == docs.dtypes
     assert sorted(map(tuple, found.collect()), key=str) == sorted([("a", text, len(text), 1), (None, text, len(text), 2), (None, text, len(text), 2)], key=str)
     assert not corpus_pipeline.quality_rules(spark, docs.limit(0), "").count()
+
+
+@pytest.mark.parametrize("least", [0, 1])
+def test_neighbours_beyond_parts(spark, least):
+    """One vector of large norm puts all others under one code of each tree, away from most queries."""
+    r = random.Random(9)
+    rows = [(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(600)] + [(600, [1e6] + [0.0] * 7)]
+    asked = [x for x in rows if x[0] % 4 == 0]
+    for trees, size in ((2, 100_000), (26, 50)):
+        found = collections.defaultdict(dict)
+        for x in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=20, every=4, trees=trees, share=0.05, least=least, part_rows=size).collect():
+            found[x.query_id][x["rank"]] = (x.vec_id, round(x.score, 6))
+        same = 0
+        for q, v in asked:
+            want = sorted(((-sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i != q and i < 600))[:20]
+            assert sorted(found[q]) == list(range(1, 21)) and q not in {i for i, _ in found[q].values()}
+            same += len({i for _, i in want} & {i for i, _ in found[q].values()})
+        assert same >= 0.95 * 19 * len(asked)
