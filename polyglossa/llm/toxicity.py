@@ -1,8 +1,8 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on a bounded sample of labelled rows: one on ordinary text (its most used words), one that
-stands for toxic text (byte strings from the starts of words that toxic rows hold far more often) before the same ordinary
-content. Every text is cut into windows of about `window` bytes at white space; a window that compresses better with the toxic
+Two raw-content zstandard dictionaries are made from a bounded sample of labelled rows: one of ordinary text (its most used words), one
+of a lexicon (at most SEGMENTS byte strings from the starts of words that toxic rows hold far more often) before the same ordinary
+content. Neither is trained by zstandard on its class: such dictionaries hold mostly ordinary text both times. Every text is cut into windows of about `window` bytes at white space; a window that compresses better with the toxic
 dictionary speaks for toxicity. A logistic curve fitted on the same sample turns a text's window differences into its score.
 
 Inputs of a score: the text alone. Null and empty texts have no windows and get the curve's value at zero. Rows are scored one
@@ -135,11 +135,11 @@ def fold(c):
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, window: int = 32, most_toxic: int = 3_000, most_ordinary: int = 6_000, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted. At most most_toxic + most_ordinary labelled rows, by hash of doc_id, are fitted on."""
+    """doc_id, held_out, score, predicted. At most most_toxic + most_ordinary labelled doc_ids, by hash, are fitted on, each with one text, its smallest."""
     marked = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
     chosen = marked.filter("toxic = 1").orderBy(order, "doc_id").limit(most_toxic).unionByName(marked.filter("toxic = 0").orderBy(order, "doc_id").limit(most_ordinary))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", F.coalesce("text", F.lit("")).cast("binary").alias("text")).collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.coalesce(F.min("text"), F.lit("")).cast("binary").alias("text")).collect()
     found = {k: sorted({bytes(r["text"]) for r in rows if r["toxic"] == k}) for k in (0, 1)}
     model = train(found[1], found[0], window)
 

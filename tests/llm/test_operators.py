@@ -213,3 +213,14 @@ def test_neighbours_beyond_parts(spark, least):
             assert sorted(found[q]) == list(range(1, 21)) and q not in {i for i, _ in found[q].values()}
             same += len({i for _, i in want} & {i for i, _ in found[q].values()})
         assert same >= 0.95 * 19 * len(asked)
+
+
+def test_toxicity_bound(spark, monkeypatch):
+    """Rows that share a doc_id do not widen the sample."""
+    docs = spark.createDataFrame([(i, f"text {i} copy {k}") for i in range(60) for k in range(10)] + [(60, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(61)], "doc_id long, toxic int")
+    seen, plain = [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda toxic, ordinary, window: seen.append((toxic, ordinary)) or plain(toxic, ordinary, window))
+    assert toxicity.score_documents(docs, labels, most_toxic=5, most_ordinary=8).count() == 601
+    ((toxic, ordinary),) = seen
+    assert (len(toxic), len(ordinary)) == (5, 8) and all(t.endswith(b" copy 0") or not t for t in toxic + ordinary)
