@@ -2,7 +2,7 @@
 
 Three base patterns are matched over the whole text. Beside them a small lexer reads source and configuration syntax into
 (name, literal) pairs: `name = "literal"`, `name: literal`, `"name": "literal"`, `export NAME=literal`, `name := literal`,
-concatenated literals, and names assigned from other names, whose constants it propagates. A pair is reported as a `literal` span
+`name["key"] = "literal"`, `name: type = "literal"`, concatenated literals, and names assigned from other names, whose constants it propagates. A pair is reported as a `literal` span
 when the name is sensitive and the literal is no placeholder; the span is that of the literal where it is written.
 
 Null text counts as empty. Rows are scanned one by one, repeated rows alike; a null doc_id stays null. Spans are in code points,
@@ -26,7 +26,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-PAIR = re.compile(r"""([A-Za-z_$][\w$.-]*)["'\]]?[\x20\t]*(?::=|=>|[:=])[\x20\t]*(?:(["'])((?:(?!\2)[^\\\n]|\\.)*)\2|([^\s"',;(){}\[\]]+))""", re.ASCII)
+#: A type between `:` and `=`: a name with brackets and marks, or several joined by bars.
+_ATOM = r"""(?:&(?:'\w+[\x20\t]+)?(?:mut[\x20\t]+)?|\[\]|\*)*[A-Za-z_][\w.$]{0,80}(?:\[[^\]="'\n]{0,80}\]+|<[^>="'\n]{0,80}>+)*[?!*&]*"""
+_TYPE = rf"{_ATOM}(?:[\x20\t]*\|[\x20\t]*{_ATOM})*"
+#: Groups: name, type, quote, literal in quotes, literal without.
+PAIR = re.compile(
+    r"""([A-Za-z_$][\w$.-]*)(?:["']\]|["'\]])?[\x20\t]*(?::=|=>|:[\x20\t]*(""" + _TYPE + r""")(?:[\x20\t]+=(?![=>~])|=(?=[\x20\t]*["']))|[:=])"""
+    r"""[\x20\t]*(?:(["'])((?:(?!\3)[^\\\n]|\\.)*)\3|([^\s"',;(){}\[\]]+))""", re.ASCII
+)
+PLAIN = re.compile(r"""[^\s"',;(){}\[\]]+""", re.ASCII)
 JOINED = re.compile(r"""[\x20\t]*\+[\x20\t]*(["'])((?:(?!\1)[^\\\n]|\\.)*)\1""")
 NAME = re.compile(r"[A-Za-z_$][\w$.]*", re.ASCII)
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -58,16 +66,24 @@ def pairs(text: str) -> list[tuple[str, str, int, int]]:
     out = []
     for m in PAIR.finditer(text):
         name = m[1]
-        if m[2]:
-            value, start, end = m[3], m.start(3), m.end(3)
+        if m[3]:
+            value, start, end = m[4], m.start(4), m.end(4)
             while j := JOINED.match(text, end + 1):
                 value, end = value + j[2], j.end(2)
-        elif NAME.fullmatch(m[4]) and m[4] in known:
-            value, start, end = known[m[4]]
+        elif NAME.fullmatch(m[5]) and m[5] in known:
+            value, start, end = known[m[5]]
         else:
-            value, start, end = m[4], m.start(4), m.end(4)
-        known[name] = value, start, end
-        out.append((name, value, start, end))
+            value, start, end = m[5], m.start(5), m.end(5)
+        names = [name]
+        if m[2]:
+            # `else: password = "literal"` looks alike, and so does a literal without quotes before another `=`
+            if name_score(m[2]) >= 2:
+                names.append(m[2])
+            if (plain := PLAIN.match(text, m.start(2))) and any(c.isdigit() for c in plain[0]):
+                out.append((name, plain[0], *plain.span()))
+        for n in names:
+            known[n] = value, start, end
+            out.append((n, value, start, end))
     return out
 
 

@@ -224,3 +224,19 @@ def test_toxicity_bound(spark, monkeypatch):
     assert toxicity.score_documents(docs, labels, most_toxic=5, most_ordinary=8).count() == 601
     ((toxic, ordinary),) = seen
     assert (len(toxic), len(ordinary)) == (5, 8) and all(t.endswith(b" copy 0") or not t for t in toxic + ordinary)
+
+
+@pytest.mark.parametrize(
+    "form",
+    [
+        'db_password: str = "{}"', 'const apiKey: string = "{}";', 'os.environ["DB_PASSWORD"] = "{}"', "config['db']['api_key']='{}'", 'db_password: Optional[Dict[str, str]] = "{}"',
+        "auth_token: str | None = '{}'", 'let apiKey:string="{}"', "const API_KEY: &'static str = \"{}\";", 'val password: String? = "{}"', 'k = "{}"\ndb_password: str = k', 'if debug: os.environ["DB_PASSWORD"] = "{}"',
+        'else: password = "{}"', "password: {}= 'x'", "password: {} = x", 'db_password = "{}"', '"db_password": "{}"', "export DB_PASSWORD={}", 'password := "{}"', "password => '{}'",
+    ],
+)
+def test_secret_syntax(form):
+    value = "Zx81kQpL0vB2nM7t"
+    text = form.format(value)
+    found = {text[a:b] for a, k, b in secrets.scan(text) if secrets.KINDS[k] == "literal"}
+    assert {x.rstrip("=") for x in found} == {value}
+    assert value not in secrets.mask(text, secrets.scan(text))
