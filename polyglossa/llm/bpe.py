@@ -1,9 +1,9 @@
 """BPE encoding and decoding by a pair occurrence index.
 
-Texts are cut at ASCII white space into chunks (no token spans white space). The distinct chunks that a task has not met
-yet are encoded together: every adjacent symbol pair is mapped to all its positions in the batch, active ranks are applied
-in ascending order, and each merge updates only the lists of the pairs it touches. The ids of a text are then the joined ids
-of its chunks. The vocabulary file is a parameter and each task reads it through Spark's file distribution.
+Texts are cut at ASCII white space into chunks (no token spans white space) and the distinct chunks of a step of text into words. The
+distinct words that a task has not met yet are encoded together: every adjacent symbol pair is mapped to all its positions in the
+batch, active ranks are applied in ascending order, and each merge updates only the lists of the pairs it touches. The ids of a
+text are then the joined ids of its chunks. The vocabulary file is a parameter and each task reads it through Spark's file distribution.
 
 Nulls count as the empty text (0 ids). A null doc_id stays null. Repeated rows give repeated rows. Other columns are not read.
 Text of any length is encoded whole.
@@ -11,29 +11,30 @@ Text of any length is encoded whole.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import heapq
 import json
 import re
-import struct
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-#: Distinct chunks that a task remembers; the store starts anew beyond it.
-REMEMBERED = 400_000
+from .common import text_buffers, text_steps
 
-#: Letters of U+00C0..U+017F but U+0130: NFC keeps them, and lower case is one letter.
-LATIN = "À-ÖØ-öø-įı-ſ"
-#: Fixed value: the pre-token pattern of the word-end vocabularies, for ASCII and LATIN in lower case without white space.
-PRETOKEN = f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^0-9a-z{LATIN}]+"
+#: Distinct words that a worker remembers; the store starts anew beyond it.
+REMEMBERED = 500_000
+#: Bytes of text that are encoded at a time.
+TEXT_STEP = 12 << 20
+
+OTHER, LETTER, DIGIT, FOREIGN = 0, 1, 2, 3
+#: Ends of English contractions, which the word-end vocabularies cut off as words.
+CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 
 
 def byte_letters() -> list[str]:
@@ -43,44 +44,67 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
+def _classes() -> np.ndarray:
+    """Class of each byte in lower-cased text of ASCII and U+00C0..U+017F, whose letters NFC keeps; other bytes are FOREIGN."""
+    kinds = np.full(256, FOREIGN, np.uint8)
+    kinds[:128] = OTHER
+    kinds[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5]] = LETTER
+    kinds[48:58] = DIGIT
+    return kinds
+
+
+CLASSES = _classes()
+ASCII_LOWER = np.arange(256, dtype=np.uint8)
+ASCII_LOWER[65:91] += 32
+#: Code points of two bytes that are no letters, or whose lower case is no single letter: left to the library.
+UNEVEN = np.array([0xD7, 0xF7, 0x130])
+LATIN_LOWER = np.array([ord(chr(c).lower()) if c not in UNEVEN else c for c in range(0x180)])
+
+
+def ragged(flat: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of flat, one after the other, and their offsets in the result."""
+    offsets = np.zeros(len(count) + 1, np.int64)
+    np.cumsum(count, out=offsets[1:])
+    at = np.repeat(first - offsets[:-1], count)
+    at += np.arange(len(at))
+    return flat[at], offsets
+
+
+def binary_array(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 class Vocabulary:
-    """Ranks, ids and special tokens of a tokenizers JSON file with word ends."""
+    """Ranks, ids and special tokens of a tokenizers JSON file with word ends; other kinds of files are refused."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.end = spec["model"].get("end_of_word_suffix") or ""
+        plain = all(not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]) and not re.search(r"\s", t["content"]) for t in spec["added_tokens"])
+        if not self.end or spec.get("decoder") or not plain:
+            raise ValueError(f"{path}: only byte-level files with word ends, no decoder and plain special tokens are read")
         self.ids: dict[str, int] = spec["model"]["vocab"]
-        self.names = {i: s for s, i in self.ids.items()}
+        names = {i: s for s, i in self.ids.items()}
         merges = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
-        self.ranks = {(self.ids[a], self.ids[b]): (r, self.ids[a + b]) for r, (a, b) in enumerate(merges)}
+        ranks = {(self.ids[a], self.ids[b]): self.ids[a + b] for a, b in merges}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names |= {i: s for s, i in self.special.items()}
-        self.cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None
-        self.letters = byte_letters()
-        self.table = dict(enumerate(self.letters))
-        self.simple = re.compile(f"[\\x00-\\x7f{LATIN}]*").fullmatch
-        self.tables()
-        self.pattern, self.rules = re.compile(PRETOKEN), Tokenizer.from_file(path)
-
-    def pretokens(self, chunk: bytes) -> list[str]:
-        """In byte letters. The library normalizes and cuts text beyond ASCII, whose rules change with Unicode's versions."""
-        if chunk.isalpha():
-            return [chunk.lower().decode()]
-        text = chunk.decode()
-        if self.simple(text):
-            return [w.encode().decode("latin-1").translate(self.table) for w in self.pattern.findall(text.lower())]
-        return [w for w, _ in self.rules.pre_tokenizer.pre_tokenize_str(self.rules.normalizer.normalize_str(text))]
-
-    def tables(self) -> None:
-        """Arrays for merge_batch: ids of letters inside and at the end of a word; pairs by key and by rank."""
-        self.plain, self.final = np.full(512, -1, np.int64), np.full(512, -1, np.int64)
-        for x in self.letters:
-            self.plain[ord(x)], self.final[ord(x)] = self.ids[x], self.ids[x + self.end]
-        self.left, self.right, self.new = (np.array(c, np.int64) for c in zip(*((a, b, n) for (a, b), (_, n) in self.ranks.items())))
+        names |= {i: s for s, i in self.special.items()}
+        # the longest special token that starts at a place wins
+        self.cut = "|".join(re.escape(s) for s in sorted(self.special, key=lambda s: (-len(s), s)))
+        letters = byte_letters()
+        self.bytes = {x: b for b, x in enumerate(letters)}
+        self.plain = np.array([self.ids[x] for x in letters])
+        self.final = np.array([self.ids[x + self.end] for x in letters])
+        self.left, self.right, self.new = (np.array(c, np.int64) for c in zip(*((a, b, n) for (a, b), n in ranks.items())))
         keys = self.left << 32 | self.right
         self.by_key = np.argsort(keys)
         self.keys = keys[self.by_key]
+        self.rules = Tokenizer.from_file(path)
+        # what an id becomes in each form: its four bytes, its decimal digits, its name
+        size = max(names) + 1
+        table = [[str(i).encode() + b" " for i in range(size)], [names.get(i, "").encode() + b" " for i in range(size)]]
+        self.forms = [(np.frombuffer(b"".join(t), np.uint8), np.r_[0, np.cumsum([len(x) for x in t])]) for t in table]
 
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where there is no merge."""
@@ -88,18 +112,61 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.by_key[at], -1)
 
-
-def merge_batch(words: list[str], v: Vocabulary) -> list[list[int]]:
-    """Apply the merges to all words at once.
+    def foreign_words(self, chunk: bytes) -> list[bytes]:
+        """Words of a chunk beyond Latin letters: the library normalizes and cuts it, by its version of Unicode."""
+        return [bytes(map(self.bytes.get, w)) for w, _ in self.rules.pre_tokenizer.pre_tokenize_str(self.rules.normalizer.normalize_str(chunk.decode()))]
+
+    def words(self, chunks: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Words of all chunks in order, in lower case, and how many each chunk has."""
+        data, offsets = text_buffers(chunks)
+        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        low, kind = ASCII_LOWER[data], CLASSES[data]
+        lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC5))
+        code = (data[lead].astype(np.int64) & 0x1F) << 6 | data[lead + 1] & 0x3F
+        kind[lead[np.isin(code, UNEVEN)]] = FOREIGN
+        lower = LATIN_LOWER[code]
+        low[lead], low[lead + 1] = 0xC0 | lower >> 6, 0x80 | lower & 0x3F
+        foreign = np.r_[0, np.cumsum(kind == FOREIGN)]
+        foreign = foreign[offsets[1:]] > foreign[offsets[:-1]]
+        # a word starts with a chunk, at a change of class, and at each digit
+        starts = np.zeros(len(data) + 1, bool)
+        starts[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        starts[offsets] = True
+        mark = np.flatnonzero((data == 39) & starts[:-1])
+        ends = offsets[np.searchsorted(offsets, mark, "right")]
+        padded = np.r_[low, np.zeros(2, np.uint8)]
+        for tail in CONTRACTIONS:
+            hit = mark + len(tail) < ends
+            for k, letter in enumerate(tail):
+                hit &= padded[mark + 1 + k] == letter
+            starts[mark[hit] + 1] = False
+            starts[mark[hit] + 1 + len(tail)] = True
+        at = np.flatnonzero(starts[:-1])
+        own = np.searchsorted(offsets, at, "right") - 1
+        counts = np.bincount(own, minlength=len(chunks))
+        found = binary_array(np.r_[at, len(data)], low)
+        odd = np.flatnonzero(foreign)
+        if not len(odd):
+            return found, counts
+        mine = [self.foreign_words(c) for c in chunks.take(pa.array(odd)).cast(pa.binary()).to_pylist()]
+        found = pa.concat_arrays([found, pa.array([w for m in mine for w in m], pa.large_binary())])
+        first = np.cumsum(counts) - counts
+        counts[odd] = [len(m) for m in mine]
+        first[odd] = len(at) + np.cumsum(counts[odd]) - counts[odd]
+        return found.take(pa.array(ragged(np.arange(len(found)), first, counts)[0])), counts
+
+
+def merge_batch(words: pa.Array, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Apply the merges to all words (bytes, none empty) at once: their ids and how many each has.
 
     Symbols of all words lie in one array with links to their neighbours; where[rank] lists the left positions of a pair.
     Positions that a merge has changed since are recognised when their list is read.
     """
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths)
-    codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-    symbol = v.plain[codes]
-    symbol[ends - 1] = v.final[codes[ends - 1]]
+    data, offsets = text_buffers(words)
+    data, ends = data[offsets[0] : offsets[-1]], offsets[1:] - offsets[0]
+    lengths = np.diff(offsets)
+    symbol = v.plain[data]
+    symbol[ends - 1] = v.final[data[ends - 1]]
     n = len(symbol)
     after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
     after[ends - 1], before[ends - lengths] = -1, -1
@@ -110,17 +177,18 @@ def merge_batch(words: list[str], v: Vocabulary) -> list[list[int]]:
         """Add the pairs that start at these positions to the index."""
         ranks = v.ranks_of(symbol[left], symbol[after[left]])
         hit = ranks >= 0
-        if not hit.any():
-            return
         ranks, left = ranks[hit], left[hit]
+        if not len(left):
+            return
         order = np.argsort(ranks, kind="stable")
         ranks, left = ranks[order], left[order]
-        cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
-        for rank, part in zip(ranks[np.r_[0, cuts]].tolist(), np.split(left, cuts) if len(cuts) else [left]):
+        cuts = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(left)]
+        for x, y in zip(cuts, cuts[1:]):
+            rank = int(ranks[x])
             if rank not in where:
                 where[rank] = []
                 heapq.heappush(active, rank)
-            where[rank].append(part)
+            where[rank].append(left[x:y])
 
     if n:
         note(np.flatnonzero(after >= 0))
@@ -140,7 +208,8 @@ def merge_batch(words: list[str], v: Vocabulary) -> list[list[int]]:
                     taken = after[x]
             i = np.array(chosen, np.int64)
         elif len(lists) > 1:
-            i = np.unique(i)
+            i = np.sort(i)
+            i = i[np.r_[True, i[1:] != i[:-1]]] if len(i) else i
         if not len(i):
             continue
         j = after[i]
@@ -149,64 +218,82 @@ def merge_batch(words: list[str], v: Vocabulary) -> list[list[int]]:
         inner = k >= 0
         before[k[inner]] = i[inner]
         h = before[i]
-        note(np.unique(np.concatenate((h[h >= 0], i[inner]))))
+        # a merged symbol whose neighbour was merged too is named by both; the index may hold a place twice
+        note(np.concatenate((h[h >= 0], i[inner])))
     live = symbol >= 0
     counts = np.add.reduceat(live, ends - lengths) if n else np.zeros(0, np.int64)
-    ids, to = symbol[live].tolist(), np.cumsum(counts).tolist()
-    return [ids[x:y] for x, y in zip([0, *to], to)]
+    return symbol[live], counts
 
 
 class Encoder:
-    """Encodes texts; keeps what `form` makes of the ids of each chunk."""
-
-    def __init__(self, vocabulary: Vocabulary, form):
-        self.v, self.form, self.known = vocabulary, form, {}
-
-    def learn(self, chunks: set[bytes]) -> None:
-        fresh = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known = {c: self.known[c] for c in chunks if c in self.known}
-        parts = [self.v.pretokens(c) for c in fresh]
-        words = {w: k for k, w in enumerate(dict.fromkeys(w for p in parts for w in p))}
-        ids = merge_batch(list(words), self.v)
-        for c, p in zip(fresh, parts):
-            self.known[c] = self.form(ids[words[p[0]]] if len(p) == 1 else [i for w in p for i in ids[words[w]]])
-
-    def texts(self, texts: list[bytes]) -> Iterator[list]:
-        """The formed chunks of each text, in order."""
-        split = [self.pieces(t) for t in texts]
-        self.learn({c for s in split for c in s if type(c) is bytes})
-        known = self.known
-        for s in split:
-            yield [known[c] if type(c) is bytes else c[0] for c in s]
-
-    def pieces(self, text: bytes) -> list:
-        """Chunks; a special token is a 1-tuple that holds its form."""
-        if b"<|" not in text or not (found := list(self.v.cut.finditer(text.decode()))):
-            return text.split()
-        whole, out, at = text.decode(), [], 0
-        for m in found:
-            out += [*whole[at : m.start()].encode().split(), (self.form([self.v.special[m[0]]]),)]
-            at = m.end()
-        return [*out, *whole[at:].encode().split()]
-
-
-#: Bytes of text that are split at a time.
-TEXT_STEP = 12 << 20
-
-
-def raw_texts(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, texts) of steps of bounded size; null is empty."""
-    at, held, size = 0, [], 0
-    for row, value in enumerate(column.cast(pa.large_binary())):
-        text = value.as_py() or b""
-        held.append(text)
-        size += len(text)
-        if size >= TEXT_STEP:
-            yield at, held
-            at, held, size = row + 1, [], 0
-    if held:
-        yield at, held
+    """Encodes texts step by step; keeps the ids of the words it has met."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.v = vocabulary
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.ids, self.counts = pa.array([], pa.large_binary()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(self, words: pa.Array) -> np.ndarray:
+        """The place of each word in the store."""
+        coded = words.dictionary_encode()
+        known = pc.index_in(coded.dictionary, self.words)
+        if len(self.words) + known.null_count > REMEMBERED:
+            self.forget()
+            known = pc.index_in(coded.dictionary, self.words)
+        places, fresh = known.fill_null(-1).to_numpy().astype(np.int64), known.is_null()
+        if known.null_count:
+            added = coded.dictionary.filter(fresh)
+            ids, counts = merge_batch(added, self.v)
+            places[fresh.to_numpy(zero_copy_only=False)] = len(self.words) + np.arange(len(added))
+            self.words = pa.concat_arrays([self.words, added])
+            self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+        return places[coded.indices.to_numpy()]
+
+    def steps(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+        """(first row, rows, text ends in chunks, chunk ids, chunk id offsets, the step's chunks as places of these) of each step."""
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        column = column.cast(pa.large_string()).fill_null("")
+        _, offsets = text_buffers(column)
+        for a, b in text_steps(offsets, TEXT_STEP):
+            texts = column.slice(a, b - a)
+            special = bool(self.v.cut) and pc.any(pc.match_substring_regex(texts, self.v.cut)).as_py()
+            if special:
+                texts = pc.replace_substring_regex(texts, f"({self.v.cut})", r" \1 ")
+            split = pc.ascii_split_whitespace(texts)
+            chunks = split.flatten().dictionary_encode()
+            words, counts = self.v.words(chunks.dictionary)
+            if special:  # a chunk that is a special token has one word, which stands for it
+                names = chunks.dictionary.to_pylist()
+                which = [k for k, c in enumerate(names) if c in self.v.special]
+                first = np.cumsum(counts) - counts
+                kept = counts.copy()
+                kept[which] = 0
+                words, counts = words.take(pa.array(ragged(np.arange(len(words)), first, kept)[0])), kept
+            places = self.learn(words)
+            own = np.cumsum(self.counts) - self.counts
+            ids, ends = ragged(self.ids, own[places], self.counts[places])
+            at = ends[np.r_[0, np.cumsum(counts)]]
+            if special:
+                ids = np.insert(ids, at[which], [self.v.special[names[k]] for k in which])
+                grown = np.diff(at)
+                grown[which] = 1
+                at = np.r_[0, np.cumsum(grown)]
+            ends = split.offsets.to_numpy()
+            yield a, b - a, ends - ends[0], ids, at, chunks.indices
+
+
+def joined(ids: np.ndarray, at: np.ndarray, which: pa.Array, table=None) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the chunks `which` one after the other, in the form of the table (none: four bytes an id), and their offsets."""
+    if table is None:
+        form = binary_array(4 * at, ids.astype("<u4").view(np.uint8))
+    else:
+        flat, first = table
+        data, ends = ragged(flat, first[ids], first[ids + 1] - first[ids])
+        form = binary_array(ends[at], data)
+    return text_buffers(form.take(which))
 
 
 def ship(df: DataFrame, path: str) -> str:
@@ -218,25 +305,15 @@ def ship(df: DataFrame, path: str) -> str:
     return name
 
 
-_OPEN: dict[str, Vocabulary] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
-def vocabulary(name: str) -> Vocabulary:
-    """Read once in each Python worker."""
-    if name not in _OPEN:
-        _OPEN[name] = Vocabulary(SparkFiles.get(name))
-    return _OPEN[name]
-
-
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
-def encoder_for(name: str, use: str, form) -> Encoder:
-    """Kept from task to task in a Python worker, with the chunks it knows."""
-    if (name, use) not in _ENCODERS:
+def encoder_for(name: str) -> Encoder:
+    """Kept from task to task in a Python worker, with the words it knows."""
+    if name not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[name, use] = Encoder(vocabulary(name), form)
-    return _ENCODERS[name, use]
+        _ENCODERS[name] = Encoder(Vocabulary(SparkFiles.get(name)))
+    return _ENCODERS[name]
 
 
 def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,13 +322,15 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
     kind = dict(df.dtypes)[id_col]
 
     def run(batches):
-        gc.disable()  # tuples of ids form no cycles
-        v = vocabulary(name)
-        encoder = encoder_for(name, "ids", tuple)
+        encoder = encoder_for(name)
         for b in batches:
-            for at, texts in raw_texts(b.column(1)):
-                ids = [[i for c in t for i in c] for t in encoder.texts(texts)]
-                yield pa.RecordBatch.from_arrays([b.column(0)[at : at + len(ids)], pa.array(ids, pa.list_(pa.int32())), pa.array([" ".join(map(v.names.get, x)) for x in ids])], ["id", "ids", "decoded"])
+            for at, rows, ends, ids, places, which in encoder.steps(b.column(1)):
+                data, offsets = joined(ids, places, which)
+                names, to = joined(ids, places, which, encoder.v.forms[1])
+                found = pa.ListArray.from_arrays(pa.array((offsets[ends] // 4).astype(np.int32)), pa.array(data.view("<u4").astype(np.int32)))
+                names = names.tobytes()
+                decoded = [names[x : max(x, y - 1)].decode() for x, y in zip(to[ends[:-1]].tolist(), to[ends[1:]].tolist())]
+                yield pa.RecordBatch.from_arrays([b.column(0)[at : at + rows], found, pa.array(decoded, pa.string())], ["id", "ids", "decoded"])
 
     return df.select(id_col, text_col).mapInArrow(run, f"id {kind}, ids array<int>, decoded string")
 
@@ -264,19 +343,17 @@ def encode_digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     name = ship(df, path)
     kind = dict(df.dtypes)[id_col]
 
+    def digests(data, offsets, ends):
+        view = memoryview(data)
+        return pa.array([hashlib.sha256(view[x : max(x, y - 1)]).hexdigest() for x, y in zip(offsets[ends[:-1]].tolist(), offsets[ends[1:]].tolist())], pa.string())
+
     def run(batches):
-        gc.disable()  # tuples of ids form no cycles
-        v = vocabulary(name)
-        encoder = encoder_for(name, "digest", lambda ids: (len(ids), " ".join(map(str, ids)), " ".join([v.names[i] for i in ids])))
+        encoder = encoder_for(name)
         for b in batches:
-            for at, texts in raw_texts(b.column(1)):
-                n, x, y = [], [], []
-                for found in encoder.texts(texts):
-                    found = [c for c in found if c[0]]
-                    n.append(sum(c[0] for c in found))
-                    x.append(hashlib.sha256(" ".join([c[1] for c in found]).encode()).hexdigest())
-                    y.append(hashlib.sha256(" ".join([c[2] for c in found]).encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([b.column(0)[at : at + len(n)], pa.array(n, pa.int64()), pa.array(x, pa.string()), pa.array(y, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for at, rows, ends, ids, places, which in encoder.steps(b.column(1)):
+                total = np.r_[0, np.cumsum(np.diff(places)[which.to_numpy()])]
+                found = (digests(*joined(ids, places, which, form), ends) for form in encoder.v.forms)
+                yield pa.RecordBatch.from_arrays([b.column(0)[at : at + rows], pa.array(np.diff(total[ends])), *found], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return df.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -291,22 +368,28 @@ def encode_pieces(df: DataFrame, path: str, most: int, end_id: int, id_col: str
     last = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        gc.disable()
-        encoder = encoder_for(name, "bytes", lambda ids: struct.pack(f"<{len(ids)}I", *ids))
-        part, met = TaskContext.get().partitionId(), Counter()
+        encoder = encoder_for(name)
+        part, met = TaskContext.get().partitionId(), np.zeros(most + 1, np.int64)
         for b in batches:
-            for at, texts in raw_texts(b.column(1)):
-                take, rows = [], []
-                for k, found in enumerate(encoder.texts(texts)):
-                    ids = b"".join(found) + last
-                    total = len(ids) // 4
-                    for start in range(0, total, most):
-                        piece = ids[4 * start : 4 * (start + most)]
-                        n = len(piece) // 4
-                        take.append(at + k)
-                        rows.append((start, n, zlib.crc32(piece), total, part, met[n]))
-                        met[n] += 1
-                cols = [pa.array(c, pa.int64()) for c in zip(*rows)]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), *cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "nth"])
+            for at, rows, ends, ids, places, which in encoder.steps(b.column(1)):
+                data, offsets = joined(ids, places, which)
+                view, edges = memoryview(data), offsets[ends]
+                total = np.diff(edges) // 4 + 1
+                pieces = -(-total // most)
+                row = np.repeat(np.arange(rows), pieces)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * most
+                length = np.minimum(most, total[row] - start)
+                sums = []
+                for x, y, end in zip((edges[row] + 4 * start).tolist(), length.tolist(), edges[row + 1].tolist()):
+                    crc = zlib.crc32(view[x : min(end, x + 4 * y)])
+                    sums.append(crc if x + 4 * y <= end else zlib.crc32(last, crc))
+                order = np.argsort(length, kind="stable")
+                sorted_ = length[order]
+                first = np.searchsorted(sorted_, sorted_)
+                nth = np.empty(len(row), np.int64)
+                nth[order] = np.arange(len(row)) - first + met[sorted_]
+                met += np.bincount(length, minlength=most + 1)
+                columns = (start, length, np.array(sums, np.int64), total[row], np.full(len(row), part), nth)
+                yield pa.RecordBatch.from_arrays([b.column(0)[at : at + rows].take(pa.array(row)), *(pa.array(c.astype(np.int64)) for c in columns)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "nth"])
 
     return df.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, part long, nth long")

@@ -68,6 +68,20 @@ def text_steps(offsets: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[in
         at = to
 
 
+def raw_texts(column: pa.Array, most: int = 12 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts) of steps of about `most` bytes; null is empty."""
+    at, held, size = 0, [], 0
+    for row, value in enumerate(column.cast(pa.large_binary())):
+        text = value.as_py() or b""
+        held.append(text)
+        size += len(text)
+        if size >= most:
+            yield at, held
+            at, held, size = row + 1, [], 0
+    if held:
+        yield at, held
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit words."""
     with np.errstate(over="ignore"):

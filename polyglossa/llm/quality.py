@@ -18,8 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import raw_texts
-from .common import U64, mix, text_buffers, text_steps, windows_of, words_of
+from .common import U64, mix, raw_texts, text_buffers, text_steps, windows_of, words_of
 
 SYMBOLS = b"#*$%&|<>"
 #: Phrases of page furniture, in lower case.

@@ -22,7 +22,8 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import raw_texts
+from .common import raw_texts
+
 
 #: Bytes of ordinary words in both dictionaries, most segments of the toxic one.
 ORDINARY_BYTES, SEGMENTS = 32_768, 64

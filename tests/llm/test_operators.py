@@ -9,6 +9,7 @@ import zlib
 
 import corpus_pipeline
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -54,20 +55,51 @@ def test_bpe(docs, empty):
     assert n == docs.count() and not bpe.encode_digest(empty, PATH).count()
 
 
-def test_packing(docs, empty):
+@pytest.mark.parametrize("most", [64, 2048])
+def test_packing(docs, empty, most):
+    """Each document's pieces are its ids, cut without gaps; sequences are filled without gaps, with little padding."""
     t = Tokenizer.from_file(PATH)
-    total = sum(len(t.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in docs.collect())
-    rows = packing.pack_documents(docs, PATH, most=64).collect()
-    assert sum(r.length for r in rows) == total
-    for _, g in itertools.groupby(sorted(rows, key=lambda r: (r.sequence_id, r.offset)), key=lambda r: r.sequence_id):
-        at = 0
-        for r in g:
-            assert r.offset == at
-            at += r.length
-        assert at <= 64
+    want = collections.Counter()
+    for r in docs.collect():
+        ids = [*t.encode(r.text or "", add_special_tokens=False).ids, 1]
+        for start in range(0, len(ids), most):
+            piece = ids[start : start + most]
+            want[r.doc_id, start, len(piece), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in piece)), len(ids)] += 1
+    rows = packing.pack_documents(docs, PATH, most=most).collect()
+    assert collections.Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows) == want
+    sequences = collections.defaultdict(list)
+    for r in rows:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for found in sequences.values():
+        ends = [0, *itertools.accumulate(n for _, n in sorted(found))]
+        assert [at for at, _ in sorted(found)] == ends[:-1] and ends[-1] <= most
+    total = sum(r.length for r in rows)
+    assert len(sequences) <= -(-total // most) * 1.1 + 1
     assert not packing.pack_documents(empty, PATH).count()
 
 
+def test_bpe_words():
+    """Cuts and merges against the library: cases, contractions, marks, digits, special tokens, long words."""
+    r = random.Random(7)
+    letters = [*"abcdeéßÀŸſİ×÷'sStTrRvVeElLmMdD019.,!?-_ \t\n\r\x0b\x0c ́Σςσ日本»« <|>", "<|endoftext|>", "'ll", "'re", "aaaa", "…", "١", "½", "\u0085", "\x1c", "𝒜"]
+    rows = ["".join(r.choices(letters, k=r.randint(0, 40))) for _ in range(3_000)] + [None, "", "ab" * 100_000, "x" * 5_000]
+    encoder, t = bpe.Encoder(bpe.Vocabulary(PATH)), Tokenizer.from_file(PATH)
+    found = []
+    for _, _, ends, ids, at, which in encoder.steps(pa.array(rows)):
+        data, offsets = bpe.joined(ids, at, which)
+        edges = offsets[ends] // 4
+        found += [data.view("<u4")[x:y].tolist() for x, y in zip(edges, edges[1:])]
+    assert found == [t.encode(x or "", add_special_tokens=False).ids for x in rows]
+
+
+def test_bpe_documents(docs, empty):
+    t = Tokenizer.from_file(PATH)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in bpe.encode_documents(docs, PATH).collect():
+        assert r.ids == t.encode(texts[r.id] or "", add_special_tokens=False).ids and r.decoded == t.decode(r.ids, skip_special_tokens=False)
+    assert not bpe.encode_documents(empty, PATH).count()
+
+
 def test_sharding(docs, empty):
     rows = sharding.shard_documents(docs, shards=4).collect()
     assert len(rows) == docs.count()
