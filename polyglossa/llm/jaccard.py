@@ -1,38 +1,49 @@
 """Exact n-gram Jaccard join by set-relation skipping.
 
-A document's set is its distinct five-word shingles (64-bit hashes). Documents with equal sets are one node. Shingles are ordered from
-rare to frequent by a sketch of fixed size that counts all documents, then by hash; any order gives the same links. Each node is
-listed under the shingles of its prefix with its size and its position there, and lists are read block by block, one per size:
-blocks whose size or position rule out enough overlap are skipped (index level). Within a list, nodes are first compared with
-one leader only; the members of a component found so far are known to reach each other, so a second pass over the lists compares
-only nodes whose components still differ (answer level: a node's answers follow from those of its similar leader). No pair
-that could join two components is left out, so the components are those of all links.
+A document's set is its distinct five-word shingles (64-bit hashes). Documents with equal sets are one node, named by 64 bits of a hash
+and by 128 where those collide. Shingles are ordered from rare to frequent by a sketch that counts all documents and whose size
+follows the input, then by hash; any order gives the same links. Each node is listed under the shingles of its prefix with its
+size and its position there.
+
+Index level: a list is ordered by size and position. Of two size blocks, only the heads up to the positions that leave room
+for enough overlap are paired; the rest of a block, and blocks of other sizes, are skipped. A list that the sketch finds long is
+dealt over several tasks, by other parts in every turn; in the last turn, nodes outside the list's most frequent component visit all of its parts.
+
+Answer level: nodes are first compared with the leader of a list, and overlaps are kept. Members of a component found so far reach
+each other, so later turns compare only nodes of different components; and a node's answer for x is derived from those of the leader l
+that it links with, where o(x, l) plus or minus the difference of the two sets decides. No pair that could join two components is
+left out, so the components are those of all links.
 
 Null, empty and wordless texts have no shingles and link with nothing; their component is their own doc_id. Rows with a null
-doc_id take part, and a component's id is the smallest one that is not null. Repeated rows share a node. Other columns are not
+doc_id take part, and a component's id is the smallest one that is not null (null if there is none). Repeated rows share a node. Other columns are not
 read. Long texts give long lists of shingles, all of which count.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, bitmap, discard, in_bitmap, keep, mix, signed, text_buffers, text_steps, windows_of, words_of
 from .graph import components
 
-#: The sketch has 2**SKETCH counters, dealt in blocks of BLOCK; the filter of wanted nodes has 2**FILTER bits.
-SKETCH, BLOCK, FILTER = 20, 4096, 25
+#: Bits of the sketch (at least, at most): one counter for about 64 shingles of the input, dealt in blocks of BLOCK counters. Beyond
+#: the most it tells tokens apart that are more frequent than the mean of a counter; their lists are the long ones.
+SKETCH_BITS, BLOCK = (16, 24), 4096
+#: Nodes of one list that a task gets at a time.
+LIST = 2_000
 #: Most rounds of neighbours before all open pairs are compared.
 TURNS = 3
-#: Orders of a list in which neighbours are compared, from the second turn on.
-ORDERS = 16
+#: Neighbours of a node in a list, in the first turn and later.
+NEAR = (4, 16)
 
 
 def shingle_sets(column: pa.Array, n: int):
-    """(row, sorted distinct shingle hashes, node) of each row that has words."""
+    """(row, sorted distinct shingle hashes, node, check) of each row that has words; node and check name the set."""
     data, offsets = text_buffers(column)
     for a, b in text_steps(offsets):
         hashes, _, _, counts = words_of(data, offsets[a : b + 1], lower=True)
@@ -50,10 +61,13 @@ def shingle_sets(column: pa.Array, n: int):
                     for h in w:
                         x = x * U64(0xE7037ED1A0B428DB) + h
                 own = mix(np.array([x], U64))
-            own = np.unique(own)
+            own = np.sort(own)
+            if len(own) > 1:
+                own = own[np.r_[True, own[1:] != own[:-1]]]
             with np.errstate(over="ignore"):
-                node = mix(mix(own ^ U64(0x1D8E4E27C47D124F)).sum(dtype=U64)[None] + U64(len(own)))[0]
-            yield a + k, own, node
+                sums = np.array([mix(own ^ U64(0x1D8E4E27C47D124F)).sum(dtype=U64), (own * U64(0xD1342543DE82EF95) ^ (own >> U64(29))).sum(dtype=U64)])
+                node, check = mix(sums + U64(len(own))).tolist()
+            yield a + k, own, node, check
 
 
 def _needed(a, b):
@@ -74,36 +88,36 @@ def _may_link(size_a, pos_a, size_b, pos_b):
     return (5 * s >= 4 * l) & (ps < _prefix(s)[1]) & (pl < _prefix(l)[0]) & (np.minimum(s - ps, l - pl) >= _needed(s, l))
 
 
-def _profile(df: DataFrame, n: int) -> DataFrame:
-    """Rows of documents (doc_id, n, node), and rows of each task's sketch (block, counts)."""
+def _profile(df: DataFrame, n: int, bits: int) -> DataFrame:
+    """Rows of documents (doc_id, n, node, check), and rows of each task's sketch (block, counts)."""
 
     def run(batches):
-        sketch, seen = np.zeros(1 << SKETCH, np.int32), set()
-        names = ["doc_id", "n", "node", "block", "counts"]
+        sketch, seen = np.zeros(1 << bits, np.int32), set()
+        names = ["doc_id", "n", "node", "check", "block", "counts"]
         kind = None
         for b in batches:
-            sizes, nodes, held = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64), []
+            sizes, nodes, held = np.zeros(len(b), np.int64), np.zeros((2, len(b)), U64), []
             kind = b.column(0).type
-            for row, own, node in shingle_sets(b.column(1), n):
-                sizes[row], nodes[row] = len(own), signed(node[None])[0]
-                if node not in seen:
-                    seen.add(node)
+            for row, own, node, check in shingle_sets(b.column(1), n):
+                sizes[row], nodes[0, row], nodes[1, row] = len(own), node, check
+                if (node, check) not in seen:
+                    seen.add((node, check))
                     held.append(own)
             if held:
-                sketch += np.bincount((np.concatenate(held) >> U64(64 - SKETCH)).astype(np.int64), minlength=len(sketch)).astype(np.int32)
+                sketch += np.bincount((np.concatenate(held) >> U64(64 - bits)).astype(np.int64), minlength=len(sketch)).astype(np.int32)
             none = pa.nulls(len(b), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(nodes), none, pa.nulls(len(b), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), *(pa.array(signed(x)) for x in nodes), none, pa.nulls(len(b), pa.binary())], names)
         if kind is not None:
             parts = sketch.reshape(-1, BLOCK)
             used = np.flatnonzero(parts.any(1))
             zero = pa.array(np.zeros(len(used), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(used), kind), zero, zero, pa.array(used.astype(np.int32)), pa.array([parts[k].tobytes() for k in used], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(used), kind), zero, zero, zero, pa.array(used.astype(np.int32)), pa.array([parts[k].tobytes() for k in used], pa.binary())], names)
 
-    return df.mapInArrow(run, f"doc_id {dict(df.dtypes)['doc_id']}, n long, node long, block int, counts binary")
+    return df.mapInArrow(run, f"doc_id {dict(df.dtypes)['doc_id']}, n long, node long, check long, block int, counts binary")
 
 
-def _frequencies(profile: DataFrame) -> np.ndarray:
-    """The class of each counter of the summed sketch, rising with its count; one byte each."""
+def _frequencies(profile: DataFrame, bits: int) -> np.ndarray:
+    """The class of each counter of the summed sketch, four for each power of two; one byte each."""
 
     def add(batches):
         last, total = None, None
@@ -123,52 +137,68 @@ def _frequencies(profile: DataFrame) -> np.ndarray:
             yield done()
 
     parts = profile.filter("block is not null").select("block", "counts").repartition("block").sortWithinPartitions("block")
-    out = np.zeros(1 << SKETCH, np.uint8)
+    out = np.zeros(1 << bits, np.uint8)
     for r in parts.mapInArrow(add, "block int, counts binary").collect():
         out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], np.uint8)
     return out
 
 
-def _postings(df: DataFrame, n: int, classes) -> DataFrame:
-    """token, place (size << 32 | position), node for the prefix of each node, once in a task."""
+def _named(node: int, check: int, collided: frozenset[int]) -> int:
+    return node ^ check if node in collided else node
+
+
+def _postings(df: DataFrame, n: int, bits: int, classes, floor: float, collided: frozenset[int]) -> DataFrame:
+    """token, parts, place (size << 32 | position), node for the prefix of each node, once in a task; parts: of a long list."""
 
     def run(batches):
         seen, rank = set(), classes.value
+        likely = np.exp2((np.arange(256) + 1) / 4) - 1
+        parts = np.where(likely > LIST + 4 * floor, np.ceil(likely / LIST), 1).astype(np.int64)
+        names = ["token", "parts", "place", "node"]
         for b in batches:
-            out: list[list[np.ndarray]] = [[], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], []]
 
             def flush():
                 cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
                 for c in out:
                     c.clear()
-                return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["token", "place", "node"])
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
             held = 0
-            for _, own, node in shingle_sets(b.column(1), n):
-                if node in seen:
+            for _, own, node, check in shingle_sets(b.column(1), n):
+                if (node, check) in seen:
                     continue
-                seen.add(node)
+                seen.add((node, check))
                 size = len(own)
                 take = _prefix(size)[0]
                 # hashes are sorted already, so a stable sort by class orders by (class, hash)
-                order = np.argsort(rank[(own >> U64(64 - SKETCH)).astype(np.int64)], kind="stable")[:take]
+                level = rank[(own >> U64(64 - bits)).astype(np.int64)]
+                order = np.argsort(level, kind="stable")[:take]
                 out[0].append(signed(own[order]))
-                out[1].append((size << 32) + np.arange(take))
-                out[2].append(np.full(take, node, U64).view(np.int64))
+                out[1].append(parts[level[order]])
+                out[2].append((size << 32) + np.arange(take))
+                out[3].append(np.full(take, _named(node, check, collided), U64).view(np.int64))
                 held += take
                 if held > 500_000:
                     yield flush()
                     held = 0
             yield flush()
 
-    return df.mapInArrow(run, "token long, place long, node long")
+    return df.mapInArrow(run, "token long, parts long, place long, node long")
 
 
-def _lists(batches, columns: int):
-    """Whole posting lists: arrays of the columns, sorted by token, of many lists at a time."""
+def _dealt(postings: DataFrame, turn: int, *columns: str) -> DataFrame:
+    """list, parts, place, node and more columns, each list (or part of a long one, other parts in every turn) together."""
+    part = F.pmod(F.xxhash64(F.lit(turn), "node"), F.col("parts"))
+    name = F.when(F.col("parts") > 1, F.xxhash64("token", part)).otherwise(F.col("token")).alias("list")
+    return postings.select(name, *columns).repartition("list").sortWithinPartitions("list")
+
+
+def _lists(batches):
+    """Whole posting lists: arrays of the columns, sorted by the first, of many lists at a time."""
     rest = None
     for b in batches:
-        now = np.stack([b.column(k).to_numpy() for k in range(columns)])
+        now = np.stack([c.to_numpy() for c in b.columns])
         if rest is not None:
             now = np.concatenate([rest, now], 1)
         if not now.shape[1]:
@@ -191,153 +221,250 @@ def _unique_pairs(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray,
     return x[new], y[new]
 
 
+def _pair_batch(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (_unique_pairs(a, b) if a else (np.zeros(0, np.int64),) * 2)], ["a", "b"])
+
+
 def _shared(postings: DataFrame) -> DataFrame:
     """kind 0: postings of tokens of two nodes or more; kind 1: (leader, node) pairs to compare (in columns place, node)."""
+    names = ["kind", "token", "parts", "place", "node"]
 
     def run(batches):
-        for now in _lists(batches, 3):
-            token, place, node = now
-            order = np.lexsort((node, token))
-            token, place, node = token[order], place[order], node[order]
-            new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-            token, place, node = token[new], place[new], node[new]
-            same = token[1:] == token[:-1]
-            shared = np.r_[same, False] | np.r_[False, same]
-            token, place, node = token[shared], place[shared], node[shared]
+        for token, list_, parts, place, node in (now[[1, 0, 2, 3, 4]] for now in _lists(batches)):
+            order = np.lexsort((node, list_))
+            token, list_, parts, place, node = token[order], list_[order], parts[order], place[order], node[order]
+            new = np.ones(len(list_), bool)
+            new[1:] = (list_[1:] != list_[:-1]) | (node[1:] != node[:-1])
+            token, list_, parts, place, node = token[new], list_[new], parts[new], place[new], node[new]
+            same = list_[1:] == list_[:-1]
+            shared = np.r_[same, False] | np.r_[False, same] | (parts > 1)
+            token, list_, parts, place, node = token[shared], list_[shared], parts[shared], place[shared], node[shared]
             if not len(token):
                 continue
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(token), np.int32)), *(pa.array(x) for x in (token, place, node))], ["kind", "token", "place", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(token), np.int32)), *map(pa.array, (token, parts, place, node))], names)
             heads, members = [], []
-            while len(token):
+            while len(list_):
                 # the leader is the smallest node of a list, so that lists of one group agree on it
-                first = np.r_[True, token[1:] != token[:-1]]
+                first = np.r_[True, list_[1:] != list_[:-1]]
                 head = np.flatnonzero(first)[np.cumsum(first) - 1]
                 ok = ~first & _may_link(place[head] >> 32, place[head] & 0xFFFFFFFF, place >> 32, place & 0xFFFFFFFF)
                 heads.append(node[head[ok]])
                 members.append(node[ok])
                 left = ~first & ~ok
-                token, place, node = token[left], place[left], node[left]
+                list_, place, node = list_[left], place[left], node[left]
             a, b = _unique_pairs(heads, members)
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(a), np.int32)), pa.array(np.zeros(len(a), np.int64)), pa.array(a), pa.array(b)], ["kind", "token", "place", "node"])
+                zero = pa.array(np.zeros(len(a), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(a), np.int32)), zero, zero, pa.array(a), pa.array(b)], names)
+
+    return _dealt(postings, 0, "token", "parts", "place", "node").mapInArrow(run, "kind int, token long, parts long, place long, node long")
 
-    return postings.repartition("token").sortWithinPartitions("token").mapInArrow(run, "kind int, token long, place long, node long")
+
+def _several(key: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Rows of lists that hold more than one label."""
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    differ = np.maximum.reduceat(label, first) != np.minimum.reduceat(label, first)
+    return np.repeat(differ, np.diff(np.r_[first, len(key)]))
 
 
 def _beside(lists: DataFrame, turn: int) -> DataFrame:
-    """(a, b) to compare: nodes with different labels that stand side by side in a list, by hashes and, in the first turn, by place; at most ORDERS for each posting."""
+    """(a, b) to compare: nodes with different labels that stand near each other in a list, ordered by hash and, in the first turn, by place; then also each with the list's leader."""
 
     def run(batches):
-        for now in _lists(batches, 4):
-            token, place, node, label = now
+        for now in _lists(batches):
+            key, place, node, label = now[:, _several(now[0], now[3])]
+            if not len(key):
+                continue
             a, b = [], []
             with np.errstate(over="ignore"):
-                keys = [signed(mix(node.view(U64) ^ mix(token.view(U64) + U64(ORDERS * turn + k)))) for k in range(3 if turn == 0 else ORDERS)]
-            for key in (*keys, *([place] if turn == 0 else [])):
-                order = np.lexsort((key, token))
-                t, p, n, l = token[order], place[order], node[order], label[order]
-                ok = (t[1:] == t[:-1]) & (l[1:] != l[:-1]) & _may_link(p[1:] >> 32, p[1:] & 0xFFFFFFFF, p[:-1] >> 32, p[:-1] & 0xFFFFFFFF)
-                a.append(n[1:][ok])
-                b.append(n[:-1][ok])
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _unique_pairs(a, b)], ["a", "b"])
-
-    return lists.repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long").distinct()
+                chance = signed(mix(node.view(U64) ^ mix(key.view(U64) + U64(turn))))
+            for by, most in ((chance, NEAR[turn > 0]), *([(place, 1)] if turn == 0 else [])):
+                order = np.lexsort((by, key))
+                k, p, n, l = key[order], place[order], node[order], label[order]
+                for d in range(1, min(most, len(k) - 1) + 1):
+                    ok = (k[d:] == k[:-d]) & (l[d:] != l[:-d])
+                    at = np.flatnonzero(ok)
+                    if not len(at):
+                        continue
+                    at = at[_may_link(p[at + d] >> 32, p[at + d] & 0xFFFFFFFF, p[at] >> 32, p[at] & 0xFFFFFFFF)]
+                    a.append(n[at + d])
+                    b.append(n[at])
+            if turn == 0:
+                order = np.lexsort((node, key))
+                key, place, node, label = key[order], place[order], node[order], label[order]
+                first = np.r_[True, key[1:] != key[:-1]]
+                head = np.flatnonzero(first)[np.cumsum(first) - 1]
+                ok = (label != label[head]) & _may_link(place[head] >> 32, place[head] & 0xFFFFFFFF, place >> 32, place & 0xFFFFFFFF)
+                a.append(node[head[ok]])
+                b.append(node[ok])
+            yield _pair_batch(a, b)
+
+    return _dealt(lists, turn, "place", "node", "label").mapInArrow(run, "a long, b long").distinct()
+
+
+def _blocks(size: np.ndarray, pos: np.ndarray, node: np.ndarray, label: np.ndarray, guest: np.ndarray):
+    """Pairs of one list, sorted by size and position, that may link and differ in label; of two guests or of none only if at home."""
+    edge = np.r_[np.flatnonzero(np.r_[True, size[1:] != size[:-1]]), len(size)]
+    sizes = size[edge[:-1]]
+    for i, s in enumerate(sizes.tolist()):
+        for j in range(i, int(np.searchsorted(sizes, 5 * s // 4, "right"))):
+            # heads of the blocks up to the positions that leave room for the overlap; what stands behind is skipped
+            l, least = int(sizes[j]), _needed(s, int(sizes[j]))
+            x = slice(edge[i], edge[i] + np.searchsorted(pos[edge[i] : edge[i + 1]], min(s - least + 1, _prefix(s)[1])))
+            z = slice(edge[j], edge[j] + np.searchsorted(pos[edge[j] : edge[j + 1]], min(l - least + 1, _prefix(l)[0])))
+            if x.stop == x.start or z.stop == z.start:
+                continue
+            for at in range(x.start, x.stop, 256):
+                rows = slice(at, min(at + 256, x.stop))
+                ok = (label[rows, None] != label[None, z]) & ~(guest[rows, None] & guest[None, z])
+                p, q = np.nonzero(ok)
+                if len(p):
+                    yield node[rows][p], node[z][q]
 
 
 def _across(lists: DataFrame) -> DataFrame:
-    """(a, b) to compare: nodes of one list with different labels. lists: token, place, node, label."""
+    """(a, b) to compare: all nodes of one list with different labels. lists: token, parts, place, node, label."""
+    counts = lists.groupBy("token", "label").agg(F.count("*").alias("n"))
+    mode = counts.groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("mode"), F.count("*").alias("labels")).filter("labels > 1").select("token", "mode")
+    open_ = lists.join(mode, "token")
+    part = F.pmod(F.xxhash64(F.lit(-1), "node"), F.col("parts"))
+    home = open_.select("token", part.alias("part"), "place", "node", "label", F.lit(0).cast("long").alias("guest"))
+    # a long list: nodes outside its most frequent component go to the other parts as well
+    visits = open_.filter("parts > 1 and label <> mode").select("token", part.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "place", "node", "label")
+    both = home.unionByName(visits.filter("own <> part").select("token", "part", "place", "node", "label", F.lit(1).cast("long").alias("guest")))
+    dealt = both.select(F.xxhash64("token", "part").alias("list"), "place", "node", "label", "guest").repartition("list").sortWithinPartitions("list")
 
     def run(batches):
-        for now in _lists(batches, 4):
-            token, place, node, label = now
-            order = np.lexsort((place, token))
-            token, place, node, label = token[order], place[order], node[order], label[order]
-            cuts = np.r_[0, np.flatnonzero(token[1:] != token[:-1]) + 1, len(token)]
-            differ = np.maximum.reduceat(label, cuts[:-1]) != np.minimum.reduceat(label, cuts[:-1])
+        for now in _lists(batches):
+            now = now[:, _several(now[0], now[3])]
+            if not now.shape[1]:
+                continue
+            now = now[:, np.lexsort((now[1], now[0]))]
+            key, place, node, label, guest = now
             a, b, held = [], [], 0
-            for k in np.flatnonzero(differ):
-                x, z = cuts[k], cuts[k + 1]
-                size, pos = place[x:z] >> 32, place[x:z] & 0xFFFFFFFF
-                # sorted by size: the block of partners of at least a node's size ends where sizes pass 5/4 of it
-                to = np.searchsorted(size, 5 * size // 4, "right")
-                for i in np.flatnonzero(to > np.arange(1, z - x + 1)):
-                    j = slice(i + 1, to[i])
-                    ok = (label[x:z][j] != label[x + i]) & _may_link(size[i], pos[i], size[j], pos[j])
-                    if ok.any():
-                        found = node[x:z][j][ok]
-                        a.append(np.full(len(found), node[x + i]))
-                        b.append(found)
-                        held += len(found)
-                if held > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in _unique_pairs(a, b)], ["a", "b"])
-                    a, b, held = [], [], 0
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _unique_pairs(a, b)], ["a", "b"])
-
-    return lists.repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long").distinct()
-
-
-def _links(df: DataFrame, n: int, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs that link, compared on their whole sets. pairs: a stored table (a, b)."""
+            cuts = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
+            for x, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                for p, q in _blocks(place[x:z] >> 32, place[x:z] & 0xFFFFFFFF, node[x:z], label[x:z], guest[x:z] > 0):
+                    a.append(p)
+                    b.append(q)
+                    held += len(p)
+                    if held > 1_000_000:
+                        yield _pair_batch(a, b)
+                        a, b, held = [], [], 0
+            yield _pair_batch(a, b)
+
+    return dealt.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+
+
+def _filter_bits(n: int) -> int:
+    """Bits of a membership filter for n keys: 16 for each, within 8 kB and 128 MB."""
+    return max(16, min(30, math.ceil(math.log2(16 * max(n, 1)))))
+
+
+def _compared(df: DataFrame, n: int, pairs: DataFrame, collided: frozenset[int]) -> DataFrame:
+    """a, b, o (overlap), m, n (sizes) of pairs (a, b), a stored table, compared on their whole sets, which are read from the texts again."""
     spark = df.sparkSession
-    wanted = spark.sparkContext.broadcast(bitmap(spark, pairs.select("a").union(pairs.select("b")), FILTER))
+    nodes = keep(spark, pairs.select("a").union(pairs.select("b")).distinct(), "nodes")
+    wanted = spark.sparkContext.broadcast(bitmap(spark, nodes, _filter_bits(nodes.count())))
+    discard(spark, nodes)
+
+    def table(nodes, sets):
+        flat = signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64)
+        offsets = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(signed(np.array(nodes, U64))), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["node", "own"])
 
     def run(batches):
-        seen, bits = set(), wanted.value
+        seen, filter_ = set(), wanted.value
         for b in batches:
             nodes, sets, held = [], [], 0
-            for _, own, node in shingle_sets(b.column(1), n):
-                if node not in seen and in_bitmap(bits, np.array([node]))[0]:
-                    seen.add(node)
-                    nodes.append(node)
+            for _, own, node, check in shingle_sets(b.column(1), n):
+                if (node, check) in seen:
+                    continue
+                seen.add((node, check))
+                name = _named(node, check, collided)
+                if in_bitmap(filter_, np.array([name], U64))[0]:
+                    nodes.append(name)
                     sets.append(own)
                     held += len(own)
-                if held > 1_000_000:
+                if held > 500_000:
                     yield table(nodes, sets)
                     nodes, sets, held = [], [], 0
             yield table(nodes, sets)
 
-    def table(nodes, sets):
-        flat = signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64)
-        offsets = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(signed(np.array(nodes, U64))), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["node", "own"])
-
     sets = df.mapInArrow(run, "node long, own array<long>").dropDuplicates(["node"])
     left = pairs.join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
     both = left.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a")
-    return both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+    return both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("o"), F.size("x").alias("m"), F.size("y").alias("n"))
+
+
+def _linked(o: Column, m: Column, n: Column) -> Column:
+    return 9 * o >= 4 * (m + n)
+
+
+def _derived(pairs: DataFrame, answers: DataFrame) -> DataFrame:
+    """a, b, verdict of pairs whose answer follows from those of a leader: true or false; null if the pair must be compared.
+
+    For a node x that links with leader l: o(x, y) lies between o(l, y) - |l - x| and o(l, y) + |x - l|.
+    """
+    both = answers.union(answers.select("b", "a", "o", "n", "m"))
+    # of the sets that a node links with, the most similar one
+    leader = both.filter(_linked(F.col("o"), F.col("m"), F.col("n"))).groupBy(F.col("b").alias("x")).agg(F.min_by(F.struct(F.col("a").alias("l"), (F.col("n") - F.col("o")).alias("more"), (F.col("m") - F.col("o")).alias("less"), F.col("n").alias("size")), F.struct(F.col("m") + F.col("n") - 2 * F.col("o"), "a")).alias("led"))
+    leader = leader.select("x", "led.*")
+    either = pairs.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("a", "b", F.col("b").alias("x"), F.col("a").alias("y")))
+    known = either.join(leader, "x").join(both.select(F.col("a").alias("l"), F.col("b").alias("y"), "o", F.col("n").alias("other")), ["l", "y"])
+    least, most = F.col("o") - F.col("less"), F.col("o") + F.col("more")
+    verdict = F.when(_linked(least, F.col("size"), F.col("other")), True).when(~_linked(most, F.col("size"), F.col("other")), False)
+    told = known.groupBy("a", "b").agg(F.max(verdict).alias("verdict"))
+    return pairs.join(told, ["a", "b"], "left")
 
 
 def join_documents(df: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of documents that link at a Jaccard similarity of 0.8 or more."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    profile = keep(spark, _profile(docs, words), "profile")
-    classes = spark.sparkContext.broadcast(_frequencies(profile))
-    shared = keep(spark, _shared(_postings(docs, words, classes)), "shared")
-    near = keep(spark, shared.filter("kind = 1").select(F.col("place").alias("a"), F.col("node").alias("b")).distinct(), "near")
-    links = keep(spark, _links(docs, words, near), "links")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(SKETCH_BITS[0], min(SKETCH_BITS[1], math.ceil(math.log2(size / 400 + 1))))
+    profile = keep(spark, _profile(docs, words, bits), "profile")
+    own = profile.filter("block is null").select("doc_id", "n", "node", "check")
+    # sets that share 64 bits but not the next 64: next to none, whatever the input
+    twins = own.filter("n > 0").groupBy("node").agg(F.min("check").alias("x"), F.max("check").alias("y")).filter("x <> y").select("node").collect()
+    collided = frozenset(r["node"] & 0xFFFFFFFFFFFFFFFF for r in twins)
+    name = F.when(F.col("node").isin([r["node"] for r in twins]), F.col("node").bitwiseXOR(F.col("check"))).otherwise(F.col("node")) if twins else F.col("node")
+    own = own.select("doc_id", "n", name.alias("node"))
+    classes = spark.sparkContext.broadcast(_frequencies(profile, bits))
+    floor = (own.agg(F.sum("n")).first()[0] or 0) / (1 << bits)
+    shared = keep(spark, _shared(_postings(docs, words, bits, classes, floor, collided)), "shared")
+    postings = shared.filter("kind = 0").drop("kind")
+    # a node meets its smallest leader first; its other leaders only while they are in another component
+    near = keep(spark, shared.filter("kind = 1").groupBy(F.col("node").alias("b")).agg(F.min("place").alias("a")).select("a", "b"), "near")
+    answers = [keep(spark, _compared(docs, words, near, collided), "answers")]
+    scratch = [shared, near, answers[0]]
+    links = answers[0].filter(_linked(F.col("o"), F.col("m"), F.col("n"))).select("a", "b")
     found = components(links)
     # components that are left apart: first neighbours in a list, a linear number of pairs, for as long as they link many nodes;
     # then every pair still open
     turn = 0
     while turn >= 0:
-        label = F.coalesce("component", "node").alias("label")
-        lists = shared.filter("kind = 0").join(found, "node", "left").select("token", "place", "node", label)
-        open_ = keep(spark, (_beside(lists, turn) if turn < TURNS else _across(lists)).join(near, ["a", "b"], "left_anti"), "open")
-        more = keep(spark, _links(docs, words, open_), "links")
-        links, near = links.union(more), keep(spark, near.union(open_), "near")
+        lists = postings.join(found, "node", "left").select("token", "parts", "place", "node", F.coalesce("component", "node").alias("label"))
+        every = answers[0]
+        for x in answers[1:]:
+            every = every.union(x)
+        open_ = (_beside(lists, turn) if turn < TURNS else _across(lists)).join(every.select("a", "b"), ["a", "b"], "left_anti")
+        open_ = keep(spark, _derived(open_, every), "open")
+        answers.append(keep(spark, _compared(docs, words, open_.filter("verdict is null").select("a", "b"), collided), "answers"))
+        more = answers[-1].filter(_linked(F.col("o"), F.col("m"), F.col("n"))).select("a", "b").union(open_.filter("verdict").select("a", "b"))
+        links = links.union(more)
+        scratch += [open_, answers[-1]]
         gained, turn = more.count(), -1 if turn == TURNS else turn + 1
         if gained:
             found = components(links)
         if 0 < turn < TURNS and gained * 50 < links.count():
             turn = TURNS
-    discard(spark, shared, near, open_)
-    own = profile.filter("block is null").select("doc_id", "n", "node")
     nodes = own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("c"))
     ids = nodes.groupBy("c").agg(F.min("least").alias("component_id"))
     named = nodes.join(ids, "c").select(F.col("node").alias("named"), "component_id")
+    named = keep(spark, named, "named")
+    discard(spark, *scratch)
     return (
         own.join(named, (F.col("node") == F.col("named")) & (F.col("n") > 0), "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -272,3 +272,37 @@ def test_secret_syntax(form):
     found = {text[a:b] for a, k, b in secrets.scan(text) if secrets.KINDS[k] == "literal"}
     assert {x.rstrip("=") for x in found} == {value}
     assert value not in secrets.mask(text, secrets.scan(text))
+
+
+@pytest.mark.parametrize("size", [1, 2_000])
+def test_jaccard_long_lists(spark, monkeypatch, size):
+    """A group of near copies around the threshold, passages in common, hot tokens dealt over parts, names that collide; against brute force."""
+    monkeypatch.setattr(jaccard, "LIST", size)
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    base, passage = r.choices(words, k=90), r.choices(words, k=30)
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+        rows.append(" ".join(w))
+    rows += [" ".join([*passage, *r.choices(words, k=r.randint(0, 12))]) for _ in range(40)] + rows[:5] + ["", None, "a b", "A  b"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    sets, label = [shingles(t) for t in rows], list(range(len(rows)))
+    changed = True
+    while changed:
+        changed = False
+        for i, j in itertools.combinations(range(len(rows)), 2):
+            if label[i] != label[j] and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                label[i] = label[j] = min(label[i], label[j])
+                changed = True
+    assert len(set(label)) > 10 and {r.doc_id: r.component_id for r in jaccard.join_documents(docs).collect()} == dict(enumerate(label))
+    assert jaccard.join_documents(docs.filter("doc_id is null")).count() == 0
+
+
+def test_jaccard_answers(spark):
+    """Answers derived from a leader's: o(x, y) lies within o(l, y) and the differences of x and l."""
+    answers = spark.createDataFrame([(1, 2, 100, 105, 102), (1, 3, 40, 105, 100), (1, 4, 99, 105, 100), (1, 5, 92, 105, 100)], "a long, b long, o int, m int, n int")
+    pairs = spark.createDataFrame([(2, 3), (2, 4), (2, 5), (2, 9)], "a long, b long")
+    assert {(r.a, r.b): r.verdict for r in jaccard._derived(pairs, answers).collect()} == {(2, 3): False, (2, 4): True, (2, 5): None, (2, 9): None}
