@@ -36,6 +36,8 @@ from .graph import components
 SKETCH_BITS, BLOCK = (16, 24), 4096
 #: Nodes of one list that a task gets at a time.
 LIST = 2_000
+#: Nodes of a list that is not cut into blocks.
+SHORT = 32
 #: Most rounds of neighbours before all open pairs are compared.
 TURNS = 3
 #: Neighbours of a node in a list, in the first turn and later.
@@ -343,7 +345,17 @@ def _across(lists: DataFrame) -> DataFrame:
             key, place, node, label, guest = now
             a, b, held = [], [], 0
             cuts = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
+            # short lists together, pair by pair at each distance; long ones block by block
+            short = np.repeat(np.diff(cuts) <= SHORT, np.diff(cuts))
+            k, p, n, l, g = key[short], place[short], node[short], label[short], guest[short] > 0
+            for d in range(1, min(SHORT, len(k))):
+                at = np.flatnonzero((k[d:] == k[:-d]) & (l[d:] != l[:-d]) & ~(g[d:] & g[:-d]))
+                at = at[_may_link(p[at + d] >> 32, p[at + d] & 0xFFFFFFFF, p[at] >> 32, p[at] & 0xFFFFFFFF)]
+                a.append(n[at + d])
+                b.append(n[at])
             for x, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if z - x <= SHORT:
+                    continue
                 for p, q in _blocks(place[x:z] >> 32, place[x:z] & 0xFFFFFFFF, node[x:z], label[x:z], guest[x:z] > 0):
                     a.append(p)
                     b.append(q)

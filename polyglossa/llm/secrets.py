@@ -2,8 +2,10 @@
 
 Three base patterns are matched over the whole text. Beside them a small lexer reads source and configuration syntax into
 (name, literal) pairs: `name = "literal"`, `name: literal`, `"name": "literal"`, `export NAME=literal`, `name := literal`,
-`name["key"] = "literal"`, `name: type = "literal"`, concatenated literals, and names assigned from other names, whose constants it propagates. A pair is reported as a `literal` span
-when the name is sensitive and the literal is no placeholder; the span is that of the literal where it is written.
+`name["key"] = "literal"`, `name: type = "literal"`, and sums of literals and of names, whose constants it propagates (a text is one
+scope; the latest assignment before the use counts). Literals without quotes are values only if they are no code: no call, index or
+plain identifier. A pair is reported as `literal` spans when the name is sensitive and the value is no placeholder; the spans are those of its
+literals where they are written. Every pattern starts at most once in a word and does not go back, so a scan takes time in proportion to the text.
 
 Null text counts as empty. Rows are scanned one by one, repeated rows alike; a null doc_id stays null. Spans are in code points,
 end exclusive, over texts of any length. Other columns are not read.
@@ -31,12 +33,14 @@ _ATOM = r"""(?:&(?:'\w+[\x20\t]+)?(?:mut[\x20\t]+)?|\[\]|\*)*[A-Za-z_][\w.$]{0,8
 _TYPE = rf"{_ATOM}(?:[\x20\t]*\|[\x20\t]*{_ATOM})*"
 #: Groups: name, type, quote, literal in quotes, literal without.
 PAIR = re.compile(
-    r"""([A-Za-z_$][\w$.-]*)(?:["']\]|["'\]])?[\x20\t]*(?::=|=>|:[\x20\t]*(""" + _TYPE + r""")(?:[\x20\t]+=(?![=>~])|=(?=[\x20\t]*["']))|[:=])"""
+    r"""(?<![\w$.-])[.-]{0,8}+([\w$][\w$.-]*+)(?:["']\]|["'\]])?[\x20\t]*(?::=|=>|:[\x20\t]*(""" + _TYPE + r""")(?:[\x20\t]+=(?![=>~])|=(?=[\x20\t]*["']))|[:=])"""
     r"""[\x20\t]*(?:(["'])((?:(?!\3)[^\\\n]|\\.)*)\3|([^\s"',;(){}\[\]]+))""", re.ASCII
 )
 PLAIN = re.compile(r"""[^\s"',;(){}\[\]]+""", re.ASCII)
-JOINED = re.compile(r"""[\x20\t]*\+[\x20\t]*(["'])((?:(?!\1)[^\\\n]|\\.)*)\1""")
+#: A further term of a sum: groups quote, literal, name.
+TERM = re.compile(r"""[\x20\t]*\+[\x20\t]*(?:(["'])((?:(?!\1)[^\\\n]|\\.)*)\1|([A-Za-z_$][\w$.]*+)(?![\x20\t]*[(\[]))""", re.ASCII)
 NAME = re.compile(r"[A-Za-z_$][\w$.]*", re.ASCII)
+IDENTIFIER = re.compile(r"[A-Za-z_$]+(?:\.[A-Za-z_$]+)*", re.ASCII)
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: Parts of sensitive names with their weights, and words of placeholders.
 SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "secret": 3, "token": 3, "apikey": 3, "credential": 3, "credentials": 3, "bearer": 2, "auth": 2, "private": 1, "access": 1, "api": 1, "signing": 1, "encryption": 1, "key": 2, "pass": 2}
@@ -60,30 +64,37 @@ def secret_literal(value: str, score: int) -> bool:
     return score >= 3 and classes >= 2 and entropy(value) >= 2.5 or score >= 2 and classes >= 2 and entropy(value) >= 3.2 and len(value) >= 16
 
 
-def pairs(text: str) -> list[tuple[str, str, int, int]]:
-    """(name, literal, start, end), with constants propagated; a name's latest literal counts."""
-    known: dict[str, tuple[str, int, int]] = {}
-    out = []
+Spans = list[tuple[int, int]]
+
+
+def pairs(text: str) -> list[tuple[str, str, Spans]]:
+    """(name, value, spans of its literals), with constants propagated; a name's latest value counts."""
+    known: dict[str, tuple[str, Spans]] = {}
+    out: list[tuple[str, str, Spans]] = []
     for m in PAIR.finditer(text):
-        name = m[1]
+        names, to = [m[1]], m.end()
         if m[3]:
-            value, start, end = m[4], m.start(4), m.end(4)
-            while j := JOINED.match(text, end + 1):
-                value, end = value + j[2], j.end(2)
+            value, spans = m[4], [m.span(4)]
         elif NAME.fullmatch(m[5]) and m[5] in known:
-            value, start, end = known[m[5]]
+            value, spans = known[m[5]]
+        elif text[to : to + 1] in ("(", "[") or IDENTIFIER.fullmatch(m[5]):
+            known.pop(m[1], None)  # code, whose value is not known
+            value, spans = "", []
         else:
-            value, start, end = m[5], m.start(5), m.end(5)
-        names = [name]
+            value, spans, to = m[5], [m.span(5)], len(text)
+        while spans and (t := TERM.match(text, to)):
+            more, at = (t[2], [t.span(2)]) if t[1] else known.get(t[3], ("", []))
+            value, spans, to = value + more, (spans + at) if at else [], t.end()
         if m[2]:
             # `else: password = "literal"` looks alike, and so does a literal without quotes before another `=`
             if name_score(m[2]) >= 2:
                 names.append(m[2])
             if (plain := PLAIN.match(text, m.start(2))) and any(c.isdigit() for c in plain[0]):
-                out.append((name, plain[0], *plain.span()))
+                out.append((m[1], plain[0], [plain.span()]))
         for n in names:
-            known[n] = value, start, end
-            out.append((n, value, start, end))
+            if spans:
+                known[n] = value, spans
+                out.append((n, value, spans))
     return out
 
 
@@ -97,7 +108,7 @@ def scan(text: str) -> list[tuple[int, int, int]]:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if ("=" in text or ":" in text) and any(s in lower for s in STEMS):
-        found += {(a, 3, b) for name, value, a, b in pairs(text) if (s := name_score(name)) >= 2 and secret_literal(value, s)}
+        found += {(a, 3, b) for name, value, spans in pairs(text) if (s := name_score(name)) >= 2 and secret_literal(value, s) for a, b in spans if b > a}
     return sorted(found)
 
 

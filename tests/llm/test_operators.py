@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import corpus_pipeline
@@ -278,6 +279,7 @@ def test_secret_syntax(form):
 def test_jaccard_long_lists(spark, monkeypatch, size):
     """A group of near copies around the threshold, passages in common, hot tokens dealt over parts, names that collide; against brute force."""
     monkeypatch.setattr(jaccard, "LIST", size)
+    monkeypatch.setattr(jaccard, "SHORT", 2 if size == 1 else 32)
     r = random.Random(11)
     words = [f"w{i}" for i in range(400)]
     base, passage = r.choices(words, k=90), r.choices(words, k=30)
@@ -306,3 +308,41 @@ def test_jaccard_answers(spark):
     answers = spark.createDataFrame([(1, 2, 100, 105, 102), (1, 3, 40, 105, 100), (1, 4, 99, 105, 100), (1, 5, 92, 105, 100)], "a long, b long, o int, m int, n int")
     pairs = spark.createDataFrame([(2, 3), (2, 4), (2, 5), (2, 9)], "a long, b long")
     assert {(r.a, r.b): r.verdict for r in jaccard._derived(pairs, answers).collect()} == {(2, 3): False, (2, 4): True, (2, 5): None, (2, 9): None}
+
+
+def test_secret_base(spark):
+    """Counts, base hash and spans of random texts against the contract's patterns."""
+    r = random.Random(13)
+    pieces = ["password", "PASSWD", "Secret", "token", "api_key", "apikey", '"', "'", " ", "  ", ":", "=", "AKIA", "ABCDEFGH01234567", "0123456789abcdef", "f", "é", "日", "\n", "x.y/z-", "Zx81kQpL0vB2nM7t", "a_b"]
+    texts = ["".join(r.choices(pieces, k=r.randint(0, 30))) for _ in range(2_000)] + [None, ""]
+    patterns = {
+        "assign": (r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12), "access": ("AKIA[A-Z0-9]+", 0, 18), "hex": ("[0-9a-f]+", 0, 16),
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in secrets.scan_documents(docs).collect():
+        text = texts[row.doc_id] or ""
+        want = {k: [m.span() for m in re.finditer(p, text, re.ASCII) if len(m[g]) >= n] for k, (p, g, n) in patterns.items()}
+        spans = sorted(((a, list(patterns).index(k), b) for k, found in want.items() for a, b in found))
+        base = [f"{list(patterns)[k]}:{a}:{b}" for a, k, b in spans]
+        assert (row.n_assign, row.n_access, row.n_hex) == tuple(len(want[k]) for k in patterns)
+        assert row.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        found = row.spans.split(",") if row.spans else []
+        assert [x for x in found if not x.startswith("literal")] == base and len(found) == len(set(found)) == len(base) + row.n_literal
+
+
+@pytest.mark.parametrize("piece", ["a", "a.", "-", "a ", "key=", "key = '", "token: ", "a|", "key: a|a ", "x:&'a", 'password="', "=", "secret = a + "])
+def test_secret_time(piece):
+    text = "key = 1; token: x\n" + piece * (1_000_000 // len(piece))
+    start = time.process_time()
+    secrets.scan(text)
+    assert time.process_time() - start < 6
+
+
+@pytest.mark.parametrize("text", ["token = get_token(user_id)", 'api_key = os.environ["API_KEY"]', "password = settings.DB_PASSWORD", "secret: userSecret", "token = make_token2(x)", "auth_token = tokens1[0]"])
+def test_secret_code(text):
+    assert not [x for x in secrets.scan(text) if secrets.KINDS[x[1]] == "literal"]
+
+
+def test_secret_sums():
+    text = 'a = "Zx81kQ"\nb = "pL0vB2nM7t"\ndb_password = a + b\nc = f(1)\napi_token = a + c + "Qq11Ww22"'
+    assert {text[x:y] for x, k, y in secrets.scan(text) if k == 3} == {"Zx81kQ", "pL0vB2nM7t"}
