@@ -1,13 +1,14 @@
 """Toxicity by compression distance.
 
-Two raw-content zstandard dictionaries are made from a bounded sample of labelled rows: one of ordinary text (its most used words), one
-of a lexicon (at most SEGMENTS byte strings from the starts of words that toxic rows hold far more often) before the same ordinary
-content. Neither is trained by zstandard on its class: such dictionaries hold mostly ordinary text both times. Every text is cut into windows of about `window` bytes at white space; a window that compresses better with the toxic
-dictionary speaks for toxicity. A logistic curve fitted on the same sample turns a text's window differences into its score.
+Two dictionaries are trained by zstandard on a bounded sample of labelled rows: one on ordinary texts, one on toxic texts, of which
+only the words stay that toxic rows hold far more often (otherwise both would mostly hold the same ordinary language; see the README).
+Every text is cut into windows of about `window` bytes at white space. A window is compressed with the ordinary dictionary alone and with
+the toxic one beside it; the difference of the two lengths is its gain. A logistic curve turns a text's gains into its score. It is calibrated by
+cross-fitting: the gains of each half of the sample come from dictionaries trained on the other half, so no text was seen by its own dictionary.
 
 Inputs of a score: the text alone. Null and empty texts have no windows and get the curve's value at zero. Rows are scored one
 by one, so repeated rows get equal scores; a null doc_id is scored and is not held out. With no labels of either kind the score is
-the share of toxic rows in the sample (0 without any). Other columns are not read; labels are taken as their largest per doc_id.
+the share of toxic rows in the sample (near 0 without any). Other columns are not read; labels are taken as their largest per doc_id.
 """
 
 from __future__ import annotations
@@ -19,14 +20,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard as zstd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import raw_texts
+from .common import discard, keep, raw_texts
 
 
-#: Bytes of ordinary words in both dictionaries, most segments of the toxic one.
-ORDINARY_BYTES, SEGMENTS = 32_768, 64
+#: Bytes of the two dictionaries; bytes of entropy tables at the head of a trained one, which only its content follows.
+TOXIC_BYTES, ORDINARY_BYTES, HEAD = 2_048, 32_768, 300
+#: A word is typical of toxic rows if this share of them, and so many times the share of ordinary rows, hold it.
+LEAST_SHARE, LEAST_RATIO = 0.02, 8.0
 
 
 @dataclass
@@ -39,11 +42,6 @@ class Model:
     weights: list[float]  # the first is the constant
 
 
-def segments(text: bytes) -> set[bytes]:
-    """Starts of words with the white space before them, 5 to 10 bytes."""
-    return {(b" " + w)[:n] for w in set(text.lower().split()) for n in range(5, min(len(w) + 1, 10) + 1)}
-
-
 def cut(text: bytes, size: int) -> list[bytes]:
     out, held, n = [], [], 0
     for w in text.lower().split():
@@ -57,31 +55,30 @@ def cut(text: bytes, size: int) -> list[bytes]:
     return out
 
 
+def typical(toxic: list[bytes], ordinary: list[bytes]) -> set[bytes]:
+    """Words that toxic texts hold far more often than ordinary ones."""
+    in_toxic, in_ordinary = (Counter(w for t in texts for w in set(t.lower().split())) for texts in (toxic, ordinary))
+    least = max(5, LEAST_SHARE * len(toxic))
+    return {w for w, n in in_toxic.items() if n >= least and n * len(ordinary) > LEAST_RATIO * in_ordinary[w] * len(toxic)}
+
+
+def trained(size: int, samples: list[bytes], k: int, d: int) -> bytes:
+    """Content of a dictionary that zstandard trains on the samples; the samples' own end where they are too few to train on."""
+    try:
+        made = zstd.train_dictionary(size, samples, k=k, d=d).as_bytes()
+    except (zstd.ZstdError, ValueError):
+        return b"".join(samples)[-size:] or b" "
+    return made[-max(size - HEAD, 1) :]
+
+
 def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
-    in_toxic, in_ordinary, words = Counter(), Counter(), Counter()
-    for t in toxic:
-        in_toxic.update(segments(t))
-    for t in ordinary:
-        in_ordinary.update(segments(t))
-        words.update(t.lower().split())
-    nt, no = len(toxic), len(ordinary)
-    rate = {s: (n / nt, in_ordinary[s] / no) for s, n in in_toxic.items() if n >= max(5, 0.02 * nt)}
-    weight = {s: (a - b) / math.sqrt(a * nt + b * no) for s, (a, b) in rate.items() if a > 4 * b}
-    chosen: list[bytes] = []
-    for s in sorted(weight, key=lambda s: (-weight[s], -len(s), s)):
-        if len(chosen) == SEGMENTS:
-            break
-        if not any(s in c or c in s for c in chosen):
-            chosen.append(s)
-    base, size = [], 0
-    for w, n in sorted(words.items(), key=lambda x: (-x[1] * len(x[0]), x[0])):
-        if size >= ORDINARY_BYTES:
-            break
-        base.append(b" " + w)
-        size += len(w) + 1
-    # the most telling content stands last, where distances are short
-    common = b"".join(reversed(base))
-    special = b"".join(reversed(chosen)) + b" "
+    """(toxic and ordinary content, ordinary content behind as many zero bytes)."""
+    words = typical(toxic, ordinary)
+    counts = Counter(w.strip(b".,;:!?*$#%\"'()") for t in toxic for w in t.lower().split() if w in words)
+    samples = [(b" " + w + b" ").ljust(8) for w, n in sorted(counts.items()) for _ in range(n)]
+    samples *= 1 + 20_000 // max(len(samples), 1)  # the trainer wants far more bytes than the dictionary holds
+    special = trained(TOXIC_BYTES, samples, 16, 6)
+    common = trained(ORDINARY_BYTES, ordinary, 64, 8)
     return special + common, bytes(len(special)) + common
 
 
@@ -114,33 +111,49 @@ class Scorer:
         return out
 
 
-def train(toxic: list[bytes], ordinary: list[bytes], window: int) -> Model:
-    if not toxic or not ordinary:
-        share = len(toxic) / max(1, len(toxic) + len(ordinary))
-        return Model(b" ", b" ", window, [0] * 6, [1] * 6, [math.log((share + 1e-3) / (1 - share + 1e-3)), *[0] * 6])
-    special, common = dictionaries(toxic, ordinary)
-    scorer = Scorer(special, common, window)
-    x = np.concatenate([scorer.features(toxic), scorer.features(ordinary)])
-    y = np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))]
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, scale and weights (the first is the constant), by Newton steps with a small ridge."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
     a = np.c_[np.ones(len(x)), (x - mean) / scale]
     w = np.zeros(a.shape[1])
-    for _ in range(40):  # Newton steps with a small ridge
+    for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         w += np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 0.1 * np.eye(len(w)), a.T @ (y - p) - 0.1 * w)
-    return Model(special, common, window, mean.tolist(), scale.tolist(), w.tolist())
+    return mean, scale, w
+
+
+def train(toxic: list[bytes], ordinary: list[bytes], window: int) -> Model:
+    if len(toxic) < 2 or len(ordinary) < 2:
+        share = len(toxic) / max(1, len(toxic) + len(ordinary))
+        return Model(b" ", b" ", window, [0] * 6, [1] * 6, [math.log((share + 1e-3) / (1 - share + 1e-3)), *[0] * 6])
+    x, y = [], []
+    for half in (0, 1):
+        scorer = Scorer(*dictionaries(toxic[1 - half :: 2], ordinary[1 - half :: 2]), window)
+        for texts, label in ((toxic[half::2], 1.0), (ordinary[half::2], 0.0)):
+            x.append(scorer.features(texts))
+            y.append(np.full(len(texts), label))
+    mean, scale, w = logistic(np.concatenate(x), np.concatenate(y))
+    return Model(*dictionaries(toxic, ordinary), window, mean.tolist(), scale.tolist(), w.tolist())
 
 
 def fold(c):
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 3, F.lit(0))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, window: int = 32, most_toxic: int = 3_000, most_ordinary: int = 6_000, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted. At most most_toxic + most_ordinary labelled doc_ids, by hash, are fitted on, each with one text, its smallest."""
+def score_documents(docs: DataFrame, labels: DataFrame, window: int = 32, most_toxic: int = 3_000, most_ordinary: int = 6_000, most_bytes: int = 16 << 20, threshold: float = 0.7) -> DataFrame:
+    """doc_id, held_out, score, predicted.
+
+    At most most_toxic and most_ordinary labelled doc_ids, by hash, are fitted on, each with one text, its smallest; of either kind as
+    many as fit into most_bytes, whole texts.
+    """
     marked = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
     chosen = marked.filter("toxic = 1").orderBy(order, "doc_id").limit(most_toxic).unionByName(marked.filter("toxic = 0").orderBy(order, "doc_id").limit(most_ordinary))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.coalesce(F.min("text"), F.lit("")).cast("binary").alias("text")).collect()
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.coalesce(F.min("text"), F.lit("")).cast("binary").alias("text"))
+    texts = keep(docs.sparkSession, texts, "labelled")  # as many rows as are chosen
+    size = F.sum(F.length("text")).over(Window.partitionBy("toxic").orderBy(order, "doc_id"))
+    rows = texts.withColumn("size", size).filter(F.col("size") <= most_bytes).select("toxic", "text").collect()
+    discard(docs.sparkSession, texts)
     found = {k: sorted({bytes(r["text"]) for r in rows if r["toxic"] == k}) for k in (0, 1)}
     model = train(found[1], found[0], window)
 
