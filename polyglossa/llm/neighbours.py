@@ -10,9 +10,9 @@ Largest inner product becomes smallest angle by one more coordinate, sqrt(M^2 -
 vectors are one point that keeps its k + 1 smallest ids, all that an answer can use, so a hot vector costs one comparison.
 Parts with more rows than `part_rows` are dealt over several tasks, and their queries go to each of these.
 
-Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null ids; vectors of another length
-than the commonest one are left out. Repeated rows with equal id and vector count once. Ties go to the smaller id. Small tables
-(up to `least` points) are searched whole. Empty tables give no rows.
+Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null ids. Shorter vectors count as filled up
+with zeros. Repeated rows with equal id and vector count once; an id with several vectors is as many rows, and a query of that id has
+the nearest rows of any of them. Ties go to the smaller id. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -70,15 +70,14 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, trees: int = 26, share:
     rows = df.select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v")).filter(
         F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
     )
-    # equal vectors share a point; -0.0 + 0.0 is 0.0
-    rows = rows.withColumn("v", F.transform("v", lambda x: x + 0.0)).withColumn("point", F.xxhash64("v")).withColumn("check", F.xxhash64(F.lit(7), "v"))
-    rows = keep(spark, rows.dropDuplicates(["id", "point", "check"]), "vectors")
-    dims = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score double"
-    if not dims:
+    dim = rows.agg(F.max(F.size("v"))).first()[0]
+    if not dim:
         return spark.createDataFrame([], schema)
-    dim = dims[0]["dim"]
-    rows = rows.filter(F.size("v") == dim)
+    # equal vectors share a point; -0.0 + 0.0 is 0.0
+    filled = F.concat(F.transform("v", lambda x: x + 0.0), F.array_repeat(F.lit(0.0), F.lit(dim) - F.size("v")))
+    rows = rows.withColumn("v", filled).withColumn("point", F.xxhash64("v")).withColumn("check", F.xxhash64(F.lit(7), "v"))
+    rows = keep(spark, rows.dropDuplicates(["id", "point", "check"]), "vectors")
     few = rows.withColumn("nth", F.row_number().over(Window.partitionBy("point", "check").orderBy("id"))).filter(F.col("nth") <= k + 1)
     asked = rows.filter(F.col("id") % every == 0)
     points = few.groupBy("point", "check").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.min_by("v", "nth").alias("v"))
@@ -87,7 +86,6 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, trees: int = 26, share:
     n, top = points.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
     # k + 1 in each tree: then one tree holds as many points, all different
     wanted = max(least, int(share * n), trees * (k + 1))
-    whole = n <= least
     # the bits that cut the parts: so few that all trees together hold enough there on average
     first = max(0, min(int(np.log2(max(1, trees * n / wanted))) - 1, int(np.log2(max(1, n / max(1, least)))), MOST_CUTS))
 
@@ -154,8 +152,8 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, trees: int = 26, share:
     counted = dealt(points.select("p", "v", "asked").mapInArrow(lambda b: post(b, False), plain), []).mapInArrow(descend, "p long, " + ", ".join(f"{c} long" for c in names))
     totals = counted.groupBy("p").agg(*(F.sum(c).alias(c) for c in names))
     totals = totals.join(points.filter("asked").select("p", "v").mapInArrow(shallow, "p long, shallow long"), "p")
-    level = F.lit(0) if whole else F.col("shallow")
-    for depth in () if whole else range(first + 1, BITS + 1):
+    level = F.col("shallow")
+    for depth in range(first + 1, BITS + 1):
         level = F.when(F.col(f"n{depth}") >= wanted, depth).otherwise(level)
     levels = keep(spark, totals.select("p", level.cast("long").alias("level")), "levels")
 
