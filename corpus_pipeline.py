@@ -8,11 +8,11 @@ Nulls: rows with a null doc_id are kept like others; null text fails the quality
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyglossa.llm import jaccard, packing, quality, repeats, secrets
-from polyglossa.llm.common import keep, read_table
+from polyglossa.llm.common import discard, keep, read_table, scratch
 from polyglossa.session import ship_package
 
 
@@ -34,12 +34,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id; a row that is there twice stays once."""
+    """One row of each group: the one with the smallest doc_id, null last; of several of these, any one. Rows without words link with nothing and stay."""
     ship_package(spark)
-    first = jaccard.join_documents(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["first_id"]), "left_semi")
-    copy = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
-    return kept.withColumn("_copy", F.row_number().over(copy)).filter("_copy = 1").drop("_copy")
+    number = "row" + "_" * max(map(len, docs.columns))  # longer than any column's name
+    rows = keep(spark, docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    found = jaccard.join_documents(rows, id_col=number).select(F.col("doc_id").alias("n"), "component_id")
+    ids = rows.select(F.col(number).alias("n"), F.col("doc_id").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n")).alias("first")
+    kept = found.join(ids, "n").groupBy("component_id").agg(first).select(F.col("first.n").alias(number))
+    return rows.join(kept, number, "left_semi").select(*(f"`{c}`" for c in docs.columns))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +74,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; scratch tables of a stage go once its result is written, and so do the rows of the stage before."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = keep(spark, stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch() as made:
+            found = keep(spark, stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        # tables that the operator has removed already are no error
+        discard(spark, *(x for x in made if x is not found), *([docs] if name != STAGES[0][0] else []))
+        docs = found
     return docs
