@@ -27,8 +27,13 @@ def clean_invisible(c: Column) -> Column:
     return F.translate(F.coalesce(c, F.lit("")), INVISIBLE, "")
 
 
+def stripped(c: Column) -> Column:
+    """Without characters that are not shown and outer white space."""
+    return F.regexp_replace(clean_invisible(c), r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+
+
 def raw_lower(c: Column) -> Column:
-    return F.lower(F.regexp_replace(clean_invisible(c), r"^[ \t\r\n]+|[ \t\r\n]+$", ""))
+    return F.lower(stripped(c))
 
 
 def lookup_text(c: Column) -> Column:
@@ -47,6 +52,15 @@ def lookup_variants(c: Column) -> Column:
     return F.array_distinct(F.filter(F.array(raw_lower(c), lookup_text(c), strip_diacritics(lookup_text(c))), lambda x: x != ""))
 
 
+def record_id(source: Column, target: Column, row_id: Column) -> Column:
+    """`bgs-eng-0001`: codes of the languages and the id in four digits at least; another id with its odd characters as hyphens."""
+    codes = F.create_map(*(F.lit(x) for kv in CODES.items() for x in kv))
+    text = F.trim(row_id.cast("string"))
+    slug = F.regexp_replace(F.regexp_replace(text, "[^A-Za-z0-9_-]+", "-"), "^-+|-+$", "")
+    name = F.when(text.rlike("^[0-9]+$"), F.lpad(text, F.greatest(F.lit(4), F.length(text)), F.lit("0"))).otherwise(slug)
+    return F.concat_ws("-", F.coalesce(F.element_at(codes, source), source), F.coalesce(F.element_at(codes, target), target), name)
+
+
 def words(c: Column) -> Column:
     return F.filter(F.split(F.coalesce(c, F.lit("")), r"[ \t\r\n]+"), lambda w: w != "")
 
@@ -65,16 +79,24 @@ def preserve_case(source: Column, target: Column) -> Column:
     return F.when((head == F.upper(head)) & (head != F.lower(head)), F.concat(F.upper(F.substring(target, 1, 1)), F.substr(target, F.lit(2)))).otherwise(target)
 
 
-#: Spellings of language names and the codes of the languages.
-ALIASES = {"bgs": "tagabawa", "bagobo": "tagabawa", "bagobo tagabawa": "tagabawa", "eng": "english", "en": "english", "fil": "filipino", "tagalog": "filipino", "tl": "filipino", "ceb": "cebuano", "bisaya": "cebuano"}
+#: Spellings of language names (by alias key) and the codes of the languages.
+ALIASES = {
+    "bagobo": "tagabawa", "tagabawa": "tagabawa", "bagobo tagabawa": "tagabawa", "bagobo-tagabawa": "tagabawa", "bgs": "tagabawa", "english": "english", "en": "english", "eng": "english",
+    "filipino": "filipino", "tagalog": "filipino", "fil": "filipino", "tgl": "filipino", "cebuano": "cebuano", "ceb": "cebuano", "bisaya": "cebuano", "visayan": "cebuano",
+}
 CODES = {"tagabawa": "bgs", "english": "eng", "filipino": "fil", "cebuano": "ceb"}
-#: Texts that stand for a missing translation, and methods that show the source instead.
-REVIEW_MARKERS = ("[UNKNOWN_FOR_REVIEW]", "[UNTRANSLATED]", "[REVIEW]", "[NEEDS REVIEW]")
-SOURCE_METHODS = ("unknown_for_review", "source_fallback", "identity_fallback", "unknown")
+#: Marks of a missing translation in a text, and methods whose lines show the source instead.
+REVIEW_MARKERS = ("[UNKNOWN_FOR_REVIEW]", "UNKNOWN_FOR_REVIEW", "byt5_unavailable", "untranslated_needs_review")
+SOURCE_METHODS = ("unknown_for_review", "untranslated_needs_review", "byt5_unavailable", "untranslated")
+#: Endings that a column's header may add to a language's name, for the languages that allow each.
+HEADER_ENDINGS = {"text": ("tagalog", "bagobo", "bagobo tagabawa", "english", "cebuano"), "source": ("tagalog", "bagobo", "english", "cebuano")}
+#: Engines by extraction method; others are text extraction.
+ENGINES = {"direct_pdf_text": "pymupdf_text", "docx_text": "python-docx", "plain_text": "plain_text", "ocr_image": "tesseract"}
 
 
 def alias_key(c: Column) -> Column:
-    return F.regexp_replace(F.trim(F.lower(F.translate(clean_invisible(c), "_-", "  "))), r"[ \t\r\n]+", " ")
+    """Lower case, underscores as spaces, white space collapsed."""
+    return F.trim(F.regexp_replace(F.lower(F.translate(clean_invisible(c), "_", " ")), r"[ \t\r\n]+", " "))
 
 
 def normalize_lang(c: Column, aliases: dict[str, str] = ALIASES) -> Column:
@@ -83,6 +105,20 @@ def normalize_lang(c: Column, aliases: dict[str, str] = ALIASES) -> Column:
     return F.coalesce(F.element_at(names, alias_key(c)), alias_key(c))
 
 
+def canonical_header(header: str | None, aliases: dict[str, str] = ALIASES) -> str | None:
+    """`<language>_source` for any header that names a language; on the driver, for schemas."""
+    key = " ".join("".join(c for c in header or "" if c not in INVISIBLE).lower().split())
+    languages = set(aliases.values())
+    if key.endswith("_source") and key.removesuffix("_source") in languages:
+        return key
+    key = " ".join(key.replace("_", " ").split())
+    for ending, names in HEADER_ENDINGS.items():
+        if key.endswith(" " + ending) and key.removesuffix(" " + ending) in names:
+            key = key.removesuffix(" " + ending)
+            break
+    return f"{aliases[key]}_source" if key in aliases else None
+
+
 def pair_text(c: Column) -> Column:
     """One side of a pair key: lower case, white space collapsed."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[ \t\r\n]+", " "))
@@ -98,15 +134,69 @@ def notes_flags(notes: Column) -> Column:
     return F.struct(flags.alias("flags"), loose.alias("review_import"), strict.alias("review_export"))
 
 
-def is_fallback(target: Column, method: Column) -> Column:
-    marked = F.lit(False)
+def is_trainable(c: Column) -> Column:
+    """Neither blank nor marked for review."""
+    text = F.coalesce(c, F.lit(""))
+    return (F.regexp_replace(text, r"[ \t\r\n]+", "") != "") & ~text.contains(REVIEW_MARKERS[0])
+
+
+def notes_value(notes: Column, key: str) -> Column:
+    """The value of `key:value` among the parts of notes that bars separate; null without one."""
+    return F.nullif(F.regexp_extract(notes, rf"(?:^|\|)\s*{key}:([^|]*)", 1), F.lit(""))
+
+
+def notes_ids(notes: Column) -> Column:
+    """The numbers of `source_ids:1,2`; parts that are no numbers go."""
+    parts = F.split(F.coalesce(notes_value(notes, "source_ids"), F.lit("")), r"\s*,\s*")
+    return F.transform(F.filter(parts, lambda x: x.rlike("^[0-9]+$")), lambda x: x.cast("long"))
+
+
+def line_kind(c: Column) -> Column:
+    """'list_item' if the text starts with a digit or a bullet, else 'text'."""
+    return F.when(F.coalesce(F.trim(c), F.lit("")).rlike("^[0-9\u2022*-]"), "list_item").otherwise("text")
+
+
+def to_float(c: Column) -> Column:
+    """A number, null for what is none."""
+    return c.cast("string").try_cast("double")
+
+
+def to_count(c: Column) -> Column:
+    """A whole number of at least 0; 0 for what is none."""
+    return F.greatest(F.coalesce(c.cast("string").try_cast("long"), F.lit(0)), F.lit(0))
+
+
+def engine_label(method: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in ENGINES.items() for x in kv)), method), F.lit("text_extraction"))
+
+
+def method_label(method: Column) -> Column:
+    return F.coalesce(F.nullif(F.trim(method), F.lit("")), F.lit("text_extraction"))
+
+
+def _shown(c: Column) -> Column:
+    return F.lower(F.trim(clean_invisible(c)))
+
+
+def is_fallback(target: Column, method: Column, stage: Column | None = None) -> Column:
+    """Whether the source must be shown: a blank or marked target, or a method or stage that has none."""
+    marked = _shown(target) == ""
     for m in REVIEW_MARKERS:
-        marked = marked | F.upper(target).contains(m)
-    return F.coalesce(F.trim(target), F.lit("")).eqNullSafe("") | F.coalesce(marked, F.lit(False)) | F.coalesce(method.isin(*SOURCE_METHODS), F.lit(False))
+        marked = marked | _shown(target).contains(m.lower())
+    for c in (method, stage):
+        if c is not None:
+            marked = marked | _shown(c).isin(*SOURCE_METHODS)
+    return marked
+
+
+def display_text(source: Column, target: Column, method: Column, stage: Column | None = None) -> Column:
+    return F.when(is_fallback(target, method, stage), clean_invisible(source)).otherwise(clean_invisible(target))
 
 
-def display_text(source: Column, target: Column, method: Column) -> Column:
-    return F.when(is_fallback(target, method), source).otherwise(target)
+def color_triple(c: Column) -> Column:
+    """Red, green and blue in 0..1 of three numbers, which count to 255 if any is over 1; null for another number of them."""
+    scale = F.when(F.exists(c, lambda v: v > 1), 255.0).otherwise(1.0)
+    return F.when(F.size(c) == 3, F.transform(c, lambda v: F.round(F.least(F.greatest(v / scale, F.lit(0.0)), F.lit(1.0)), 4)))
 
 
 def color_rgb(packed: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from polyglossa.functions.text import display_text
 from polyglossa.operators.layout import tokens
 
 
@@ -16,21 +17,25 @@ def tm_alternatives(rows: DataFrame) -> DataFrame:
     return once.withColumn("nth", F.row_number().over(order)).filter("nth > 1").select("variant", "target", "nth")
 
 
-def bilingual_page(lines: DataFrame, found: DataFrame, page: int = 0, size: int = 20) -> DataFrame:
-    """doc_id, line_no, source, display, needs_review of one page. found: what tm_lookup gives for the lines."""
-    own = lines.filter(F.floor(F.col("line_no") / size) == page).select("doc_id", "line_no", F.col("text").alias("source"))
-    shown = F.when(F.col("needs_review"), F.col("source")).otherwise(F.col("translated"))
-    return own.join(found, ["doc_id", "line_no"]).select("doc_id", "line_no", "source", shown.alias("display"), "needs_review")
+def page_lines(lines: DataFrame, page: int = 0, size: int = 20) -> DataFrame:
+    """Lines of one page; taken before the lookup, so that no other line is looked up."""
+    return lines.filter((F.col("line_no") >= page * size) & (F.col("line_no") < (page + 1) * size))
+
+
+def bilingual_page(found: DataFrame) -> DataFrame:
+    """doc_id, line_no, source, display, raw, needs_review. found: what tm_lookup gives for the lines of a page."""
+    return found.select("doc_id", "line_no", F.col("text").alias("source"), display_text(F.col("text"), F.col("translated"), F.col("method")).alias("display"), F.col("translated").alias("raw"), "needs_review")
 
 
 def roll_up_blocks(found: DataFrame, size: int = 5) -> DataFrame:
-    """doc_id, block, text, method ('mixed' if lines differ), confidence, needs_review of blocks of `size` lines."""
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "translated"))), lambda x: x["translated"]), "\n")
+    """doc_id, block, text, method ('mixed' if lines differ), confidence (null without one), needs_review, warning (the first) of blocks of `size` lines."""
+    shown = display_text(F.col("text"), F.col("translated"), F.col("method"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", shown.alias("shown")))), lambda x: x["shown"]), "\n")
     made = found.groupBy("doc_id", F.floor(F.col("line_no") / size).alias("block")).agg(
-        joined.alias("text"), F.min("method").alias("lo"), F.max("method").alias("hi"),
-        F.round(F.avg("confidence"), 4).alias("confidence"), F.max("needs_review").alias("needs_review"),
+        joined.alias("text"), F.min("method").alias("lo"), F.max("method").alias("hi"), F.round(F.avg("confidence"), 4).alias("confidence"),
+        F.max("needs_review").alias("needs_review"), F.min(F.when(F.col("warning").isNotNull(), F.struct("line_no", "warning")))["warning"].alias("warning"),
     )
-    return made.select("doc_id", "block", "text", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise("mixed").alias("method"), "confidence", "needs_review")
+    return made.select("doc_id", "block", "text", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise("mixed").alias("method"), "confidence", "needs_review", "warning")
 
 
 def line_language(lines: DataFrame, vocab: DataFrame, threshold: float = 0.30, boost: float = 1.5, fallback: str = "en") -> DataFrame:

@@ -1,31 +1,117 @@
-"""Translation-memory lookup as an equi-join on lookup variants."""
+"""Translation-memory lookup as an equi-join on lookup variants.
+
+A memory has one column for each language and row_pos, which orders its rows. Null texts read as empty ones.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from polyglossa.functions.text import lookup_variants, preserve_case
+from polyglossa.functions.text import lookup_text, preserve_case, raw_lower, strip_diacritics, stripped
+
+#: Methods of found, missing and unchanged texts.
+EXACT, NORMALIZED, UNKNOWN, IDENTITY = "exact_phrase", "normalized_phrase", "unknown_for_review", "identity"
+FALLBACK_WARNING = "Machine translation; needs review."
+
+
+def _variants(df: DataFrame, text: str) -> DataFrame:
+    """df with `nth` and `variant`: each form of the text once, normalized step by step."""
+    steps = df.withColumn("_raw", raw_lower(F.col(text))).withColumn("_norm", lookup_text(F.col(text))).withColumn("_plain", strip_diacritics(F.col("_norm")))
+    forms = F.array_distinct(F.filter(F.array("_raw", "_norm", "_plain"), lambda x: x != ""))
+    return steps.withColumn("_forms", forms).select(*df.columns, "_raw", F.explode("_forms").alias("variant"), "_norm").withColumn(
+        "nth", F.when(F.col("variant") == F.col("_raw"), 0).when(F.col("variant") == F.col("_norm"), 1).otherwise(2)
+    ).drop("_raw", "_norm")
+
 
+def tm_index(memory: DataFrame, langs: tuple[str, ...], sources: tuple[str, ...] | None = None) -> DataFrame:
+    """src_lang, tgt_lang, variant, row_pos, target: the first row of each variant with a target in that language, so that a join cannot fan out."""
+    targets = F.filter(F.array(*(F.struct(F.lit(t).alias("tgt_lang"), F.col(t).alias("target")) for t in langs)), lambda x: F.trim(F.coalesce(x["target"], F.lit(""))) != "")
+    texts = F.array(*(F.struct(F.lit(s).alias("src_lang"), F.col(s).alias("text")) for s in sources or langs))
+    long = memory.select("row_pos", F.explode(texts).alias("s"), targets.alias("targets")).select("row_pos", "s.*", "targets")
+    pairs = _variants(long, "text").select("row_pos", "src_lang", "variant", F.explode("targets").alias("t")).select("row_pos", "src_lang", "variant", "t.*").filter("src_lang <> tgt_lang")
+    best = pairs.groupBy("src_lang", "tgt_lang", "variant").agg(F.min(F.struct("row_pos", "target")).alias("best"))
+    return best.select("src_lang", "tgt_lang", "variant", "best.row_pos", "best.target")
 
-def tm_index(memory: DataFrame) -> DataFrame:
-    """variant, row_pos, target: the first row of each variant with a target, so that a join cannot fan out."""
-    rows = memory.filter(F.coalesce("target", F.lit("")) != "").select("row_pos", "target", F.explode(lookup_variants(F.col("text"))).alias("variant"))
-    return rows.groupBy("variant").agg(F.min(F.struct("row_pos", "target")).alias("best")).select("variant", "best.row_pos", "best.target")
+
+def _lookup(distinct: DataFrame, index: DataFrame) -> DataFrame:
+    """text, src_lang, tgt_lang, nth, target of the texts that the index has."""
+    probes = _variants(distinct, "text")
+    keys = ["text", "src_lang", "tgt_lang"]
+    best = probes.join(index, ["src_lang", "tgt_lang", "variant"]).groupBy(*keys).agg(F.min(F.struct("nth", "row_pos", "target")).alias("hit"))
+    return best.select(*keys, "hit.nth", "hit.target")
 
 
 def tm_lookup(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """translated, method, confidence, needs_review for each row of queries (doc_id, line_no, text).
+    """translated, method, confidence, needs_review beside the columns of queries (text, src_lang, tgt_lang and any ids).
 
-    Distinct texts are looked up once: a frequent line is joined once however often it occurs.
+    Empty texts are unknown, texts whose languages are the same stay as they are; neither is looked up. Distinct texts are looked up
+    once: a frequent line is joined once however often it occurs.
     """
-    texts = queries.select("text").distinct()
-    probes = texts.select("text", F.posexplode(lookup_variants(F.col("text"))).alias("nth", "variant"))
-    best = probes.join(index, "variant").groupBy("text").agg(F.min(F.struct("nth", "row_pos", "target")).alias("hit")).select("text", "hit.nth", "hit.target")
-    out = queries.join(best, "text", "left")
-    hit = F.col("target").isNotNull()
+    original = stripped(F.col("text"))
+    empty = original == ""
+    same = F.col("src_lang").eqNullSafe(F.col("tgt_lang"))
+    asked = queries.filter(~empty & ~same).select("text", "src_lang", "tgt_lang").distinct()
+    out = queries.join(_lookup(asked, index), ["text", "src_lang", "tgt_lang"], "left")
+    identity = ~empty & same
+    hit = F.col("target").isNotNull() & ~identity
     return out.select(
-        "doc_id", "line_no", F.when(hit, preserve_case(F.col("text"), F.col("target"))).otherwise(F.col("text")).alias("translated"),
-        F.when(~hit, "unknown_for_review").when(F.col("nth") == 0, "exact_phrase").otherwise("normalized_phrase").alias("method"),
-        F.when(hit, 1.0).otherwise(0.0).alias("confidence"), (~hit).alias("needs_review"),
+        *queries.columns, F.when(hit, preserve_case(original, F.col("target"))).when(identity, F.col("text")).otherwise(original).alias("translated"),
+        F.when(identity, IDENTITY).when(~hit, UNKNOWN).when(F.col("nth") == 0, EXACT).otherwise(NORMALIZED).alias("method"),
+        F.when(hit | identity, 1.0).otherwise(0.0).alias("confidence"), (~(hit | identity)).alias("needs_review"),
     )
+
+
+def with_fallback(found: DataFrame, translate: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], src_lang: str, tgt_lang: str, method: str = "fallback") -> DataFrame:
+    """found with `warning`; rows of one direction that need review go through `translate` (text to text), others stay.
+
+    translate takes and yields frames with columns row and text; it is called once for a partition of distinct texts, so a model is loaded once.
+    A text that it leaves out or gives null for keeps its row. Found ones have no confidence and need review.
+    """
+    mine = F.col("needs_review") & (F.col("src_lang") == src_lang) & (F.col("tgt_lang") == tgt_lang) & (stripped(F.col("text")) != "")
+    texts = found.filter(mine).select(F.col("text").alias("row")).distinct().select("row", F.col("row").alias("text"))
+    made = texts.mapInPandas(translate, "row string, text string").filter(F.col("text").isNotNull()).groupBy("row").agg(F.min("text").alias("made"))
+    out = found.join(made, mine & (F.col("text") == F.col("row")), "left")
+    new = F.col("made").isNotNull()
+    return out.select(
+        *(c for c in found.columns if c not in ("translated", "method", "confidence", "needs_review")),
+        F.coalesce("made", "translated").alias("translated"), F.when(new, method).otherwise(F.col("method")).alias("method"),
+        F.when(~new, F.col("confidence")).alias("confidence"), (new | F.col("needs_review")).alias("needs_review"), F.when(new, FALLBACK_WARNING).alias("warning"),
+    )
+
+
+def tm_coverage(found: DataFrame) -> DataFrame:
+    """src_lang, tgt_lang, method, n, share (of the direction's rows)."""
+    counts = found.groupBy("src_lang", "tgt_lang", "method").agg(F.count("*").alias("n"))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("src_lang", "tgt_lang")))
+
+
+def _grams(c: Column, n: int = 3) -> Column:
+    text = F.concat(F.lit(" "), c, F.lit(" "))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
+
+
+def tm_suggest(queries: DataFrame, memory: DataFrame, similarity: int = 82) -> DataFrame:
+    """key, suggestion, score: the most similar memory text (100 * (1 - distance / longer length)) of each distinct lookup text at `similarity` or more.
+
+    Never changes a lookup. Exact: a text of length n within distance k keeps some of its rarest 3k + 1 trigrams, and only lengths
+    within k are compared; trigrams are ordered from rare to frequent, so lists of frequent ones are not read.
+    queries: text; memory: text, target.
+    """
+    key = lookup_text(F.col("text"))
+    mine = queries.select(key.alias("key")).filter("key <> ''").distinct()
+    theirs = memory.groupBy(key.alias("other")).agg(F.min("target").alias("suggestion")).filter("other <> ''")
+    slack = F.floor(F.greatest(F.col("size"), F.lit(1)) * (100 - similarity) / similarity).cast("int")
+    both = mine.select("key", F.lit(0).alias("side")).union(theirs.select("other", F.lit(1)))
+    grams = both.select("key", "side", F.length("key").alias("size"), F.explode(_grams(F.col("key"))).alias("gram"))
+    rare = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("side", "key").orderBy("n", "gram")
+    kept = grams.join(rare, "gram").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= 3 * slack + 1)
+    a, b = (kept.filter(F.col("side") == s) for s in (0, 1))
+    pairs = a.select("gram", "key", "size").join(b.select("gram", F.col("key").alias("other"), F.col("size").alias("size_b")), "gram").filter(F.abs(F.col("size") - F.col("size_b")) <= slack)
+    scored = pairs.select("key", "other").distinct().withColumn("score", F.round(100 * (1 - F.levenshtein("key", "other") / F.greatest(F.length("key"), F.length("other"))), 2))
+    best = scored.filter(F.col("score") >= similarity).join(theirs, "other").groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("less"), "other", "suggestion")).alias("best"))
+    return best.select("key", "best.suggestion", (-F.col("best.less")).alias("score"))

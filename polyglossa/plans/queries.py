@@ -7,16 +7,24 @@ from pyspark.sql import functions as F
 
 from polyglossa.operators import audit, jobs, tm
 from polyglossa.plans import pairs, reports, review
-from polyglossa.plans.sql import BOOK, CLASS, LINES, LOOKUP, SIZES
+from polyglossa.plans.sql import BOOK, CLASS, LINES, LOOKUP, SIZES, forms
 from polyglossa.sources import views
 
 
+def _found(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
+    return tm.tm_lookup(asked, tm.tm_index(views.memory(spark, sf_dir), ("english", "filipino", "cebuano"), ("english",)))
+
+
 def tm_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tm.tm_lookup(views.lines(spark, sf_dir), tm.tm_index(views.memory(spark, sf_dir)))
+    return _found(spark, sf_dir, views.queries(spark, sf_dir)).drop("text")
+
+
+def tm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tm.tm_index(views.phrasebook(spark, sf_dir).withColumnRenamed("id", "row_pos"), audit.LANGS)
 
 
 def tm_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tm_lookup(spark, sf_dir).groupBy("method").agg(F.count("*").alias("n"))
+    return tm.tm_coverage(tm_lookup(spark, sf_dir))
 
 
 def record_class(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,11 +68,12 @@ def event_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.event_summary(views.table(spark, sf_dir, "events"))
 
 
-QUERIES = {f.__name__: f for f in (tm_lookup, tm_coverage, record_class, audit_counts, audit_types, audit_dups, audit_polysemy, quality_summary, recent_jobs, active_limit, event_summary)}
+QUERIES = {f.__name__: f for f in (tm_lookup, tm_index, tm_coverage, record_class, audit_counts, audit_types, audit_dups, audit_polysemy, quality_summary, recent_jobs, active_limit, event_summary)}
 
 ORACLE_SQL = {
-    "tm_lookup": f"{LOOKUP} SELECT * FROM found",
-    "tm_coverage": f"{LOOKUP} SELECT method, count(*) AS n FROM found GROUP BY method",
+    "tm_lookup": f"{LOOKUP} SELECT * EXCLUDE (text) FROM found",
+    "tm_index": f"WITH {BOOK}, s AS (SELECT id, src_lang, text, english, tagabawa, filipino, cebuano FROM book, LATERAL (VALUES ('english', english), ('tagabawa', tagabawa), ('filipino', filipino), ('cebuano', cebuano)) AS v(src_lang, text)) SELECT src_lang, t.tgt_lang, variant, min(id) AS row_pos, min_by(t.target, id) AS target FROM {forms('s', 'id, src_lang, english, tagabawa, filipino, cebuano')} m, LATERAL (VALUES ('english', english), ('tagabawa', tagabawa), ('filipino', filipino), ('cebuano', cebuano)) AS t(tgt_lang, target) WHERE src_lang <> t.tgt_lang AND trim(t.target) <> '' GROUP BY 1, 2, 3",
+    "tm_coverage": f"{LOOKUP} SELECT src_lang, tgt_lang, method, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY src_lang, tgt_lang) AS share FROM found GROUP BY 1, 2, 3",
     "record_class": f"WITH {LINES} SELECT lang, {CLASS} AS record_class, count(*) AS n FROM (SELECT lang, {SIZES} FROM lines) GROUP BY 1, 2",
     "audit_counts": f"WITH {BOOK} SELECT count(*) AS total, count(*) FILTER (WHERE cebuano <> '') AS complete, count(*) FILTER (WHERE cebuano = '') AS missing_any FROM book",
     "audit_types": f"WITH {BOOK}, long AS (SELECT lang, text FROM book, LATERAL (VALUES ('english', english), ('tagabawa', tagabawa), ('filipino', filipino), ('cebuano', cebuano)) AS v(lang, text)) SELECT lang, {CLASS} AS record_class, count(*) AS n FROM (SELECT lang, {SIZES} FROM long) GROUP BY 1, 2",

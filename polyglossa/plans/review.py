@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from polyglossa.functions.text import INVISIBLE
 from polyglossa.operators import layout, review, tm
 from polyglossa.plans import reports
 from polyglossa.plans.sql import BOOK, LINES, LOOKUP, PAIRS
@@ -18,16 +19,16 @@ def tm_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.tm_alternatives(views.phrasebook(spark, sf_dir).select("id", F.col("tagabawa").alias("text"), F.col("english").alias("target")))
 
 
-def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tm.tm_lookup(views.lines(spark, sf_dir), tm.tm_index(views.memory(spark, sf_dir)))
+def _found(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
+    return tm.tm_lookup(asked, tm.tm_index(views.memory(spark, sf_dir), ("english", "filipino", "cebuano"), ("english",)))
 
 
 def bilingual_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.bilingual_page(views.lines(spark, sf_dir), _found(spark, sf_dir))
+    return review.bilingual_page(_found(spark, sf_dir, review.page_lines(views.queries(spark, sf_dir))))
 
 
 def translated_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.roll_up_blocks(_found(spark, sf_dir))
+    return review.roll_up_blocks(_found(spark, sf_dir, views.queries(spark, sf_dir)).withColumn("warning", F.when(F.col("needs_review"), F.concat_ws(" ", F.lit("line"), "line_no"))))
 
 
 def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,8 +110,8 @@ _VOTES = rf"""{reports.VOCAB}, {LINES}, own AS (SELECT doc_id, line_no, {reports
 
 ORACLE_SQL = {
     "tm_alternatives": f"WITH {BOOK}, o AS (SELECT lower(trim(tagabawa)) AS variant, english AS target, min(id) AS id FROM book WHERE trim(english) <> '' GROUP BY 1, 2) SELECT variant, target, nth FROM (SELECT *, (row_number() OVER (PARTITION BY variant ORDER BY id, target))::INT AS nth FROM o) WHERE nth > 1",
-    "bilingual_page": f"{LOOKUP} SELECT f.doc_id, f.line_no, l.text AS source, CASE WHEN f.needs_review THEN l.text ELSE f.translated END AS display, f.needs_review FROM found f JOIN lines l ON f.doc_id = l.doc_id AND f.line_no = l.line_no WHERE f.line_no < 20",
-    "translated_layout": f"{LOOKUP} SELECT doc_id, line_no // 5 AS block, string_agg(translated, chr(10) ORDER BY line_no) AS text, CASE WHEN min(method) = max(method) THEN min(method) ELSE 'mixed' END AS method, round(avg(confidence), 4) AS confidence, bool_or(needs_review) AS needs_review FROM found GROUP BY 1, 2",
+    "bilingual_page": f"{LOOKUP} SELECT doc_id, line_no, text AS source, CASE WHEN needs_review THEN translate(text, '{INVISIBLE}', '') ELSE translate(translated, '{INVISIBLE}', '') END AS display, translated AS raw, needs_review FROM found WHERE line_no < 20",
+    "translated_layout": f"{LOOKUP} SELECT doc_id, line_no // 5 AS block, string_agg(CASE WHEN needs_review THEN translate(text, '{INVISIBLE}', '') ELSE translate(translated, '{INVISIBLE}', '') END, chr(10) ORDER BY line_no) AS text, CASE WHEN min(method) = max(method) THEN min(method) ELSE 'mixed' END AS method, round(avg(confidence), 4) AS confidence, bool_or(needs_review) AS needs_review, min_by('line ' || line_no, line_no) FILTER (WHERE needs_review) AS warning FROM found GROUP BY 1, 2",
     "detect_language": f"WITH {_VOTES} SELECT * FROM votes",
     "doc_language": f"""WITH {_VOTES}, c AS (SELECT doc_id, found, count(*) AS n, min(line_no) AS seen FROM votes WHERE confidence >= 0.5 GROUP BY 1, 2),
       s AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS total, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, seen) AS r FROM c),

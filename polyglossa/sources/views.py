@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from polyglossa.functions.text import normalize_lang, strip_diacritics
+
 #: Notes of phrasebook rows.
 NOTES = ("", "auto-split from slash values", "manual check", "need to double check", "plural")
 #: Unwanted pieces of text.
@@ -22,10 +24,23 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A translation memory: distinct benchmark lines and those of every tenth document; row_pos orders them."""
-    marks = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "\n")).alias("text")).filter(F.regexp_replace("text", r"[ \t\r\n]+", "") != "")
-    sampled = lines(spark, sf_dir).filter(F.col("doc_id") % 10 == 0).select("text")
-    return marks.union(sampled).distinct().select("text", F.md5("text").alias("row_pos"), F.concat(F.lit("T:"), "text").alias("target"))
+    """A translation memory of English: all benchmark lines and all lines of English documents, once each; row_pos orders them. Some have no second target."""
+    marks = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "\n")).alias("english")).filter(F.regexp_replace("english", r"[ \t\r\n]+", "") != "")
+    own = lines(spark, sf_dir).filter("lang = 'en'").select(F.col("text").alias("english"))
+    return marks.union(own).distinct().select(
+        F.md5("english").alias("row_pos"), "english", F.concat(F.lit("T:"), "english").alias("filipino"),
+        F.when(F.length("english") % 3 == 0, "").otherwise(F.concat(F.lit("C:"), "english")).alias("cebuano"),
+    )
+
+
+def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines with a disturbance by place (none, outer blanks, marks at the end, no diacritics), their language and the one asked for."""
+    k, n = (F.col("doc_id") + F.col("line_no")) % 4, F.col("line_no") % 5
+    text = F.when(k == 1, F.concat(F.lit("  "), "text", F.lit(" "))).when(k == 2, F.concat("text", F.lit("!!"))).when(k == 3, strip_diacritics(F.col("text"))).otherwise(F.col("text"))
+    return lines(spark, sf_dir).select(
+        "doc_id", "line_no", text.alias("text"), normalize_lang(F.col("lang")).alias("src_lang"),
+        F.when(n == 4, "english").when(n % 2 == 1, "cebuano").otherwise("filipino").alias("tgt_lang"),
+    )
 
 
 def phrasebook(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ def test_repeated_delivery(spark, log, tmp_path):
 
 
 def test_translation(spark, tmp_path):
-    lines, index = views.lines(spark, SF), tm_index(views.memory(spark, SF)).cache()
+    lines, index = views.queries(spark, SF), tm_index(views.memory(spark, SF), ("english", "filipino", "cebuano"), ("english",)).cache()
     events.translate_stream(_stream(spark, lines, tmp_path / "in", 2), index, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).drop("batch")
     want = tm_lookup(lines, index)
