@@ -92,6 +92,22 @@ def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select("doc_id", F.floor(n / 20).alias("page"), n.alias("block_no"), x0.alias("x0"), (x0 + 190).alias("x1"), y0.alias("y0"), F.lit(612).alias("width"), "text")
 
 
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks with types, boxes and, for two documents of three, a confidence: doc_id, page, block_no, type, x0, y0, x1, y1, text, confidence."""
+    n = F.col("block_no")
+    kind = F.when(n % 19 == 5, "table").when(n % 19 == 11, "drawing").when(n % 19 == 17, "image").otherwise("text")
+    sure = F.when(F.col("doc_id") % 3 > 0, ((F.length("text") * 7 + n) % 101) / 100.0)
+    return layout_blocks(spark, sf_dir).select("doc_id", "page", "block_no", kind.alias("type"), "x0", "y0", "x1", (F.col("y0") + 24).alias("y1"), "text", sure.alias("confidence"))
+
+
+def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of 20 lines, blank ones too, and an empty one at the end: doc_id, page, issue."""
+    last = F.floor((F.size(F.split("text", "\n")) - 1) / 20) + 1
+    pages = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("page"))
+    k = (F.col("doc_id") + F.col("page")) % 4
+    return pages.withColumn("issue", F.when(k == 0, "error: no engine").when(k == 1, "low quality scan"))
+
+
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """job, owner, status, created, updated, is_deleted."""
     k, s = F.col("o_orderkey"), F.col("o_orderstatus")

@@ -22,4 +22,4 @@ def test_same_rows(spark, name):
     got = QUERIES[name](spark, SF)
     assert sorted(got.columns) == names
     rows = sorted((tuple(r[c] for c in names) for r in got.collect()), key=repr)
-    assert rows == sorted(want.project(", ".join(names)).fetchall(), key=repr)
+    assert rows == sorted(want.project(", ".join(f'"{c}"' for c in names)).fetchall(), key=repr)
