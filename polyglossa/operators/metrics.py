@@ -52,8 +52,7 @@ def _word_grams(c: Column, n: int) -> Column:
 
 def _char_grams(c: Column, n: int) -> Column:
     t = F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "")
-    starts = F.when(F.length(t) >= n, F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substring(t, i, F.lit(n)))
+    return F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))  # at every place, in one pass
 
 
 def _overlaps(rows: DataFrame, grams, orders: int) -> DataFrame:

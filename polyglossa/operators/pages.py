@@ -20,6 +20,12 @@ def _box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
 
 
+def _mean4(c: str) -> Column:
+    """Mean to four places, halves up, in whole numbers, so that no order of rows matters; null without a value."""
+    n = F.count(c)
+    return F.floor(F.try_divide(2 * F.sum(F.round(F.col(c) * 10000).cast("long")) + n, 2 * n)) / 10000.0
+
+
 def rotate_bbox(x0: Column, y0: Column, x1: Column, y1: Column, degrees: Column, width: Column, height: Column) -> Column:
     """The box in the frame of the page as it was (width, height), before it was turned by `degrees` clockwise to be read."""
     return (
@@ -55,10 +61,10 @@ def ocr_blocks(lines: DataFrame, size: int = 5) -> DataFrame:
     """doc_id, block, order (of first lines), n_lines, x0, y0, x1, y1, confidence (mean of lines, four places). lines: doc_id, line, x0, y0, x1, y1, confidence."""
     made = lines.groupBy("doc_id", F.floor(F.col("line") / size).alias("block")).agg(
         F.min("line").alias("first"), F.count("*").alias("n_lines"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
-        (F.sum(F.round(F.col("confidence") * 1000000).cast("long")) / F.count("confidence")).alias("c"),
+        _mean4("confidence").alias("confidence"),
     )
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("first"))
-    return made.select("doc_id", "block", order.alias("order"), "n_lines", "x0", "y0", "x1", "y1", F.round(F.col("c") / 1000000, 4).alias("confidence"))
+    return made.select("doc_id", "block", order.alias("order"), "n_lines", "x0", "y0", "x1", "y1", "confidence")
 
 
 def _text_blocks(blocks: DataFrame) -> DataFrame:
@@ -79,7 +85,7 @@ def page_qa(pages: DataFrame, blocks: DataFrame, truth: DataFrame, tolerance: fl
     before = F.lag("y0").over(Window.partitionBy("doc_id", "page").orderBy("block_no"))
     sums = _text_blocks(blocks).withColumn("up", F.coalesce(F.col("y0") < before - tolerance, F.lit(False))).groupBy("doc_id", "page").agg(
         F.sum(F.length(F.coalesce("text", F.lit("")))).alias("n_chars"), F.count("*").alias("n_blocks"), F.count_if("up").alias("inversions"), F.count("confidence").alias("n_scanned"),
-        F.round(F.sum(F.round(F.col("confidence") * 10000).cast("long")) / F.count("confidence") / 10000, 4).alias("confidence"),
+        _mean4("confidence").alias("confidence"),
     )
     rates = truth.select("doc_id", "page", F.round(cer(F.col("ref"), F.col("hyp")), 4).alias("cer"), F.round(wer(F.col("ref"), F.col("hyp")), 4).alias("wer"))
     none = F.lit(0).cast("long")
@@ -89,11 +95,6 @@ def page_qa(pages: DataFrame, blocks: DataFrame, truth: DataFrame, tolerance: fl
     )
 
 
-def _mean4(c: str) -> Column:
-    """Mean of numbers of four places, in whole numbers, so that no order of rows matters."""
-    return F.round(F.sum(F.round(F.col(c) * 10000).cast("long")) / F.count(c) / 10000, 4)
-
-
 def document_qa(quality: DataFrame) -> DataFrame:
     """doc_id, n_pages, confidence, cer, wer (means of pages that have them), empty_rate, failed_pages, inversions. quality: what page_qa gives."""
     return quality.groupBy("doc_id").agg(

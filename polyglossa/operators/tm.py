@@ -91,7 +91,7 @@ def tm_coverage(found: DataFrame) -> DataFrame:
 
 def _grams(c: Column, n: int = 3) -> Column:
     text = F.concat(F.lit(" "), c, F.lit(" "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
 def tm_suggest(queries: DataFrame, memory: DataFrame, similarity: int = 82) -> DataFrame:

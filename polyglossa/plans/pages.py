@@ -172,6 +172,10 @@ QUERIES = {
     )
 }
 
+def _mean(c: str) -> str:
+    return f"floor((2 * sum(round({c} * 10000)::BIGINT)::BIGINT + count({c})) / nullif(2 * count({c}), 0)) / 10000.0::DOUBLE"
+
+
 _PRED = f"{BOOK}, pred AS (SELECT id, tagabawa AS source, english AS ref, filipino AS hyp FROM book)"
 _RATE = "CASE WHEN len({r}) = 0 THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, levenshtein(list_aggregate(list_transform({r}, lambda w: chr(32 + list_position({k}, w)::INT)), 'string_agg', ''), coalesce(list_aggregate(list_transform({h}, lambda w: chr(32 + list_position({k}, w)::INT)), 'string_agg', ''), '')) / len({r})) END"
 _WORDS = r"list_filter(regexp_split_to_array({c}, '\s+'), lambda w: w <> '')"
@@ -191,15 +195,11 @@ _QA = f"""{_BLOCKS}, own AS (SELECT doc_id, page, substr(regexp_replace(string_a
   worded AS (SELECT *, {_WORDS.format(c="ref")} AS r, {_WORDS.format(c="translate(ref, 'e', 'o')")} AS h, list_distinct(r || h) AS k, replace(ref, ' ', '') AS rc FROM own),
   rates AS (SELECT doc_id, page, round(CASE WHEN rc = '' THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, levenshtein(rc, translate(rc, 'e', 'o')) / length(rc)) END, 4) AS cer, round({_RATE.format(r='r', h='h', k='k')}, 4) AS wer FROM worded),
   ups AS (SELECT *, y0 < lag(y0) OVER (PARTITION BY doc_id, page ORDER BY block_no) - 5 AS up FROM blocks WHERE type = 'text'),
-  sums AS (SELECT doc_id, page, sum(length(text))::BIGINT AS n_chars, count(*) AS n_blocks, count(*) FILTER (WHERE up) AS inversions, count(confidence) AS n_scanned, round(sum(round(confidence * 10000)::BIGINT)::BIGINT / count(confidence) / 10000.0::DOUBLE, 4) AS confidence FROM ups GROUP BY 1, 2),
+  sums AS (SELECT doc_id, page, sum(length(text))::BIGINT AS n_chars, count(*) AS n_blocks, count(*) FILTER (WHERE up) AS inversions, count(confidence) AS n_scanned, {_mean('confidence')} AS confidence FROM ups GROUP BY 1, 2),
   qa AS (SELECT doc_id, page, coalesce(n_chars, 0) AS n_chars, coalesce(n_blocks, 0) AS n_blocks, coalesce(inversions, 0) AS inversions, confidence, cer, wer, CASE WHEN coalesce(n_scanned, 0) > 0 THEN 'ocr_image' ELSE 'direct_pdf_text' END AS method, issue AS warning,
     CASE WHEN cer IS NULL THEN 'skip' WHEN cer < 0.1 THEN 'pass' ELSE 'fail' END AS verdict FROM sheets LEFT JOIN sums USING (doc_id, page) LEFT JOIN rates USING (doc_id, page))"""
 
 
-def _mean(c: str) -> str:
-    return f"round(sum(round({c} * 10000)::BIGINT)::BIGINT / count({c}) / 10000.0::DOUBLE, 4)"
-
-
 ORACLE_SQL = {
     "wer": f"WITH {_PRED}, w AS (SELECT id, {_WORDS.format(c='ref')} AS r, {_WORDS.format(c='hyp')} AS h, list_distinct(r || h) AS k FROM pred) SELECT id, {_RATE.format(r='r', h='h', k='k')} AS wer FROM w",
     "corpus_bleu": f"""WITH {_PRED}, toks AS (SELECT id, 'h' AS side, {_13A.format(c='hyp')} AS t FROM pred UNION ALL SELECT id, 'r', {_13A.format(c='ref')} FROM pred),
@@ -218,8 +218,8 @@ ORACLE_SQL = {
     "line_kinds": f"WITH {LINES} SELECT lang, CASE WHEN regexp_matches(trim(text), '^[0-9•*-]') THEN 'list_item' ELSE 'text' END AS kind, count(*) AS n FROM lines GROUP BY 1, 2",
     "ocr_blocks": f"""WITH {LINES}, words AS (SELECT doc_id, line_no AS line, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS i FROM lines), rated AS (SELECT *, (length(word) * 37 + i * 11) % 112 - 10 AS conf FROM words WHERE trim(word) <> ''),
       o AS (SELECT doc_id, line, min(i * 30) AS x0, max(i * 30 + length(word) * 5) AS x1, sum(conf)::DOUBLE / count(*) / 100.0::DOUBLE AS confidence FROM rated WHERE conf >= 0 GROUP BY 1, 2),
-      b AS (SELECT doc_id, line // 5 AS block, min(line) AS first, count(*) AS n_lines, min(x0) AS x0, min(20 * line) AS y0, max(x1) AS x1, max(20 * line + 12) AS y1, sum(round(confidence * 1000000)::BIGINT)::BIGINT / count(*) AS c FROM o GROUP BY 1, 2)
-      SELECT doc_id, block, (row_number() OVER (PARTITION BY doc_id ORDER BY first))::INT AS "order", n_lines, x0, y0, x1, y1, round(c / 1000000, 4) AS confidence FROM b""",
+      b AS (SELECT doc_id, line // 5 AS block, min(line) AS first, count(*) AS n_lines, min(x0) AS x0, min(20 * line) AS y0, max(x1) AS x1, max(20 * line + 12) AS y1, {_mean('confidence')} AS confidence FROM o GROUP BY 1, 2)
+      SELECT doc_id, block, (row_number() OVER (PARTITION BY doc_id ORDER BY first))::INT AS "order", n_lines, x0, y0, x1, y1, confidence FROM b""",
     "rotate_bbox": f"""WITH {_BLOCKS} SELECT doc_id, block_no, CASE block_no % 4 WHEN 0 THEN x0 WHEN 1 THEN y0 WHEN 2 THEN 612 - x1 ELSE 612 - y1 END AS x0, CASE block_no % 4 WHEN 0 THEN y0 WHEN 1 THEN 792 - x1 WHEN 2 THEN 792 - y1 ELSE x0 END AS y0,
       CASE block_no % 4 WHEN 0 THEN x1 WHEN 1 THEN y1 WHEN 2 THEN 612 - x0 ELSE 612 - y0 END AS x1, CASE block_no % 4 WHEN 0 THEN y1 WHEN 1 THEN 792 - x0 WHEN 2 THEN 792 - y0 ELSE x1 END AS y1 FROM blocks""",
     "clip_bbox": f"""WITH {_BLOCKS}, s AS (SELECT doc_id, block_no, (block_no % 9) * 40.0::DOUBLE AS s, x0, x1, y0, y1 FROM blocks), c AS (SELECT doc_id, block_no, least(greatest(x0 + s - 2, 0), 612) AS a, least(greatest(least(y0 - s, y1 - 300) - 2, 0), 792) AS b,

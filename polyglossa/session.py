@@ -28,15 +28,20 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read back: lineage ends there. A local folder only where none is set."""
-    spark = df.sparkSession
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder of the cluster; a local one only where none is set and driver and executors share this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         _LOCAL[spark.sparkContext.applicationId] = base
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, read back: lineage ends there."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
