@@ -22,8 +22,13 @@ from polyglossa.functions.text import canonical_header, engine_label, method_lab
 LANGS = ("english", "tagabawa", "filipino", "cebuano")
 #: Keys of a JSON object that may hold the rows, in order; columns of a phrasebook beside its languages.
 ROW_KEYS, META = ("rows", "entries", "data", "phrases"), ("id", "record_id", "topic", "source", "notes")
-#: Fixed value: bytes that the Windows code page 1252 leaves undefined.
-UNDEFINED_1252 = "[\x81\x8d\x8f\x90\x9d]"
+def _page_1252() -> dict[str, str]:
+    """Latin-1 characters of 0x80 to 0x9F and what Windows' code page 1252 has in their place, where it has any."""
+    pairs = ((chr(b), bytes([b]).decode("cp1252", errors="ignore")) for b in range(0x80, 0xA0))
+    return dict(pairs)
+
+
+PAGE_1252 = _page_1252()
 #: File types by extension, and what a DOCX archive must hold.
 FILE_TYPES = {"pdf": "pdf", "docx": "docx", "txt": "txt", "jpg": "image", "jpeg": "image", "png": "image"}
 DOCX_MEMBERS = {"[Content_Types].xml", "word/document.xml"}
@@ -81,7 +86,9 @@ def union_corpora(primary: DataFrame, secondary: DataFrame, source: str = "text_
 def decoded(content: Column) -> Column:
     """Text of bytes as UTF-8 without its mark, else as code page 1252, else as Latin-1."""
     latin = F.decode(content, "ISO-8859-1")
-    legacy = F.when(latin.rlike(UNDEFINED_1252), latin).otherwise(F.decode(content, "windows-1252"))
+    undefined = "[" + "".join(f"\\x{{{ord(k):x}}}" for k, v in PAGE_1252.items() if not v) + "]"
+    known = {k: v for k, v in PAGE_1252.items() if v}
+    legacy = F.when(latin.rlike(undefined), latin).otherwise(F.translate(latin, "".join(known), "".join(known.values())))
     return F.regexp_replace(F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(legacy), "^\ufeff", "")
 
 

@@ -1,10 +1,15 @@
-"""Event streams: duplicates, windows, and lines translated against a fixed memory."""
+"""Event streams: duplicates, windows, quotas, alerts, job states, ingest, and lines translated against a fixed memory."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from polyglossa.operators.retention import admit
 from polyglossa.operators.tm import tm_lookup
 
 
@@ -30,3 +35,84 @@ def translate_stream(lines: DataFrame, index: DataFrame, path: str, checkpoint:
         tm_lookup(batch, index).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return lines.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _keyed(events: DataFrame, delay: str) -> DataFrame:
+    return events.withWatermark("ts", delay)
+
+
+def upload_quota_stream(attempts: DataFrame, limit: int = 5, gap_s: int = 3600, delay: str = "1 hour") -> DataFrame:
+    """user_id, event_id, ts, admitted: the quota of retention.upload_quota over a stream. attempts: user_id (long), event_id (long), ts (timestamp).
+
+    A user's state is a count and an expiry, dropped when the watermark passes the expiry. Attempts of one trigger are judged in order of
+    time; those older than what was judged before see the newer state.
+    """
+
+    def judge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = state.get if state.exists else (0, float("-inf"))
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        seconds = [t.timestamp() for t in rows["ts"]]
+        flags, held = admit(seconds, held, limit, gap_s)
+        state.update(held)
+        state.setTimeoutTimestamp(max(int(held[1] * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "ts": rows["ts"], "admitted": flags})
+
+    return _keyed(attempts.select("user_id", "event_id", "ts"), delay).groupBy("user_id").applyInPandasWithState(
+        judge, "user_id long, event_id long, ts timestamp, admitted boolean", "n int, until double", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def stale_alerts(updates: DataFrame, minutes: int, active: tuple[str, ...], delay: str = "10 minutes") -> DataFrame:
+    """job, status, last: an alert for a job that stays active without an update for the given minutes of event time. updates: job (string), status, ts.
+
+    The latest update by time counts, so late ones do not hide newer ones. An alert comes once; a new update arms the job again.
+    """
+
+    def watch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            status, last = state.get
+            state.remove()
+            yield pd.DataFrame({"job": [key[0]], "status": [status], "last": [pd.Timestamp(last, unit="us")]})
+            return
+        rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
+        status, last = rows["status"].iloc[-1], int(rows["ts"].iloc[-1].value // 1000)
+        if state.exists and state.get[1] > last:
+            status, last = state.get
+        if status not in active:
+            state.remove()
+            return
+        state.update((status, last))
+        state.setTimeoutTimestamp(max(last // 1000 + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
+
+    return _keyed(updates.select("job", "status", "ts"), delay).groupBy("job").applyInPandasWithState(
+        watch, "job string, status string, last timestamp", "status string, last long", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def fold_job_state(updates: DataFrame, final: str) -> DataFrame:
+    """job, status, n: each job's latest status, the final one never overwritten; the batch form is review.fold_status. updates: job, status, ts, event_id. For update or complete mode."""
+    made = updates.groupBy("job").agg(F.max(F.struct("ts", "event_id", "status")).alias("last"), F.coalesce(F.max(F.col("status") == final), F.lit(False)).alias("done"), F.count("*").alias("n"))
+    return made.select("job", F.when(F.col("done"), final).otherwise(F.col("last.status")).alias("status"), "n")
+
+
+def ingest_stream(rows: DataFrame, good: str, bad: str, checkpoint: str):
+    """A query that parts each batch of pairs (record_id, source_text, target_text): usable rows to `good`, others with their reason to `bad`.
+
+    Each batch has its own folder in both, so one that runs again after a failure replaces what it wrote.
+    """
+    source, target = (F.trim(F.coalesce(F.col(c), F.lit(""))) for c in ("source_text", "target_text"))
+    reason = (
+        F.when(F.coalesce(F.trim("record_id"), F.lit("")) == "", "no id").when(source == "", "blank source").when(target == "", "blank target")
+        .when(source == target, "copy").when(F.concat(source, target).contains("�"), "replacement character")
+    )
+
+    def put(batch: DataFrame, number: int) -> None:
+        told = batch.withColumn("reason", reason).persist()
+        told.filter("reason is null").drop("reason").write.mode("overwrite").parquet(f"{good}/batch={number}")
+        told.filter("reason is not null").write.mode("overwrite").parquet(f"{bad}/batch={number}")
+        told.unpersist()
+
+    return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
