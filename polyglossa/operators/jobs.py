@@ -17,9 +17,9 @@ def recent_jobs(jobs: DataFrame, n: int = 5) -> DataFrame:
     return jobs.withColumn("nth", F.row_number().over(latest)).filter(F.col("nth") <= n).select("owner", "job", "nth")
 
 
-def active_limit(jobs: DataFrame, limit: int = 2) -> DataFrame:
-    """Owners with at least `limit` active jobs. jobs: owner, status."""
-    return jobs.filter(F.col("status").isin("O", "P")).groupBy("owner").agg(F.count("*").alias("active")).filter(F.col("active") >= limit)
+def active_limit(jobs: DataFrame, active: tuple[str, ...], limit: int = 2) -> DataFrame:
+    """Owners with at least `limit` jobs in one of the active statuses. jobs: owner, status."""
+    return jobs.filter(F.col("status").isin(*active)).groupBy("owner").agg(F.count("*").alias("active")).filter(F.col("active") >= limit)
 
 
 def event_summary(events: DataFrame) -> DataFrame:

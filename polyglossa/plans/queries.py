@@ -61,7 +61,7 @@ def recent_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def active_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.active_limit(_jobs(spark, sf_dir))
+    return jobs.active_limit(_jobs(spark, sf_dir), ("O", "P"))
 
 
 def event_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
