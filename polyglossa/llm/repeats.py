@@ -6,7 +6,9 @@ that hold them. Contexts that are equal as a whole are repeats already. The othe
 transform of the contexts, with a mark at the anchor, is extended backward from the interval of the mark, one symbol of left context
 at a time and all intervals breadth first. After l steps the members of an interval share l symbols to the left, in the order of their
 right contexts; neighbours there that share `length` - l symbols to the right share a window. Intervals of one member are
-dropped, and extension stops where a window would leave the anchor.
+dropped, and extension stops where a window would leave the anchor. An interval with more members than a task takes is cut before it
+is extended: windows with at most so many steps to the left share the bytes right of the mark that all of them hold, the others those left of it,
+so each half is dealt by these bytes, and again where it is still too large, until members share a whole window.
 
 Texts are UTF-8 bytes, null counts as empty, texts shorter than `length` hold no window. Texts that occur twice are removed whole.
 Rows with equal texts get equal results, whatever their doc_id (null too). Other columns are not read. Long texts are read in
@@ -16,6 +18,7 @@ overlapping pieces, whole.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import STEP_BYTES, U64, bitmap, in_bitmap, keep, mix, prefix_sums, signed, span_hashes, text_buffers, text_steps
 
-#: Bytes of a gram; bits of the filters of fixed size; contexts that one step of a task extends; contexts from which an anchor counts as hot.
-GRAM, FILTER, STEP_CONTEXTS, HOT = 32, 26, 20_000, 40_000
+#: Bytes of a gram; contexts that one step of a task extends; most contexts of an interval that is not cut.
+GRAM, STEP_CONTEXTS, MOST = 32, 20_000, 40_000
+#: Fewest and most bits of a filter (64 MB); between them it has 16 for each key. A fuller one lets more through, and joins decide.
+FILTER = (20, 29)
 
 
 def _sliding(op, x: np.ndarray, width: int) -> np.ndarray:
@@ -81,22 +86,22 @@ def _marks(df: DataFrame, length: int) -> DataFrame:
 
 
 def _contexts(df: DataFrame, length: int, wanted) -> DataFrame:
-    """h, lo, size, left, anchor, ctx, bytes: the context of each anchor that may repeat. bytes is null where the task gave them before."""
+    """h, h2, lo, size, place, anchor, ctx, bytes: the context of each anchor that may repeat. bytes is null where the task gave them before."""
 
     def run(batches):
         bits, texts, given = wanted.value, set(), set()
         for b in batches:
-            hashes = b.column(1).to_numpy()
+            hashes, second = b.column(1).to_numpy(), b.column(2).to_numpy()
             fresh = np.zeros(len(b), bool)
-            for k, h in enumerate(hashes.tolist()):
+            for k, h in enumerate(zip(hashes.tolist(), second.tolist())):
                 if h not in texts:
                     texts.add(h)
                     fresh[k] = True
-            cols, held = [[] for _ in range(7)], 0
+            cols, held = [[] for _ in range(8)], 0
 
             def flush():
-                types = [pa.int64()] * 6 + [pa.binary()]
-                out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if k < 6 and c else c, t) for k, (c, t) in enumerate(zip(cols, types))], ["h", "lo", "size", "place", "anchor", "ctx", "bytes"])
+                types = [pa.int64()] * 7 + [pa.binary()]
+                out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if k < 7 and c else c, t) for k, (c, t) in enumerate(zip(cols, types))], ["h", "h2", "lo", "size", "place", "anchor", "ctx", "bytes"])
                 for c in cols:
                     c.clear()
                 return out
@@ -115,16 +120,16 @@ def _contexts(df: DataFrame, length: int, wanted) -> DataFrame:
                 for key, x, y in zip((gram ^ ctx).tolist(), lo.tolist(), hi.tolist()):
                     blobs.append(None if key in given else raw[x:y])
                     given.add(key)
-                for col, x in zip(cols, (hashes[first + row], lo - starts[row], hi - lo, at - lo, signed(gram), signed(ctx))):
+                for col, x in zip(cols, (hashes[first + row], second[first + row], lo - starts[row], hi - lo, at - lo, signed(gram), signed(ctx))):
                     col.append(x)
-                cols[6] += blobs
+                cols[7] += blobs
                 held += len(blobs)
                 if held > 20_000:
                     yield flush()
                     held = 0
             yield flush()
 
-    return df.select("text", "h").mapInArrow(run, "h long, lo long, size long, place long, anchor long, ctx long, bytes binary")
+    return df.select("text", "h", "h2").mapInArrow(run, "h long, h2 long, lo long, size long, place long, anchor long, ctx long, bytes binary")
 
 
 def extend(group: np.ndarray, contexts: list[bytes], place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,18 +198,17 @@ def extend(group: np.ndarray, contexts: list[bytes], place: np.ndarray, length:
 
 
 def _matched(contexts: DataFrame, length: int) -> DataFrame:
-    """anchor, ctx, s, e: the bytes of a context that lie in recurring windows. contexts: anchor, ctx, place, bytes."""
+    """anchor, ctx, s, e: the bytes of a context that lie in recurring windows. contexts: interval, anchor, ctx, place, bytes."""
 
     def solve(held):
         t = pa.Table.from_batches(held).combine_chunks()
-        anchor, ctx, place = (t.column(k).to_numpy() for k in range(3))
-        order = np.lexsort((ctx, anchor))
-        new = np.ones(len(order), bool)
-        new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (ctx[order][1:] != ctx[order][:-1])
-        order = order[new]
-        anchor, ctx, place = anchor[order], ctx[order], place[order]
-        group = np.cumsum(np.r_[0, anchor[1:] != anchor[:-1]])
-        few, many = extend(group, t.column(3).take(pa.array(order)).to_pylist(), place, length)
+        interval, anchor, ctx, place = (t.column(k).to_numpy() for k in range(4))
+        order = np.lexsort((ctx, anchor, interval))
+        key = np.stack([interval, anchor, ctx])[:, order]
+        order = order[np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)]]
+        interval, anchor, ctx, place = interval[order], anchor[order], ctx[order], place[order]
+        group = np.cumsum(np.r_[0, interval[1:] != interval[:-1]])
+        few, many = extend(group, t.column(4).take(pa.array(order)).to_pylist(), place, length)
         hit = few >= 0
         return pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (anchor, ctx, place - many, place - few + length)], ["anchor", "ctx", "s", "e"])
 
@@ -213,9 +217,9 @@ def _matched(contexts: DataFrame, length: int) -> DataFrame:
         for b in batches:
             if not len(b):
                 continue
-            anchor = b.column(0).to_numpy()
-            cut = int(np.searchsorted(anchor, anchor[-1]))
-            if n + cut >= STEP_CONTEXTS and (cut or held[-1].column(0)[-1].as_py() != anchor[0]):
+            interval = b.column(0).to_numpy()
+            cut = int(np.searchsorted(interval, interval[-1]))
+            if n + cut >= STEP_CONTEXTS and (cut or held[-1].column(0)[-1].as_py() != interval[0]):
                 yield solve([*held, b.slice(0, cut)])
                 held, n, b = [], 0, b.slice(cut)
             held.append(b)
@@ -223,45 +227,70 @@ def _matched(contexts: DataFrame, length: int) -> DataFrame:
         if held:
             yield solve(held)
 
-    return contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, ctx long, s long, e long")
+    contexts = contexts.select("interval", "anchor", "ctx", "place", "bytes")
+    return contexts.repartition("interval").sortWithinPartitions("interval").mapInArrow(run, "anchor long, ctx long, s long, e long")
 
 
-def _matched_hot(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many contexts: their windows are counted by hash over all tasks."""
-    steps = F.sequence(F.greatest(F.lit(0), length - (F.length("bytes") - F.col("place"))).cast("int"), F.least(F.lit(length - GRAM), F.col("place")).cast("int"))
-    rows = contexts.filter(F.length("bytes") >= length).dropDuplicates(["anchor", "ctx"]).select("anchor", "ctx", "place", "bytes", F.explode(steps).alias("step"))
-    window = F.substring(F.col("bytes"), F.col("place").cast("int") - F.col("step") + 1, F.lit(length))
-    rows = rows.select("anchor", "ctx", "place", "step", F.xxhash64(window).alias("w"), F.xxhash64(F.lit(1), window).alias("w2"))
-    twice = rows.groupBy("anchor", "step", "w", "w2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    return rows.join(twice, ["anchor", "step", "w", "w2"], "left_semi").groupBy("anchor", "ctx").agg((F.min("place") - F.max("step")).alias("s"), (F.min("place") - F.min("step") + length).alias("e"))
+def _cut(spark, contexts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Intervals of at most MOST contexts that hold every pair with a common window, and anchor, ctx, s, e of those done without extension.
+
+    contexts: anchor, ctx, place, bytes, each once. A range few..many of steps to the left is halved at a time, eight times at most;
+    a context goes to the halves in which it has a window. A range of one step leaves contexts that share its window.
+    """
+    reach = length - GRAM
+    shares = F.xxhash64("anchor", "few", "many", F.substring("bytes", F.col("place").cast("int") - F.col("few") + 1, F.col("few") + length - F.col("many")))
+    large, small, done = contexts.withColumn("few", F.lit(0)).withColumn("many", F.lit(reach)), [], []
+    for _ in range(reach.bit_length()):
+        middle = F.expr("cast((few + many) div 2 as int)")
+        halves = F.array(F.struct("few", middle.alias("many")), F.struct((middle + 1).alias("few"), "many"))
+        split = large.withColumn("half", F.explode(halves)).select("anchor", "ctx", "place", "bytes", "half.few", "half.many")
+        # the steps at which the context has a window
+        split = split.filter(F.greatest("few", length - (F.length("bytes") - F.col("place"))) <= F.least("many", "place"))
+        split = keep(spark, split.withColumn("interval", shares), "intervals")
+        sizes = split.groupBy("interval", "anchor").agg(F.count("*").alias("n")).filter("n > 1")
+        split = split.join(keep(spark, sizes, "sizes"), ["interval", "anchor"])
+        whole = F.col("few") == F.col("many")
+        done.append(split.filter(whole).select("anchor", "ctx", (F.col("place") - F.col("few")).alias("s"), (F.col("place") - F.col("few") + length).alias("e")))
+        small.append(split.filter(~whole & (F.col("n") <= MOST)).select("interval", "anchor", "ctx", "place", "bytes"))
+        large = split.filter(~whole & (F.col("n") > MOST)).select("anchor", "ctx", "place", "bytes", "few", "many")
+        if large.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, small), reduce(DataFrame.unionByName, done)
+
+
+def _filter(spark, keys: DataFrame) -> np.ndarray:
+    """Membership bits of a column of longs, sized by their number."""
+    return bitmap(spark, keys, min(max((16 * keys.count()).bit_length(), FILTER[0]), FILTER[1]))
 
 
 def strip_documents(df: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text adds `kept`, the bytes that stay, as text (cut characters dropped)."""
     spark = df.sparkSession
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
-    copied = docs.select("h", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).filter(F.col("n") >= length).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    whole = F.coalesce(F.col(text_col), F.lit(""))
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(whole).alias("h"), F.xxhash64(F.lit(1), whole).alias("h2"))
+    copied = docs.select("h", "h2", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).filter(F.col("n") >= length).groupBy("h", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h", "h2")
     copied = keep(spark, copied, "copied")
     repeated = keep(spark, _marks(docs, length).groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor"), "anchors")
-    wanted = spark.sparkContext.broadcast(bitmap(spark, repeated, FILTER))
+    wanted = spark.sparkContext.broadcast(_filter(spark, repeated))
     found = keep(spark, _contexts(docs, length, wanted), "contexts")
-    places = found.select("anchor", "ctx", "h", "lo", "size").distinct()
+    places = found.select("anchor", "ctx", "h", "h2", "lo", "size").distinct()
     classes = keep(spark, places.groupBy("anchor", "ctx").agg(F.count("*").alias("n"), F.min("size").alias("size")), "classes")
     anchors = classes.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1")
     anchors = keep(spark, anchors, "mixed")
     blobs = found.filter("bytes is not null").select("anchor", "ctx", "place", "bytes")
-    usual = blobs.join(anchors.filter(F.col("m") <= HOT), "anchor", "left_semi")
-    hot = blobs.join(anchors.filter(F.col("m") > HOT), "anchor", "left_semi")
+    usual = blobs.join(anchors.filter(F.col("m") <= MOST), "anchor", "left_semi").withColumn("interval", F.col("anchor"))
     whole = classes.filter((F.col("n") > 1) & (F.col("size") >= length)).select("anchor", "ctx", F.lit(0).cast("long").alias("s"), F.col("size").alias("e"))
+    hot = anchors.filter(F.col("m") > MOST)
+    if not hot.isEmpty():
+        small, done = _cut(spark, blobs.join(hot, "anchor", "left_semi").dropDuplicates(["anchor", "ctx"]), length)
+        usual, whole = usual.unionByName(small), whole.unionByName(done)
     cuts = _matched(usual, length).unionByName(whole)
-    if anchors.filter(F.col("m") > HOT).limit(1).count():
-        cuts = cuts.unionByName(_matched_hot(hot, length))
-    spans = places.join(cuts, ["anchor", "ctx"]).select("h", (F.col("lo") + F.col("s")).alias("s"), (F.col("lo") + F.col("e")).alias("e"))
-    spans = spans.groupBy("h").agg(F.collect_set(F.struct("s", "e")).alias("spans")).join(copied, "h", "left_anti")
+    spans = places.join(cuts, ["anchor", "ctx"]).select("h", "h2", (F.col("lo") + F.col("s")).alias("s"), (F.col("lo") + F.col("e")).alias("e"))
+    spans = spans.groupBy("h", "h2").agg(F.collect_set(F.struct("s", "e")).alias("spans")).join(copied, ["h", "h2"], "left_anti")
     spans = keep(spark, spans, "spans")
-    touched = spark.sparkContext.broadcast((bitmap(spark, spans.select("h").union(copied), FILTER)))
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
-    names = ["doc_id", "h", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+    touched = spark.sparkContext.broadcast(_filter(spark, spans.select("h").union(copied.select("h"))))
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, h long, h2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
+    names = ["doc_id", "h", "h2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
 
     def untouched(batches):
         """Final rows where nothing is removed, except for the text's hash; the text itself only where it is needed again."""
@@ -272,12 +301,12 @@ def strip_documents(df: DataFrame, length: int = 200, id_col: str = "doc_id", te
             text = b.column(1) if with_text else pa.array([x if t else None for x, t in zip(raw, hot_)], pa.binary()).cast(pa.string())
             n = pa.array([len(x or b"") for x in raw], pa.int64())
             zero = pa.array(np.zeros(len(b), np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), n, zero, zero, pa.array(digest, pa.string()), text], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), n, zero, zero, pa.array(digest, pa.string()), text], names)
 
     def cut(batches):
         for b in batches:
             rows = [[] for _ in range(4)]
-            for text, sp, all_ in zip(b.column(6), b.column(7).to_pylist(), b.column(8).to_pylist()):
+            for text, sp, all_ in zip(b.column(7), b.column(8).to_pylist(), b.column(9).to_pylist()):
                 raw = (text.as_py() or "").encode()
                 merged: list[list[int]] = []
                 for x in [{"s": 0, "e": len(raw)}] if all_ else sorted(sp or [], key=lambda x: x["s"]):
@@ -290,10 +319,10 @@ def strip_documents(df: DataFrame, length: int = 200, id_col: str = "doc_id", te
                 for col, v in zip(rows, (len(raw) - len(left), len(merged), hashlib.sha256(left).hexdigest(), left.decode(errors="ignore") if text.is_valid else None)):
                     col.append(v)
             text = pa.array(rows[3], pa.string()) if with_text else pa.nulls(len(b), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string()), text], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string()), text], names)
 
     first = keep(spark, docs.mapInArrow(untouched, schema), "rows")
     done = first.filter("kept_sha256 is not null")
-    again = first.filter("kept_sha256 is null").join(spans, "h", "left").join(copied.withColumn("copied", F.lit(True)), "h", "left").select(*names, "spans", F.coalesce("copied", F.lit(False)).alias("copied"))
+    again = first.filter("kept_sha256 is null").join(spans, ["h", "h2"], "left").join(copied.withColumn("copied", F.lit(True)), ["h", "h2"], "left").select(*names, "spans", F.coalesce("copied", F.lit(False)).alias("copied"))
     out = done.unionByName(again.mapInArrow(cut, schema))
-    return out.select(*(c for c in names if c not in ("h", "text")), *([F.col("text").alias("kept")] if with_text else []))
+    return out.select(*(c for c in names if c not in ("h", "h2", "text")), *([F.col("text").alias("kept")] if with_text else []))
