@@ -38,7 +38,7 @@ def _planes(trees: int, dim: int) -> np.ndarray:
 def _codes(x: np.ndarray, extra: np.ndarray, planes: np.ndarray) -> np.ndarray:
     """One code per row and tree; the first projection gives the highest bit."""
     signs = (x @ planes[:, :-1].T + extra[:, None] * planes[:, -1]) >= 0
-    return signs.reshape(len(x), -1, BITS) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+    return signs.reshape(len(x), len(planes) // BITS, BITS) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:

@@ -273,6 +273,22 @@ def test_neighbours_beyond_parts(spark, least):
         assert same >= 0.95 * 19 * len(asked)
 
 
+def test_neighbours_few_queries(spark):
+    """Batches without any query, a table without any, and a pool that a clustered table keeps small."""
+    r = random.Random(4)
+    middles = [[r.gauss(0, 1) for _ in range(8)] for _ in range(60)]
+    rows = [(i, [x + r.gauss(0, 0.1) for x in middles[i % 60]]) for i in range(1, 3_001)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = collections.defaultdict(set)
+    for x in neighbours.nearest(df, every=1_000, least=0).collect():
+        found[x.query_id].add(x.vec_id)
+    assert sorted(found) == [1_000, 2_000, 3_000]
+    for q, got in found.items():
+        want = sorted((-sum(a * b for a, b in zip(rows[q - 1][1], w)), i) for i, w in rows if i != q)[:20]
+        assert len(got & {i for _, i in want}) >= 17
+    assert not neighbours.nearest(df, every=5_000).count()
+
+
 def test_toxicity_bound(spark, monkeypatch):
     """Rows that share a doc_id do not widen the sample."""
     docs = spark.createDataFrame([(i, f"text {i} copy {k}") for i in range(60) for k in range(10)] + [(60, None)], "doc_id long, text string")
