@@ -103,6 +103,6 @@ def shard_documents(df: DataFrame, shards: int = 16, tolerance: float = 0.002, i
     base = sizes.select("shard", "lot", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     number = F.row_number().over(Window.partitionBy("shard", "lot").orderBy("doc_id", "text_crc32", "size")) - 1
     return (
-        placed.withColumn("number", number).join(F.broadcast(base), ["shard", "lot"])
+        placed.withColumn("number", number).join(base, ["shard", "lot"])
         .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("number")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     )
