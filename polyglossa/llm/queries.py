@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, infill, jaccard, licences, neighbours, packing, quality, repeats, secrets, sharding, toxicity
+from . import bpe, fingerprints, infill, jaccard, licences, neighbours, packing, quality, repeats, secrets, sharding, toxicity
 from .common import read_table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -51,12 +51,16 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.strip_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op11_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.fill_digest(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secrets, op2_jaccard, op3_neighbours, op4_bpe, op5_sharding, op6_packing, op7_toxicity, op8_quality, op9_licences, op10_repeats, op13_infill)
+    for f in (op1_secrets, op2_jaccard, op3_neighbours, op4_bpe, op5_sharding, op6_packing, op7_toxicity, op8_quality, op9_licences, op10_repeats, op11_syncmers, op13_infill)
 }
 ORACLE_SQL: dict[str, str] = {"op13_infill": infill.SQL}
