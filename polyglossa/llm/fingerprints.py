@@ -230,7 +230,7 @@ def _order(ids: pa.Array, hashes: pa.Array, places: pa.Array) -> np.ndarray:
     return np.ascontiguousarray(np.stack(columns, 1).astype(">u8")).view("S32").reshape(-1)
 
 
-def beside_next(df: DataFrame, lot_bytes: int = 64 << 20) -> DataFrame:
+def beside_next(df: DataFrame, lot_bytes: int = 32 << 20) -> DataFrame:
     """lot, ghost, id, text: each lot sorted by key, and after its last row the first of the next lot once more, as a ghost.
 
     lot_bytes: of text in a lot on average. The first keys of the lots (32 bytes each) pass through the driver.
@@ -265,7 +265,7 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def compare_edited(df: DataFrame, k: int = K, inner: int = INNER, lot_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def compare_edited(df: DataFrame, k: int = K, inner: int = INNER, lot_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next: each text against its edited form and the next one."""
 
     def run(batches):
