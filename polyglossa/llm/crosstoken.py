@@ -31,6 +31,8 @@ import os
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,12 @@ ENTRY = 100
 LEVELS = 40
 
 
+#: Chunks encoded as one text; such a text splits at its chunks again.
+TOGETHER = 512
+#: Links of a group beyond which they are counted by distinct ids.
+WIDE = 4096
+
+
 class Aligner:
     """Both tokenizers and the bytes of their ids."""
 
@@ -62,36 +70,91 @@ class Aligner:
         letters = _byte_letters()
         with open(path_a, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
-        self.bytes_a = {i: bytes(letters[c] for c in token) for token, i in vocabulary.items()}
+        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
+            self.bytes_a[i] = bytes(letters[c] for c in token)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("B has pieces with a space inside; chunks would not be exact")
+        if len(self.bytes_a) > 1 << 16:
+            raise ValueError("ids of A have to fit in 16 bits")
+        self.sizes_a, self.sizes_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
+        most = max(len(self.bytes_a), len(self.bytes_b))
+        self.written = [[f"{i}{end}" for i in range(most)] for end in (",", "|", ";", "\n")]
 
     def chunks(self, text: str) -> list[str]:
         return _CUT.split(" " + text)
 
-    def align(self, chunks: list[str]) -> Iterator[tuple[bytes | None, list[tuple[list[int], list[int]]]]]:
-        """For each chunk (a space first): its bytes as both give them back, null where they don't; and its groups of ids."""
-        for chunk, a, b in zip(chunks, self.a.encode_batch(chunks, add_special_tokens=False), self.b.encode([c[1:] for c in chunks], num_threads=1)):
-            raw = chunk.encode()
-            if b"".join(self.bytes_a[i] for i in a.ids) != raw or b"".join(self.bytes_b[i] for i in b) != raw:
-                yield None, []
-                continue
-            groups, i, j, end_a, end_b, ids_a, ids_b = [], 0, 0, 0, 0, [], []
-            while i < len(a.ids) or j < len(b):
-                if end_a <= end_b:
-                    end_a += len(self.bytes_a[a.ids[i]])
-                    ids_a.append(a.ids[i])
-                    i += 1
-                else:
-                    end_b += len(self.bytes_b[b[j]])
-                    ids_b.append(b[j])
-                    j += 1
-                if end_a == end_b:
-                    groups.append((ids_a, ids_b))
-                    ids_a, ids_b = [], []
-            yield raw, groups
+    def encoded(self, groups: list[list[str]]) -> Iterator[tuple[list[str], list[int] | None, list[int]]]:
+        """(chunks, ids of A, ids of B) of neighbouring chunks; ids of A null for a chunk that is not given back byte for byte."""
+        texts, apart = ["".join(g) for g in groups], []
+        for g, t, a, b in zip(groups, texts, self.a.encode_batch_fast(texts, add_special_tokens=False), self.b.encode([t[1:] for t in texts], num_threads=1)):
+            raw, ids = t.encode(), a.ids
+            if b"".join([self.bytes_a[i] for i in ids]) == raw == b"".join([self.bytes_b[i] for i in b]):
+                yield g, ids, b
+            elif len(g) == 1:
+                yield g, None, []
+            else:
+                apart += [[c] for c in g]
+        if apart:
+            yield from self.encoded(apart)
+
+    def align(self, chunks: list[str], text: bool) -> Iterator[Aligned]:
+        groups, last = [group := []], ""
+        for c in chunks:
+            if len(group) >= TOGETHER or last.isspace() or c[1:2].isspace() or len(c) < 2:
+                groups.append(group := [])
+            group.append(c)
+            last = c[-1]
+        good, bad = [], []
+        for found in self.encoded([g for g in groups if g]):
+            (bad if found[1] is None else good).append(found)
+        if good:
+            yield self._aligned([c for g, _, _ in good for c in g], *(np.concatenate([np.array(x[k], np.int64) for x in good]) for k in (1, 2)), text)
+        if bad:
+            none = np.zeros(len(bad), np.int64)
+            yield Aligned([g[0] for g, _, _ in bad], np.stack([none - 1, none, none], 1), none, none[:0], none[:0], [""] * len(bad))
+
+    def _aligned(self, chunks: list[str], a: np.ndarray, b: np.ndarray, text: bool) -> Aligned:
+        ends = np.cumsum(np.array(list(map(len, map(str.encode, chunks))), np.int64))
+        ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
+        common = ends_a[ends_b[np.searchsorted(ends_b, ends_a)] == ends_a]  # both end at the last byte
+        chunk, group_a, group_b = np.searchsorted(ends, common), np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        n_a, n_b = (np.bincount(g, minlength=len(common)) for g in (group_a, group_b))
+        first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        wide = np.flatnonzero(n_a * n_b > WIDE)
+        owner, place = _spread(np.where(n_a * n_b > WIDE, 0, n_a * n_b))
+        keys = [chunk[owner] << 48 | a[first_a[owner] + place // n_b[owner]] << 32 | b[first_b[owner] + place % n_b[owner]]]
+        times = [np.ones(len(owner), np.int64)]
+        for g in wide:
+            (x, m), (y, n) = (np.unique(ids[f[g] : f[g] + k[g]], return_counts=True) for ids, f, k in ((a, first_a, n_a), (b, first_b, n_b)))
+            keys.append((chunk[g] << 48 | x[:, None] << 32 | y).reshape(-1))
+            times.append((m[:, None] * n).reshape(-1))
+        key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.zeros(len(key), np.int64)
+        np.add.at(total, inverse, np.concatenate(times))
+        numbers = np.stack([np.bincount(c, minlength=len(chunks)) for c in (chunk[group_a], chunk[group_b], chunk)], 1)
+        return Aligned(chunks, numbers, np.bincount(key >> 48, minlength=len(chunks)), key & ((1 << 48) - 1), total, self._strings(a, b, chunk, group_a, group_b) if text else [])
+
+    def _strings(self, a: np.ndarray, b: np.ndarray, chunk: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> list[str]:
+        """The groups of each chunk: A's ids, then B's, of one group after the other."""
+        last_a, last_b = np.diff(group_a, append=-1) != 0, np.diff(group_b, append=-1) != 0
+        last_chunk = np.diff(chunk, append=-1) != 0
+        end = np.r_[np.where(last_a, 1, 0), np.where(last_b, np.where(last_chunk[group_b], 3, 2), 0)]
+        order = np.lexsort((np.r_[np.zeros(len(a), bool), np.ones(len(b), bool)], np.r_[group_a, group_b]))
+        return "".join([self.written[e][i] for e, i in zip(end[order].tolist(), np.r_[a, b][order].tolist())]).split("\n")[:-1]
+
+
+class Aligned(NamedTuple):
+    """Chunks: n_a, n_b, n_groups of each (-1 where bytes differ), number of its distinct pairs, the pairs and their links, groups as text."""
+
+    chunks: list[str]
+    numbers: np.ndarray
+    n_pairs: np.ndarray
+    pairs: np.ndarray
+    times: np.ndarray
+    strings: list[str]
 
 
 def _byte_letters() -> dict[str, int]:
@@ -110,49 +173,42 @@ def loaded(path_a: str, path_b: str) -> Aligner:
     return _LOADED[path_a, path_b]
 
 
-def pair_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return a.astype(np.int64) << 32 | b.astype(np.int64)
+class Grown:
+    """An array that rows are added to."""
+
+    def __init__(self, *shape: int) -> None:
+        self.held, self.n = np.zeros((1024, *shape), np.int64), 0
+
+    def add(self, rows: np.ndarray) -> None:
+        if self.n + len(rows) > len(self.held):
+            held = np.zeros((max(2 * len(self.held), self.n + len(rows)), *self.held.shape[1:]), np.int64)
+            held[: self.n] = self.held[: self.n]
+            self.held = held
+        self.held[self.n : self.n + len(rows)] = rows
+        self.n += len(rows)
+
+    def __call__(self) -> np.ndarray:
+        return self.held[: self.n]
 
 
 class Chunks:
-    """What a task knows of the chunks met: token and group numbers, and links by pair."""
+    """What a task knows of the chunks met: token and group numbers, pairs (a << 32 | b) and their links."""
 
     def __init__(self, aligner: Aligner, text: bool) -> None:
-        self.aligner, self.text = aligner, text
+        self.aligner, self.text, self.size = aligner, text, 0
         self.number: dict[str, int] = {}
-        self.size = 0
-        self.numbers: list[tuple[int, int, int]] = []  # n_a, n_b, n_groups; -1 where the bytes differ
         self.strings: list[str] = []
-        self.pairs: list[np.ndarray] = []
-        self.times: list[np.ndarray] = []
+        self.numbers, self.n_pairs, self.pairs, self.times = Grown(3), Grown(), Grown(), Grown()
 
     def meet(self, texts: list[list[str]]) -> None:
-        new = list(dict.fromkeys(c for t in texts for c in t if c not in self.number))
-        for at in range(0, len(new), 4096):
-            for chunk, (raw, groups) in zip(new[at : at + 4096], self.aligner.align(new[at : at + 4096])):
-                self.number[chunk] = len(self.numbers)
-                self.size += len(chunk) + ENTRY
-                self.numbers.append((sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups)) if raw is not None else (-1, 0, 0))
-                if self.text:
-                    self.strings.append(";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups))
-                found: dict[int, int] = {}
-                for ids_a, ids_b in groups:
-                    if len(ids_a) == len(ids_b) == 1:
-                        key = ids_a[0] << 32 | ids_b[0]
-                        found[key] = found.get(key, 0) + 1
-                        continue
-                    for a, m in _counted(ids_a):
-                        for b, n in _counted(ids_b):
-                            found[a << 32 | b] = found.get(a << 32 | b, 0) + m * n
-                self.pairs.append(np.fromiter(found.keys(), np.int64, len(found)))
-                self.times.append(np.fromiter(found.values(), np.int64, len(found)))
-
-
-def _counted(ids: list[int]) -> list[tuple[int, int]]:
-    if len(ids) == 1:
-        return [(ids[0], 1)]
-    values, times = np.unique(np.array(ids), return_counts=True)
-    return list(zip(values.tolist(), times.tolist()))
+        new = list(set().union(*texts).difference(self.number))
+        for at in range(0, len(new), 1 << 14):
+            for found in self.aligner.align(new[at : at + (1 << 14)], self.text):
+                self.number.update(zip(found.chunks, range(len(self.number), len(self.number) + len(found.chunks))))
+                self.size += sum(map(len, found.chunks)) + ENTRY * len(found.chunks)
+                self.strings += found.strings
+                for grown, more in zip((self.numbers, self.n_pairs, self.pairs, self.times), found[1:5]):
+                    grown.add(more)
 
 
 def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,9 +235,11 @@ def aligned_steps(batches: Iterator[pa.RecordBatch], paths: tuple[str, str], tex
             if known.size > most_chunks:
                 known = Chunks(aligner, text)
             known.meet(held)
-            numbers = [[known.number[c] for c in t] for t in held]
-            numbers = [[] if any(known.numbers[c][0] < 0 for c in set(t)) else t for t in numbers]
-            yield b, at, np.fromiter((c for t in numbers for c in t), np.int64), np.r_[0, np.cumsum([len(t) for t in numbers])].astype(np.int64), known
+            numbers = np.array(list(map(known.number.__getitem__, chain.from_iterable(held))), np.int64)
+            counts = np.array([len(t) for t in held], np.int64)
+            doc = np.repeat(np.arange(len(held)), counts)
+            bad = np.bincount(doc[known.numbers()[numbers, 0] < 0], minlength=len(held)) > 0
+            yield b, at, numbers[~bad[doc]], np.r_[0, np.cumsum(np.where(bad, 0, counts))], known
             at += len(held)
 
 
@@ -192,17 +250,15 @@ def partial_counts(df: DataFrame, paths: tuple[str, str], most_chunks: int, most
         held: dict[int, int] = {}
         for _, _, numbers, begins, known in aligned_steps(batches, paths, False, most_chunks):
             doc = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
-            # a chunk once for each document, then its pairs once for each
-            one = np.unique(doc * len(known.numbers) + numbers)
-            doc, chunk = one // max(1, len(known.numbers)), one % max(1, len(known.numbers))
-            if not len(chunk):
+            if not len(numbers):
                 continue
-            used, chunk = np.unique(chunk, return_inverse=True)
-            pairs, inverse = np.unique(np.concatenate([known.pairs[c] for c in used]), return_inverse=True)
-            sizes = np.array([len(known.pairs[c]) for c in used])
-            owner, place = _spread(sizes[chunk])
-            member = inverse[(np.cumsum(sizes) - sizes)[chunk][owner] + place]
-            once = np.unique(doc[owner] * len(pairs) + member) % len(pairs)
+            # a chunk once for each document, then its pairs once for each
+            n, first = known.n_pairs(), np.cumsum(known.n_pairs()) - known.n_pairs()
+            one = np.unique(doc * len(n) + numbers)
+            doc, chunk = one // len(n), one % len(n)
+            owner, place = _spread(n[chunk])
+            pairs, member = np.unique(known.pairs()[first[chunk][owner] + place], return_inverse=True)
+            once = np.unique(doc[owner] * len(pairs) + member) % max(1, len(pairs))
             for pair, n in zip(pairs.tolist(), np.bincount(once, minlength=len(pairs)).tolist()):
                 held[pair] = held.get(pair, 0) + n
             if len(held) > most_pairs:
@@ -414,14 +470,12 @@ def looked_up(df: DataFrame, paths: tuple[str, str], group: list, slices: int, f
             lookup = lookup or Lookup(shared.value, slices)
             if chunks is not known:
                 known, sums = chunks, np.zeros((0, 6), np.int64)
-            if len(sums) < len(known.numbers):  # chunks met since
-                new = range(len(sums), len(known.numbers))
-                sizes = np.array([len(known.pairs[c]) for c in new])
+            if len(sums) < len(known.number):  # chunks met since
+                sizes, seen = known.n_pairs()[len(sums) :], int(known.n_pairs()[: len(sums)].sum())
                 owner, _ = _spread(sizes)
-                pairs, times = (np.concatenate([x[c] for c in new]) for x in (known.pairs, known.times))
-                counts, best = lookup(pairs)
+                times, (counts, best) = known.times()[seen:], lookup(known.pairs()[seen:])
                 more = np.zeros((len(sizes), 6), np.int64)
-                more[:, :3] = [known.numbers[c] for c in new]
+                more[:, :3] = known.numbers()[len(sums) :]
                 for j, value in enumerate((times, times * best, times * counts), 3):
                     np.add.at(more[:, j], owner, value)
                 sums = np.concatenate([sums, more])
@@ -441,7 +495,7 @@ def looked_up(df: DataFrame, paths: tuple[str, str], group: list, slices: int, f
 
 def align_documents(
     df: DataFrame, path_a: str, path_b: str, slice_pairs: int = 1 << 17, least_slices: int = 16, group_pairs: int = 1 << 21, salt_rows: int = 1 << 21, fan: int = 8,
-    most_pairs: int = 1 << 20, most_chunks: int = 1 << 25, id_col: str = "doc_id", text_col: str = "text", with_groups: bool = False,
+    most_pairs: int = 1 << 20, most_chunks: int = 1 << 26, id_col: str = "doc_id", text_col: str = "text", with_groups: bool = False,
 ) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256; with_groups adds the groups `a1,a2|b1;a3|b2,b3`.
 

@@ -110,3 +110,11 @@ def test_chunks_are_exact(docs):
 
 def test_byte_letters():
     assert sorted(ct._byte_letters().values()) == list(range(256))
+
+
+def test_wide_groups(monkeypatch):
+    """Links of long groups, counted by distinct ids, are those of the plain product."""
+    aligner, t = ct.loaded(A, B), [" " + "=" * 900 + "-" * 7, " " + "漢字" * 50, " ß"]
+    plain = [x for f in aligner.align(t, True) for x in f[2:]]
+    monkeypatch.setattr(ct, "WIDE", 1)
+    assert all(np.array_equal(x, y) for x, y in zip(plain, [x for f in aligner.align(t, True) for x in f[2:]]))
