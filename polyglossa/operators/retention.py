@@ -146,14 +146,3 @@ def train_profiles(df: DataFrame, n: int = 3) -> DataFrame:
     unseen = base.select("lang", F.lit(None).cast("string").alias("gram"), (1 / F.col("base")).alias("p"))
     return known.union(unseen).select("lang", "gram", F.round(F.ln("p") * 1000000).cast("long").alias("logp"))
 
-
-def ngram_langid(df: DataFrame, profiles: DataFrame, keys: list[str], n: int = 3, top: int = 3) -> DataFrame:
-    """keys, lang, rank, score of the `top` languages of each text with a character. df: keys, text; profiles: what train_profiles gives."""
-    own = _gram_counts(df.filter(F.trim(F.coalesce("text", F.lit(""))) != ""), keys, n)
-    unseen = profiles.filter("gram is null").select("lang", F.col("logp").alias("least"))
-    gains = own.join(profiles.filter("gram is not null").join(F.broadcast(unseen), "lang").select("gram", "lang", (F.col("logp") - F.col("least")).alias("gain")), "gram")
-    sums = gains.groupBy(*keys, "lang").agg(F.sum(F.col("c") * F.col("gain")).alias("gain"))
-    sizes = own.groupBy(*keys).agg(F.sum("c").alias("size")).crossJoin(F.broadcast(unseen))  # a row for each language
-    scored = sizes.join(sums, [*keys, "lang"], "left").withColumn("score", F.col("size") * F.col("least") + F.coalesce("gain", F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "lang"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= top).select(*keys, "lang", "rank", "score")

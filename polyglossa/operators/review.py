@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyglossa.functions.text import display_text
-from polyglossa.operators.layout import tokens
 
 
 def tm_alternatives(rows: DataFrame) -> DataFrame:
@@ -38,39 +37,6 @@ def roll_up_blocks(found: DataFrame, size: int = 5) -> DataFrame:
     return made.select("doc_id", "block", "text", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise("mixed").alias("method"), "confidence", "needs_review", "warning")
 
 
-def line_language(lines: DataFrame, vocab: DataFrame, threshold: float = 0.30, boost: float = 1.5, fallback: str = "en") -> DataFrame:
-    """doc_id, line_no, found, confidence, method: the language with most of a line's distinct tokens, ties to the first by name.
-
-    vocab: lang, token. Lines under the threshold fall back with confidence 0.3, those without a token with 0.
-    """
-    own = lines.select("doc_id", "line_no", F.array_distinct(tokens(F.col("text"))).alias("own"))
-    hits = own.select("doc_id", "line_no", F.explode("own").alias("token")).join(vocab.select("lang", "token").distinct(), "token")
-    hits = hits.groupBy("doc_id", "line_no", "lang").agg(F.count("*").alias("n"))
-    best = hits.groupBy("doc_id", "line_no").agg(F.min(F.struct((-F.col("n")).alias("less"), "lang")).alias("best"))
-    rated = own.select("doc_id", "line_no", F.size("own").alias("size")).join(best, ["doc_id", "line_no"], "left")
-    ratio = F.coalesce(F.try_divide(-F.col("best.less"), F.col("size")), F.lit(0.0))
-    known = ratio > threshold
-    return rated.select(
-        "doc_id", "line_no", F.when(known, F.col("best.lang")).otherwise(fallback).alias("found"),
-        F.when(known, F.least(ratio * boost, F.lit(1.0))).when(F.col("size") > 0, 0.3).otherwise(0.0).alias("confidence"),
-        F.when(known, "dictionary").otherwise("fallback").alias("method"),
-    )
-
-
-def doc_language(votes: DataFrame, sure: float = 0.5, share: float = 0.20, fallback: str = "en") -> DataFrame:
-    """doc_id, language, confidence, mixed: the most frequent language of sure lines, ties to the first seen.
-
-    Without a sure line: the fallback with 0, mixed. votes: doc_id, line_no, found, confidence.
-    """
-    counts = votes.filter(F.col("confidence") >= sure).groupBy("doc_id", "found").agg(F.count("*").alias("n"), F.min("line_no").alias("seen"))
-    tops = counts.groupBy("doc_id").agg(F.min(F.struct((-F.col("n")).alias("less"), "seen", "found")).alias("top"), F.sum("n").alias("total"), F.collect_list("n").alias("each"))
-    large = F.size(F.filter("each", lambda n: n / F.col("total") > share))
-    named = tops.select("doc_id", F.col("top.found").alias("language"), (-F.col("top.less") / F.col("total")).alias("confidence"), (large > 1).alias("mixed"))
-    return votes.select("doc_id").distinct().join(named, "doc_id", "left").select(
-        "doc_id", F.coalesce("language", F.lit(fallback)).alias("language"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("mixed", F.lit(True)).alias("mixed")
-    )
-
-
 def mt_stats(rows: DataFrame) -> DataFrame:
     """n, exact, empty, copied, mean_chars, repeated of predictions, all 0 without rows. rows: source, reference, prediction."""
     t = rows.select(*(F.trim(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ("source", "reference", "prediction")))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyglossa.functions.text import lookup_text, preserve_case, raw_lower, strip_diacritics, stripped
+from polyglossa.operators.skew import spread_join
 
 #: Methods of found, missing and unchanged texts.
 EXACT, NORMALIZED, UNKNOWN, IDENTITY = "exact_phrase", "normalized_phrase", "unknown_for_review", "identity"
@@ -45,17 +46,17 @@ def _lookup(distinct: DataFrame, index: DataFrame) -> DataFrame:
     return best.select(*keys, "hit.nth", "hit.target")
 
 
-def tm_lookup(queries: DataFrame, index: DataFrame) -> DataFrame:
+def tm_lookup(queries: DataFrame, index: DataFrame, unique: bool = False) -> DataFrame:
     """translated, method, confidence, needs_review beside the columns of queries (text, src_lang, tgt_lang and any ids).
 
     Empty texts are unknown, texts whose languages are the same stay as they are; neither is looked up. Distinct texts are looked up
-    once: a frequent line is joined once however often it occurs.
+    once; their results come back to all rows by a join in which frequent lines are spread (unique: no text occurs often).
     """
     original = stripped(F.col("text"))
     empty = original == ""
     same = F.col("src_lang").eqNullSafe(F.col("tgt_lang"))
     asked = queries.filter(~empty & ~same).select("text", "src_lang", "tgt_lang").distinct()
-    out = queries.join(_lookup(asked, index), ["text", "src_lang", "tgt_lang"], "left")
+    out = spread_join(queries, _lookup(asked, index), ["text", "src_lang", "tgt_lang"], heavy=[] if unique else None)
     identity = ~empty & same
     hit = F.col("target").isNotNull() & ~identity
     return out.select(
@@ -83,9 +84,10 @@ def with_fallback(found: DataFrame, translate: Callable[[Iterator[pd.DataFrame]]
     )
 
 
-def tm_coverage(found: DataFrame) -> DataFrame:
-    """src_lang, tgt_lang, method, n, share (of the direction's rows)."""
-    counts = found.groupBy("src_lang", "tgt_lang", "method").agg(F.count("*").alias("n"))
+def tm_coverage(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """src_lang, tgt_lang, method, n, share (of the direction's rows). Rows are counted before distinct ones are looked up."""
+    counted = queries.groupBy("text", "src_lang", "tgt_lang").agg(F.count("*").alias("rows"))
+    counts = tm_lookup(counted, index, unique=True).groupBy("src_lang", "tgt_lang", "method").agg(F.sum("rows").alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("src_lang", "tgt_lang")))
 
 

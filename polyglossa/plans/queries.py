@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyglossa.operators import audit, jobs, tm
-from polyglossa.plans import pages, pairs, reports, retention, review
+from polyglossa.plans import language, pages, pairs, reports, retention, review
 from polyglossa.plans.sql import BOOK, CLASS, LINES, LOOKUP, SIZES, forms
 from polyglossa.sources import views
 
@@ -24,7 +24,8 @@ def tm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tm_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tm.tm_coverage(tm_lookup(spark, sf_dir))
+    index = tm.tm_index(views.memory(spark, sf_dir), ("english", "filipino", "cebuano"), ("english",))
+    return tm.tm_coverage(views.queries(spark, sf_dir), index)
 
 
 def record_class(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +86,6 @@ ORACLE_SQL = {
     "event_summary": "SELECT CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS level, event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1, 2, 3",
 }
 
-for _part in (pairs, reports, review, pages, retention):
+for _part in (pairs, language, reports, review, pages, retention):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL

@@ -70,11 +70,6 @@ def upload_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retention.upload_quota(views.table(spark, sf_dir, "events").select("user_id", "event_id", seconds.alias("seconds")), 3, 86_400)
 
 
-def ngram_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    profiles = retention.train_profiles(views.table(spark, sf_dir, "documents").select("lang", "text"))
-    return retention.ngram_langid(views.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), profiles, ["conv_id", "turn"])
-
-
 def normalize_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = views.phrasebook(spark, sf_dir)
     return files.normalize_rows(book.select("id", "notes", F.col("english").alias("English Text"), F.when(F.col("id") % 2 == 0, F.col("english")).otherwise(" ").alias("english_source"), F.col("tagabawa").alias("BGS"), F.col("cebuano").alias("bisaya")))
@@ -113,12 +108,11 @@ def flatten_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (purge_plan, cleanup_plan, page_pairs, segment_sync, gated_insert, upload_quota, ngram_langid, normalize_rows, union_corpora, jsonl_roundtrip, export_splits, flatten_structure)
+    for f in (purge_plan, cleanup_plan, page_pairs, segment_sync, gated_insert, upload_quota, normalize_rows, union_corpora, jsonl_roundtrip, export_splits, flatten_structure)
 }
 
 _SEG = f"""seg AS (SELECT l_orderkey AS job, (row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(PLACE)}))::INT AS segment_index, CASE WHEN l_returnflag <> 'N' THEN 1 - l_discount END AS confidence,
   CASE WHEN l_linestatus = 'O' THEN 'neural' ELSE 'exact_phrase' END AS method, l_partkey AS part, l_linenumber AS nth FROM lineitem)"""
-_GRAM = "(SELECT {k}, unnest(list_transform(range(1, len(l) - 1), lambda i: l[i] || l[i + 1] || l[i + 2])) AS gram FROM (SELECT {k}, string_split(' ' || lower(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')) || ' ', '') AS l FROM {f}))"
 
 ORACLE_SQL = {
     "purge_plan": f"""WITH {reports.JOBS}, p AS (SELECT job, unnest(['/data/jobs/' || job || '/in.pdf', CASE WHEN job % 4 = 0 THEN '/data/jobs/' || job || '/../x' END, '/srv/' || job, '/data/jobs/' || job]) AS path FROM jobs
@@ -138,12 +132,6 @@ ORACLE_SQL = {
       q AS (SELECT user_id, event_id, seconds, k, true AS admitted, 1 AS n, seconds + 86400 AS until FROM e WHERE k = 1 UNION ALL
         SELECT e.user_id, e.event_id, e.seconds, e.k, e.seconds >= q.until OR q.n < 3, CASE WHEN e.seconds >= q.until THEN 1 WHEN q.n < 3 THEN q.n + 1 ELSE q.n END, CASE WHEN e.seconds >= q.until OR q.n < 3 THEN e.seconds + 86400 ELSE q.until END FROM q JOIN e ON e.user_id = q.user_id AND e.k = q.k + 1)
       SELECT user_id, event_id, seconds, admitted FROM q""",
-    "ngram_langid": f"""WITH g AS (SELECT lang, gram, count(*) AS c FROM {_GRAM.format(k='lang', f='documents')} GROUP BY 1, 2), b AS (SELECT lang, sum(c) + (SELECT count(DISTINCT gram) FROM g) AS base FROM g GROUP BY 1),
-      p AS (SELECT lang, gram, round(ln((c + 1) / base) * 1000000)::BIGINT AS logp FROM g JOIN b USING (lang)), u AS (SELECT lang, round(ln(1 / base) * 1000000)::BIGINT AS least FROM b),
-      o AS (SELECT conv_id, turn, gram, count(*) AS c FROM {_GRAM.format(k='conv_id, turn', f="conversations WHERE trim(text) <> ''")} GROUP BY 1, 2, 3), z AS (SELECT conv_id, turn, sum(c) AS size FROM o GROUP BY 1, 2),
-      h AS (SELECT conv_id, turn, p.lang, sum(c * (logp - least)) AS gain FROM o JOIN p USING (gram) JOIN u ON p.lang = u.lang GROUP BY 1, 2, 3),
-      s AS (SELECT z.conv_id, z.turn, u.lang, (size * least + coalesce(gain, 0))::BIGINT AS score FROM z CROSS JOIN u LEFT JOIN h ON z.conv_id = h.conv_id AND z.turn = h.turn AND u.lang = h.lang),
-      r AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, lang))::INT AS rank FROM s) SELECT conv_id, turn, lang, rank, score FROM r WHERE rank <= 3""",
     "normalize_rows": f"WITH {BOOK} SELECT id, notes, trim(english) AS english_source, trim(tagabawa) AS tagabawa_source, '' AS filipino_source, trim(cebuano) AS cebuano_source FROM book WHERE trim(english) <> '' OR trim(tagabawa) <> '' OR trim(cebuano) <> ''",
     "union_corpora": f"WITH {BOOK} SELECT 'primary' AS dataset_role, source, 0 AS corpus, count(*) AS n, min(id) AS first, count(tagabawa) AS n_tagabawa FROM book GROUP BY 1, 2, 3 UNION ALL SELECT 'secondary', 'text_corpus', 1, count(*), min(item_id), 0 FROM benchmark",
     "jsonl_roundtrip": f"WITH {PAIRS} SELECT record_id, source_text, target_text FROM pairs",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from polyglossa.functions.text import INVISIBLE
 from polyglossa.operators import layout, review, tm
 from polyglossa.plans import reports
-from polyglossa.plans.sql import BOOK, LINES, LOOKUP, PAIRS
+from polyglossa.plans.sql import BOOK, LOOKUP, PAIRS
 from polyglossa.sources import views
 
 #: Place of a segment in its job: line items have no key of their own.
@@ -31,14 +31,6 @@ def translated_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.roll_up_blocks(_found(spark, sf_dir, views.queries(spark, sf_dir)).withColumn("warning", F.when(F.col("needs_review"), F.concat_ws(" ", F.lit("line"), "line_no"))))
 
 
-def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.line_language(views.lines(spark, sf_dir), reports.lang_vocab(spark, sf_dir))
-
-
-def doc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.doc_language(detect_language(spark, sf_dir))
-
-
 def mt_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flawed copies of pairs as predictions, the pairs themselves as references."""
     rows = views.pairs(spark, sf_dir).withColumn("nth", F.substring_index("record_id", "-", -1)).withColumn("turn", F.expr("substr(record_id, 1, length(record_id) - 2)"))
@@ -96,27 +88,15 @@ def job_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        tm_alternatives, bilingual_page, translated_layout, detect_language, doc_language, mt_stats, mode_compare, job_history,
+        tm_alternatives, bilingual_page, translated_layout, mt_stats, mode_compare, job_history,
         segment_page, job_state, low_ocr_jobs, job_ocr, review_update, event_dedup, job_fold,
     )
 }
 
-_VOTES = rf"""{reports.VOCAB}, {LINES}, own AS (SELECT doc_id, line_no, {reports.TOKENS} AS own FROM lines),
-  hits AS (SELECT doc_id, line_no, lang, count(*) AS n FROM (SELECT doc_id, line_no, unnest(own) AS token FROM own) JOIN vocab USING (token) GROUP BY 1, 2, 3),
-  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY n DESC, lang) AS r FROM hits) WHERE r = 1),
-  rated AS (SELECT o.doc_id, o.line_no, len(own) AS size, lang, coalesce(n / nullif(len(own), 0), 0.0)::DOUBLE AS ratio FROM own o LEFT JOIN best b ON o.doc_id = b.doc_id AND o.line_no = b.line_no),
-  votes AS (SELECT doc_id, line_no, CASE WHEN ratio > 0.3 THEN lang ELSE 'en' END AS found, CASE WHEN ratio > 0.3 THEN least(ratio * 1.5::DOUBLE, 1.0::DOUBLE) WHEN size > 0 THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END AS confidence,
-    CASE WHEN ratio > 0.3 THEN 'dictionary' ELSE 'fallback' END AS method FROM rated)"""
-
 ORACLE_SQL = {
     "tm_alternatives": f"WITH {BOOK}, o AS (SELECT lower(trim(tagabawa)) AS variant, english AS target, min(id) AS id FROM book WHERE trim(english) <> '' GROUP BY 1, 2) SELECT variant, target, nth FROM (SELECT *, (row_number() OVER (PARTITION BY variant ORDER BY id, target))::INT AS nth FROM o) WHERE nth > 1",
     "bilingual_page": f"{LOOKUP} SELECT doc_id, line_no, text AS source, CASE WHEN needs_review THEN translate(text, '{INVISIBLE}', '') ELSE translate(translated, '{INVISIBLE}', '') END AS display, translated AS raw, needs_review FROM found WHERE line_no < 20",
     "translated_layout": f"{LOOKUP} SELECT doc_id, line_no // 5 AS block, string_agg(CASE WHEN needs_review THEN translate(text, '{INVISIBLE}', '') ELSE translate(translated, '{INVISIBLE}', '') END, chr(10) ORDER BY line_no) AS text, CASE WHEN min(method) = max(method) THEN min(method) ELSE 'mixed' END AS method, round(avg(confidence), 4) AS confidence, bool_or(needs_review) AS needs_review, min_by('line ' || line_no, line_no) FILTER (WHERE needs_review) AS warning FROM found GROUP BY 1, 2",
-    "detect_language": f"WITH {_VOTES} SELECT * FROM votes",
-    "doc_language": f"""WITH {_VOTES}, c AS (SELECT doc_id, found, count(*) AS n, min(line_no) AS seen FROM votes WHERE confidence >= 0.5 GROUP BY 1, 2),
-      s AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS total, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, seen) AS r FROM c),
-      d AS (SELECT doc_id, max(CASE WHEN r = 1 THEN found END) AS top, max(CASE WHEN r = 1 THEN n / total END) AS confidence, count(*) FILTER (WHERE n / total > 0.2) > 1 AS mixed FROM s GROUP BY 1)
-      SELECT a.doc_id, coalesce(top, 'en') AS language, coalesce(confidence, 0.0)::DOUBLE AS confidence, coalesce(mixed, true) AS mixed FROM (SELECT DISTINCT doc_id FROM votes) a LEFT JOIN d ON a.doc_id = d.doc_id""",
     "mt_stats": f"""WITH {PAIRS}, k AS (SELECT *, right(record_id, 1) AS nth, left(record_id, -2) AS turn FROM pairs), t AS (SELECT trim(p.source_text) AS source, trim(p.target_text) AS prediction, trim(r.target_text) AS reference FROM k p JOIN k r ON p.turn = r.turn AND p.nth = '1' AND r.nth = '0'),
       c AS (SELECT *, count(*) OVER (PARTITION BY prediction) AS c FROM t), f AS (SELECT count(*) AS n, count(*) FILTER (WHERE prediction = reference) AS e, count(*) FILTER (WHERE prediction = '') AS m, count(*) FILTER (WHERE prediction = source) AS s, coalesce(sum(length(prediction)), 0)::BIGINT AS l, count(*) FILTER (WHERE c > 1) AS r FROM c)
       SELECT n, coalesce(e / nullif(n, 0), 0.0)::DOUBLE AS exact, coalesce(m / nullif(n, 0), 0.0)::DOUBLE AS empty, coalesce(s / nullif(n, 0), 0.0)::DOUBLE AS copied, coalesce(l / nullif(n, 0), 0.0)::DOUBLE AS mean_chars, coalesce(r / nullif(n, 0), 0.0)::DOUBLE AS repeated FROM f""",

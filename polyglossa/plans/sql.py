@@ -55,14 +55,23 @@ def forms(rows: str, keys: str) -> str:
       FROM (SELECT *, {_RAW} AS raw, {_NORM} AS norm FROM {rows})) WHERE variant <> '' GROUP BY {keys}, variant)"""
 
 
-LOOKUP = f"""WITH {LINES}, memory AS (SELECT text, md5(text) AS row_pos, 'T:' || text AS filipino, CASE WHEN length(text) % 3 = 0 THEN '' ELSE 'C:' || text END AS cebuano FROM (
+MEMORY = f"""memory AS (SELECT text, md5(text) AS row_pos, 'T:' || text AS filipino, CASE WHEN length(text) % 3 = 0 THEN '' ELSE 'C:' || text END AS cebuano FROM (
     SELECT DISTINCT text FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM benchmark UNION ALL SELECT text FROM lines WHERE lang = 'en') WHERE regexp_replace(text, '{SPACE}', '', 'g') <> '')),
-  tmv AS (SELECT t.tgt_lang, variant, min_by(t.target, row_pos) AS target, min(row_pos) AS row_pos FROM {forms('memory', 'row_pos, filipino, cebuano')} m, LATERAL (VALUES ('filipino', filipino), ('cebuano', cebuano)) AS t(tgt_lang, target) WHERE trim(t.target) <> '' GROUP BY 1, 2),
-  queries AS (SELECT doc_id, line_no, CASE (doc_id + line_no) % 4 WHEN 1 THEN '  ' || text || ' ' WHEN 2 THEN text || '!!' WHEN 3 THEN {_PLAIN.format('text')} ELSE text END AS text,
-    CASE lang WHEN 'en' THEN 'english' ELSE lang END AS src_lang, CASE line_no % 5 WHEN 4 THEN 'english' WHEN 1 THEN 'cebuano' WHEN 3 THEN 'cebuano' ELSE 'filipino' END AS tgt_lang FROM lines),
+  tmv AS (SELECT t.tgt_lang, variant, min_by(t.target, row_pos) AS target, min(row_pos) AS row_pos FROM {forms('memory', 'row_pos, filipino, cebuano')} m, LATERAL (VALUES ('filipino', filipino), ('cebuano', cebuano)) AS t(tgt_lang, target) WHERE trim(t.target) <> '' GROUP BY 1, 2)"""
+QUERIES = f"""queries AS (SELECT doc_id, line_no, CASE (doc_id + line_no) % 4 WHEN 1 THEN '  ' || text || ' ' WHEN 2 THEN text || '!!' WHEN 3 THEN {_PLAIN.format('text')} ELSE text END AS text,
+    CASE lang WHEN 'en' THEN 'english' ELSE lang END AS src_lang, CASE line_no % 5 WHEN 4 THEN 'english' WHEN 1 THEN 'cebuano' WHEN 3 THEN 'cebuano' ELSE 'filipino' END AS tgt_lang FROM lines)"""
+
+
+def lookup(queries: str, keys: str) -> str:
+    """Tables up to `found`: what tm_lookup gives for the table `queries` (keys, text, src_lang, tgt_lang) of English texts in the memory."""
+    return f"""{queries},
+  {MEMORY},
   asked AS (SELECT DISTINCT text, tgt_lang FROM queries WHERE src_lang = 'english' AND tgt_lang <> 'english'),
   ranked AS (SELECT p.text, p.tgt_lang, nth, target, row_number() OVER (PARTITION BY p.text, p.tgt_lang ORDER BY nth, row_pos) AS r FROM {forms('asked', 'text, tgt_lang')} p JOIN tmv USING (tgt_lang, variant)),
-  found AS (SELECT doc_id, line_no, q.text, src_lang, q.tgt_lang, CASE WHEN src_lang = q.tgt_lang THEN q.text ELSE coalesce(target, regexp_replace(translate(q.text, '{INVISIBLE}', ''), '^{SPACE}|{SPACE}$', '', 'g')) END AS translated,
+  found AS (SELECT {keys}, q.text, src_lang, q.tgt_lang, CASE WHEN src_lang = q.tgt_lang THEN q.text ELSE coalesce(target, regexp_replace(translate(q.text, '{INVISIBLE}', ''), '^{SPACE}|{SPACE}$', '', 'g')) END AS translated,
     CASE WHEN src_lang = q.tgt_lang THEN 'identity' WHEN target IS NULL THEN 'unknown_for_review' WHEN nth = 0 THEN 'exact_phrase' ELSE 'normalized_phrase' END AS method,
     CASE WHEN target IS NULL AND src_lang <> q.tgt_lang THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS confidence, target IS NULL AND src_lang <> q.tgt_lang AS needs_review
     FROM queries q LEFT JOIN (SELECT * FROM ranked WHERE r = 1) b ON q.text = b.text AND q.tgt_lang = b.tgt_lang AND src_lang = 'english')"""
+
+
+LOOKUP = f"WITH {LINES}, {lookup(QUERIES, 'doc_id, line_no')}"

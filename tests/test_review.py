@@ -9,20 +9,6 @@ def rows(df, *cols):
     return sorted((tuple(r) for r in df.select(*cols).collect()), key=repr)
 
 
-def test_votes(spark):
-    votes = spark.createDataFrame([(1, 0, "fr", 0.9), (1, 1, "en", 0.9), (2, 0, "fr", 0.3), (3, 0, "de", 1.0), (3, 1, "de", 1.0), (3, 2, "fr", 0.4)], "doc_id long, line_no int, found string, confidence double")
-    got = rows(review.doc_language(votes), "doc_id", "language", "confidence", "mixed")
-    assert got == [(1, "fr", 0.5, True), (2, "en", 0.0, True), (3, "de", 1.0, False)]
-    assert review.doc_language(votes.limit(0)).count() == 0
-
-
-def test_line_language_of_blank_and_null(spark):
-    lines = spark.createDataFrame([(1, 0, "chat noir"), (1, 1, None), (1, 2, "qqq")], "doc_id long, line_no int, text string")
-    vocab = spark.createDataFrame([("fr", "chat"), ("fr", "noir"), ("en", "chat")], "lang string, token string")
-    got = rows(review.line_language(lines, vocab), "line_no", "found", "confidence", "method")
-    assert got == [(0, "fr", 1.0, "dictionary"), (1, "en", 0.0, "fallback"), (2, "en", 0.3, "fallback")]
-
-
 def test_alternatives_keep_order_and_skip_blanks(spark):
     book = spark.createDataFrame([(3, "A ", "x"), (1, "a", "y"), (2, "a", " "), (4, "a", "x"), (5, "b", None)], "id long, text string, target string")
     assert rows(review.tm_alternatives(book), "variant", "target", "nth") == [("a", "x", 2)]
