@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from polyglossa.functions.text import CODES, pair_text
+from polyglossa.functions.text import is_trainable, pair_text, record_id, stripped
 from polyglossa.operators.audit import LANGS
 from polyglossa.session import written
 
@@ -37,12 +37,20 @@ def clean_pairs(df: DataFrame, pos_col: str = "record_id", src: str = "source_te
     return usable.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
 
 
-def translation_pairs(df: DataFrame, langs=LANGS, codes: dict[str, str] = CODES) -> DataFrame:
-    """One row for each ordered pair of languages of a row that has both texts."""
-    sides = [F.struct(F.lit(s).alias("source_lang"), F.lit(t).alias("target_lang"), F.lit(f"{codes[s]}-{codes[t]}").alias("direction"), F.col(s).alias("source_text"), F.col(t).alias("target_text")) for s in langs for t in langs if s != t]
-    made = df.select(F.col("id").alias("row_id"), "topic", F.explode(F.array(*sides)).alias("p")).select("row_id", "topic", "p.*")
-    kept = made.filter((_text("source_text") != "") & (_text("target_text") != ""))
-    return kept.select(F.format_string("%s-%04d", "direction", "row_id").alias("record_id"), "row_id", "topic", "source_lang", "target_lang", "source_text", "target_text")
+def translation_pairs(df: DataFrame, langs=LANGS) -> DataFrame:
+    """One row for each ordered pair of languages of a row whose texts are both fit for training: neither blank nor marked for review.
+
+    df: id (of any type), topic, source, notes, a column for each language. Texts and labels lose their outer blanks; a row without a source is the phrasebook's.
+    """
+    sides = [F.struct(F.lit(s).alias("source_lang"), F.lit(t).alias("target_lang"), F.col(s).alias("source_text"), F.col(t).alias("target_text")) for s in langs for t in langs if s != t]
+    label = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    made = df.select(
+        F.col("id").alias("row_id"), label("topic").alias("topic"), F.coalesce(F.nullif(label("source"), F.lit("")), F.lit("phrasebook")).alias("domain"), label("notes").alias("notes"),
+        F.explode(F.array(*sides)).alias("p"),
+    )
+    kept = made.select("row_id", "topic", "domain", "notes", "p.*").filter(is_trainable(F.col("source_text")) & is_trainable(F.col("target_text")))
+    name = record_id(F.col("source_lang"), F.col("target_lang"), F.col("row_id"))
+    return kept.select(name.alias("record_id"), "row_id", "topic", "domain", "notes", "source_lang", "target_lang", stripped(F.col("source_text")).alias("source_text"), stripped(F.col("target_text")).alias("target_text"))
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -65,8 +73,8 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def leakage_groups(df: DataFrame, id_col: str = "id", langs=LANGS) -> DataFrame:
-    """id, group_id: rows that share a pair of texts in any two languages, directly or through others, are one group."""
-    keys = [F.when((_text(a) != "") & (_text(b) != ""), F.xxhash64(F.lit(f"{a}-{b}"), pair_text(F.col(a)), F.lit("\t"), pair_text(F.col(b)))) for a, b in combinations(langs, 2)]
+    """id, group_id: rows that share a pair of texts fit for training in any two languages, directly or through others, are one group."""
+    keys = [F.when(is_trainable(F.col(a)) & is_trainable(F.col(b)), F.xxhash64(F.lit(f"{a}-{b}"), pair_text(F.col(a)), F.lit("\t"), pair_text(F.col(b)))) for a, b in combinations(langs, 2)]
     rows = df.select(F.col(id_col).alias("id"), F.explode(F.array_compact(F.array(*keys))).alias("key"))
     heads = rows.groupBy("key").agg(F.min("id").alias("v"), F.count("*").alias("n")).filter("n > 1")
     edges = rows.join(heads, "key").filter("id > v").select(F.col("id").alias("u"), "v").distinct()
@@ -85,6 +93,63 @@ def hash_split(df: DataFrame, key_col: str, seed: int = 42) -> DataFrame:
     return df.withColumn("split", split_of(F.col(key_col), seed))
 
 
+SPLITS = ("train", "dev", "test")
+
+
+def split_targets(rows: int, ratios=(80, 10, 10)) -> list[int]:
+    """Rows of each split; the last gets what is left."""
+    first = [round(rows * r / sum(ratios)) for r in ratios[:-1]]
+    return [*first, rows - sum(first)]
+
+
+def largest_first(histogram: dict[int, int], targets: list[int]) -> dict[int, list[int]]:
+    """For each size of a group, how many groups of that size go to each split.
+
+    The largest go first, each to the split that lacks most rows (ties: to the one with fewest rows, then the first). Groups of one
+    size are dealt at once: those lacks that are passed on the way down to a common level, so the work follows the number of sizes.
+    """
+    counts, out = [0] * len(targets), {}
+    for size, groups in sorted(histogram.items(), reverse=True):
+        lack = [t - c for t, c in zip(targets, counts)]
+
+        def above(level: int) -> list[int]:
+            return [(x - level) // size + 1 if x >= level else 0 for x in lack]
+
+        low, high = max(lack) - size * groups, max(lack)  # the highest level at which all groups find a place
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if sum(above(mid)) >= groups else (low, mid - 1)
+        dealt = above(low + 1)
+        level = sorted((t, k) for k, t in enumerate(targets) if lack[k] >= low and (lack[k] - low) % size == 0)
+        for _, k in level[: groups - sum(dealt)]:
+            dealt[k] += 1
+        out[size] = dealt
+        counts = [c + size * n for c, n in zip(counts, dealt)]
+    return out
+
+
+def balanced_split(df: DataFrame, group_col: str, seed: int = 42, ratios=(80, 10, 10)) -> DataFrame:
+    """Adds split: whole groups, the largest first, so that each split comes near its share of the rows.
+
+    The driver sees the histogram of sizes only (at most the square root of twice the rows). Groups of a size are ranked by a seeded hash,
+    in 4096 parts of a size whose numbers are added up. Rows with a null group are one group.
+    """
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(group_col).cast("string"), F.lit(""))))
+    groups = df.groupBy(group_col).agg(F.count("*").alias("size")).withColumn("key", key).withColumn("part", F.substring("key", 1, 3))
+    groups = written(groups, "groups")
+    parts = groups.groupBy("size", "part").agg(F.count("*").alias("n"))
+    histogram = {r["size"]: r["n"] for r in parts.groupBy("size").agg(F.sum("n").alias("n")).collect()}
+    dealt = largest_first(histogram, split_targets(sum(s * n for s, n in histogram.items()), ratios))
+    ends = df.sparkSession.createDataFrame([(s, *(sum(n[: k + 1]) for k in range(2))) for s, n in dealt.items()], "size long, train long, dev long")
+    before = F.sum("n").over(Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    bases = parts.withColumn("base", F.coalesce(before, F.lit(0))).drop("n").join(ends, "size")
+    rank = F.col("base") + F.row_number().over(Window.partitionBy("size", "part").orderBy("key", group_col))
+    ranked = groups.join(bases, ["size", "part"]).withColumn("rank", rank)
+    split = F.when(F.col("rank") <= F.col("train"), SPLITS[0]).when(F.col("rank") <= F.col("dev"), SPLITS[1]).otherwise(SPLITS[2])
+    named = ranked.select(F.col(group_col).alias("_group"), split.alias("split"))
+    return df.join(named, F.col(group_col).eqNullSafe(F.col("_group"))).drop("_group")
+
+
 def split_leakage(pairs: DataFrame) -> DataFrame:
     """Pair keys that stand in more than one split."""
     keyed = pairs.select("source_lang", "target_lang", pair_text(F.col("source_text")).alias("source_key"), pair_text(F.col("target_text")).alias("target_key"), "split")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from polyglossa.functions import text
 from polyglossa.operators import audit, pairs
-from polyglossa.plans.sql import BOOK, CLASS, DIRTY, LINES, PAIRS, SIZES, SPACE, directed, flags_sql, split_sql
+from polyglossa.plans.sql import BOOK, CLASS, DIRTY, LINES, MARKS, PAIRS, SIZES, SPACE, directed, flags_sql, split_sql
 from polyglossa.sources import views
 
 
@@ -80,8 +80,14 @@ def clean_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.clean_pairs(views.pairs(spark, sf_dir))
 
 
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrasebook with some texts marked for review."""
+    marked = F.when((F.col("id") % 19 == 0) & (F.col("cebuano") != ""), F.concat(F.lit("[UNKNOWN_FOR_REVIEW] "), "cebuano")).otherwise(F.col("cebuano"))
+    return views.phrasebook(spark, sf_dir).withColumn("cebuano", marked)
+
+
 def translation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.translation_pairs(views.phrasebook(spark, sf_dir))
+    return pairs.translation_pairs(_marked(spark, sf_dir))
 
 
 def leakage_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +98,12 @@ def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.hash_split(leakage_groups(spark, sf_dir), "group_id")
 
 
+def balanced_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups by place in the book and brand besides those of equal texts: some hold many rows."""
+    book = views.phrasebook(spark, sf_dir).select("id", F.when(F.col("id") % 3 == 0, F.substring("tagabawa", 1, 8)).otherwise(F.floor(F.col("id") / (F.col("id") % 4 + 1)).cast("string")).alias("group_id"))
+    return pairs.balanced_split(book, "group_id")
+
+
 def row_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.hash_split(views.pairs(spark, sf_dir).select("record_id"), "record_id")
 
@@ -122,7 +134,7 @@ def phrasebook_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def export_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.export_report(views.phrasebook(spark, sf_dir))
+    return pairs.export_report(_marked(spark, sf_dir))
 
 
 QUERIES = {
@@ -130,7 +142,7 @@ QUERIES = {
     for f in (
         clean_invisible, normalize_lookup, strip_diacritics, lookup_variants, normalize_lang, notes_flags, audit_coverage, audit_field_dups, audit_unicode,
         audit_diacritics, audit_alignment, audit_sources, audit_cross_leak, audit_rows, audit_quality, validate_pairs, clean_pairs, translation_pairs,
-        leakage_groups, group_split, row_split, source_split, split_manifest, split_leakage, split_overlap, model_records, phrasebook_upsert, export_report,
+        leakage_groups, group_split, balanced_split, row_split, source_split, split_manifest, split_leakage, split_overlap, model_records, phrasebook_upsert, export_report,
     )
 }
 
@@ -150,7 +162,7 @@ _LANGS = audit.LANGS
 _CELLS = "cells AS (SELECT lang, text FROM book, LATERAL (VALUES " + ", ".join(f"('{c}', {c})" for c in _LANGS) + ") AS v(lang, text))"
 _USABLE = "trim(source_text) <> '' AND trim(target_text) <> '' AND trim(source_text) <> trim(target_text)"
 _CLEAN = f"clean AS (SELECT * FROM pairs WHERE {_USABLE} QUALIFY row_number() OVER (PARTITION BY source_text, target_text ORDER BY record_id) = 1)"
-_DIRECTED = f"WITH {BOOK}, directed AS ({directed(_LANGS)})"
+_DIRECTED = f"WITH {BOOK}, {MARKS}, directed AS ({directed(_LANGS)})"
 _EDGES = " UNION ALL ".join(f"SELECT id, '{a}-{b}' AS kind, {_key(a)} AS x, {_key(b)} AS y FROM book WHERE trim({a}) <> '' AND trim({b}) <> ''" for i, a in enumerate(_LANGS) for b in _LANGS[i + 1 :])
 _GROUPS = f"""WITH RECURSIVE {BOOK}, keys AS ({_EDGES}), star AS (SELECT DISTINCT id AS u, min(id) OVER (PARTITION BY kind, x, y) AS v FROM keys),
   e AS (SELECT u, v FROM star WHERE u <> v UNION SELECT v, u FROM star WHERE u <> v),
@@ -183,6 +195,17 @@ ORACLE_SQL = {
     "translation_pairs": f"{_DIRECTED} SELECT * FROM directed",
     "leakage_groups": f"{_GROUPS} SELECT * FROM groups",
     "group_split": f"""{_GROUPS} SELECT id, group_id, {split_sql('group_id')} AS split FROM groups""",
+    # one group after the other, so plainly the rule; ranks of a size are of the whole size
+    "balanced_split": f"""WITH RECURSIVE {BOOK}, rows AS (SELECT id, CASE WHEN id % 3 = 0 THEN left(tagabawa, 8) ELSE floor(id / (id % 4 + 1))::BIGINT::VARCHAR END AS group_id FROM book),
+      sizes AS (SELECT group_id, count(*) AS n, md5('42:' || group_id) AS key FROM rows GROUP BY 1), seq AS (SELECT n, row_number() OVER (ORDER BY n DESC) AS i FROM sizes),
+      t AS (SELECT round_even(count(*) * 0.8, 0)::BIGINT AS a, round_even(count(*) * 0.1, 0)::BIGINT AS b, count(*) AS total FROM rows),
+      run(i, n, ca, cb, cc, split) AS (SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, '' UNION ALL
+        SELECT i, n, ca + CASE WHEN split = 'train' THEN n ELSE 0 END, cb + CASE WHEN split = 'dev' THEN n ELSE 0 END, cc + CASE WHEN split = 'test' THEN n ELSE 0 END, split FROM (
+          SELECT seq.i, seq.n, ca, cb, cc, CASE WHEN (a - ca) * 10000000 - ca >= greatest((b - cb) * 10000000 - cb, (total - a - b - cc) * 10000000 - cc) THEN 'train'
+            WHEN (b - cb) * 10000000 - cb >= (total - a - b - cc) * 10000000 - cc THEN 'dev' ELSE 'test' END AS split FROM run JOIN seq ON seq.i = run.i + 1, t)),
+      ends AS (SELECT n, count(*) FILTER (WHERE split = 'train') AS train, count(*) FILTER (WHERE split = 'dev') AS dev FROM run WHERE i > 0 GROUP BY 1),
+      named AS (SELECT group_id, CASE WHEN r <= train THEN 'train' WHEN r <= train + dev THEN 'dev' ELSE 'test' END AS split FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY key, group_id) AS r FROM sizes) JOIN ends USING (n))
+      SELECT id, group_id, split FROM rows JOIN named USING (group_id)""",
     "row_split": f"WITH {PAIRS} SELECT record_id, {split_sql('record_id')} AS split FROM pairs",
     "source_split": f"WITH {PAIRS} SELECT record_id, conv_id, {split_sql('conv_id')} AS split FROM pairs",
     "split_manifest": f"WITH {PAIRS}, s AS (SELECT {split_sql('record_id')} AS split, count(*) AS n FROM pairs GROUP BY 1) SELECT split, n, round(n / sum(n) OVER (), 4)::DOUBLE AS ratio FROM s",

@@ -28,9 +28,15 @@ PAIRS = """turns AS (SELECT u.conv_id, u.turn, u.text AS source_text, a.text AS
     SELECT 'c-' || conv_id || '-' || turn || '-1', conv_id, source_text, CASE conv_id % 7 WHEN 0 THEN answer WHEN 1 THEN '' WHEN 2 THEN source_text ELSE answer || chr(65533) END FROM turns WHERE conv_id % 7 < 4)"""
 
 
+#: The phrasebook with some texts marked for review.
+MARKS = "marked AS (SELECT * REPLACE (CASE WHEN id % 19 = 0 AND cebuano <> '' THEN '[UNKNOWN_FOR_REVIEW] ' || cebuano ELSE cebuano END AS cebuano) FROM book)"
+
+
 def directed(langs: tuple[str, ...]) -> str:
+    fit = "trim({0}) <> '' AND {0} NOT LIKE '%UNKNOWN_FOR_REVIEW%'"
     return " UNION ALL ".join(
-        f"SELECT format('{CODES[s]}-{CODES[t]}-{{:04d}}', id) AS record_id, id AS row_id, topic, '{s}' AS source_lang, '{t}' AS target_lang, {s} AS source_text, {t} AS target_text FROM book WHERE trim({s}) <> '' AND trim({t}) <> ''"
+        f"""SELECT format('{CODES[s]}-{CODES[t]}-{{:04d}}', id) AS record_id, id AS row_id, trim(topic) AS topic, source AS domain, trim(notes) AS notes, '{s}' AS source_lang, '{t}' AS target_lang,
+          trim({s}) AS source_text, trim({t}) AS target_text FROM marked WHERE {fit.format(s)} AND {fit.format(t)}"""
         for s in langs for t in langs if s != t
     )
 
