@@ -1,12 +1,12 @@
 """Sharding by histogram sort: equal bytes per shard, DataFrame functions only.
 
-Rows are ordered by (hash of the text, doc_id), so equal texts lie side by side. Each round counts the exact bytes below 2**12 probe
+Rows are ordered by (hash of the text, doc_id, number in the table), so equal texts lie side by side. Each round counts the exact bytes below 2**12 probe
 keys inside the bracket of every splitter still open and narrows the brackets, until each splitter meets the tolerance; the rows are
 then exchanged once. A group of equal texts is kept whole where a bracket edge lies within the tolerance; a larger one (a hot
-text) is cut by doc_id. Each round hands the driver at most 2**12 counts per open bracket.
+text) is cut by doc_id, rows that are equal altogether by number. Each round hands the driver at most 2**12 counts per open bracket.
 
-Nulls: a null text has size 1 and no bytes, crc 0; a null doc_id sorts as the smallest. Identical rows (same doc_id and text) share a
-key, and go to one shard. Empty tables give no rows. Other columns are not read.
+Nulls: a null text has size 1 and no bytes, crc 0; a null doc_id sorts as the smallest. Identical rows (same doc_id and text) are
+dealt over shards like others. Empty tables give no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,40 +20,50 @@ from .common import keep
 BITS = 12
 
 
-def _below(edges: list[tuple[int, int]], high: str, low: str):
+#: Parts of a key, 63 bits each.
+PARTS = ("high", "low", "number")
+
+
+def _below(edges: list[tuple[int, ...]]):
     """Number of splitters at or below the row's key."""
     out = F.lit(0)
-    for h, l in edges:
-        out = out + F.when((F.col(high) > h) | ((F.col(high) == h) & (F.col(low) >= l)), 1).otherwise(0)
+    for edge in edges:
+        reached = F.col(PARTS[-1]) >= edge[-1]
+        for part, value in zip(PARTS[-2::-1], edge[-2::-1]):
+            reached = (F.col(part) > value) | ((F.col(part) == value) & reached)
+        out = out + F.when(reached, 1).otherwise(0)
     return out.cast("int")
 
 
-def splitters(rows: DataFrame, shards: int, tolerance: float) -> list[tuple[int, int]]:
-    """Keys (high, low) where shards 1, 2, ... begin. rows: high, low (longs from 0 up, 63 bits), size."""
+def splitters(rows: DataFrame, shards: int, tolerance: float) -> list[tuple[int, ...]]:
+    """Keys where shards 1, 2, ... begin. rows: high, low, number (longs from 0 up), size."""
     total = rows.agg(F.sum("size")).first()[0] or 0
     targets = [total * k / shards for k in range(1, shards)]
     slack = tolerance * total / shards
-    # a bracket: (level, prefix, bytes below it, its bytes) of the 126-bit key, level bits fixed so far
+    mask, key_bits = (1 << 63) - 1, 63 * len(PARTS)
+    # a bracket: (level, prefix, bytes below it, its bytes), level bits of the key fixed so far
     open_ = {k: (0, 0, 0, total) for k in range(len(targets))}
     done: dict[int, int] = {}
-    key_bits = 126
     while open_:
         groups: dict[tuple[int, int], list[int]] = {}
         for k, (level, prefix, _, _) in open_.items():
             groups.setdefault((level, prefix), []).append(k)
         level = min(g[0] for g in groups)
         now = [p for l, p in groups if l == level]
-        step = min(BITS, 63 - level % 63)
+        whole, rest = divmod(level, 63)
+        step = min(BITS, 63 - rest)
         inside = rows
-        if level:
-            inside = rows.filter(F.col("high").isin([p >> (level - 63) for p in now]) if level >= 63 else F.shiftright("high", 63 - level).isin(now))
-            if level > 63:
-                inside = inside.filter(F.shiftright("low", 126 - level).isin([p & ((1 << (level - 63)) - 1) for p in now]))
-        bin_ = F.shiftright("high", 63 - level - step) if level < 63 else F.shiftright("low", 126 - level - step)
-        counted = inside.groupBy(*(["high"] if level >= 63 else []), bin_.alias("bin")).agg(F.sum("size").alias("bytes")).collect()
+        for j in range(whole):
+            inside = inside.filter(F.col(PARTS[j]).isin([(p >> (level - 63 * (j + 1))) & mask for p in now]))
+        if rest:
+            inside = inside.filter(F.shiftright(PARTS[whole], 63 - rest).isin([p & ((1 << rest) - 1) for p in now]))
+        counted = inside.groupBy(*PARTS[:whole], F.shiftright(PARTS[whole], 63 - rest - step).alias("bin")).agg(F.sum("size").alias("bytes")).collect()
         table: dict[int, dict[int, int]] = {}
         for r in counted:
-            full = r["bin"] if level < 63 else (r["high"] << (level + step - 63)) | r["bin"]
+            full = 0
+            for part in PARTS[:whole]:
+                full = full << 63 | r[part]
+            full = full << (rest + step) | r["bin"]
             table.setdefault(full >> step, {})[full] = r["bytes"]
         for prefix in now:
             bins = sorted(table.get(prefix, {}).items())
@@ -72,9 +82,8 @@ def splitters(rows: DataFrame, shards: int, tolerance: float) -> list[tuple[int,
                     done[k] = near[1] << (key_bits - bits)
                 else:
                     open_[k] = (bits, full, below, size)
-    mask = (1 << 63) - 1
     # a splitter past the last key has no rows above it
-    return sorted((key >> 63, key & mask) for key in done.values() if key >> 126 == 0)
+    return sorted(tuple(key >> (63 * j) & mask for j in range(len(PARTS) - 1, -1, -1)) for key in done.values() if key >> key_bits == 0)
 
 
 def shard_documents(df: DataFrame, shards: int = 16, tolerance: float = 0.002, id_col: str = "doc_id", text_col: str = "text", slot_rows: int = 100_000) -> DataFrame:
@@ -95,10 +104,10 @@ def shard_documents(df: DataFrame, shards: int = 16, tolerance: float = 0.002, i
     # 63 bits of the id order rows of one text; ids apart by sign only are rare and then share a key
     keyed = keyed.select("doc_id", "size", "text_crc32", "high", F.col("flipped").bitwiseAND((1 << 63) - 1).alias("low"))
     rows = keep(spark, keyed.withColumn("number", F.monotonically_increasing_id()), "keys")
-    edges = splitters(rows.select("high", "low", "size"), shards, tolerance)
+    edges = splitters(rows.select(*PARTS, "size"), shards, tolerance)
     # numbering: small even lots inside each shard, by the number stored with a row, then the lots' sizes added up
     lots = max(1, -(-rows.count() // (shards * slot_rows)))
-    placed = rows.select("doc_id", "size", "text_crc32", _below(edges, "high", "low").alias("shard"), (F.col("number") % lots).cast("int").alias("lot"))
+    placed = rows.select("doc_id", "size", "text_crc32", _below(edges).alias("shard"), (F.col("number") % lots).cast("int").alias("lot"))
     sizes = placed.groupBy("shard", "lot").agg(F.count("*").alias("n"))
     base = sizes.select("shard", "lot", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     number = F.row_number().over(Window.partitionBy("shard", "lot").orderBy("doc_id", "text_crc32", "size")) - 1
