@@ -5,7 +5,9 @@ Three base patterns are matched over the whole text. Beside them a small lexer r
 `name["key"] = "literal"`, `name: type = "literal"`, and sums of literals and of names, whose constants it propagates (a text is one
 scope; the latest assignment before the use counts). Literals without quotes are values only if they are no code: no call, index or
 plain identifier. A pair is reported as `literal` spans when the name is sensitive and the value is no placeholder; the spans are those of its
-literals where they are written. Every pattern starts at most once in a word and does not go back, so a scan takes time in proportion to the text.
+literals where they are written. A sum holds its terms by reference and of its value only what the score asks for, so constants that are
+added to themselves again and again cost no more than their lines. Every pattern starts at most once in a word and does not go back: time grows with the
+text and, for sums, with the number of different characters.
 
 Null text counts as empty. Rows are scanned one by one, repeated rows alike; a null doc_id stays null. Spans are in code points,
 end exclusive, over texts of any length. Other columns are not read.
@@ -38,13 +40,13 @@ PAIR = re.compile(
 )
 PLAIN = re.compile(r"""[^\s"',;(){}\[\]]+""", re.ASCII)
 #: A further term of a sum: groups quote, literal, name.
-TERM = re.compile(r"""[\x20\t]*\+[\x20\t]*(?:(["'])((?:(?!\1)[^\\\n]|\\.)*)\1|([A-Za-z_$][\w$.]*+)(?![\x20\t]*[(\[]))""", re.ASCII)
+TERM = re.compile(r"""[\x20\t]*\+[\x20\t]*(?:(["'])((?:[^"'\\\n]++|(?!\1)["']|\\.)*+)\1|([A-Za-z_$][\w$.]*+)(?![\x20\t]*[(\[]))""", re.ASCII)
 NAME = re.compile(r"[A-Za-z_$][\w$.]*", re.ASCII)
 IDENTIFIER = re.compile(r"[A-Za-z_$]+(?:\.[A-Za-z_$]+)*", re.ASCII)
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: Parts of sensitive names with their weights, and words of placeholders.
 SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "secret": 3, "token": 3, "apikey": 3, "credential": 3, "credentials": 3, "bearer": 2, "auth": 2, "private": 1, "access": 1, "api": 1, "signing": 1, "encryption": 1, "key": 2, "pass": 2}
-PLACEHOLDER = re.compile(r"example|changeme|placeholder|your[_-]?|dummy|sample|redacted|^x+$|^\*+$|^<.*>$|^\$\{?|^(true|false|null|none)$", re.IGNORECASE)
+PLACEHOLDER = re.compile("example|changeme|placeholder|your|dummy|sample|redacted", re.IGNORECASE)
 STEMS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth")
 
 
@@ -52,52 +54,136 @@ def name_score(name: str) -> int:
     return sum(SENSITIVE.get(p.lower(), 0) for p in set(PARTS.findall(name.rsplit(".", 1)[-1])))
 
 
-def entropy(text: str) -> float:
-    return -sum(c / len(text) * math.log2(c / len(text)) for c in Counter(text).values())
-
-
-def secret_literal(value: str, score: int) -> bool:
+class Value:
+    """What the score needs of a string, in a form that adds up: counts of characters, both ends, whether a placeholder's word is inside.
+
+    Beyond 2**128 characters counts are divided by 2**64, at least 1 staying: shares then hold to one part in 2**64.
+    """
+
+    ENDS = len("placeholder") - 1
+
+    def __init__(self, text: str = "") -> None:
+        self.counts, self.n, self.scale = Counter(text), len(text), 0
+        self.head, self.tail, self.worded = text[: self.ENDS], text[-self.ENDS :], bool(PLACEHOLDER.search(text))
+
+    def copy(self) -> Value:
+        out = Value()
+        out.counts, out.n, out.scale, out.head, out.tail, out.worded = self.counts.copy(), self.n, self.scale, self.head, self.tail, self.worded
+        return out
+
+    def _down(self, scale: int) -> None:
+        """Divide by 2**64 for each step up to `scale`."""
+        if scale > self.scale:
+            self.counts = Counter({c: max(1, k >> 64 * (scale - self.scale)) for c, k in self.counts.items()})
+            self.n, self.scale = self.counts.total(), scale
+
+    def add(self, other: Value) -> None:
+        """Put other behind."""
+        if not other.counts:
+            return
+        if other.scale != self.scale:
+            self._down(other.scale)
+            if other.scale < self.scale:
+                other = other.copy()
+                other._down(self.scale)
+        self.worded = self.worded or other.worded or bool(PLACEHOLDER.search(self.tail + other.head))
+        self.head = self.head if len(self.head) == self.ENDS else (self.head + other.head)[: self.ENDS]
+        self.tail = other.tail if len(other.tail) == self.ENDS else (self.tail + other.tail)[-self.ENDS :]
+        for c, k in other.counts.items():
+            self.counts[c] += k
+        self.n += other.n
+        if self.n >> 128:
+            self._down(self.scale + 1)
+
+    def entropy(self) -> float:
+        return -sum(k / self.n * math.log2(k / self.n) for k in self.counts.values())
+
+    def placeholder(self) -> bool:
+        """A word of placeholders inside, all x or stars, <...>, or a variable."""
+        one = {c.lower() for c in self.counts}
+        return self.worded or one in ({"x"}, {"*"}) or self.head[:1] == "<" and self.tail[-1:] == ">" or self.head[:1] == "$"
+
+
+def secret_literal(value: Value, score: int) -> bool:
     """Whether a literal that a name of this score holds looks like a secret; surer names need less of it."""
-    if len(value) < 8 or " " in value or PLACEHOLDER.search(value):
+    long = value.n if not value.scale else 1 << 64
+    if long < 8 or " " in value.counts or value.placeholder():
+        return False
+    classes = sum(any(f(c) for c in value.counts) for f in (str.islower, str.isupper, str.isdigit)) + (not all(c.isalnum() for c in value.counts))
+    if score < 2 or classes < 2:
         return False
-    classes = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit)) + (not value.isalnum())
-    return score >= 3 and classes >= 2 and entropy(value) >= 2.5 or score >= 2 and classes >= 2 and entropy(value) >= 3.2 and len(value) >= 16
+    return score >= 3 and value.entropy() >= 2.5 or long >= 16 and value.entropy() >= 3.2
 
 
-Spans = list[tuple[int, int]]
+class Terms:
+    """Where a value is written: spans of literals, and the terms of constants it was made from."""
 
+    def __init__(self, *parts: tuple[int, int] | Terms) -> None:
+        self.parts, self.told = list(parts), False
 
-def pairs(text: str) -> list[tuple[str, str, Spans]]:
-    """(name, value, spans of its literals), with constants propagated; a name's latest value counts."""
-    known: dict[str, tuple[str, Spans]] = {}
-    out: list[tuple[str, str, Spans]] = []
+
+def pairs(text: str) -> list[tuple[str, Value, Terms]]:
+    """(name, value, terms), with constants propagated; a name's latest value counts."""
+    known: dict[str, tuple[Value, Terms]] = {}
+    out: list[tuple[str, Value, Terms]] = []
     for m in PAIR.finditer(text):
         names, to = [m[1]], m.end()
+        value, terms = None, None
         if m[3]:
-            value, spans = m[4], [m.span(4)]
+            value, terms = Value(m[4]), Terms(m.span(4))
         elif NAME.fullmatch(m[5]) and m[5] in known:
-            value, spans = known[m[5]]
+            value, terms = known[m[5]]
         elif text[to : to + 1] in ("(", "[") or IDENTIFIER.fullmatch(m[5]):
             known.pop(m[1], None)  # code, whose value is not known
-            value, spans = "", []
         else:
-            value, spans, to = m[5], [m.span(5)], len(text)
-        while spans and (t := TERM.match(text, to)):
-            more, at = (t[2], [t.span(2)]) if t[1] else known.get(t[3], ("", []))
-            value, spans, to = value + more, (spans + at) if at else [], t.end()
+            value, terms, to = Value(m[5]), Terms(m.span(5)), len(text)
+        if value is not None and (t := TERM.match(text, to)):
+            value, terms = value.copy(), Terms(terms)
+            written: list[str] = []  # not yet added
+            while t:
+                if t[1]:
+                    written.append(t[2])
+                    terms.parts.append(t.span(2))
+                elif t[3] in known:
+                    value.add(Value("".join(written)))
+                    written.clear()
+                    value.add(known[t[3]][0])
+                    terms.parts.append(known[t[3]][1])
+                else:
+                    value = None
+                    break
+                t = TERM.match(text, t.end())
+            if value is not None:
+                value.add(Value("".join(written)))
         if m[2]:
             # `else: password = "literal"` looks alike, and so does a literal without quotes before another `=`
             if name_score(m[2]) >= 2:
                 names.append(m[2])
             if (plain := PLAIN.match(text, m.start(2))) and any(c.isdigit() for c in plain[0]):
-                out.append((m[1], plain[0], [plain.span()]))
+                out.append((m[1], Value(plain[0]), Terms(plain.span())))
         for n in names:
-            if spans:
-                known[n] = value, spans
-                out.append((n, value, spans))
+            if value is not None:
+                known[n] = value, terms
+                out.append((n, value, terms))
     return out
 
 
+def literals(text: str) -> set[tuple[int, int]]:
+    """Spans of the literals that sensitive names hold; terms told once are not followed again."""
+    found: set[tuple[int, int]] = set()
+    for name, value, terms in pairs(text):
+        if terms.told or (s := name_score(name)) < 2 or not secret_literal(value, s):
+            continue
+        left = [terms]
+        while left:
+            now = left.pop()
+            if not now.told:
+                now.told = True
+                for p in now.parts:
+                    left.append(p) if isinstance(p, Terms) else found.add(p)
+    return {(a, b) for a, b in found if b > a}
+
+
 def scan(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's place in KINDS, end) of all findings, sorted."""
     found: list[tuple[int, int, int]] = []
@@ -108,7 +194,7 @@ def scan(text: str) -> list[tuple[int, int, int]]:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if ("=" in text or ":" in text) and any(s in lower for s in STEMS):
-        found += {(a, 3, b) for name, value, spans in pairs(text) if (s := name_score(name)) >= 2 and secret_literal(value, s) for a, b in spans if b > a}
+        found += [(a, 3, b) for a, b in literals(text)]
     return sorted(found)
 
 
