@@ -57,7 +57,14 @@ def test_sessions_and_slides(spark, log, tmp_path):
         assert got and all(want[r["start"], r["end"], r["event_type"]] == r["n"] for r in got)
 
 
-def test_quota(spark, tmp_path):
+@pytest.fixture
+def rocks(spark):
+    spark.conf.set(*events.ROCKSDB)
+    yield
+    spark.conf.unset(events.ROCKSDB[0])
+
+
+def test_quota(spark, tmp_path, rocks):
     """Five admitted, a sixth within an hour of the fifth refused, one an hour after it admitted; over several files, against the batch form."""
     rows = [(1, k, 60.0 * k) for k in range(5)] + [(1, 5, 500.0), (1, 6, 240.0 + 3_599), (1, 7, 240.0 + 3_600), (2, 8, 10.0)]
     df = spark.createDataFrame(rows, "user_id long, event_id long, seconds double")
@@ -69,7 +76,7 @@ def test_quota(spark, tmp_path):
     assert not retention.upload_quota(df.limit(0)).count()
 
 
-def test_stale_alerts(spark, tmp_path):
+def test_stale_alerts(spark, tmp_path, rocks):
     """A job that goes quiet is told once; a finished one and one with a late old update are not told wrongly."""
     first = [("a", "processing", 0), ("b", "processing", 0), ("b", "completed", 60), ("c", "queued", 0)]
     later = [("c", "processing", 1_200), ("c", "queued", 30), ("d", "completed", 7_200)]
@@ -81,6 +88,27 @@ def test_stale_alerts(spark, tmp_path):
     assert sorted((r.job, r.status) for r in got.collect()) == [("a", "processing"), ("c", "processing")]
 
 
+def test_alerts_after_restart(spark, tmp_path, rocks):
+    """Each batch in a query of its own over one checkpoint: timers go on, repeated and late updates tell nothing twice, a new one arms again."""
+    path, out, ckpt = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
+    batches = [
+        [("a", "queued", 0), ("a", "queued", 0), ("b", "queued", 0)],
+        [("b", "processing", 600), ("x", "completed", 600)],
+        [("x", "completed", 1_600)],  # watermark 1,000: a is stale since 900
+        [("a", "queued", 1_500), ("a", "queued", 200), ("x", "completed", 2_600)],  # a comes again, and late; b is stale since 1,500
+        [("x", "completed", 9_000)],
+        [("x", "completed", 9_001)],
+    ]
+    for rows in batches:
+        made = spark.createDataFrame(rows, "job string, status string, s long").select("job", "status", (F.col("s") + 1_000_000).cast("timestamp").alias("ts"))
+        made.coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema("job string, status string, ts timestamp").parquet(path)
+        alerts = events.stale_alerts(stream, 15, ("queued", "processing"))
+        alerts.writeStream.format("parquet").option("checkpointLocation", ckpt).trigger(availableNow=True).start(out).awaitTermination()
+    got = sorted((r.job, r.status, int(r.last.timestamp()) - 1_000_000) for r in spark.read.parquet(out).collect())
+    assert got == [("a", "queued", 0), ("a", "queued", 1_500), ("b", "processing", 600)]
+
+
 def test_folded_states(spark, log, tmp_path):
     updates = log.select(F.col("user_id").cast("string").alias("job"), F.col("event_type").alias("status"), "ts", "event_id")
     twice = events.fold_job_state(_stream(spark, updates, tmp_path / "in", 2), "purchase").writeStream.format("memory").queryName("folded").outputMode("complete").trigger(availableNow=True).start()
