@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from polyglossa.functions import text
 from polyglossa.operators import audit, pairs
-from polyglossa.plans.sql import BOOK, CLASS, DIRTY, LINES, MARKS, PAIRS, SIZES, SPACE, directed, flags_sql, split_sql
+from polyglossa.plans.sql import AUDITED, BOOK, CLASS, DIRTY, LINES, MARKS, PAIRS, SIZES, SPACE, directed, flags_sql, split_sql
 from polyglossa.sources import views
 
 
@@ -36,11 +36,11 @@ def notes_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.audit_coverage(views.phrasebook(spark, sf_dir))
+    return audit.audit_coverage(views.audit_book(spark, sf_dir))
 
 
 def audit_field_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.audit_field_dups(views.phrasebook(spark, sf_dir))
+    return audit.audit_field_dups(views.audit_book(spark, sf_dir))
 
 
 def audit_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,12 +56,30 @@ def audit_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.audit_sources(views.phrasebook(spark, sf_dir))
+    return audit.audit_sources(views.audit_book(spark, sf_dir))
+
+
+def _two_books(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, str]:
+    """Samples and the rest of the book, and the field they are compared by."""
+    book = views.audit_book(spark, sf_dir)
+    sample = F.coalesce(F.col("source"), F.lit("")) == "phrase_sample"
+    return book.filter(sample), book.filter(~sample), "tagabawa"
 
 
 def audit_cross_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = views.phrasebook(spark, sf_dir)
-    return audit.audit_cross_leak(book.filter("source = 'phrase_sample'"), book.filter("source = 'phrasebook'"), "tagabawa")
+    return audit.audit_cross_leak(*_two_books(spark, sf_dir))
+
+
+def audit_left_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_left_only(*_two_books(spark, sf_dir))
+
+
+def audit_unicode_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_unicode_rows(views.audit_book(spark, sf_dir))
+
+
+def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_report(views.audit_book(spark, sf_dir), "id % 6 = 0")
 
 
 def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +159,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         clean_invisible, normalize_lookup, strip_diacritics, lookup_variants, normalize_lang, notes_flags, audit_coverage, audit_field_dups, audit_unicode,
-        audit_diacritics, audit_alignment, audit_sources, audit_cross_leak, audit_rows, audit_quality, validate_pairs, clean_pairs, translation_pairs,
+        audit_diacritics, audit_alignment, audit_sources, audit_cross_leak, audit_left_only, audit_unicode_rows, audit_report, audit_rows, audit_quality, validate_pairs, clean_pairs, translation_pairs,
         leakage_groups, group_split, balanced_split, row_split, source_split, split_manifest, split_leakage, split_overlap, model_records, phrasebook_upsert, export_report,
     )
 }
@@ -170,20 +188,49 @@ _GROUPS = f"""WITH RECURSIVE {BOOK}, keys AS ({_EDGES}), star AS (SELECT DISTINC
   groups AS (SELECT id, min(g) AS group_id FROM reach GROUP BY id)"""
 _KEYS4 = ", ".join(_LANGS)
 
+_CLEAR = "lower(trim(coalesce({0}, ''), E' \\t\\r\\n'))"
+_ACELLS = "acells AS (SELECT id, lang, coalesce(text, '') AS text FROM audited, LATERAL (VALUES " + ", ".join(f"('{c}', {c})" for c in _LANGS) + ") AS v(lang, text))"
+_ISSUE = {
+    "replacement": "contains(text, chr(65533))", "control": r"regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]')", "html": "regexp_matches(lower(text), '<[a-z]|&[a-z]+;')", "double_space": "contains(text, '  ')",
+}
+_BOOKS = f"""a AS (SELECT DISTINCT {_CLEAR.format('tagabawa')} AS key FROM audited WHERE source = 'phrase_sample' AND {_CLEAR.format('tagabawa')} <> ''),
+  b AS (SELECT DISTINCT {_CLEAR.format('tagabawa')} AS key FROM audited WHERE coalesce(source, '') <> 'phrase_sample' AND {_CLEAR.format('tagabawa')} <> '')"""
+_NOTES = " UNION ALL ".join(f"SELECT '{k}' AS value, count(*) AS n FROM audited WHERE lower(coalesce(notes, '')) LIKE '%{w}%' HAVING count(*) > 0" for k, w in audit.NOTE_KINDS.items())
+_WHOLE = " AND ".join(f"{_CLEAR.format(c)} <> ''" for c in _LANGS)
+_WORDS = "len(list_filter(regexp_split_to_array(coalesce({0}, ''), '" + SPACE + "'), lambda w: w <> ''))"
+
+
+def _same(name: str, keys: str) -> str:
+    return f"""SELECT '{name}' AS section, unnest(['groups', 'extra_rows']) AS metric, unnest([count(*), sum(n - 1)::BIGINT]) AS n FROM (SELECT count(*) AS n FROM audited GROUP BY {keys} HAVING count(*) > 1) HAVING count(*) > 0"""
+
+
+_REPORT = f"""WITH {AUDITED}, {_ACELLS} SELECT 'counts' AS section, 'total' AS metric, count(*) AS n FROM audited UNION ALL SELECT 'counts', 'complete', count(*) FROM audited WHERE {_WHOLE} UNION ALL SELECT 'counts', 'missing_any', count(*) FROM audited WHERE NOT ({_WHOLE})
+  UNION ALL SELECT 'counts', 'flagged', count(*) FROM audited WHERE id % 6 = 0
+  UNION ALL SELECT 'coverage', CASE WHEN trim(text) = '' THEN 'missing_' ELSE '' END || lang, count(*) FROM acells GROUP BY 2
+  UNION ALL SELECT 'types', lang || '_' || {CLASS}, count(*) FROM (SELECT lang, {SIZES} FROM acells) GROUP BY 2
+  UNION ALL {" UNION ALL ".join(f"SELECT 'unicode', '{k}', count(*) FROM acells WHERE {e} HAVING count(*) > 0" for k, e in _ISSUE.items())}
+  UNION ALL {_same('same_row', ', '.join(_CLEAR.format(c) for c in _LANGS))} UNION ALL {_same('same_english', _CLEAR.format('english'))} UNION ALL {_same('same_tagabawa', _CLEAR.format('tagabawa'))}
+  UNION ALL SELECT 'polysemy', 'groups', count(*) FROM (SELECT 1 FROM audited WHERE {_CLEAR.format('tagabawa')} <> '' GROUP BY {_CLEAR.format('tagabawa')} HAVING count(DISTINCT {_CLEAR.format('english')}) > 1) HAVING count(*) > 0
+  UNION ALL SELECT 'alignment', 'outliers', count(*) FROM (SELECT {_WORDS.format('tagabawa')} AS x, {_WORDS.format('english')} AS y FROM audited) WHERE x > 0 AND y > 0 AND (x / y > 5 OR x / y < 0.2) HAVING count(*) > 0
+  UNION ALL SELECT 'sources', coalesce(source, ''), count(*) FROM audited GROUP BY 2 UNION ALL SELECT 'topics', trim(topic), count(*) FROM audited GROUP BY 2 UNION ALL SELECT 'notes', value, n FROM ({_NOTES})"""
+
 ORACLE_SQL = {
+    "audit_coverage": f"WITH {AUDITED}, {_ACELLS} SELECT lang, count(*) FILTER (WHERE trim(text) <> '') AS present, count(*) FILTER (WHERE trim(text) = '') AS missing FROM acells GROUP BY 1",
+    "audit_field_dups": f"WITH {AUDITED}, {_ACELLS} SELECT lang, sum(n - 1)::BIGINT AS extra_rows FROM (SELECT lang, count(*) AS n FROM acells GROUP BY lang, {_CLEAR.format('text')}) GROUP BY 1",
+    "audit_unicode": f"WITH {DIRTY} SELECT {', '.join(f'count(*) FILTER (WHERE {e}) AS {k}' for k, e in _ISSUE.items())} FROM dirty",
+    "audit_unicode_rows": f"WITH {AUDITED}, {_ACELLS}, i AS (SELECT id, lang, concat_ws('|', {', '.join(f"CASE WHEN {e} THEN '{k}' END" for k, e in _ISSUE.items())}) AS issues FROM acells) SELECT * FROM i WHERE issues <> ''",
+    "audit_sources": f"WITH {AUDITED} SELECT 'source' AS kind, coalesce(source, '') AS value, count(*) AS n FROM audited GROUP BY 2 UNION ALL SELECT 'topic', trim(topic), count(*) FROM audited GROUP BY 2 UNION ALL SELECT 'notes', value, n FROM ({_NOTES})",
+    "audit_cross_leak": f"WITH {AUDITED}, {_BOOKS}, s AS (SELECT count(*) AS n_left, count(*) FILTER (WHERE key IN (SELECT key FROM b)) AS n_shared FROM a) SELECT n_left, n_shared, n_left - n_shared AS n_left_only, n_left = n_shared AS subset FROM s",
+    "audit_left_only": f"WITH {AUDITED}, {_BOOKS} SELECT key FROM a WHERE key NOT IN (SELECT key FROM b)",
+    "audit_report": _REPORT,
     "clean_invisible": f"WITH {DIRTY} SELECT doc_id, md5(translate(text, '{text.INVISIBLE}', '')) AS cleaned FROM dirty",
     "normalize_lookup": f"WITH {LINES} SELECT doc_id, line_no, md5({_NORM}) AS key FROM lines",
     "strip_diacritics": f"WITH {LINES} SELECT doc_id, line_no, md5({_plain('text')}) AS plain FROM lines",
     "lookup_variants": f"WITH {LINES} SELECT len(list_distinct(list_filter([{_RAW}, {_NORM}, {_plain(_NORM)}], lambda x: x <> '')))::INT AS variants, count(*) AS n FROM lines GROUP BY 1",
     "normalize_lang": "SELECT CASE lang WHEN 'en' THEN 'english' ELSE lang END AS language, count(*) AS n FROM documents GROUP BY 1",
     "notes_flags": f"WITH {BOOK} SELECT id, {flags_sql('notes')} AS flags, (notes LIKE '%manual check%' OR notes LIKE '%double check%' OR notes LIKE '%review%') AS review_import, (notes LIKE '%need to double check%' OR notes LIKE '%manual check%') AS review_export FROM book",
-    "audit_coverage": f"WITH {BOOK}, {_CELLS} SELECT lang, count(*) FILTER (WHERE trim(text) <> '') AS present, count(*) FILTER (WHERE trim(text) = '') AS missing FROM cells GROUP BY 1",
-    "audit_field_dups": f"WITH {BOOK}, {_CELLS} SELECT lang, sum(n - 1)::BIGINT AS extra_rows FROM (SELECT lang, count(*) AS n FROM cells WHERE trim(text) <> '' GROUP BY lang, lower(trim(text))) GROUP BY 1",
-    "audit_unicode": rf"WITH {DIRTY} SELECT count(*) FILTER (WHERE contains(text, chr(65533))) AS replacement, count(*) FILTER (WHERE regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]')) AS control, count(*) FILTER (WHERE regexp_matches(lower(text), '<[a-z]|&[a-z]+;')) AS html, count(*) FILTER (WHERE contains(text, '  ')) AS double_space FROM dirty",
     "audit_diacritics": f"WITH {LINES} SELECT lang, count(*) FILTER (WHERE {_plain('text')} <> text) AS marked, count(*) AS n FROM lines GROUP BY 1",
     "audit_alignment": f"WITH {PAIRS}, sized AS (SELECT record_id, len(list_filter(regexp_split_to_array(source_text, '{SPACE}'), lambda w: w <> ''))::INT AS n_left, len(list_filter(regexp_split_to_array(target_text, '{SPACE}'), lambda w: w <> ''))::INT AS n_right FROM pairs) SELECT record_id, n_left, n_right, round(n_left / n_right, 2) AS ratio FROM sized WHERE n_left > 0 AND n_right > 0 AND (n_left / n_right > 5 OR n_left / n_right < 0.2)",
-    "audit_sources": f"WITH {BOOK} SELECT kind, value, count(*) AS n FROM book, LATERAL (VALUES ('source', source), ('topic', topic), ('notes', notes)) AS v(kind, value) GROUP BY 1, 2",
-    "audit_cross_leak": f"WITH {BOOK}, a AS (SELECT DISTINCT tagabawa FROM book WHERE source = 'phrase_sample'), s AS (SELECT count(*) AS n_left, count(*) FILTER (WHERE tagabawa IN (SELECT tagabawa FROM book WHERE source = 'phrasebook')) AS n_shared FROM a) SELECT n_left, n_shared, n_left = n_shared AS subset FROM s",
     "audit_rows": f"WITH {BOOK}, sized AS (SELECT *, tagabawa AS text FROM book), classed AS (SELECT *, {SIZES} FROM sized) SELECT id, {CLASS} AS record_class, {flags_sql('notes')} AS flags, count(*) OVER (PARTITION BY lower(trim(english)), lower(trim(tagabawa)), lower(trim(filipino)), lower(trim(cebuano))) > 1 AS is_exact_dup, cebuano <> '' AS complete FROM classed",
     "audit_quality": f"WITH {BOOK} SELECT count(*) AS total, count(*) FILTER (WHERE notes LIKE '%auto-split%') AS auto_split, round(100.0 * count(*) FILTER (WHERE notes LIKE '%auto-split%') / count(*), 2)::DOUBLE AS auto_split_pct, count(*) FILTER (WHERE notes LIKE '%manual check%' OR notes LIKE '%double check%') AS review_import, count(*) FILTER (WHERE notes LIKE '%need to double check%' OR notes LIKE '%manual check%') AS review_export FROM book",
     "validate_pairs": f"""WITH {PAIRS}, p AS (SELECT record_id, trim(source_text) AS s, trim(target_text) AS t, count(*) OVER (PARTITION BY trim(source_text), trim(target_text)) AS n FROM pairs)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from polyglossa.operators import audit, jobs, tm
 from polyglossa.plans import language, pages, pairs, reports, retention, review
-from polyglossa.plans.sql import BOOK, CLASS, LINES, LOOKUP, SIZES, forms
+from polyglossa.plans.sql import AUDITED, BOOK, CLASS, LINES, LOOKUP, SIZES, forms
 from polyglossa.sources import views
 
 
@@ -41,11 +41,11 @@ def audit_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.audit_dups(views.phrasebook(spark, sf_dir))
+    return audit.audit_dups(views.audit_book(spark, sf_dir))
 
 
 def audit_polysemy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.audit_polysemy(views.phrasebook(spark, sf_dir))
+    return audit.audit_polysemy(views.audit_book(spark, sf_dir))
 
 
 def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,8 @@ def event_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (tm_lookup, tm_index, tm_coverage, record_class, audit_counts, audit_types, audit_dups, audit_polysemy, quality_summary, recent_jobs, active_limit, event_summary)}
 
+_CLEAR = pairs._CLEAR
+
 ORACLE_SQL = {
     "tm_lookup": f"{LOOKUP} SELECT * EXCLUDE (text) FROM found",
     "tm_index": f"WITH {BOOK}, s AS (SELECT id, src_lang, text, english, tagabawa, filipino, cebuano FROM book, LATERAL (VALUES ('english', english), ('tagabawa', tagabawa), ('filipino', filipino), ('cebuano', cebuano)) AS v(src_lang, text)) SELECT src_lang, t.tgt_lang, variant, min(id) AS row_pos, min_by(t.target, id) AS target FROM {forms('s', 'id, src_lang, english, tagabawa, filipino, cebuano')} m, LATERAL (VALUES ('english', english), ('tagabawa', tagabawa), ('filipino', filipino), ('cebuano', cebuano)) AS t(tgt_lang, target) WHERE src_lang <> t.tgt_lang AND trim(t.target) <> '' GROUP BY 1, 2, 3",
@@ -78,8 +80,9 @@ ORACLE_SQL = {
     "record_class": f"WITH {LINES} SELECT lang, {CLASS} AS record_class, count(*) AS n FROM (SELECT lang, {SIZES} FROM lines) GROUP BY 1, 2",
     "audit_counts": f"WITH {BOOK} SELECT count(*) AS total, count(*) FILTER (WHERE cebuano <> '') AS complete, count(*) FILTER (WHERE cebuano = '') AS missing_any FROM book",
     "audit_types": f"WITH {BOOK}, long AS (SELECT lang, text FROM book, LATERAL (VALUES ('english', english), ('tagabawa', tagabawa), ('filipino', filipino), ('cebuano', cebuano)) AS v(lang, text)) SELECT lang, {CLASS} AS record_class, count(*) AS n FROM (SELECT lang, {SIZES} FROM long) GROUP BY 1, 2",
-    "audit_dups": f"WITH {BOOK}, g AS (SELECT count(*) AS n FROM book GROUP BY lower(trim(english)), lower(trim(tagabawa)), lower(trim(filipino)), lower(trim(cebuano)) HAVING count(*) > 1) SELECT count(*) AS groups, coalesce(sum(n - 1), 0)::BIGINT AS extra_rows FROM g",
-    "audit_polysemy": f"WITH {BOOK} SELECT tagabawa AS source, count(DISTINCT english) AS n_variants FROM book GROUP BY 1 HAVING count(DISTINCT english) > 1",
+    "audit_dups": f"WITH {AUDITED}, g AS (SELECT count(*) AS n FROM audited GROUP BY {', '.join(_CLEAR.format(c) for c in audit.LANGS)} HAVING count(*) > 1) SELECT count(*) AS groups, coalesce(sum(n - 1), 0)::BIGINT AS extra_rows FROM g",
+    "audit_polysemy": f"""WITH {AUDITED}, k AS (SELECT DISTINCT {_CLEAR.format('tagabawa')} AS source, {_CLEAR.format('english')} AS ref FROM audited)
+      SELECT source, count(*)::INT AS n_variants, string_agg(ref, '|' ORDER BY ref) AS variants FROM k WHERE source <> '' GROUP BY 1 HAVING count(*) > 1""",
     "quality_summary": "SELECT l_orderkey AS job, count(*) AS n_segments, count(*) FILTER (WHERE l_returnflag = 'R') AS n_review FROM lineitem GROUP BY 1",
     "recent_jobs": "SELECT owner, job, nth FROM (SELECT o_custkey AS owner, o_orderkey AS job, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC))::INT AS nth FROM orders) WHERE nth <= 5",
     "active_limit": "SELECT o_custkey AS owner, count(*) AS active FROM orders WHERE o_orderstatus IN ('O', 'P') GROUP BY 1 HAVING count(*) >= 2",

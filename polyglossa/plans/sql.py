@@ -22,6 +22,8 @@ def _list(values: tuple[str, ...]) -> str:
 BOOK = f"""book AS (SELECT p_partkey AS id, CASE WHEN p_size % 13 = 0 THEN '' ELSE p_type END AS topic, p_name || ' ' || (p_size % 10) AS english, p_brand || ' ' || (p_size % 10) AS tagabawa,
   p_type || ' ' || p_name || ' ' || (p_size % 10) AS filipino, CASE WHEN p_size = 7 THEN '' ELSE p_brand || ' ' || p_name || ' ' || (p_size % 10) END AS cebuano,
   CASE WHEN p_size % 10 = 0 THEN 'phrase_sample' ELSE 'phrasebook' END AS source, ({_list(NOTES)})[p_size % 5 + 1] AS notes FROM part)"""
+AUDITED = f"""{BOOK}, audited AS (SELECT id, topic, english, tagabawa, filipino, cebuano, source, notes FROM book UNION ALL SELECT id + 10000000, ' ' || topic || ' ', CASE WHEN id % 3 = 0 THEN english || ' <b>too' ELSE upper(english) END,
+  lower(tagabawa) || chr(9), CASE WHEN id % 5 = 0 THEN filipino || chr(127) || chr(65533) ELSE filipino END, CASE WHEN cebuano <> '' THEN upper(cebuano) END, CASE WHEN id % 7 > 0 THEN source END, upper(notes) FROM book WHERE id % 4 = 0)"""
 DIRTY = f"dirty AS (SELECT doc_id, text || ({_list(DIRT)})[doc_id % {len(DIRT)} + 1] AS text FROM documents)"
 PAIRS = """turns AS (SELECT u.conv_id, u.turn, u.text AS source_text, a.text AS answer FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'),
   pairs AS (SELECT 'c-' || conv_id || '-' || turn || '-0' AS record_id, conv_id, source_text, answer AS target_text FROM turns UNION ALL

@@ -55,6 +55,17 @@ def phrasebook(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def audit_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrasebook, and rows of it once more as an audit meets them: other case, outer blanks, null for blank, other meanings, odd characters."""
+    book, n = phrasebook(spark, sf_dir), F.col("id")
+    again = book.filter("id % 4 = 0").select(
+        (n + 10_000_000).alias("id"), F.concat(F.lit(" "), "topic", F.lit(" ")).alias("topic"), F.when(n % 3 == 0, F.concat("english", F.lit(" <b>too"))).otherwise(F.upper("english")).alias("english"),
+        F.concat(F.lower("tagabawa"), F.lit("\t")).alias("tagabawa"), F.when(n % 5 == 0, F.concat("filipino", F.lit("\x7f\ufffd"))).otherwise(F.col("filipino")).alias("filipino"),
+        F.when(F.col("cebuano") != "", F.upper("cebuano")).alias("cebuano"), F.when(n % 7 > 0, F.col("source")).alias("source"), F.upper("notes").alias("notes"),
+    )
+    return book.union(again)
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user turn with the assistant's next: record_id, conv_id, source_text, target_text.
 
