@@ -2,31 +2,54 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: First code point of the stand-ins of words, and the first of the range that strings must not hold.
-STAND_IN, SURROGATES = 0x3400, 0xD800
-
-
 def _words(c: Column) -> Column:
     return F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda w: w != "")
 
 
-def _stand_ins(own: Column, known: Column) -> Column:
-    """One character for each word: its place among the distinct words of the row."""
-    place = lambda w: F.array_position(known, w).cast("int") + STAND_IN
-    code = lambda w: place(w) + F.when(place(w) >= SURROGATES, 0x800).otherwise(0)
-    return F.array_join(F.transform(own, lambda w: F.decode(F.unhex(F.lpad(F.hex(code(w)), 4, "0")), "UTF-16BE")), "")
+def _bits(places: list[int]) -> int:
+    """A number with these bits set, made from bytes so that its cost is its length."""
+    out = bytearray(places[-1] // 8 + 1)
+    for k in places:
+        out[k >> 3] |= 1 << (k & 7)
+    return int.from_bytes(out, "little")
+
+
+def edit_distance(a: Sequence, b: Sequence) -> int:
+    """Edits between two lists, by bit vectors as long as a: one step for each member of b, whatever the number of different ones."""
+    if not len(a) or not len(b):
+        return max(len(a), len(b))
+    places: dict = {}
+    for k, x in enumerate(a):
+        places.setdefault(x, []).append(k)
+    at = {x: _bits(ks) for x, ks in places.items()}
+    whole, last, distance = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    more, less = whole, 0  # where a column rises and falls
+    for y in b:
+        same = at.get(y, 0)
+        across = (((same & more) + more) ^ more) | same
+        up, down = less | ~(across | more) & whole, more & across
+        distance += bool(up & last) - bool(down & last)
+        up, down, met = (up << 1 | 1) & whole, down << 1 & whole, same | less
+        more, less = down | ~(met | up) & whole, up & met
+    return distance
+
+
+def _distances(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([edit_distance(*((x, y) if len(x) <= len(y) else (y, x))) for x, y in zip(a, b)], dtype="int64")
 
 
 def wer(ref: Column, hyp: Column) -> Column:
-    """Word error rate: 0 for an empty reference, 1 at most; null for a row of over 50,000 distinct words."""
+    """Word error rate: 0 for an empty reference, 1 at most."""
     r, h = _words(ref), _words(hyp)
-    known = F.array_distinct(F.concat(r, h))
-    rate = F.try_divide(F.levenshtein(_stand_ins(r, known), _stand_ins(h, known)), F.size(r))
-    return F.when(F.size(r) == 0, 0.0).when(F.size(known) <= 50_000, F.least(F.lit(1.0), rate))
+    edits = F.pandas_udf(_distances, "long")(r, h)
+    return F.when(F.size(r) == 0, 0.0).otherwise(F.least(F.lit(1.0), F.try_divide(edits, F.size(r))))
 
 
 def mean_confidence(c: Column) -> Column:
@@ -44,23 +67,26 @@ def tokens_13a(c: Column) -> Column:
     return _words(t)
 
 
-def _word_grams(c: Column, n: int) -> Column:
-    t = tokens_13a(c)
-    starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(t, i, n), " "))
+def _unspaced(c: Column) -> Column:
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "")
+
 
+def overlaps(hyp: Sequence, ref: Sequence, orders: int) -> list[int]:
+    """For n from 1 to orders: n-grams in common (each as often as the rarer side has it), of hyp, of ref. hyp, ref: strings or lists of words."""
+    out: list[int] = []
+    for n in range(1, orders + 1):
+        h, r = (Counter(x[k : k + n] for k in range(len(x) - n + 1)) if isinstance(x, str) else Counter(zip(*(x[k:] for k in range(n)))) for x in (hyp, ref))
+        out += [sum(min(c, r[g]) for g, c in h.items() if g in r), h.total(), r.total()]
+    return out
 
-def _char_grams(c: Column, n: int) -> Column:
-    t = F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "")
-    return F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))  # at every place, in one pass
 
+def _overlaps(hyp: Column, ref: Column, orders: int) -> Column:
+    """`overlaps` of every row, counted inside the row: no n-gram is shuffled."""
 
-def _overlaps(rows: DataFrame, grams, orders: int) -> DataFrame:
-    """id, n, matched, of_hyp, of_ref: n-grams in common, clipped in each row. rows: id, hyp, ref."""
-    each = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), grams(F.col(side), n).alias("grams")) for n in range(1, orders + 1) for side in ("hyp", "ref")))
-    long = rows.select("id", F.explode(each).alias("g")).select("id", "g.n", "g.side", F.explode("g.grams").alias("gram"))
-    counts = long.groupBy("id", "n", "gram").agg(F.count_if(F.col("side") == "hyp").alias("h"), F.count_if(F.col("side") == "ref").alias("r"))
-    return counts.groupBy("id", "n").agg(F.sum(F.least("h", "r")).alias("matched"), F.sum("h").alias("of_hyp"), F.sum("r").alias("of_ref"))
+    def count(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+        return pd.Series([overlaps(h, r, orders) for h, r in zip(hyp, ref)])
+
+    return F.pandas_udf(count, "array<long>")(hyp, ref)
 
 
 def corpus_bleu(rows: DataFrame, orders: int = 4) -> DataFrame:
@@ -68,10 +94,11 @@ def corpus_bleu(rows: DataFrame, orders: int = 4) -> DataFrame:
 
     Orders without a match are smoothed as by `exp`: each halves the match counted for it.
     """
-    sums = _overlaps(rows, _word_grams, orders).groupBy().pivot("n", list(range(1, orders + 1))).agg(F.sum("matched").alias("m"), F.sum("of_hyp").alias("h"), F.sum("of_ref").alias("r"))
+    each = rows.select(_overlaps(tokens_13a(F.col("hyp")), tokens_13a(F.col("ref")), orders).alias("o"))
     zero = F.lit(0)
-    m, h = ([F.coalesce(F.col(f"{n}_{c}"), zero) for n in range(1, orders + 1)] for c in ("m", "h"))
-    r = F.coalesce(F.col("1_r"), zero)
+    sums = each.agg(*(F.coalesce(F.sum(F.col("o")[k]), zero).alias(f"o{k}") for k in range(3 * orders)))
+    m, h = ([F.col(f"o{3 * n + c}") for n in range(orders)] for c in (0, 1))
+    r = F.col("o2")
     logs, halves = F.lit(0.0), zero
     for k in range(orders):
         halves = halves + (m[k] == 0).cast("int")
@@ -81,27 +108,27 @@ def corpus_bleu(rows: DataFrame, orders: int = 4) -> DataFrame:
     return sums.select(F.round(score, 4).alias("bleu"), h[0].alias("n_hyp"), r.alias("n_ref"))
 
 
-def _chrf(sums: DataFrame, keys: list[str], beta: int) -> DataFrame:
-    """keys, chrf: F score of the mean precision and recall over the orders that both sides have. sums: keys, n, matched, of_hyp, of_ref."""
-    both = (F.col("of_hyp") > 0) & (F.col("of_ref") > 0)
-    means = sums.groupBy(*keys).agg(
-        F.coalesce(F.sum(F.when(both, F.col("matched") / F.col("of_hyp"))) / F.count_if(both), F.lit(0.0)).alias("p"),
-        F.coalesce(F.sum(F.when(both, F.col("matched") / F.col("of_ref"))) / F.count_if(both), F.lit(0.0)).alias("r"),
-    )
-    f = F.coalesce(F.try_divide((1 + beta * beta) * F.col("p") * F.col("r"), beta * beta * F.col("p") + F.col("r")), F.lit(0.0))
-    return means.select(*keys, (100 * f).alias("chrf"))
+def _chrf(o: list[Column], beta: int) -> Column:
+    """F score of the mean precision and recall over the orders that both sides have. o: matched, of hyp, of ref of each order."""
+    p, r, n = F.lit(0.0), F.lit(0.0), F.lit(0)
+    for m, h, f in zip(o[::3], o[1::3], o[2::3]):
+        both = (h > 0) & (f > 0)
+        p, r, n = p + F.when(both, m / h).otherwise(0.0), r + F.when(both, m / f).otherwise(0.0), n + both.cast("int")
+    p, r = (F.coalesce(F.try_divide(x, n), F.lit(0.0)) for x in (p, r))
+    return 100 * F.coalesce(F.try_divide((1 + beta * beta) * p * r, beta * beta * p + r), F.lit(0.0))
 
 
 def corpus_chrf(rows: DataFrame, orders: int = 6, beta: int = 2) -> DataFrame:
     """chrf (0 to 100, four places) of all rows together. rows: id, hyp, ref."""
-    sums = _overlaps(rows, _char_grams, orders).groupBy("n").agg(*(F.sum(c).alias(c) for c in ("matched", "of_hyp", "of_ref")))
-    return _chrf(sums, [], beta).select(F.round(F.coalesce("chrf", F.lit(0.0)), 4).alias("chrf"))
+    each = rows.select(_overlaps(_unspaced(F.col("hyp")), _unspaced(F.col("ref")), orders).alias("o"))
+    sums = each.agg(*(F.coalesce(F.sum(F.col("o")[k]), F.lit(0)).alias(f"o{k}") for k in range(3 * orders)))
+    return sums.select(F.round(_chrf([F.col(f"o{k}") for k in range(3 * orders)], beta), 4).alias("chrf"))
 
 
 def sentence_chrf(rows: DataFrame, orders: int = 6, beta: int = 2) -> DataFrame:
-    """id, chrf (two places) of each row. rows: id (unique), hyp, ref."""
-    scored = _chrf(_overlaps(rows, _char_grams, orders), ["id"], beta)
-    return rows.select("id").join(scored, "id", "left").select("id", F.round(F.coalesce("chrf", F.lit(0.0)), 2).alias("chrf"))
+    """id, chrf (two places) of each row. rows: id, hyp, ref."""
+    each = rows.select("id", _overlaps(_unspaced(F.col("hyp")), _unspaced(F.col("ref")), orders).alias("o"))
+    return each.select("id", F.round(_chrf([F.col("o")[k] for k in range(3 * orders)], beta), 2).alias("chrf"))
 
 
 def prediction_review(predictions: DataFrame, truth: DataFrame) -> DataFrame:
