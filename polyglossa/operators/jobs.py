@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,11 +42,42 @@ def job_health(jobs: DataFrame, as_of: str, minutes: int = 15) -> DataFrame:
     return jobs.agg(*(F.count_if(F.col("status") == s).alias(s) for s in ACTIVE), F.count_if(F.col("status").isin(*ACTIVE) & (F.col("updated") <= _before(as_of, minutes))).alias("stale"))
 
 
+def _is_stale(as_of: str, minutes: int):
+    return F.col("status").isin(*ACTIVE) & ~F.col("is_deleted") & (F.col("updated") <= _before(as_of, max(1, minutes)))
+
+
 def stale_jobs(jobs: DataFrame, as_of: str, minutes: int = 15, retry_queued: bool = False) -> DataFrame:
-    """job, status, action for active jobs, not deleted, without an update for the given minutes."""
-    old = jobs.filter(F.col("status").isin(*ACTIVE) & ~F.col("is_deleted") & (F.col("updated") <= _before(as_of, minutes)))
+    """job, owner, status, action for active jobs, not deleted, without an update for the given minutes."""
     retry = F.lit(retry_queued) & F.col("status").isin("queued", "retrying")
-    return old.select("job", "status", F.when(retry, "retry").otherwise("fail").alias("action"))
+    return jobs.filter(_is_stale(as_of, minutes)).select("job", "owner", "status", F.when(retry, "retry").otherwise("fail").alias("action"))
+
+
+#: What a recovery writes.
+RECOVERY_EVENT = "translation_job_stale_recovery"
+ABANDONED = "Translation job was abandoned before completion and was marked failed by stale-job recovery."
+RETRIED = "This job was abandoned and has been queued for retry."
+
+
+def recovery_events(jobs: DataFrame, as_of: str, minutes: int = 15, retry_queued: bool = False, dry_run: bool = False) -> DataFrame:
+    """job, actor, level, event_type, message, action, previous_status: one warning for each stale job; a dry run says so."""
+    message = F.concat(F.lit("Dry run: would " if dry_run else ""), "action", F.lit(f" stale translation job after {max(1, minutes)} minute(s)."))
+    return stale_jobs(jobs, as_of, minutes, retry_queued).select(
+        "job", F.col("owner").alias("actor"), F.lit("warning").alias("level"), F.lit(RECOVERY_EVENT).alias("event_type"), message.alias("message"), "action", F.col("status").alias("previous_status")
+    )
+
+
+def recovered_jobs(jobs: DataFrame, as_of: str, minutes: int = 15, retry_queued: bool = False) -> DataFrame:
+    """job, owner, status, updated, is_deleted, message, progress, finished of all jobs after a recovery: stale ones retried or failed, others as they were.
+
+    One pass, no join: whether a job is stale stands in its row.
+    """
+    stale = _is_stale(as_of, minutes)
+    retry = stale & F.lit(retry_queued) & F.col("status").isin("queued", "retrying")
+    now = F.lit(as_of).cast("timestamp_ntz")
+    return jobs.select(
+        "job", "owner", F.when(retry, "retrying").when(stale, "failed").otherwise(F.col("status")).alias("status"), F.when(stale, now).otherwise(F.col("updated").cast("timestamp_ntz")).alias("updated"),
+        "is_deleted", F.when(retry, RETRIED).when(stale, ABANDONED).alias("message"), F.when(retry, 0).alias("progress"), F.when(stale & ~retry, now).alias("finished"),
+    )
 
 
 def taking_longer(jobs: DataFrame, as_of: str, minutes: int = 10) -> DataFrame:
@@ -75,3 +108,19 @@ def event_sessions(events: DataFrame, gap_s: int = 3600) -> DataFrame:
     apart = F.coalesce(F.timestamp_diff("SECOND", F.lag("ts").over(order), F.col("ts")) > gap_s, F.lit(True))
     numbered = events.withColumn("apart", apart.cast("int")).withColumn("session", F.sum("apart").over(order))
     return numbered.groupBy("user_id", "session").agg(F.count("*").alias("n"))
+
+
+def violations(tables: list[tuple[DataFrame, dict[str, tuple[str, ...]], dict[str, str]]]) -> DataFrame:
+    """rule, key, n: values that stand more than once though a rule says they are unique, and rows that break a check.
+
+    tables: (rows, unique, checks): unique names columns by rule, checks a condition that must hold. Each table is read once, whatever
+    the number of its rules; nulls make no duplicate and break no check, as in a database.
+    """
+    found = []
+    for rows, unique, checks in tables:
+        text = lambda c: F.col(c).cast("string")
+        marks = [F.when(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in columns)), F.struct(F.lit(rule).alias("rule"), F.concat_ws("\x1f", *map(text, columns)).alias("key"), F.lit(1).alias("most"))) for rule, columns in unique.items()]
+        marks += [F.when(~F.expr(check), F.struct(F.lit(rule).alias("rule"), F.lit(check).alias("key"), F.lit(0).alias("most"))) for rule, check in checks.items()]
+        found.append(rows.select(F.explode(F.array_compact(F.array(*marks))).alias("m")))
+    each = reduce(DataFrame.union, found).groupBy("m.rule", "m.key", "m.most").agg(F.count("*").alias("n"))
+    return each.filter(F.col("n") > F.col("most")).select("rule", "key", "n")

@@ -8,8 +8,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from polyglossa.functions.text import is_trainable, pair_text, record_id, stripped
+from polyglossa.functions.text import is_trainable, notes_flags, pair_text, record_id, stripped
 from polyglossa.operators.audit import LANGS
+from polyglossa.operators.skew import spread_join
 from polyglossa.session import written
 
 
@@ -187,6 +188,36 @@ def phrasebook_upsert(existing: DataFrame, batch: DataFrame, langs=LANGS) -> Dat
     return sums.unpivot([], ["created", "failed", "updated"], "outcome", "n")
 
 
+def phrasebook_merge(existing: DataFrame, batch: DataFrame, update: bool = True, langs=LANGS) -> DataFrame:
+    """The phrasebook after an import, and what failed: langs, topic, source, notes, needs_review, outcome, n.
+
+    existing: langs, topic, source, notes, needs_review. batch: row (orders it), langs, topic, source, notes. Entries are told by all texts
+    as they are, null as blank; rows without a text are skipped. With update the first row of a new key creates it and the last one gives
+    its values; the last row of a known key updates it; rows whose key several entries have fail and stand apart. Without update every
+    row is created. outcome: kept, created, updated, failed; n: batch rows that went into the entry (0 for kept).
+    """
+    columns = [*langs, "topic", "source", "notes", "needs_review"]
+    text = lambda c: F.coalesce(F.trim(c), F.lit("")).alias(c)
+    own = F.coalesce(F.nullif(F.trim("source"), F.lit("")), F.lit("phrasebook")).alias("source")
+    some = reduce(lambda a, b: a | b, ((_text(c) != "") for c in langs))
+    rows = batch.filter(some).select("row", *map(text, langs), text("topic"), own, text("notes"), notes_flags(F.col("notes"))["review_import"].alias("needs_review"))
+    old = existing.select(*map(text, langs), *columns[len(langs) :])
+    if not update:
+        return old.withColumns({"outcome": F.lit("kept"), "n": F.lit(0).cast("long")}).union(rows.select(*columns, F.lit("created"), F.lit(1).cast("long")))
+    new = rows.groupBy(*langs).agg(F.max(F.struct("row", *columns[len(langs) :])).alias("last"), F.count("*").alias("n"))
+    known = old.groupBy(*langs).agg(F.count("*").alias("n_old"))
+    keyed = new.join(known, list(langs), "left").withColumn("n_old", F.coalesce("n_old", F.lit(0)))
+    values = [F.col(f"last.{c}").alias(c) for c in columns[len(langs) :]]
+    created = keyed.filter("n_old = 0").select(*langs, *values, F.lit("created").alias("outcome"), "n")
+    # one row for each key on the right; entries of a key that many share are spread
+    sure = keyed.filter("n_old = 1").select(*langs, "last", F.col("n").alias("_n"))
+    met = spread_join(old, sure, list(langs))
+    hit = F.col("_n").isNotNull()
+    stay = met.select(*langs, *(F.when(hit, F.col(f"last.{c}")).otherwise(F.col(c)).alias(c) for c in columns[len(langs) :]), F.when(hit, "updated").otherwise("kept").alias("outcome"), F.coalesce("_n", F.lit(0)).cast("long").alias("n"))
+    failed = spread_join(rows, keyed.filter("n_old > 1").select(*langs, "n_old"), list(langs), "inner")
+    return stay.union(created).union(failed.select(*columns, F.lit("failed"), F.lit(1).cast("long")))
+
+
 def export_report(rows: DataFrame, langs=LANGS) -> DataFrame:
     """metric, n: rows, missing texts by language and directed pairs by direction."""
     missing = rows.unpivot([], list(langs), "lang", "text").groupBy(F.concat(F.lit("missing_"), "lang").alias("metric")).agg(F.count_if(_text("text") == "").alias("n"))

@@ -151,6 +151,15 @@ def phrasebook_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.phrasebook_upsert(book.filter("source = 'phrasebook'").filter("id % 3 <> 0"), book)
 
 
+def phrasebook_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thirds of the book with a few entries twice; the batch is the whole book, each row of every fifth once more with other notes."""
+    book = views.phrasebook(spark, sf_dir)
+    old = book.filter("source = 'phrasebook' AND id % 3 <> 0").withColumn("needs_review", F.lit(False))
+    old = old.union(old.filter("id % 50 = 1").withColumn("notes", F.lit("twice")))
+    batch = book.withColumn("row", F.col("id") * 2).unionByName(book.filter("id % 5 = 0").withColumn("row", F.col("id") * 2 + 1).withColumn("notes", F.lit("Manual check again")))
+    return pairs.phrasebook_merge(old, batch)
+
+
 def export_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.export_report(_marked(spark, sf_dir))
 
@@ -160,7 +169,7 @@ QUERIES = {
     for f in (
         clean_invisible, normalize_lookup, strip_diacritics, lookup_variants, normalize_lang, notes_flags, audit_coverage, audit_field_dups, audit_unicode,
         audit_diacritics, audit_alignment, audit_sources, audit_cross_leak, audit_left_only, audit_unicode_rows, audit_report, audit_rows, audit_quality, validate_pairs, clean_pairs, translation_pairs,
-        leakage_groups, group_split, balanced_split, row_split, source_split, split_manifest, split_leakage, split_overlap, model_records, phrasebook_upsert, export_report,
+        leakage_groups, group_split, balanced_split, row_split, source_split, split_manifest, split_leakage, split_overlap, model_records, phrasebook_upsert, phrasebook_merge, export_report,
     )
 }
 
@@ -187,6 +196,7 @@ _GROUPS = f"""WITH RECURSIVE {BOOK}, keys AS ({_EDGES}), star AS (SELECT DISTINC
   reach(id, g) AS (SELECT id, id FROM book UNION SELECT reach.id, e.v FROM reach JOIN e ON reach.g = e.u),
   groups AS (SELECT id, min(g) AS group_id FROM reach GROUP BY id)"""
 _KEYS4 = ", ".join(_LANGS)
+_HAD, _SAME = ", ".join(f"h.{c}" for c in _LANGS), " AND ".join(f"h.{c} = l.{c}" for c in _LANGS)
 
 _CLEAR = "lower(trim(coalesce({0}, ''), E' \\t\\r\\n'))"
 _ACELLS = "acells AS (SELECT id, lang, coalesce(text, '') AS text FROM audited, LATERAL (VALUES " + ", ".join(f"('{c}', {c})" for c in _LANGS) + ") AS v(lang, text))"
@@ -263,5 +273,13 @@ ORACLE_SQL = {
       j AS (SELECT n_new, coalesce(n_old, 0) AS n_old FROM new LEFT JOIN old USING ({_KEYS4}))
       SELECT 'created' AS outcome, count(*) FILTER (WHERE n_old = 0) AS n FROM j UNION ALL SELECT 'failed', coalesce(sum(n_new) FILTER (WHERE n_old > 1), 0)::BIGINT FROM j
       UNION ALL SELECT 'updated', coalesce(sum(n_new - (n_old = 0)::INT) FILTER (WHERE n_old <= 1), 0)::BIGINT FROM j""",
+    "phrasebook_merge": f"""WITH {BOOK}, old AS (SELECT *, false AS needs_review FROM book WHERE source = 'phrasebook' AND id % 3 <> 0), twice AS (SELECT * FROM old UNION ALL SELECT * REPLACE ('twice' AS notes) FROM old WHERE id % 50 = 1),
+      had AS (SELECT *, count(*) OVER (PARTITION BY {_KEYS4}) AS n_old FROM twice), batch AS (SELECT *, id * 2 AS row FROM book UNION ALL SELECT * REPLACE ('Manual check again' AS notes), id * 2 + 1 FROM book WHERE id % 5 = 0),
+      put AS (SELECT *, notes ILIKE '%manual check%' OR notes ILIKE '%double check%' OR notes ILIKE '%review%' AS needs_review, row_number() OVER (PARTITION BY {_KEYS4} ORDER BY row DESC) AS back, count(*) OVER (PARTITION BY {_KEYS4}) AS n FROM batch),
+      last AS (SELECT * FROM put WHERE back = 1), known AS (SELECT DISTINCT {_KEYS4}, n_old FROM had)
+      SELECT {_HAD}, h.topic, h.source, h.notes, h.needs_review, 'kept' AS outcome, 0::BIGINT AS n FROM had h WHERE n_old > 1 OR NOT EXISTS (SELECT 1 FROM last l WHERE {_SAME})
+      UNION ALL SELECT {_HAD}, l.topic, l.source, l.notes, l.needs_review, 'updated', l.n FROM had h JOIN last l ON {_SAME} WHERE n_old = 1
+      UNION ALL SELECT {_KEYS4}, topic, source, notes, needs_review, 'created', n FROM last l WHERE NOT EXISTS (SELECT 1 FROM known h WHERE {_SAME})
+      UNION ALL SELECT {_KEYS4}, topic, source, notes, needs_review, 'failed', 1 FROM put l WHERE EXISTS (SELECT 1 FROM known h WHERE n_old > 1 AND {_SAME})""",
     "export_report": f"{_DIRECTED}, {_CELLS} SELECT 'missing_' || lang AS metric, count(*) FILTER (WHERE trim(text) = '') AS n FROM cells GROUP BY 1 UNION ALL SELECT 'pairs_' || source_lang || '_' || target_lang, count(*) FROM directed GROUP BY 1 UNION ALL SELECT 'rows', count(*) FROM book",
 }

@@ -54,7 +54,31 @@ def job_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stale_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.stale_jobs(views.jobs(spark, sf_dir), AS_OF, retry_queued=True)
+    return jobs.stale_jobs(views.jobs(spark, sf_dir), AS_OF, retry_queued=True).drop("owner")
+
+
+def recovery_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.recovery_events(views.jobs(spark, sf_dir), AS_OF, retry_queued=True, dry_run=True)
+
+
+def recovered_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.recovered_jobs(views.jobs(spark, sf_dir), AS_OF, retry_queued=True)
+
+
+#: Rules on line items as segments, pages, results and outputs of jobs, on parts as terms, and on suppliers as pairs of languages.
+RULES = {
+    "lineitem": ({
+        "segment": ("l_orderkey", "l_linenumber"), "page": ("l_orderkey", "l_suppkey"), "ocr_result": ("l_orderkey", "l_returnflag", "l_linestatus"), "output": ("l_orderkey", "l_shipdate", "l_tax"),
+    }, {}),
+    "part": ({"term": ("p_brand", "p_type", "p_size")}, {}),
+    "supplier": ({"language_pair": ("s_nationkey", "source")}, {"different_languages": "s_nationkey <> source"}),
+}
+
+
+def constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = {name: views.table(spark, sf_dir, name) for name in RULES}
+    tables["supplier"] = tables["supplier"].withColumn("source", F.col("s_suppkey") % 25)
+    return jobs.violations([(tables[name], *rules) for name, rules in RULES.items()])
 
 
 def taking_longer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +107,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         lang_vocab, dict_langid, txt_layout, ocr_lines, ocr_summary, reading_order, two_column, page_routing, cer,
-        job_health, stale_jobs, taking_longer, job_dashboard, constraint_checks, event_windows, event_sessions,
+        job_health, stale_jobs, recovery_events, recovered_jobs, taking_longer, job_dashboard, constraint_checks, constraint_violations, event_windows, event_sessions,
     )
 }
 
@@ -97,6 +121,8 @@ _BLOCKS = f"""{LINES}, blocks AS (SELECT doc_id, line_no // 20 AS page, line_no
 JOBS = """jobs AS (SELECT o_orderkey AS job, o_custkey AS owner, o_orderdate AS created, o_orderdate + to_minutes(o_orderkey % 60) AS updated, o_orderkey % 11 = 0 AS is_deleted,
   CASE WHEN o_orderkey % 17 = 0 THEN 'retrying' WHEN o_orderstatus = 'F' AND o_orderkey % 3 = 0 THEN 'failed' WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderstatus = 'O' THEN 'queued' ELSE 'processing' END AS status FROM orders)"""
 _ACTIVE = "status IN ('queued', 'processing', 'retrying')"
+_STALE = f"({_ACTIVE} AND NOT is_deleted AND updated <= TIMESTAMP '{AS_OF}' - INTERVAL 15 MINUTE)"
+_SUPPLIERS = "(SELECT *, s_suppkey % 25 AS source FROM supplier)"
 
 ORACLE_SQL = {
     "lang_vocab": f"WITH {VOCAB} SELECT * FROM vocab",
@@ -114,6 +140,15 @@ ORACLE_SQL = {
     "stale_jobs": f"WITH {JOBS} SELECT job, status, CASE WHEN status = 'processing' THEN 'fail' ELSE 'retry' END AS action FROM jobs WHERE {_ACTIVE} AND NOT is_deleted AND updated <= TIMESTAMP '{AS_OF}' - INTERVAL 15 MINUTE",
     "taking_longer": f"WITH {JOBS} SELECT job, owner FROM jobs WHERE {_ACTIVE} AND created <= TIMESTAMP '{AS_OF}' - INTERVAL 10 MINUTE",
     "job_dashboard": f"WITH {JOBS}, s AS (SELECT l_orderkey AS job, count(*) AS n_segments, count(*) FILTER (WHERE l_returnflag = 'R') AS n_review, min(CASE WHEN l_returnflag <> 'N' THEN 1 - l_discount END) AS min_confidence FROM lineitem GROUP BY 1) SELECT job, status, coalesce(n_segments, 0) AS n_segments, coalesce(n_review, 0) AS n_review, min_confidence FROM jobs LEFT JOIN s USING (job)",
+    "recovery_events": f"""WITH {JOBS}, s AS (SELECT job, owner AS actor, status AS previous_status, CASE WHEN status = 'processing' THEN 'fail' ELSE 'retry' END AS action FROM jobs WHERE {_STALE})
+      SELECT job, actor, 'warning' AS level, '{jobs.RECOVERY_EVENT}' AS event_type, 'Dry run: would ' || action || ' stale translation job after 15 minute(s).' AS message, action, previous_status FROM s""",
+    "recovered_jobs": f"""WITH {JOBS}, s AS (SELECT *, {_STALE} AS stale FROM jobs) SELECT job, owner, CASE WHEN NOT stale THEN status WHEN status = 'processing' THEN 'failed' ELSE 'retrying' END AS status,
+      (CASE WHEN stale THEN TIMESTAMP '{AS_OF}' ELSE updated END)::TIMESTAMP AS updated, is_deleted, CASE WHEN stale AND status = 'processing' THEN '{jobs.ABANDONED}' WHEN stale THEN '{jobs.RETRIED}' END AS message,
+      CASE WHEN stale AND status <> 'processing' THEN 0 END AS progress, CASE WHEN stale AND status = 'processing' THEN TIMESTAMP '{AS_OF}' END AS finished FROM s""",
+    "constraint_violations": " UNION ALL ".join(
+        f"SELECT '{rule}' AS rule, concat_ws(chr(31), {', '.join(f'{c}::VARCHAR' for c in columns)}) AS key, count(*) AS n FROM {_SUPPLIERS if name == 'supplier' else name} GROUP BY {', '.join(columns)} HAVING count(*) > 1"
+        for name, (unique, _) in RULES.items() for rule, columns in unique.items()
+    ) + f" UNION ALL SELECT 'different_languages', 's_nationkey <> source', count(*) FROM {_SUPPLIERS} WHERE s_nationkey = source HAVING count(*) > 0",
     "constraint_checks": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
     "event_windows": "SELECT strftime(ts, '%Y-%m-%d %H:00') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "event_sessions": "WITH a AS (SELECT user_id, ts, event_id, coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER w)) // 1000000 > 3600, true) AS apart FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT user_id, sum(apart::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS session FROM a) SELECT user_id, session, count(*) AS n FROM s GROUP BY 1, 2",

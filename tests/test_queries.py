@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_rows(spark, name):
     con = duckdb.connect()
-    for t in ("part", "orders", "lineitem", "events", "documents", "benchmark", "conversations", "customer", "labels", "pages"):
+    for t in ("part", "orders", "lineitem", "events", "documents", "benchmark", "conversations", "customer", "supplier", "labels", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.sql(ORACLE_SQL[name])
     names = sorted(want.columns)
