@@ -8,15 +8,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+ACTIVE = ("queued", "processing", "retrying")
+
+
+def _mean(c: str):
+    """Mean of values that are not null, of four places each, so that it does not hang on their order; an aggregate."""
+    return F.try_divide(F.sum(F.round(F.col(c) * 10000).cast("long")), F.count(c)) / 10000.0
+
+
 def quality_summary(segments: DataFrame) -> DataFrame:
-    """job, n_segments, n_review per job. segments: job, needs_review."""
-    return segments.groupBy("job").agg(F.count("*").alias("n_segments"), F.count_if("needs_review").alias("n_review"))
+    """job, n_segments, n_review, confidence (mean, null without any), confidence_pct, has_review. segments: job, needs_review, confidence."""
+    sums = segments.groupBy("job").agg(F.count("*").alias("n_segments"), F.count_if("needs_review").alias("n_review"), _mean("confidence").alias("confidence"))
+    return sums.select("*", F.round(100 * F.col("confidence")).cast("int").alias("confidence_pct"), (F.col("n_review") > 0).alias("has_review"))
 
 
-def recent_jobs(jobs: DataFrame, n: int = 5) -> DataFrame:
-    """The n latest jobs of each owner. jobs: owner, job, created."""
+def recent_jobs(jobs: DataFrame, n: int = 5, active: tuple[str, ...] = ACTIVE) -> DataFrame:
+    """owner, job, nth, is_active_job: the n latest jobs of each owner, and which of them is the latest active one. jobs: owner, job, created, status."""
     latest = Window.partitionBy("owner").orderBy(F.desc("created"), F.desc("job"))
-    return jobs.withColumn("nth", F.row_number().over(latest)).filter(F.col("nth") <= n).select("owner", "job", "nth")
+    shown = jobs.withColumn("nth", F.row_number().over(latest)).filter(F.col("nth") <= n)
+    first = F.min(F.when(F.col("status").isin(*active), F.col("nth"))).over(Window.partitionBy("owner"))
+    return shown.select("owner", "job", "nth", F.col("nth").eqNullSafe(first).alias("is_active_job"))
 
 
 def active_limit(jobs: DataFrame, active: tuple[str, ...], limit: int = 2) -> DataFrame:
@@ -30,9 +41,6 @@ def event_summary(events: DataFrame) -> DataFrame:
     return events.groupBy(level, "event_type", F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("n"))
 
 
-ACTIVE = ("queued", "processing", "retrying")
-
-
 def _before(as_of: str, minutes: int):
     return F.timestamp_add("MINUTE", F.lit(-minutes), F.lit(as_of).cast("timestamp_ntz"))
 
@@ -85,11 +93,22 @@ def taking_longer(jobs: DataFrame, as_of: str, minutes: int = 10) -> DataFrame:
     return jobs.filter(F.col("status").isin(*ACTIVE) & (F.col("created") <= _before(as_of, minutes))).select("job", "owner")
 
 
-def job_dashboard(jobs: DataFrame, segments: DataFrame) -> DataFrame:
-    """job, status, n_segments, n_review, min_confidence; segments are summed before the join."""
-    sums = segments.groupBy("job").agg(F.count("*").alias("n_segments"), F.count_if("needs_review").alias("n_review"), F.min("confidence").alias("min_confidence"))
-    none = F.lit(0).cast("long")
-    return jobs.select("job", "status").join(sums, "job", "left").select("job", "status", F.coalesce("n_segments", none).alias("n_segments"), F.coalesce("n_review", none).alias("n_review"), "min_confidence")
+def job_dashboard(jobs: DataFrame, segments: DataFrame, pages: DataFrame, ocr: DataFrame, outputs: DataFrame) -> DataFrame:
+    """job, status, n_segments, n_review, min_confidence, mean_confidence, ocr_confidence, n_pages, n_outputs of every job.
+
+    Each child table is summed by job before the join, so that none multiplies another. segments: job, needs_review, confidence; pages:
+    job, page; ocr: job, confidence; outputs: job.
+    """
+    none, out = F.lit(0).cast("long"), jobs.select("job", "status")
+    children = (
+        segments.groupBy("job").agg(F.count("*").alias("n_segments"), F.count_if("needs_review").alias("n_review"), F.min("confidence").alias("min_confidence"), _mean("confidence").alias("mean_confidence")),
+        ocr.groupBy("job").agg(_mean("confidence").alias("ocr_confidence")),
+        pages.groupBy("job").agg(F.count_distinct("page").alias("n_pages")),
+        outputs.groupBy("job").agg(F.count("*").alias("n_outputs")),
+    )
+    for child in children:
+        out = out.join(child, "job", "left")
+    return out.select(*(F.coalesce(c, none).alias(c) if c.startswith("n_") else c for c in out.columns))
 
 
 def repeated_keys(df: DataFrame, *keys: str) -> DataFrame:

@@ -73,12 +73,13 @@ def segment_page(segments: DataFrame, page: int, size: int = 25) -> DataFrame:
 
 
 def job_state(jobs: DataFrame, outputs: DataFrame) -> DataFrame:
-    """job, can_download, is_processing, has_failed, finished. outputs: jobs that have one."""
+    """job, can_preview, can_download, is_processing, has_failed, finished, progress (100 when completed, never below 0). jobs: job, status, progress; outputs: jobs that have one."""
     made = outputs.select("job").distinct().withColumn("made", F.lit(True))
     s = F.col("status")
-    return jobs.select("job", "status").join(made, "job", "left").select(
-        "job", ((s == "completed") & F.coalesce("made", F.lit(False))).alias("can_download"),
+    return jobs.select("job", "status", "progress").join(made, "job", "left").select(
+        "job", (s == "completed").alias("can_preview"), ((s == "completed") & F.coalesce("made", F.lit(False))).alias("can_download"),
         s.isin("queued", "processing", "retrying").alias("is_processing"), (s == "failed").alias("has_failed"), (s == "completed").alias("finished"),
+        F.when(s == "completed", 100).otherwise(F.greatest(F.coalesce(F.col("progress").try_cast("int"), F.lit(0)), F.lit(0))).alias("progress"),
     )
 
 

@@ -50,7 +50,7 @@ def audit_polysemy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.table(spark, sf_dir, "lineitem")
-    return jobs.quality_summary(rows.select(F.col("l_orderkey").alias("job"), (F.col("l_returnflag") == "R").alias("needs_review")))
+    return jobs.quality_summary(rows.select(F.col("l_orderkey").alias("job"), (F.col("l_returnflag") == "R").alias("needs_review"), F.when(F.col("l_returnflag") != "N", 1 - F.col("l_discount")).alias("confidence")))
 
 
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recent_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.recent_jobs(_jobs(spark, sf_dir))
+    return jobs.recent_jobs(_jobs(spark, sf_dir), active=("O", "P"))
 
 
 def active_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,8 +83,10 @@ ORACLE_SQL = {
     "audit_dups": f"WITH {AUDITED}, g AS (SELECT count(*) AS n FROM audited GROUP BY {', '.join(_CLEAR.format(c) for c in audit.LANGS)} HAVING count(*) > 1) SELECT count(*) AS groups, coalesce(sum(n - 1), 0)::BIGINT AS extra_rows FROM g",
     "audit_polysemy": f"""WITH {AUDITED}, k AS (SELECT DISTINCT {_CLEAR.format('tagabawa')} AS source, {_CLEAR.format('english')} AS ref FROM audited)
       SELECT source, count(*)::INT AS n_variants, string_agg(ref, '|' ORDER BY ref) AS variants FROM k WHERE source <> '' GROUP BY 1 HAVING count(*) > 1""",
-    "quality_summary": "SELECT l_orderkey AS job, count(*) AS n_segments, count(*) FILTER (WHERE l_returnflag = 'R') AS n_review FROM lineitem GROUP BY 1",
-    "recent_jobs": "SELECT owner, job, nth FROM (SELECT o_custkey AS owner, o_orderkey AS job, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC))::INT AS nth FROM orders) WHERE nth <= 5",
+    "quality_summary": """WITH s AS (SELECT l_orderkey AS job, count(*) AS n_segments, count(*) FILTER (WHERE l_returnflag = 'R') AS n_review, sum(round((1 - l_discount) * 10000)::BIGINT) FILTER (WHERE l_returnflag <> 'N') / count(*) FILTER (WHERE l_returnflag <> 'N') / 10000.0::DOUBLE AS confidence
+      FROM lineitem GROUP BY 1) SELECT *, round(100 * confidence)::INT AS confidence_pct, n_review > 0 AS has_review FROM s""",
+    "recent_jobs": """WITH r AS (SELECT o_custkey AS owner, o_orderkey AS job, o_orderstatus, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC))::INT AS nth FROM orders), s AS (SELECT * FROM r WHERE nth <= 5)
+      SELECT owner, job, nth, coalesce(nth = min(nth) FILTER (WHERE o_orderstatus IN ('O', 'P')) OVER (PARTITION BY owner), false) AS is_active_job FROM s""",
     "active_limit": "SELECT o_custkey AS owner, count(*) AS active FROM orders WHERE o_orderstatus IN ('O', 'P') GROUP BY 1 HAVING count(*) >= 2",
     "event_summary": "SELECT CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS level, event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1, 2, 3",
 }

@@ -88,7 +88,10 @@ def taking_longer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def job_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = views.table(spark, sf_dir, "lineitem")
     segments = part.select(F.col("l_orderkey").alias("job"), (F.col("l_returnflag") == "R").alias("needs_review"), F.when(F.col("l_returnflag") != "N", 1 - F.col("l_discount")).alias("confidence"))
-    return jobs.job_dashboard(views.jobs(spark, sf_dir), segments)
+    job = F.col("l_orderkey").alias("job")
+    pages, outputs = part.select(job, (F.col("l_suppkey") % 3).alias("page")), part.filter("l_returnflag = 'A'").select(job)
+    ocr = part.filter("l_linestatus = 'O'").select(job, (1 - F.col("l_tax")).alias("confidence"))
+    return jobs.job_dashboard(views.jobs(spark, sf_dir), segments, pages, ocr, outputs)
 
 
 def constraint_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +142,10 @@ ORACLE_SQL = {
     "job_health": f"WITH {JOBS} SELECT count(*) FILTER (WHERE status = 'queued') AS queued, count(*) FILTER (WHERE status = 'processing') AS processing, count(*) FILTER (WHERE status = 'retrying') AS retrying, count(*) FILTER (WHERE {_ACTIVE} AND updated <= TIMESTAMP '{AS_OF}' - INTERVAL 15 MINUTE) AS stale FROM jobs",
     "stale_jobs": f"WITH {JOBS} SELECT job, status, CASE WHEN status = 'processing' THEN 'fail' ELSE 'retry' END AS action FROM jobs WHERE {_ACTIVE} AND NOT is_deleted AND updated <= TIMESTAMP '{AS_OF}' - INTERVAL 15 MINUTE",
     "taking_longer": f"WITH {JOBS} SELECT job, owner FROM jobs WHERE {_ACTIVE} AND created <= TIMESTAMP '{AS_OF}' - INTERVAL 10 MINUTE",
-    "job_dashboard": f"WITH {JOBS}, s AS (SELECT l_orderkey AS job, count(*) AS n_segments, count(*) FILTER (WHERE l_returnflag = 'R') AS n_review, min(CASE WHEN l_returnflag <> 'N' THEN 1 - l_discount END) AS min_confidence FROM lineitem GROUP BY 1) SELECT job, status, coalesce(n_segments, 0) AS n_segments, coalesce(n_review, 0) AS n_review, min_confidence FROM jobs LEFT JOIN s USING (job)",
+    "job_dashboard": f"""WITH {JOBS}, s AS (SELECT l_orderkey AS job, count(*) AS n_segments, count(*) FILTER (WHERE l_returnflag = 'R') AS n_review, min(CASE WHEN l_returnflag <> 'N' THEN 1 - l_discount END) AS min_confidence,
+      sum(round((1 - l_discount) * 10000)::BIGINT) FILTER (WHERE l_returnflag <> 'N') / count(*) FILTER (WHERE l_returnflag <> 'N') / 10000.0::DOUBLE AS mean_confidence,
+      sum(round((1 - l_tax) * 10000)::BIGINT) FILTER (WHERE l_linestatus = 'O') / count(*) FILTER (WHERE l_linestatus = 'O') / 10000.0::DOUBLE AS ocr_confidence, count(DISTINCT l_suppkey % 3) AS n_pages, count(*) FILTER (WHERE l_returnflag = 'A') AS n_outputs FROM lineitem GROUP BY 1)
+      SELECT job, status, coalesce(n_segments, 0) AS n_segments, coalesce(n_review, 0) AS n_review, min_confidence, mean_confidence, ocr_confidence, coalesce(n_pages, 0) AS n_pages, coalesce(n_outputs, 0) AS n_outputs FROM jobs LEFT JOIN s USING (job)""",
     "recovery_events": f"""WITH {JOBS}, s AS (SELECT job, owner AS actor, status AS previous_status, CASE WHEN status = 'processing' THEN 'fail' ELSE 'retry' END AS action FROM jobs WHERE {_STALE})
       SELECT job, actor, 'warning' AS level, '{jobs.RECOVERY_EVENT}' AS event_type, 'Dry run: would ' || action || ' stale translation job after 15 minute(s).' AS message, action, previous_status FROM s""",
     "recovered_jobs": f"""WITH {JOBS}, s AS (SELECT *, {_STALE} AS stale FROM jobs) SELECT job, owner, CASE WHEN NOT stale THEN status WHEN status = 'processing' THEN 'failed' ELSE 'retrying' END AS status,

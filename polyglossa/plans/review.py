@@ -55,7 +55,7 @@ def segment_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.job_state(views.jobs(spark, sf_dir), views.table(spark, sf_dir, "lineitem").filter("l_returnflag <> 'R'").select(F.col("l_orderkey").alias("job")))
+    return review.job_state(views.jobs(spark, sf_dir).withColumn("progress", (F.col("job") % 120 - 20).cast("int")), views.table(spark, sf_dir, "lineitem").filter("l_returnflag <> 'R'").select(F.col("l_orderkey").alias("job")))
 
 
 def low_ocr_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +103,7 @@ ORACLE_SQL = {
     "mode_compare": f"WITH {BOOK}, t AS (SELECT ([3, 4, 6])[id % 3 + 1] AS mode, replace(english, ' ', '') AS r, replace(filipino, ' ', '') AS h FROM book), m AS (SELECT mode, sum(round(least(1.0::DOUBLE, levenshtein(r, h) / length(r)) * 1000000)::BIGINT)::BIGINT / count(*) / 1000000.0::DOUBLE AS mean_cer FROM t GROUP BY 1) SELECT mode, mean_cer, row_number() OVER (ORDER BY mean_cer, mode) = 1 AS best FROM m",
     "job_history": f"WITH {reports.JOBS}, h AS (SELECT owner, job, c_name || '_' || job AS filename, status, created FROM jobs JOIN customer ON owner = c_custkey WHERE NOT is_deleted AND status IN ('completed', 'failed')) SELECT owner, (row_number() OVER (PARTITION BY owner ORDER BY created DESC, job DESC))::INT AS nth, job, filename, status FROM h WHERE lower(filename) LIKE '%r#%'",
     "segment_page": f"WITH s AS (SELECT l_orderkey AS job, (row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(PLACE)}))::INT AS segment_index FROM lineitem), l AS (SELECT *, (max(segment_index) OVER (PARTITION BY job) + 2) // 3 AS last FROM s) SELECT job, segment_index, ((segment_index - 1) // 3 + 1)::BIGINT AS page FROM l WHERE (segment_index - 1) // 3 + 1 = least(2, last)",
-    "job_state": f"WITH {reports.JOBS} SELECT job, status = 'completed' AND job IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag <> 'R') AS can_download, status IN ('queued', 'processing', 'retrying') AS is_processing, status = 'failed' AS has_failed, status = 'completed' AS finished FROM jobs",
+    "job_state": f"WITH {reports.JOBS} SELECT job, status = 'completed' AND job IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag <> 'R') AS can_download, status = 'completed' AS can_preview, CASE WHEN status = 'completed' THEN 100 ELSE greatest((job % 120 - 20)::INT, 0) END AS progress, status IN ('queued', 'processing', 'retrying') AS is_processing, status = 'failed' AS has_failed, status = 'completed' AS finished FROM jobs",
     "low_ocr_jobs": f"WITH {reports.OCR} SELECT DISTINCT doc_id FROM ocr WHERE confidence < 0.6",
     "job_ocr": f"WITH {reports.OCR} SELECT doc_id, count(*) AS n, sum(round(confidence * 10000)::BIGINT)::BIGINT / count(*) / 10000.0::DOUBLE AS mean_confidence, coalesce(string_agg(CASE WHEN confidence < 0.6 THEN line::VARCHAR END, ',' ORDER BY line), '') AS warnings FROM ocr GROUP BY 1",
     "review_update": "SELECT doc_id, quality = 1 OR doc_id % 4 = 0 AS verified, CASE doc_id % 4 WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN false ELSE toxic = 1 END AS needs_review FROM labels",
