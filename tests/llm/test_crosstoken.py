@@ -118,3 +118,14 @@ def test_wide_groups(monkeypatch):
     plain = [x for f in aligner.align(t, True) for x in f[2:]]
     monkeypatch.setattr(ct, "WIDE", 1)
     assert all(np.array_equal(x, y) for x, y in zip(plain, [x for f in aligner.align(t, True) for x in f[2:]]))
+
+
+def test_ranks_are_the_same(monkeypatch):
+    """Encoding by ranks gives the ids of the library that the file is for, special tokens' strings as plain text."""
+    aligner, r = ct.loaded(A, B), random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyzéßø漢字😀0123456789'.,;:!?<|>_-=\"#\t\n\r \x00\x85\xa0\u3000\u200b"
+    t = ["".join(r.choices(letters, k=r.randint(1, 60))) for _ in range(4000)] + [x for x in texts() if x] + ["<|endoftext|> don't I'LL", "a" * 9000, " " * 5000 + "x"]
+    assert aligner.quick is not None
+    quick = [x for x in (aligner.ids_a([y])[0] for y in t)]
+    monkeypatch.setattr(ct, "RANKED", -1)
+    assert quick == [aligner.ids_a([y])[0] for y in t] == [aligner.a.encode(y, add_special_tokens=False).ids for y in t]
