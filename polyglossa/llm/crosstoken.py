@@ -46,6 +46,8 @@ from .common import U64, keep, mix
 
 #: Where both tokenizers split whatever stands around.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+#: White space besides the space and the line end.
+_RARE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 #: What a chunk costs besides its characters, in characters.
 ENTRY = 100
 #: Level beyond which the keys left (a few by chance) are kept as they are.
@@ -106,7 +108,11 @@ class Aligner:
         return self.quick.encode_ordinary_batch(texts, num_threads=1)
 
     def chunks(self, text: str) -> list[str]:
-        return _CUT.split(" " + text)
+        """Cut by the pattern; where no space stands beside other white space and there is no mark of our own, every space is a cut."""
+        whole = " " + text
+        if whole[-1] == " " or "\0" in text or "  " in whole or " \n" in whole or "\n " in whole or any(c in text for c in _RARE):
+            return _CUT.split(whole)
+        return (" " + text.replace(" ", "\0 ")).split("\0")
 
     def encoded(self, groups: list[list[str]]) -> Iterator[tuple[list[str], list[int] | None, list[int]]]:
         """(chunks, ids of A, ids of B) of neighbouring chunks; ids of A null for a chunk that is not given back byte for byte."""
@@ -123,14 +129,13 @@ class Aligner:
             yield from self.encoded(apart)
 
     def align(self, chunks: list[str], text: bool) -> Iterator[Aligned]:
-        groups, last = [group := []], ""
-        for c in chunks:
-            if len(group) >= TOGETHER or last.isspace() or c[1:2].isspace() or len(c) < 2:
-                groups.append(group := [])
-            group.append(c)
-            last = c[-1]
+        # a chunk whose only outer white space is its first space splits from such neighbours; others are encoded alone
+        plain = [c for c in chunks if len(c.strip()) + 1 == len(c) > 1]
+        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        if len(plain) < len(chunks):
+            groups += [[c] for c in set(chunks).difference(plain)]
         good, bad = [], []
-        for found in self.encoded([g for g in groups if g]):
+        for found in self.encoded(groups):
             (bad if found[1] is None else good).append(found)
         if good:
             yield self._aligned([c for g, _, _ in good for c in g], *(np.concatenate([np.array(x[k], np.int64) for x in good]) for k in (1, 2)), text)
@@ -257,8 +262,8 @@ def aligned_steps(batches: Iterator[pa.RecordBatch], paths: tuple[str, str], tex
             if known.size > most_chunks:
                 known = Chunks(aligner, text)
             known.meet(held)
-            numbers = np.array(list(map(known.number.__getitem__, chain.from_iterable(held))), np.int64)
             counts = np.array([len(t) for t in held], np.int64)
+            numbers = np.fromiter(map(known.number.__getitem__, chain.from_iterable(held)), np.int64, int(counts.sum()))
             doc = np.repeat(np.arange(len(held)), counts)
             bad = np.bincount(doc[known.numbers()[numbers, 0] < 0], minlength=len(held)) > 0
             yield b, at, numbers[~bad[doc]], np.r_[0, np.cumsum(np.where(bad, 0, counts))], known
