@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from itertools import chain
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,8 +43,19 @@ def lookup_text(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(kept, r"[ \t\r\n]+", " "), "^ +| +$", "")
 
 
-def strip_diacritics(c: Column) -> Column:
-    """Letters without their marks, composed or combining."""
+def _decomposed(texts: pd.Series) -> pd.Series:
+    """Texts in compatibility decomposition without combining characters: each distinct character of the batch is decomposed once."""
+    known = {ord(x): "".join(y for y in unicodedata.normalize("NFKD", x) if not unicodedata.combining(y)) for x in set().union(*texts.dropna())}
+    return texts.map(lambda t: t.translate(known), na_action="ignore")
+
+
+def strip_diacritics(c: Column, exact: bool = False) -> Column:
+    """Letters without their marks, composed or combining.
+
+    By a table of letters with one plain character, inside the JVM; exact decomposes every character (ligatures, full-width forms, syllables), in Arrow batches.
+    """
+    if exact:
+        return F.pandas_udf(_decomposed, "string")(c)
     return F.regexp_replace(F.translate(c, MARKED, PLAIN), r"\p{Mn}", "")
 
 
