@@ -100,8 +100,12 @@ CODES = {"tagabawa": "bgs", "english": "eng", "filipino": "fil", "cebuano": "ceb
 #: Marks of a missing translation in a text, and methods whose lines show the source instead.
 REVIEW_MARKERS = ("[UNKNOWN_FOR_REVIEW]", "UNKNOWN_FOR_REVIEW", "byt5_unavailable", "untranslated_needs_review")
 SOURCE_METHODS = ("unknown_for_review", "untranslated_needs_review", "byt5_unavailable", "untranslated")
-#: Endings that a column's header may add to a language's name, for the languages that allow each.
-HEADER_ENDINGS = {"text": ("tagalog", "bagobo", "bagobo tagabawa", "english", "cebuano"), "source": ("tagalog", "bagobo", "english", "cebuano")}
+#: Headers of columns besides the languages' own names.
+HEADERS = {
+    "tagalog text": "filipino_source", "tagalog source": "filipino_source",
+    "bagobo text": "tagabawa_source", "bagobo source": "tagabawa_source", "bagobo tagabawa text": "tagabawa_source",
+    "english text": "english_source", "english source": "english_source", "cebuano text": "cebuano_source", "cebuano source": "cebuano_source",
+}
 #: Engines by extraction method; others are text extraction.
 ENGINES = {"direct_pdf_text": "pymupdf_text", "docx_text": "python-docx", "plain_text": "plain_text", "ocr_image": "tesseract"}
 
@@ -124,11 +128,7 @@ def canonical_header(header: str | None, aliases: dict[str, str] = ALIASES) -> s
     if key.endswith("_source") and key.removesuffix("_source") in languages:
         return key
     key = " ".join(key.replace("_", " ").split())
-    for ending, names in HEADER_ENDINGS.items():
-        if key.endswith(" " + ending) and key.removesuffix(" " + ending) in names:
-            key = key.removesuffix(" " + ending)
-            break
-    return f"{aliases[key]}_source" if key in aliases else None
+    return HEADERS.get(key) or (f"{aliases[key]}_source" if key in aliases else None)
 
 
 def pair_text(c: Column) -> Column:

@@ -177,3 +177,10 @@ def audit_quality(df: DataFrame) -> DataFrame:
         F.count("*").alias("total"), auto.alias("auto_split"), F.round(100 * auto / F.count("*"), 2).alias("auto_split_pct"),
         F.count_if("review_import").alias("review_import"), F.count_if("review_export").alias("review_export"),
     )
+
+
+def top_topics(book: DataFrame, n: int = 10) -> DataFrame:
+    """nth, topic, n: the n most frequent topics, outer blanks left out, ties by name. Counted first, so that few rows are sorted."""
+    counts = book.groupBy(F.trim(F.coalesce("topic", F.lit(""))).alias("topic")).agg(F.count("*").alias("n")).filter("topic <> ''")
+    shown = counts.orderBy(F.desc("n"), "topic").limit(n)
+    return shown.select(F.row_number().over(Window.orderBy(F.desc("n"), "topic")).alias("nth"), "topic", "n")

@@ -76,3 +76,34 @@ def cer(ref: Column, hyp: Column) -> Column:
 
 def pass_fail(rate: Column, threshold: float = 0.10) -> Column:
     return F.when(rate.isNull(), "skip").when(rate < threshold, "pass").otherwise("fail")
+
+
+def ocr_line_boxes(words: DataFrame, dpi: int = 72) -> DataFrame:
+    """doc_id, block, par, line, text, n_words, x0, y0, x1, y1 (in points), confidence (mean, 0 to 1, four places, halves up).
+
+    words: doc_id, block, par, line, i (order), word, left, top, width, height in pixels, conf in per cent, as number or text. Blank words go, and
+    those whose conf is negative, null or no number; a line without any other has no row.
+    """
+    conf = F.col("conf").cast("string").try_cast("double")
+    kept = words.withColumns({"word": F.trim("word"), "conf": F.round(10000 * conf).cast("long")}).filter((F.col("word") != "") & (F.col("conf") >= 0))
+    n, total, scale = F.count("*"), F.sum("conf"), 72.0 / dpi
+    mean = F.floor((2 * total + 100 * n) / (200 * n)) / 10000.0
+    return kept.groupBy("doc_id", "block", "par", "line").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("text"), n.alias("n_words"),
+        (F.min("left") * scale).alias("x0"), (F.min("top") * scale).alias("y0"), (F.max(F.col("left") + F.col("width")) * scale).alias("x1"), (F.max(F.col("top") + F.col("height")) * scale).alias("y1"),
+        F.least(F.greatest(mean, F.lit(0.0)), F.lit(1.0)).alias("confidence"),
+    )
+
+
+def ocr_document_summary(pages: DataFrame, blocks: DataFrame, low: float = 0.60) -> DataFrame:
+    """doc_id, mean_confidence, min_confidence (four places, null without any), n_low, n_blocks, warning, n_pages of every document with a page.
+
+    Only blocks with a confidence that is a number count; the warning is given if the mean or any of them is low. pages: doc_id, page; blocks: doc_id, confidence.
+    """
+    rated = blocks.select("doc_id", F.col("confidence").cast("string").try_cast("double").alias("c")).filter("c is not null")
+    n = F.count("*")
+    mean = F.floor(F.try_divide(2 * F.sum(F.round(F.col("c") * 10000).cast("long")) + n, 2 * n)) / 10000.0
+    sums = rated.groupBy("doc_id").agg(mean.alias("mean_confidence"), F.round(F.min("c"), 4).alias("min_confidence"), F.count_if(F.col("c") < low).alias("n_low"), n.alias("n_blocks"))
+    counts, none = pages.groupBy("doc_id").agg(F.count_distinct("page").alias("n_pages")), F.lit(0).cast("long")
+    warning = F.coalesce((F.col("mean_confidence") < low) | (F.col("n_low") > 0), F.lit(False))
+    return counts.join(sums, "doc_id", "left").select("doc_id", "mean_confidence", "min_confidence", *(F.coalesce(c, none).alias(c) for c in ("n_low", "n_blocks")), warning.alias("warning"), "n_pages")

@@ -197,3 +197,16 @@ def paginate_paragraphs(paragraphs: DataFrame, per_page: int = 32) -> DataFrame:
     placed = kept.select("doc_id", nth.alias("nth"))
     y0 = 72 + 20 * (F.col("nth") % per_page)
     return placed.select("doc_id", "nth", F.floor(F.col("nth") / per_page).alias("page"), y0.alias("y0"), (y0 + 20).alias("y1"))
+
+
+def page_inventory(pages: DataFrame, blocks: DataFrame, types: tuple[str, ...] = ("text", "image", "table", "drawing")) -> DataFrame:
+    """doc_id, page, blocks of each type, n_rows, n_columns, n_cells of tables and n_items of drawings, of every page; 0 on pages without blocks.
+
+    pages: doc_id, page; blocks: doc_id, page, type, rows, columns, cells (of tables), items (of drawings). Nulls count as 0, blocks of other types as none.
+    """
+    parts = {"n_rows": ("table", "rows"), "n_columns": ("table", "columns"), "n_cells": ("table", "cells"), "n_items": ("drawing", "items")}
+    sums = blocks.groupBy("doc_id", "page").agg(
+        *(F.count_if(F.col("type") == t).alias(f"n_{t}") for t in types), *(F.sum(F.when(F.col("type") == t, F.col(c))).cast("long").alias(name) for name, (t, c) in parts.items())
+    )
+    names = [*(f"n_{t}" for t in types), *parts]
+    return pages.select("doc_id", "page").join(sums, ["doc_id", "page"], "left").select("doc_id", "page", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in names))

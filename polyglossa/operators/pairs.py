@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from polyglossa.functions.text import is_trainable, notes_flags, pair_text, record_id, stripped
+from polyglossa.functions.text import is_trainable, notes_flags, pair_text, record_id, strip_diacritics, stripped
 from polyglossa.operators.audit import LANGS
 from polyglossa.operators.skew import spread_join
 from polyglossa.session import written
@@ -223,3 +223,58 @@ def export_report(rows: DataFrame, langs=LANGS) -> DataFrame:
     missing = rows.unpivot([], list(langs), "lang", "text").groupBy(F.concat(F.lit("missing_"), "lang").alias("metric")).agg(F.count_if(_text("text") == "").alias("n"))
     made = translation_pairs(rows, langs).groupBy(F.concat(F.lit("pairs_"), "source_lang", F.lit("_"), "target_lang").alias("metric")).agg(F.count("*").alias("n"))
     return missing.unionByName(made).unionByName(rows.agg(F.count("*").alias("n")).select(F.lit("rows").alias("metric"), "n"))
+
+
+def checked_split(df: DataFrame, id_col: str = "record_id", seed: int = 42, ratios=(80, 10, 10)) -> DataFrame:
+    """Adds split by a hash of the id. An error unless the last split has a share, ids are unique and none is null; an empty table stays empty."""
+    if len(ratios) != len(SPLITS) or min(ratios) < 0 or ratios[-1] <= 0:
+        raise ValueError("shares must not be negative and must leave some for the test split")
+    twice = df.groupBy(id_col).agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col(id_col).isNull())
+    if not twice.isEmpty():
+        raise ValueError(f"{id_col} must be unique before splitting")
+    return df.withColumn("split", split_of(F.col(id_col), seed, ratios))
+
+
+def split_record(df: DataFrame, id_col: str, method: str, seed: int = 42, ratios=(80, 10, 10), leakage_safe: bool = False) -> DataFrame:
+    """One row: method, seed, leakage_safe, ratio_ and n_ of each split, n_total, overlap (ids in more than one split)."""
+    per = df.groupBy(id_col).agg(*(F.count_if(F.col("split") == s).alias(f"n_{s}") for s in SPLITS), (F.count_distinct("split") > 1).alias("both"))
+    none = F.lit(0).cast("long")
+    sums = per.agg(*(F.coalesce(F.sum(f"n_{s}"), none).alias(f"n_{s}") for s in SPLITS), F.count_if("both").alias("overlap"))
+    total = sum((F.col(f"n_{s}") for s in SPLITS), none)
+    return sums.select(
+        F.lit(method).alias("method"), F.lit(seed).alias("seed"), F.lit(leakage_safe).alias("leakage_safe"), *(F.lit(r / sum(ratios)).alias(f"ratio_{s}") for s, r in zip(SPLITS, ratios)),
+        *(f"n_{s}" for s in SPLITS), total.alias("n_total"), "overlap",
+    )
+
+
+def training_report(rows: DataFrame, records: DataFrame, langs=LANGS) -> DataFrame:
+    """section, metric, n of an export: rows, texts and their flaws, reviews, directions, splits.
+
+    rows: id, langs, notes, verified; records: row_id, source_lang, target_lang, source_text, target_text, split. Rows are read once for
+    their flaws and once for repeated ones; records once by direction and split, once by row and once by pair. Metrics of value 0 stay, but for directions and splits.
+    """
+    text = {c: stripped(F.col(c)) for c in langs}
+    whole = F.concat_ws(" ", *text.values())
+    notes = F.lower(F.coalesce("notes", F.lit("")))
+    flaws = {
+        ("rows", "total"): F.lit(True), ("rows", "usable"): reduce(lambda a, b: a & b, (is_trainable(F.col(c)) for c in langs)), **{("missing", c): t == "" for c, t in text.items()},
+        ("characters", "replacement"): whole.contains("�"), ("characters", "control"): F.translate(whole, "\t\n\r", "").rlike(r"\p{C}"),
+        ("characters", "tagabawa_diacritics"): strip_diacritics(text["tagabawa"]) != text["tagabawa"],
+        ("review", "verified"): F.coalesce(F.col("verified"), F.lit(False)), ("review", "marked"): notes.contains("need to double check") | notes.contains("manual check"), ("review", "auto_split"): notes.contains("auto-split"),
+    }
+    report = lambda df, *cols: df.select(*cols, F.col("n").cast("long").alias("n"))
+    wide = rows.agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(f"{s}|{m}") for (s, m), c in flaws.items()))
+    # what follows from two of them
+    wide = wide.withColumns({"rows|skipped": F.col("rows|total") - F.col("rows|usable"), "review|unverified": F.col("rows|total") - F.col("review|verified")})
+    tall = wide.unpivot([], list(wide.columns), "name", "n")
+    out = [report(tall, F.split_part("name", F.lit("|"), F.lit(1)).alias("section"), F.split_part("name", F.lit("|"), F.lit(2)).alias("metric"))]
+    same = rows.groupBy(*(t.alias(c) for c, t in text.items())).agg(F.count("*").alias("k")).agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("n"))
+    out.append(report(same, F.lit("rows").alias("section"), F.lit("repeated").alias("metric")))
+    unknown = F.coalesce(F.col("source_text").contains("UNKNOWN_FOR_REVIEW") | F.col("target_text").contains("UNKNOWN_FOR_REVIEW"), F.lit(False))
+    counted = records.groupBy(F.concat_ws("->", "source_lang", "target_lang").alias("direction"), F.coalesce("split", F.lit("unsplit")).alias("split")).agg(F.count("*").alias("n"), F.count_if(unknown).alias("unknown"))
+    sides = F.array(*(F.struct(F.lit(s).alias("section"), F.col(c).alias("metric"), F.col("n").alias("n")) for s, c in (("directions", "direction"), ("splits", "split"))), F.struct(F.lit("review").alias("section"), F.lit("unknown_records").alias("metric"), F.col("unknown").alias("n")))
+    out.append(report(counted.select(F.inline(sides)).groupBy("section", "metric").agg(F.sum("n").alias("n")), "section", "metric"))
+    each = records.groupBy("row_id").agg(F.min("split").alias("split")).groupBy(F.coalesce("split", F.lit("unsplit")).alias("metric")).agg(F.count("*").alias("n"))
+    out.append(report(each, F.lit("split_rows").alias("section"), "metric"))
+    leaks = split_leakage(records).agg(F.count("*").alias("n"))
+    return reduce(DataFrame.union, [*out, report(leaks, F.lit("splits").alias("section"), F.lit("leaking_pairs").alias("metric"))])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,3 +114,39 @@ def fold_status(events: DataFrame, final: str) -> DataFrame:
     """job, status, n: each job's latest status, but the final one is never overwritten. events: job, status, ts, event_id."""
     made = events.groupBy("job").agg(F.max(F.struct("ts", "event_id", "status")).alias("last"), F.coalesce(F.max(F.col("status") == final), F.lit(False)).alias("done"), F.count("*").alias("n"))
     return made.select("job", F.when(F.col("done"), final).otherwise(F.col("last.status")).alias("status"), "n")
+
+
+def apply_actions(rows: DataFrame) -> DataFrame:
+    """rows after a reviewer's action: the new table, in one pass and without a join.
+
+    rows: kind (ocr_result, segment, phrase, term), action (null for none), status, needs_review, verified, approved, and any others. OCR results are
+    accepted or sent back to pending; segments and phrases are marked for review, segments cleared of it; verifying a phrase clears its review;
+    terms are approved. An action of another kind changes nothing.
+    """
+    does = lambda kind, action: F.coalesce((F.col("kind") == kind) & (F.col("action") == action), F.lit(False))
+    asked, cleared = does("segment", "mark") | does("phrase", "mark"), does("segment", "clear") | does("phrase", "verify")
+    return rows.withColumns({
+        "status": F.when(does("ocr_result", "accept"), "accepted").when(does("ocr_result", "reopen"), "pending_review").otherwise(F.col("status")),
+        "needs_review": F.when(asked, True).when(cleared, False).otherwise(F.col("needs_review")),
+        "verified": F.col("verified") | does("phrase", "verify"), "approved": F.col("approved") | does("term", "approve"),
+    }).drop("action")
+
+
+def ocr_filters(results: DataFrame, low: float = 0.60) -> DataFrame:
+    """job, is_low, has_warnings: jobs that either filter of OCR quality shows, once each. results: job, confidence, warnings (array; null or empty for none)."""
+    made = results.groupBy("job").agg(F.coalesce(F.max(F.col("confidence") < low), F.lit(False)).alias("is_low"), F.coalesce(F.max(F.size("warnings") > 0), F.lit(False)).alias("has_warnings"))
+    return made.filter("is_low or has_warnings")
+
+
+def owned_history(jobs: DataFrame, owner: int | None, part: str = "", status: str = "", valid: tuple[str, ...] = ("queued", "processing", "retrying", "completed", "failed")) -> DataFrame:
+    """job, owner, filename, upload, status, created of jobs that are not deleted, newest first.
+
+    owner: whose jobs; None for a superuser, who sees all. part: held by the job's file name or its upload's, in either case, outer blanks
+    left out. status: taken in either case, and only if it is a valid one. jobs: job, owner, filename, upload (null if none), status, created, is_deleted.
+    """
+    part, status = part.strip().lower(), status.strip().lower()
+    named = reduce(lambda a, b: a | b, (F.coalesce(F.lower(c).contains(part), F.lit(False)) for c in ("filename", "upload")))
+    found = jobs.filter(~F.col("is_deleted"))
+    for wanted, rule in ((owner is not None, F.col("owner") == owner), (part, named), (status in valid, F.col("status") == status)):
+        found = found.filter(rule) if wanted else found
+    return found.select("job", "owner", "filename", "upload", "status", "created").orderBy(F.desc("created"), F.desc("job"))

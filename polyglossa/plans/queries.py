@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyglossa.operators import audit, jobs, tm
-from polyglossa.plans import language, pages, pairs, reports, retention, review
+from polyglossa.plans import language, pages, pairs, records, reports, retention, review
 from polyglossa.plans.sql import AUDITED, BOOK, CLASS, LINES, LOOKUP, SIZES, forms
 from polyglossa.sources import views
 
@@ -91,6 +91,6 @@ ORACLE_SQL = {
     "event_summary": "SELECT CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS level, event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1, 2, 3",
 }
 
-for _part in (pairs, language, reports, review, pages, retention):
+for _part in (pairs, language, reports, review, pages, retention, records):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
