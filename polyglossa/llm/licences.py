@@ -3,8 +3,9 @@
 A multinomial logistic regression over sparse word bigrams and trigrams tells licence families and `none` apart. It is trained on the
 templates below, in whole and in parts, against a bounded sample of the corpus' own paragraphs as class `none`: half of them without
 a licence word, half with one but next to nothing of a template. A paragraph ends at a blank line or at a line end behind a closing mark, so
-wrapped notices stay together; long ones are read in overlapping windows of words. Windows without any licence word are `none` by
-rule; of the others the model decides. It is asked twice: how much speaks for a licence at all (all families together), and which family
+wrapped notices stay together; long ones are read in overlapping windows of words. The model scores every window, with or without a licence
+word: words that no template has are masked, as no gram with one of them is a feature, and a window without two template words side by side,
+which has no feature at all, is none. The model is asked twice: how much speaks for a licence at all (all families together), and which family
 is likeliest. A window over the first threshold only is `unknown`: a licence that no template has. One over both is confirmed by the share of its
 trigrams in the family's templates, or of a template's trigrams in the window, and by a trigram that no other family has; one that is not is
 `unknown` too. Both thresholds are calibrated on rows that the model was not fitted on: what speaks for a licence in families that were left
@@ -17,6 +18,7 @@ columns are not read. Texts of any length are read whole.
 from __future__ import annotations
 
 import math
+import re
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -84,7 +86,9 @@ TEMPLATES = {
         "SPDX-License-Identifier: ISC",
     ),
 }
-#: Fixed value: words one of which every licence paragraph holds.
+#: Words of the templates; a gram with another word is no feature.
+TERMS = tuple(sorted({w for ts in TEMPLATES.values() for t in ts for w in re.findall("[a-z0-9]+", t.lower())}))
+#: Fixed value: licence words, by which the sample for none is halved.
 CUES = r"(?i)licen[cs]|copyright|warrant|redistribut|permission|public domain|spdx|source code form|\bmpl\b"
 PARTS = 3
 #: Rounds of calibration, each without the families of one in so many.
@@ -112,18 +116,27 @@ def _windows(paragraph: Column) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(w, i, WINDOW), " "))
 
 
+def _seen(unit: Column) -> Column:
+    """Struct of mask (the words, each stretch of words that no template has as |) and n_own (distinct trigrams; 0 where none is a template's); null without two template words side by side."""
+    masked = lambda w: F.regexp_replace(F.array_join(F.transform(w, lambda x: F.when(x.isin(*TERMS), x).otherwise("|")), " "), r"\|(?: \|)+", "|")
+    both = F.transform(F.array(_words(unit)), lambda w: F.struct(masked(w).alias("mask"), w.alias("words")))
+    n_own = lambda m: F.when(m["mask"].rlike(r"[^| ] [^| ]+ [^| ]"), F.size(F.array_distinct(_grams(m["words"], 3)))).otherwise(0)
+    return F.transform(both, lambda m: F.when(m["mask"].rlike(r"[^| ] [^| ]"), F.struct(m["mask"].alias("mask"), n_own(m).alias("n_own"))))[0]
+
+
 def _features(df: DataFrame) -> DataFrame:
-    w = df.withColumn("words", _words(F.col("unit")))
+    w = df if "words" in df.columns else df.withColumn("words", _words(F.col("unit")))
     return w.withColumn("grams", F.concat(_grams(F.col("words"), 2), _grams(F.col("words"), 3)))
 
 
 def _shares(df: DataFrame, templates: DataFrame) -> DataFrame:
-    """df (words, f) with `share`, the larger part of trigrams in common with a template of family f, of the template's or of its own; `own_share`, the latter; `telling`, whether one of them is no other family's."""
+    """df (words, f) with `share`, the larger part of trigrams in common with a template of family f, of the template's or of its own; `own_share`, the latter; `telling`, whether one of them is no other family's. Masked words come with n_own, the number of their own trigrams."""
     own = F.array_distinct(_grams(F.col("words"), 3))
     named = templates.withColumnRenamed("family", "of")
     both = df.withColumn("own", own).join(F.broadcast(named), F.col("f") == F.col("of"), "left")  # as many rows as families
     of_template = F.array_max(F.transform("shingles", lambda t: F.size(F.array_intersect("own", t)) / F.size(t)))
-    of_own = F.coalesce(F.when(F.size("own") > 0, F.size(F.array_intersect("own", F.flatten("shingles"))) / F.size("own")), F.lit(0.0))
+    n_own = F.col("n_own") if "n_own" in df.columns else F.size("own")
+    of_own = F.coalesce(F.when(n_own > 0, F.size(F.array_intersect("own", F.flatten("shingles"))) / n_own), F.lit(0.0))
     share = F.coalesce(F.greatest(of_template, of_own), F.lit(0.0))
     return both.withColumns({"share": share, "own_share": of_own, "telling": F.coalesce(F.arrays_overlap("own", "alone"), F.lit(False))}).drop("own", "of", "shingles", "alone")
 
@@ -133,11 +146,13 @@ def scan_documents(df: DataFrame, sample: int = 2_000, confirm: float = 0.5, id_
     spark = df.sparkSession
     families = ["none", *TEMPLATES]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    units = F.when(text.rlike(CUES), F.filter(F.flatten(F.transform(F.filter(_paragraphs(text), lambda p: p.rlike(CUES)), _windows)), lambda u: u.rlike(CUES)))
-    # rows get a number that stays, as it is stored; only windows with a licence word are kept
-    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), units.alias("units"), F.size(_paragraphs(text)).alias("n"))
+    cued = F.when(text.rlike(CUES), F.filter(F.flatten(F.transform(F.filter(_paragraphs(text), lambda p: p.rlike(CUES)), _windows)), lambda u: u.rlike(CUES)))
+    seen = F.array_compact(F.transform(F.flatten(F.transform(_paragraphs(text), _windows)), _seen))
+    # rows get a number that stays, as it is stored; of windows, what the model reads, and those with a licence word whole for the sample
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), seen.alias("seen"), cued.alias("units"), F.size(_paragraphs(text)).alias("n"))
     rows = keep(spark, rows, "licence-rows")
     cued = rows.select("row", F.explode("units").alias("unit"))
+    windows = rows.select("row", F.inline("seen")).select("row", F.split("mask", " ").alias("words"), "n_own")
     known = spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "family string, unit string").withColumn("words", _words(F.col("unit")))
     # the trigrams of each template; of a template of two words there is none
     templates = known.select("family", _grams(F.col("words"), 3).alias("t")).filter(F.size("t") > 0).groupBy("family").agg(F.collect_list("t").alias("shingles"))
@@ -158,11 +173,11 @@ def scan_documents(df: DataFrame, sample: int = 2_000, confirm: float = 0.5, id_
     n, n_cued = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.greatest(F.size("units"), F.lit(0))), F.lit(0))).first()
     plain = df.select(F.explode(_paragraphs(text)).alias("unit")).filter((F.length("unit") > 0) & ~F.col("unit").rlike(CUES))
     every = templates.select(F.lit("any").alias("family"), F.explode("shingles").alias("t")).groupBy("family").agg(F.collect_list("t").alias("shingles"))
-    near = few(cued, n_cued).withColumn("words", _words(F.col("unit"))).withColumn("f", F.lit("any"))
-    # an unlisted licence shares some trigrams with the templates, and must not stand for none
+    near = few(cued, n_cued).union(few(plain, n)).withColumn("words", _words(F.col("unit"))).withColumn("f", F.lit("any"))
+    # a licence, unlisted or without a licence word, shares some trigrams with the templates, and must not stand for none
     near = _shares(near, every.withColumn("alone", F.array().cast("array<string>"))).filter("share < 0.2 and own_share < 0.05").select(F.lit("none").alias("family"), "unit", "fit")
     label = F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1
-    train = keep(spark, _features(positive.union(few(plain, n)).union(near)).select("family", "fit", "grams", label.alias("label")).coalesce(1), "licence-train")
+    train = keep(spark, _features(positive.union(near)).select("family", "fit", "grams", label.alias("label")).coalesce(1), "licence-train")
     # what several families say, once more by itself: it tells licences from none, whichever family it is
     own = train.filter("label > 0").select("family", "fit", "label", "grams", F.explode("grams").alias("g"))
     said = own.groupBy("g").agg(F.count_distinct("family").alias("k")).filter("k > 1").select("g")  # of templates only
@@ -192,7 +207,7 @@ def scan_documents(df: DataFrame, sample: int = 2_000, confirm: float = 0.5, id_
     # halfway, in log odds, between the least plain paragraph and half of the unlisted licences; between those and the families
     licence_at = max(0.02, min(0.8, 1 / (1 + math.exp(-((low if plain is None else plain) + low) / 2))))
     family_at = max(0.3, min(0.9, (unlisted + (sure or 1.0)) / 2))
-    found = _shares(probabilities(model, vectors.transform(_features(cued))).filter(F.col("some") >= licence_at).select("row", "words", "some", "best", "f"), templates)
+    found = _shares(probabilities(model, vectors.transform(_features(windows))).filter(F.col("some") >= licence_at).select("row", "words", "n_own", "some", "best", "f"), templates)
     found = found.withColumn("confirmed", (F.col("best") >= family_at) & (F.col("share") >= confirm) & F.col("telling"))
     licence = F.when(F.col("confirmed"), F.col("f")).otherwise("unknown")
     hits = found.select("row", "confirmed", licence.alias("licence"), F.round(F.when(F.col("confirmed"), F.col("best")).otherwise(F.col("some")), 6).alias("probability"))

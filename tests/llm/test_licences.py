@@ -1,5 +1,7 @@
 """Licences without a template are unknown, families stay families, prose with licence words is none."""
 
+import re
+
 from polyglossa.llm import licences
 
 UNLISTED = [
@@ -29,3 +31,22 @@ def test_unlisted_licences(spark):
     assert {t: found[t].licence for t in LISTED} == LISTED
     assert not [t for t in (*PROSE, *plain, None, "") if found[t].licence is not None]
     assert all(found[t].n_paragraphs == 1 and 0 < found[t].probability <= 1 for t in (*UNLISTED, *LISTED))
+
+
+#: Pieces of licences without any licence word.
+BARE = {
+    "to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction": "MIT",
+    "This program is free software: you can modify it under the terms of the GNU General Public version 3": "unknown",
+}
+
+
+def test_windows_without_licence_words(spark):
+    plain = [f"Day {i} was calm, and the {w} went home before the rain came." for i, w in enumerate(["farmer", "teacher", "sailor", "baker"] * 25)]
+    long = " ".join(["the rain came and the farmer went home"] * 4)
+    texts = [*BARE, *(f"{long} {t} {long}" for t in BARE), *plain]
+    assert not any(re.search(licences.CUES, t) for t in texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    found = {texts[r.doc_id]: r.licence for r in licences.scan_documents(rows).collect()}
+    assert not [t for t in texts[: 2 * len(BARE)] if found[t] is None]
+    assert {t: found[t] for t in BARE} == BARE
+    assert not [t for t in plain if found[t] is not None]
