@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, bitmap, discard, in_bitmap, keep, mix, signed, text_buffers, text_steps, windows_of, words_of
-from .graph import components
+from .graph import components, joined
 
 #: Bits of the sketch (at least, at most): one counter for about 64 shingles of the input, dealt in blocks of BLOCK counters. Beyond
 #: the most it tells tokens apart that are more frequent than the mean of a counter; their lists are the long ones.
@@ -452,6 +452,7 @@ def join_documents(df: DataFrame, words: int = 5, id_col: str = "doc_id", text_c
     answers = [keep(spark, _compared(docs, words, near, collided), "answers")]
     scratch = [shared, near, answers[0]]
     links = answers[0].filter(_linked(F.col("o"), F.col("m"), F.col("n"))).select("a", "b")
+    total = links.count()
     found = components(links)
     # components that are left apart: first neighbours in a list, a linear number of pairs, for as long as they link many nodes;
     # then every pair still open
@@ -465,12 +466,12 @@ def join_documents(df: DataFrame, words: int = 5, id_col: str = "doc_id", text_c
         open_ = keep(spark, _derived(open_, every), "open")
         answers.append(keep(spark, _compared(docs, words, open_.filter("verdict is null").select("a", "b"), collided), "answers"))
         more = answers[-1].filter(_linked(F.col("o"), F.col("m"), F.col("n"))).select("a", "b").union(open_.filter("verdict").select("a", "b"))
-        links = links.union(more)
         scratch += [open_, answers[-1]]
         gained, turn = more.count(), -1 if turn == TURNS else turn + 1
+        total += gained
         if gained:
-            found = components(links)
-        if 0 < turn < TURNS and gained * 50 < links.count():
+            found = joined(found, more)
+        if 0 < turn < TURNS and gained * 50 < total:
             turn = TURNS
     nodes = own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("c"))
     ids = nodes.groupBy("c").agg(F.min("least").alias("component_id"))
