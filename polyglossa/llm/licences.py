@@ -4,8 +4,8 @@ A multinomial logistic regression over sparse word bigrams and trigrams tells li
 templates below, in whole and in parts, against a bounded sample of the corpus' own paragraphs as class `none`: half of them without
 a licence word, half with one but next to nothing of a template. A paragraph ends at a blank line or at a line end behind a closing mark, so
 wrapped notices stay together; long ones are read in overlapping windows of words. The model scores every window, with or without a licence
-word: words that no template has are masked, as no gram with one of them is a feature, and a window without two template words side by side,
-which has no feature at all, is none. The model is asked twice: how much speaks for a licence at all (all families together), and which family
+word: words that no template has are masked, as no gram with one of them is a feature, and a window without two words that stand side by side in a
+template, which has no feature at all, is none. The model is asked twice: how much speaks for a licence at all (all families together), and which family
 is likeliest. A window over the first threshold only is `unknown`: a licence that no template has. One over both is confirmed by the share of its
 trigrams in the family's templates, or of a template's trigrams in the window, and by a trigram that no other family has; one that is not is
 `unknown` too. Both thresholds are calibrated on rows that the model was not fitted on: what speaks for a licence in families that were left
@@ -88,6 +88,31 @@ TEMPLATES = {
 }
 #: Words of the templates; a gram with another word is no feature.
 TERMS = tuple(sorted({w for ts in TEMPLATES.values() for t in ts for w in re.findall("[a-z0-9]+", t.lower())}))
+#: A letter or digit; what stands between two words of a masked text.
+_CHAR, _GAP = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}|]+"
+
+
+def _one_of(rows: list[tuple[str, ...]]) -> str:
+    """Pattern of rows of letters and gaps, each common beginning once."""
+    rest: dict[str, list[tuple[str, ...]]] = {}
+    for row in rows:
+        rest.setdefault(row[0], []).append(row[1:])
+    ends = {x: [r for r in rs if r] for x, rs in rest.items()}
+    return "(?:" + "|".join(x + (_one_of(rs) + "?" * (len(rs) < len(rest[x])) if rs else "") for x, rs in ends.items()) + ")"
+
+
+def _template_grams(n: int) -> str:
+    """Pattern of n words that stand side by side in a template; it is tried at the beginnings of words that are not masked."""
+    words = [re.findall("[a-z0-9]+", t.lower()) for ts in TEMPLATES.values() for t in ts]
+    found = sorted({" ".join(w[i : i + n]) for w in words for i in range(len(w) - n + 1)})
+    return f"(?=[a-z0-9])(?<!{_CHAR})" + _one_of([tuple(_GAP if x == " " else x for x in g) for g in found]) + f"(?!{_CHAR})"
+
+
+#: A word that no template has; two and three words side by side in a template.
+_FOREIGN = f"(?={_CHAR})(?<!{_CHAR})(?!{_one_of([tuple(w) for w in TERMS])}(?!{_CHAR})){_CHAR}++"
+_TWO, _THREE = _template_grams(2), _template_grams(3)
+#: Each match of CUES holds one of these, in lower case.
+HINTS = ("licen", "copyright", "warrant", "redistribut", "permission", "public domain", "spdx", "source code form", "mpl")
 #: Fixed value: licence words, by which the sample for none is halved.
 CUES = r"(?i)licen[cs]|copyright|warrant|redistribut|permission|public domain|spdx|source code form|\bmpl\b"
 PARTS = 3
@@ -111,17 +136,26 @@ def _paragraphs(text: Column) -> Column:
 
 
 def _windows(paragraph: Column) -> Column:
-    w = F.split(F.trim(F.regexp_replace(paragraph, r"\s+", " ")), " ")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (WINDOW - STEP), F.lit(1)), F.lit(STEP))
-    return F.transform(starts, lambda i: F.array_join(F.slice(w, i, WINDOW), " "))
-
-
-def _seen(unit: Column) -> Column:
-    """Struct of mask (the words, each stretch of words that no template has as |) and n_own (distinct trigrams; 0 where none is a template's); null without two template words side by side."""
-    masked = lambda w: F.regexp_replace(F.array_join(F.transform(w, lambda x: F.when(x.isin(*TERMS), x).otherwise("|")), " "), r"\|(?: \|)+", "|")
-    both = F.transform(F.array(_words(unit)), lambda w: F.struct(masked(w).alias("mask"), w.alias("words")))
-    n_own = lambda m: F.when(m["mask"].rlike(r"[^| ] [^| ]+ [^| ]"), F.size(F.array_distinct(_grams(m["words"], 3)))).otherwise(0)
-    return F.transform(both, lambda m: F.when(m["mask"].rlike(r"[^| ] [^| ]"), F.struct(m["mask"].alias("mask"), n_own(m).alias("n_own"))))[0]
+    # bound by a lambda, as the words would be cut again for each window otherwise
+    cut = F.array(F.split(F.trim(F.regexp_replace(paragraph, r"\s+", " ")), " "))
+    starts = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - (WINDOW - STEP), F.lit(1)), F.lit(STEP))
+    return F.transform(cut, lambda w: F.transform(starts(w), lambda i: F.array_join(F.slice(w, i, WINDOW), " ")))[0]
+
+
+def _seen(low: Column) -> Column:
+    """Structs, one for each window with two words side by side in a template, of mask (its words, each stretch of words that no template has as |) and n_own (its distinct trigrams; 0 where none is a template's). low: text in lower case, without |."""
+    # a paragraph is masked before it is cut; blanks stay, so it is cut like its own text
+    mask = lambda p: F.regexp_replace(p, _FOREIGN, "|")
+    tidy = lambda w: F.regexp_replace(F.trim(F.regexp_replace(w, _GAP, " ")), r"\|(?: ?\|)+", "|")
+    kind = "array<struct<mask: string, n_own: int>>"
+    none = F.array().cast(kind)
+    n_own = lambda w, own: F.when(w.rlike(_THREE), F.size(F.array_distinct(_grams(_words(own), 3)))).otherwise(0)
+    told = lambda w, n: F.when(w.rlike(_TWO), F.struct(tidy(w).alias("mask"), n.alias("n_own")))
+    plain = lambda m: F.transform(_windows(m), lambda w: told(w, F.lit(0))).cast(kind)
+    near = lambda m, p: F.zip_with(_windows(m), _windows(p), lambda w, own: told(w, n_own(w, own))).cast(kind)
+    masked = lambda p: F.transform(F.array(mask(p)), lambda m: F.when(m.rlike(_THREE), near(m, p)).otherwise(plain(m)))[0]
+    each = F.transform(_paragraphs(low), lambda p: F.when(p.rlike(_TWO), masked(p)).otherwise(none))
+    return F.when(low.rlike(_TWO), F.array_compact(F.flatten(each))).otherwise(none)
 
 
 def _features(df: DataFrame) -> DataFrame:
@@ -146,10 +180,11 @@ def scan_documents(df: DataFrame, sample: int = 2_000, confirm: float = 0.5, id_
     spark = df.sparkSession
     families = ["none", *TEMPLATES]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    cued = F.when(text.rlike(CUES), F.filter(F.flatten(F.transform(F.filter(_paragraphs(text), lambda p: p.rlike(CUES)), _windows)), lambda u: u.rlike(CUES)))
-    seen = F.array_compact(F.transform(F.flatten(F.transform(_paragraphs(text), _windows)), _seen))
+    lowered = df.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.translate(F.lower(text), "|", "/").alias("low"))
+    hinted = reduce(Column.__or__, (F.col("low").contains(x) for x in HINTS))
+    cued = F.when(hinted, F.filter(F.flatten(F.transform(F.filter(_paragraphs(F.col("text")), lambda p: p.rlike(CUES)), _windows)), lambda u: u.rlike(CUES)))
     # rows get a number that stays, as it is stored; of windows, what the model reads, and those with a licence word whole for the sample
-    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), seen.alias("seen"), cued.alias("units"), F.size(_paragraphs(text)).alias("n"))
+    rows = lowered.select(F.monotonically_increasing_id().alias("row"), "doc_id", _seen(F.col("low")).alias("seen"), cued.alias("units"), F.size(_paragraphs(F.col("text"))).alias("n"))
     rows = keep(spark, rows, "licence-rows")
     cued = rows.select("row", F.explode("units").alias("unit"))
     windows = rows.select("row", F.inline("seen")).select("row", F.split("mask", " ").alias("words"), "n_own")
@@ -163,17 +198,17 @@ def scan_documents(df: DataFrame, sample: int = 2_000, confirm: float = 0.5, id_
     parts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.struct(F.array_join(F.slice("words", (k * size / PARTS).cast("int") + 1, F.greatest((size * 2 / PARTS).cast("int"), F.lit(4))), " ").alias("unit"), (k < PARTS - 1).alias("fit")))
     positive = known.select("family", "unit", F.lit(True).alias("fit")).union(known.select("family", F.explode(parts).alias("p")).select("family", "p.unit", "p.fit"))
 
-    def few(units: DataFrame, n: int) -> DataFrame:
-        """Half the sample by the smallest hashes, each text once; n is about the number of units. Only a share of the hashes is ever shuffled or sorted."""
+    def few(units: DataFrame, n: int, fits: Column = F.lit(True)) -> DataFrame:
+        """Half the sample, units that fit, by the smallest hashes, each text once; n is about the number of units. Only a share of the hashes is ever looked at, shuffled or sorted."""
         hashed = units.select("unit", F.xxhash64("unit").alias("h"))
         cut = min(1.0, (2 * sample + 100) / max(n, 1))
-        low = hashed.filter(F.col("h") <= int(-(2**63) + cut * (2**64 - 2**12))).distinct().orderBy("h", "unit").limit(sample // 2)
+        low = hashed.filter(F.col("h") <= int(-(2**63) + cut * (2**64 - 2**12))).filter(fits).distinct().orderBy("h", "unit").limit(sample // 2)
         return low.select(F.lit("none").alias("family"), "unit", (F.pmod("h", F.lit(4)) > 0).alias("fit"))
 
     n, n_cued = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.greatest(F.size("units"), F.lit(0))), F.lit(0))).first()
-    plain = df.select(F.explode(_paragraphs(text)).alias("unit")).filter((F.length("unit") > 0) & ~F.col("unit").rlike(CUES))
+    plain = df.select(F.explode(_paragraphs(text)).alias("unit")).filter(F.length("unit") > 0)
     every = templates.select(F.lit("any").alias("family"), F.explode("shingles").alias("t")).groupBy("family").agg(F.collect_list("t").alias("shingles"))
-    near = few(cued, n_cued).union(few(plain, n)).withColumn("words", _words(F.col("unit"))).withColumn("f", F.lit("any"))
+    near = few(cued, n_cued).union(few(plain, n, ~F.col("unit").rlike(CUES))).withColumn("words", _words(F.col("unit"))).withColumn("f", F.lit("any"))
     # a licence, unlisted or without a licence word, shares some trigrams with the templates, and must not stand for none
     near = _shares(near, every.withColumn("alone", F.array().cast("array<string>"))).filter("share < 0.2 and own_share < 0.05").select(F.lit("none").alias("family"), "unit", "fit")
     label = F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1

@@ -1,6 +1,9 @@
 """Licences without a template are unknown, families stay families, prose with licence words is none."""
 
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from polyglossa.llm import licences
 
@@ -50,3 +53,23 @@ def test_windows_without_licence_words(spark):
     assert not [t for t in texts[: 2 * len(BARE)] if found[t] is None]
     assert {t: found[t] for t in BARE} == BARE
     assert not [t for t in plain if found[t] is not None]
+
+
+def test_windows_of_long_paragraph(spark):
+    """A paragraph's words are cut once, not again for each of its windows."""
+    text = " ".join(f"word{i}" for i in range(60_000))
+    frame = spark.createDataFrame([(text,)], "t string").select(licences._windows(F.col("t")).alias("w"))
+    began = time.time()
+    windows = frame.first().w
+    assert time.time() - began < 15
+    assert len(windows) == 1499 and windows[1].split()[0] == "word40" and windows[-1].split()[-1] == "word59999"
+
+
+def test_seen_windows(spark):
+    """Masked windows: words in any case, | in the text, letters beyond ASCII, own trigrams only beside a template's."""
+    texts = ["Of THE people, by the sea", "x|of the|y", "éof the", "out of\n\nthe box", "Grüße, under the GNU lesser general public licence!", ""]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    rows = frame.select(licences._seen(F.translate(F.lower("t"), "|", "/")).alias("s")).collect()
+    assert [[(w.mask, w.n_own) for w in r.s] for r in rows] == [
+        [("of the | by the |", 0)], [("| of the |", 0)], [], [], [("| under the gnu lesser general public |", 6)], [],
+    ]
