@@ -8,6 +8,7 @@ size and its position there.
 Index level: a list is ordered by size and position. Of two size blocks, only the heads up to the positions that leave room
 for enough overlap are paired; the rest of a block, and blocks of other sizes, are skipped. A list that the sketch finds long is
 dealt over several tasks, by other parts in every turn; in the last turn, nodes outside the list's most frequent component visit all of its parts.
+In long lists, sets are first told apart by parity bits of their shingles: sets that differ in fewer places than bits differ do not exist.
 
 Answer level: nodes are first compared with the leader of a list, and overlaps are kept. Members of a component found so far reach
 each other, so later turns compare only nodes of different components; and a node's answer for x is derived from those of the leader l
@@ -38,8 +39,10 @@ SKETCH_BITS, BLOCK = (16, 24), 4096
 LIST = 2_000
 #: Nodes of a list that is not cut into blocks.
 SHORT = 32
-#: Most rounds of neighbours before all open pairs are compared.
+#: Most rounds of neighbours before all open pairs are compared; in the last of them, the nearest by parity in long lists.
 TURNS = 3
+#: Most parity bits of a set; it has two to four for each shingle, 64 at least. Of sets with far more shingles than this, they tell fewer apart.
+PARITY = 4_096
 #: Neighbours of a node in a list, in the first turn and later.
 NEAR = (4, 16)
 
@@ -90,32 +93,47 @@ def _may_link(size_a, pos_a, size_b, pos_b):
     return (5 * s >= 4 * l) & (ps < _prefix(s)[1]) & (pl < _prefix(l)[0]) & (np.minimum(s - ps, l - pl) >= _needed(s, l))
 
 
+def _parity(own: np.ndarray) -> bytes:
+    """For each value of the low bits of a hash, whether an odd number of shingles has it; bits that differ stand for as many shingles that differ."""
+    bits = min(PARITY, max(64, 1 << (2 * len(own) - 1).bit_length()))
+    return np.packbits((np.bincount((own & U64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def _folded(parity: np.ndarray, width: int) -> np.ndarray:
+    """Rows of parity words as they are with fewer bits."""
+    while parity.shape[1] > width:
+        half = parity.shape[1] // 2
+        parity = parity[:, :half] ^ parity[:, half:]
+    return parity
+
+
 def _profile(df: DataFrame, n: int, bits: int) -> DataFrame:
-    """Rows of documents (doc_id, n, node, check), and rows of each task's sketch (block, counts)."""
+    """Rows of documents (doc_id, n, node, check, parity), and rows of each task's sketch (block, counts)."""
 
     def run(batches):
         sketch, seen = np.zeros(1 << bits, np.int32), set()
-        names = ["doc_id", "n", "node", "check", "block", "counts"]
+        names = ["doc_id", "n", "node", "check", "parity", "block", "counts"]
         kind = None
         for b in batches:
-            sizes, nodes, held = np.zeros(len(b), np.int64), np.zeros((2, len(b)), U64), []
+            sizes, nodes, held, parity = np.zeros(len(b), np.int64), np.zeros((2, len(b)), U64), [], [None] * len(b)
             kind = b.column(0).type
             for row, own, node, check in shingle_sets(b.column(1), n):
                 sizes[row], nodes[0, row], nodes[1, row] = len(own), node, check
                 if (node, check) not in seen:
                     seen.add((node, check))
                     held.append(own)
+                    parity[row] = _parity(own)  # once for a node of a task
             if held:
                 sketch += np.bincount((np.concatenate(held) >> U64(64 - bits)).astype(np.int64), minlength=len(sketch)).astype(np.int32)
             none = pa.nulls(len(b), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), *(pa.array(signed(x)) for x in nodes), none, pa.nulls(len(b), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), *(pa.array(signed(x)) for x in nodes), pa.array(parity, pa.binary()), none, pa.nulls(len(b), pa.binary())], names)
         if kind is not None:
             parts = sketch.reshape(-1, BLOCK)
             used = np.flatnonzero(parts.any(1))
             zero = pa.array(np.zeros(len(used), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(used), kind), zero, zero, zero, pa.array(used.astype(np.int32)), pa.array([parts[k].tobytes() for k in used], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(used), kind), zero, zero, zero, pa.nulls(len(used), pa.binary()), pa.array(used.astype(np.int32)), pa.array([parts[k].tobytes() for k in used], pa.binary())], names)
 
-    return df.mapInArrow(run, f"doc_id {dict(df.dtypes)['doc_id']}, n long, node long, check long, block int, counts binary")
+    return df.mapInArrow(run, f"doc_id {dict(df.dtypes)['doc_id']}, n long, node long, check long, parity binary, block int, counts binary")
 
 
 def _frequencies(profile: DataFrame, bits: int) -> np.ndarray:
@@ -304,10 +322,11 @@ def _beside(lists: DataFrame, turn: int) -> DataFrame:
     return _dealt(lists, turn, "place", "node", "label").mapInArrow(run, "a long, b long").distinct()
 
 
-def _blocks(size: np.ndarray, pos: np.ndarray, node: np.ndarray, label: np.ndarray, guest: np.ndarray):
-    """Pairs of one list, sorted by size and position, that may link and differ in label; of two guests or of none only if at home."""
+def _blocks(size: np.ndarray, pos: np.ndarray, label: np.ndarray, guest: np.ndarray, parity: list[bytes]):
+    """Pairs (rows, rows, bits that differ) of one list, sorted by size and position, that may link and differ in label; of two guests or of none only if at home."""
     edge = np.r_[np.flatnonzero(np.r_[True, size[1:] != size[:-1]]), len(size)]
     sizes = size[edge[:-1]]
+    words = [np.frombuffer(b"".join(parity[i:j]), U64).reshape(j - i, -1) for i, j in zip(edge[:-1], edge[1:])]
     for i, s in enumerate(sizes.tolist()):
         for j in range(i, int(np.searchsorted(sizes, 5 * s // 4, "right"))):
             # heads of the blocks up to the positions that leave room for the overlap; what stands behind is skipped
@@ -316,56 +335,102 @@ def _blocks(size: np.ndarray, pos: np.ndarray, node: np.ndarray, label: np.ndarr
             z = slice(edge[j], edge[j] + np.searchsorted(pos[edge[j] : edge[j + 1]], min(l - least + 1, _prefix(l)[0])))
             if x.stop == x.start or z.stop == z.start:
                 continue
-            for at in range(x.start, x.stop, 256):
-                rows = slice(at, min(at + 256, x.stop))
+            left, right = words[i], _folded(words[j], words[i].shape[1])
+            step = max(1, (1 << 20) // right.size)
+            for at in range(x.start, x.stop, step):
+                rows = slice(at, min(at + step, x.stop))
                 ok = (label[rows, None] != label[None, z]) & ~(guest[rows, None] & guest[None, z])
                 p, q = np.nonzero(ok)
                 if len(p):
-                    yield node[rows][p], node[z][q]
+                    p, q = p + at, q + z.start
+                    apart = np.bitwise_count(left[p - edge[i]] ^ right[q - edge[j]]).sum(1, dtype=np.int64)
+                    near = np.flatnonzero(apart <= s + l - 2 * least)
+                    yield p[near], q[near], apart[near]
+
+
+def _tables(batches):
+    """Whole lists as Arrow tables, sorted by their first column, of one list or several at a time."""
+    rest = None
+    for b in batches:
+        now = pa.Table.from_batches([b])
+        if rest is not None:
+            now = pa.concat_tables([rest, now]).combine_chunks()
+        if not now.num_rows:
+            continue
+        key = now.column(0).to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))
+        rest = now.slice(cut)
+        if cut:
+            yield now.slice(0, cut)
+    if rest is not None and rest.num_rows:
+        yield rest
 
 
-def _across(lists: DataFrame) -> DataFrame:
-    """(a, b) to compare: all nodes of one list with different labels. lists: token, parts, place, node, label."""
+def _across(lists: DataFrame, parity: DataFrame, nearest: bool) -> DataFrame:
+    """(a, b) to compare: nodes of one list with different labels, all that may link, or of a long list's nodes each one's nearest by parity.
+
+    lists: token, parts, place, node, label; parity: node, parity, repeated for copies.
+    """
     counts = lists.groupBy("token", "label").agg(F.count("*").alias("n"))
-    mode = counts.groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("mode"), F.count("*").alias("labels")).filter("labels > 1").select("token", "mode")
-    open_ = lists.join(mode, "token")
+    mode = counts.groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("mode"), F.count("*").alias("labels"), F.sum("n").alias("all")).filter("labels > 1").select("token", "mode", "all")
+    open_ = lists.join(mode.filter(F.col("all") > SHORT) if nearest else mode, "token")
     part = F.pmod(F.xxhash64(F.lit(-1), "node"), F.col("parts"))
-    home = open_.select("token", part.alias("part"), "place", "node", "label", F.lit(0).cast("long").alias("guest"))
+    home = open_.select("token", part.alias("part"), "place", "node", "label", F.lit(0).cast("long").alias("guest"), "all")
     # a long list: nodes outside its most frequent component go to the other parts as well
-    visits = open_.filter("parts > 1 and label <> mode").select("token", part.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "place", "node", "label")
-    both = home.unionByName(visits.filter("own <> part").select("token", "part", "place", "node", "label", F.lit(1).cast("long").alias("guest")))
-    dealt = both.select(F.xxhash64("token", "part").alias("list"), "place", "node", "label", "guest").repartition("list").sortWithinPartitions("list")
-
-    def run(batches):
-        for now in _lists(batches):
-            now = now[:, _several(now[0], now[3])]
-            if not now.shape[1]:
-                continue
-            now = now[:, np.lexsort((now[1], now[0]))]
-            key, place, node, label, guest = now
+    visits = open_.filter("parts > 1 and label <> mode").select("token", part.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "place", "node", "label", "all")
+    both = home if nearest else home.unionByName(visits.filter("own <> part").select("token", "part", "place", "node", "label", F.lit(1).cast("long").alias("guest"), "all"))
+    dealt = both.select(F.xxhash64("token", "part").alias("list"), "place", "node", "label", "guest", "all")
+    long_ = dealt.filter(F.col("all") > SHORT).drop("all")
+    held = parity.join(open_.filter(F.col("all") > SHORT).select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("parity").alias("parity"))
+    long_ = long_.join(held, "node").select("list", "place", "node", "label", "guest", "parity").repartition("list").sortWithinPartitions("list")
+
+    def wide(batches):
+        for now in _tables(batches):
+            whole = np.stack([now.column(c).to_numpy() for c in range(5)])
+            some = np.flatnonzero(_several(whole[0], whole[3]))
+            some = some[np.lexsort((whole[1, some], whole[0, some]))]
+            key, place, node, label, guest = whole[:, some]
+            bits = now.column(5).take(pa.array(some)).to_pylist()
+            cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]) if len(key) else np.zeros(1, np.int64)
             a, b, held = [], [], 0
-            cuts = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
-            # short lists together, pair by pair at each distance; long ones block by block
-            short = np.repeat(np.diff(cuts) <= SHORT, np.diff(cuts))
-            k, p, n, l, g = key[short], place[short], node[short], label[short], guest[short] > 0
-            for d in range(1, min(SHORT, len(k))):
-                at = np.flatnonzero((k[d:] == k[:-d]) & (l[d:] != l[:-d]) & ~(g[d:] & g[:-d]))
-                at = at[_may_link(p[at + d] >> 32, p[at + d] & 0xFFFFFFFF, p[at] >> 32, p[at] & 0xFFFFFFFF)]
-                a.append(n[at + d])
-                b.append(n[at])
             for x, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                if z - x <= SHORT:
-                    continue
-                for p, q in _blocks(place[x:z] >> 32, place[x:z] & 0xFFFFFFFF, node[x:z], label[x:z], guest[x:z] > 0):
-                    a.append(p)
-                    b.append(q)
+                least, best = np.full(z - x, 1 << 40), np.full(z - x, -1)
+                for p, q, apart in _blocks(place[x:z] >> 32, place[x:z] & 0xFFFFFFFF, label[x:z], guest[x:z] > 0, bits[x:z]):
+                    if nearest:
+                        for one, other in ((p, q), (q, p)):
+                            order = np.lexsort((apart, one))
+                            order = order[np.r_[True, one[order][1:] != one[order][:-1]]] if len(order) else order
+                            better = order[apart[order] < least[one[order]]]
+                            least[one[better]], best[one[better]] = apart[better], other[better]
+                        continue
+                    a.append(node[x:z][p])
+                    b.append(node[x:z][q])
                     held += len(p)
                     if held > 1_000_000:
                         yield _pair_batch(a, b)
                         a, b, held = [], [], 0
+                if nearest:
+                    at = np.flatnonzero(best >= 0)
+                    a.append(node[x:z][at])
+                    b.append(node[x:z][best[at]])
+            yield _pair_batch(a, b)
+
+    def short(batches):
+        for now in _lists(batches):
+            k, p, n, l = now[:, _several(now[0], now[3])]
+            a, b = [], []
+            for d in range(1, min(SHORT, len(k))):
+                at = np.flatnonzero((k[d:] == k[:-d]) & (l[d:] != l[:-d]))
+                at = at[_may_link(p[at + d] >> 32, p[at + d] & 0xFFFFFFFF, p[at] >> 32, p[at] & 0xFFFFFFFF)]
+                a.append(n[at + d])
+                b.append(n[at])
             yield _pair_batch(a, b)
 
-    return dealt.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+    pairs = long_.mapInArrow(wide, "a long, b long")
+    if not nearest:  # pair by pair at each distance; lists that are dealt over parts only by the sketch's error stay whole
+        few = open_.filter(F.col("all") <= SHORT).select(F.col("token").alias("list"), "place", "node", "label").repartition("list").sortWithinPartitions("list")
+        pairs = pairs.union(few.mapInArrow(short, "a long, b long"))
+    return pairs.filter("a <> b").distinct()
 
 
 def _filter_bits(n: int) -> int:
@@ -437,12 +502,12 @@ def join_documents(df: DataFrame, words: int = 5, id_col: str = "doc_id", text_c
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(SKETCH_BITS[0], min(SKETCH_BITS[1], math.ceil(math.log2(size / 400 + 1))))
     profile = keep(spark, _profile(docs, words, bits), "profile")
-    own = profile.filter("block is null").select("doc_id", "n", "node", "check")
+    own = profile.filter("block is null").select("doc_id", "n", "node", "check", "parity")
     # sets that share 64 bits but not the next 64: next to none, whatever the input
     twins = own.filter("n > 0").groupBy("node").agg(F.min("check").alias("x"), F.max("check").alias("y")).filter("x <> y").select("node").collect()
     collided = frozenset(r["node"] & 0xFFFFFFFFFFFFFFFF for r in twins)
     name = F.when(F.col("node").isin([r["node"] for r in twins]), F.col("node").bitwiseXOR(F.col("check"))).otherwise(F.col("node")) if twins else F.col("node")
-    own = own.select("doc_id", "n", name.alias("node"))
+    own = own.select("doc_id", "n", name.alias("node"), "parity")
     classes = spark.sparkContext.broadcast(_frequencies(profile, bits))
     floor = (own.agg(F.sum("n")).first()[0] or 0) / (1 << bits)
     shared = keep(spark, _shared(_postings(docs, words, bits, classes, floor, collided)), "shared")
@@ -457,13 +522,17 @@ def join_documents(df: DataFrame, words: int = 5, id_col: str = "doc_id", text_c
     # components that are left apart: first neighbours in a list, a linear number of pairs, for as long as they link many nodes;
     # then every pair still open
     turn = 0
+    parity = own.filter("parity is not null").select("node", "parity")
     while turn >= 0:
         lists = postings.join(found, "node", "left").select("token", "parts", "place", "node", F.coalesce("component", "node").alias("label"))
         every = answers[0]
         for x in answers[1:]:
             every = every.union(x)
-        open_ = (_beside(lists, turn) if turn < TURNS else _across(lists)).join(every.select("a", "b"), ["a", "b"], "left_anti")
-        open_ = keep(spark, _derived(open_, every), "open")
+        # each pair once, however many lists it stands in, before it is looked up
+        pairs = keep(spark, _beside(lists, turn) if turn < TURNS - 1 else _across(lists, parity, turn < TURNS), "pairs")
+        fresh = keep(spark, pairs.join(every.select("a", "b"), ["a", "b"], "left_anti"), "fresh")
+        open_ = keep(spark, _derived(fresh, every), "open")
+        discard(spark, pairs, fresh)
         answers.append(keep(spark, _compared(docs, words, open_.filter("verdict is null").select("a", "b"), collided), "answers"))
         more = answers[-1].filter(_linked(F.col("o"), F.col("m"), F.col("n"))).select("a", "b").union(open_.filter("verdict").select("a", "b"))
         scratch += [open_, answers[-1]]
