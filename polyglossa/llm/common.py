@@ -55,10 +55,29 @@ def scratch() -> Iterator[list[DataFrame]]:
         _MADE.reset(token)
 
 
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries run inside go when each ends, not when the driver happens to collect its garbage.
+
+    A frame made inside should not be run twice: its second run would have to shuffle again.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def keep(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there."""
+    """Write df as a table in the shared folder and read it back: lineage ends there, and its shuffle files go."""
     path = f"{scratch_dir(spark)}/polyglossa-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with brief_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_path = path
     if (made := _MADE.get()) is not None:

@@ -23,13 +23,14 @@ read. Long texts give long lists of shingles, all of which count.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bitmap, discard, in_bitmap, keep, mix, signed, text_buffers, text_steps, windows_of, words_of
+from .common import U64, bitmap, brief_shuffles, discard, in_bitmap, keep, mix, signed, text_buffers, text_steps, windows_of, words_of
 from .graph import components, joined
 
 #: Bits of the sketch (at least, at most): one counter for about 64 shingles of the input, dealt in blocks of BLOCK counters. Beyond
@@ -107,6 +108,16 @@ def _folded(parity: np.ndarray, width: int) -> np.ndarray:
     return parity
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """A block of counters, mostly small or none: a task's blocks take the room of its shingles, however many counters the input has."""
+    return zlib.compress((counts.astype(np.uint8) if counts.max() < 256 else counts.astype(np.int32)).tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    raw = zlib.decompress(packed)
+    return np.frombuffer(raw, np.uint8 if len(raw) == BLOCK else np.int32)
+
+
 def _profile(df: DataFrame, n: int, bits: int) -> DataFrame:
     """Rows of documents (doc_id, n, node, check, parity), and rows of each task's sketch (block, counts)."""
 
@@ -131,7 +142,7 @@ def _profile(df: DataFrame, n: int, bits: int) -> DataFrame:
             parts = sketch.reshape(-1, BLOCK)
             used = np.flatnonzero(parts.any(1))
             zero = pa.array(np.zeros(len(used), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(used), kind), zero, zero, zero, pa.nulls(len(used), pa.binary()), pa.array(used.astype(np.int32)), pa.array([parts[k].tobytes() for k in used], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(used), kind), zero, zero, zero, pa.nulls(len(used), pa.binary()), pa.array(used.astype(np.int32)), pa.array([_packed(parts[k]) for k in used], pa.binary())], names)
 
     return df.mapInArrow(run, f"doc_id {dict(df.dtypes)['doc_id']}, n long, node long, check long, parity binary, block int, counts binary")
 
@@ -152,7 +163,7 @@ def _frequencies(profile: DataFrame, bits: int) -> np.ndarray:
                     if last is not None:
                         yield done()
                     last, total = block, np.zeros(BLOCK, np.int64)
-                total += np.frombuffer(counts.as_buffer(), np.int32)
+                total += _unpacked(counts.as_buffer())
         if last is not None:
             yield done()
 
@@ -497,8 +508,17 @@ def _derived(pairs: DataFrame, answers: DataFrame) -> DataFrame:
 
 def join_documents(df: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of documents that link at a Jaccard similarity of 0.8 or more."""
-    spark = df.sparkSession
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    with brief_shuffles(df.sparkSession):
+        own, named = _named_nodes(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), words)
+    return (
+        own.join(named, (F.col("node") == F.col("named")) & (F.col("n") > 0), "left")
+        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    )
+
+
+def _named_nodes(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """The documents (doc_id, n, node), and the component_id of each node (named)."""
+    spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(SKETCH_BITS[0], min(SKETCH_BITS[1], math.ceil(math.log2(size / 400 + 1))))
     profile = keep(spark, _profile(docs, words, bits), "profile")
@@ -547,7 +567,4 @@ def join_documents(df: DataFrame, words: int = 5, id_col: str = "doc_id", text_c
     named = nodes.join(ids, "c").select(F.col("node").alias("named"), "component_id")
     named = keep(spark, named, "named")
     discard(spark, *scratch)
-    return (
-        own.join(named, (F.col("node") == F.col("named")) & (F.col("n") > 0), "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    )
+    return own, named

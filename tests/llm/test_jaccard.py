@@ -1,6 +1,7 @@
 """Pairs compared in groups of near copies, and the parity bits that tell sets apart."""
 
 import random
+import time
 
 import numpy as np
 
@@ -61,3 +62,32 @@ def test_parity():
             assert apart <= len(np.setxor1d(a, b)) and (less + more or not apart)
             if 40 <= size <= 900 and less > size // 4:
                 assert apart > len(a) + len(b) - 2 * jaccard._needed(len(a), len(b))
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_")}
+
+
+def test_shuffles_go(spark):
+    """Files of a query's shuffles do not lie about until the driver collects its garbage; the session's setting is left as it was."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, set_to = shuffle_files(spark), spark.conf.get(key, None)
+    found = jaccard.join_documents(spark.createDataFrame(list(enumerate(near_copies(60))), "doc_id long, text string"))
+    assert spark.conf.get(key, None) == set_to
+    for _ in range(50):  # they are removed in the background
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.2)
+    assert not left, sorted(left)
+    assert found.count() == found.count() == 60
+
+
+def test_sketch_room(spark):
+    """A task's sketch takes the room of its shingles, not of all counters; its counts stay exact."""
+    texts = [" ".join(f"w{i}" for i in range(500)), " ".join(f"x{i % 7}" for i in range(9000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = jaccard._profile(docs, 5, 22).filter("block is not null").collect()
+    assert sum(len(r["counts"]) for r in rows) < 100_000
+    for counts in (np.eye(1, jaccard.BLOCK, 3, dtype=np.int32)[0] * 255, np.arange(jaccard.BLOCK, dtype=np.int32) * 70_000):
+        assert (jaccard._unpacked(jaccard._packed(counts)) == counts).all()
