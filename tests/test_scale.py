@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,3 +41,42 @@ def test_words_are_put_together_before_the_shuffle(spark):
     assert got == {
         (1, 0): ("one two three four", 0, 35, 4, 0.5), (1, 1): ("A a b\0b c", 0, 13, 4, 0.25), (2, 0): ("x y", 7, 8, 2, 0.06),
     }
+
+
+def test_forms_of_a_text_share_its_bucket(spark):
+    points = spark.createDataFrame(pd.DataFrame({"c": [chr(k) for k in range(1, 0x20000) if not 0xD800 <= k < 0xE000]})).repartition(4)
+    texts = points.select(F.explode(F.array("c", F.concat(F.lit("a"), "c", F.lit("-É "), "c"))).alias("t"))
+    own = tm._bucketed(texts, "t").select("t", F.col("_bucket").alias("own"))
+    # as a text, the form is lowered and stripped: forms that this changes are last ones, which no raw text equals
+    again = tm._bucketed(tm._variants(texts, "t").filter("variant = lower(trim(variant))").select("t", "variant"), "variant")
+    assert again.count() > 100_000 and own.join(again, "t").filter(~F.col("own").eqNullSafe(F.col("_bucket"))).isEmpty()
+
+
+def _lookups(spark):
+    langs = ("english", "filipino", "cebuano")
+    texts = ["Été", "ete!", "été", "ETE", "...", "..", "a b", "A  b?", "a b", "x\u037a y", "x  z", "plain", None, " ", "no target", "only fil"]
+    memory = [(f"{k:02}" if t != "a b" else "90", t, None if t == "no target" else f"T:{t}", None if t in ("no target", "only fil") else f"C:{t}") for k, t in enumerate(texts)]
+    asked = [(t, s, g) for t in ("été", "ete", "ÉTÉ?", "Ete", "...", "....", "a  b", " A b ", "x  y", "x\u037a z", "PLAIN!", "absent", "no target", "Only fil.", "", None) for s in ("english", "fr", None) for g in (*langs, "other", None)]
+    queries = spark.createDataFrame([(k, *a) for k, a in enumerate(asked + 40 * [("a b!", "english", "cebuano")])], "id int, text string, src_lang string, tgt_lang string")
+    return queries, spark.createDataFrame(memory, "row_pos string, english string, filipino string, cebuano string"), langs
+
+
+@pytest.mark.parametrize("heavy", [None, [], "all"])
+def test_lookup_without_an_index(spark, heavy):
+    queries, memory, langs = _lookups(spark)
+    frequent = [r[0] for r in queries.select(F.xxhash64("text")).distinct().collect()] if heavy == "all" else heavy
+    for sources in (("english",), None):
+        want = tm.tm_lookup(queries, tm.tm_index(memory.dropDuplicates(["row_pos"]), langs, sources))
+        got = tm.memory_lookup(queries, memory.union(memory), langs, sources, frequent)
+        assert got.schema == want.schema and got.count() == want.count() and got.exceptAll(want).isEmpty()
+        assert want.filter("method = 'normalized_phrase'").count() > 5
+
+
+def test_lookup_shuffles_each_text_once(spark):
+    queries, memory, langs = _lookups(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = tm.memory_lookup(queries, memory, langs, ("english",), [])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2, plan
