@@ -16,7 +16,7 @@ def _written(spark):
     return sum(s.shuffleWriteBytes() for s in gateway.jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc.statusStore().stageList(none(), False, False, gateway.new_array(gateway.jvm.double, 0), none())))
 
 
-@pytest.mark.parametrize("name", ["tm_lookup", "tm_fallback", "translated_layout", "bilingual_page"])
+@pytest.mark.parametrize("name", ["tm_lookup", "translate_auto", "tm_fallback", "translated_layout", "bilingual_page"])
 def test_texts_are_shuffled_once(spark, name):
     texts = spark.read.parquet(f"{SF}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
